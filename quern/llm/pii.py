@@ -1,0 +1,265 @@
+"""PII surrogates: keyed, type-consistent, the same for the same entity everywhere.
+
+Entities are found in the whole text and replaced one for one.  Parts that are
+digits or letters go through a keyed permutation of all strings of their form,
+so two different entities can't get the same surrogate and one entity has the
+same one in every document, without a table of all entities.  Strings that
+aren't valid for their type (a card number's check digit, an address that is
+reserved) or that equal the original are walked over; the walk stays on the
+permutation's cycle, so it keeps what is distinct apart.  ``collisions`` checks
+that over a whole table.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Given names whose gender is taken as known; the surrogate comes from the same list.
+FEMALE = "Alice Amelia Anna Barbara Camille Carmen Charlotte Chloe Clara Elena Elisabeth Emily Emma Eva Hannah Helene Ingrid Isabel Jane Julia Karin Katharina Laura Lucia Marie Maria Mary Monika Nicole Olivia Patricia Petra Sabine Sarah Sofia Sophie Susan Teresa Ursula Valerie".split()
+MALE = "Adam Alexander Antoine Bernard Carlos Charles Daniel David Diego Edward Emil Felix Fernando Francisco Frank Georg George Hans Henri Henry Jacques James Javier Jean John Jorge Juan Karl Klaus Louis Luis Manuel Michael Miguel Olivier Paul Peter Pierre Robert Stefan Thomas William".split()
+_TITLES = {"Mr": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
+_GIVEN = "|".join(sorted({*FEMALE, *MALE}, key=lambda x: (-len(x), x)))
+_CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+
+#: In the order in which they win where two begin at one place.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|auth)\b["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9+/_=-]{8,})""",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "person": rf"(?<!\w)(?:(?P<title>{'|'.join(_TITLES)})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{_GIVEN}) (?P<family>{_CAP}))(?!\w)",
+}
+_ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
+#: Entities are looked for around these only: digits and @, words before secrets, titles and known names.
+_DIGITS = re.compile(r"[\d@](?:[\d ().+@-]*[\d@])?")
+_KEYWORDS = ("key", "secret", "token", "passw", "auth")
+_KEYWORD = re.compile("|".join(_KEYWORDS))
+_CAPITAL = re.compile(r"\b[A-Z][a-z]+")
+_KNOWN = frozenset([*FEMALE, *MALE, *_TITLES])
+_AROUND = 90
+
+
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """Parts of a text outside of which no entity can lie; they begin and end at white space."""
+    at = [m.span() for m in _DIGITS.finditer(text)]
+    low = text.lower()
+    if any(k in low for k in _KEYWORDS) and len(low) == len(text):
+        at += [m.span() for m in _KEYWORD.finditer(low)]
+    at += [m.span() for m in _CAPITAL.finditer(text) if m[0] in _KNOWN]
+    lo = hi = -1
+    for start, end in sorted(at):
+        if start > hi:
+            if hi >= 0:
+                yield lo, hi
+            lo, hi = _edge(text, start - _AROUND, -1), -1
+        hi = max(hi, _edge(text, end + _AROUND, 1))
+    if hi >= 0:
+        yield lo, hi
+
+
+def _edge(text: str, at: int, step: int) -> int:
+    while 0 < at < len(text) and not text[at].isspace():
+        at += step
+    return min(max(at, 0), len(text))
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def mod97(iban: str) -> bool:
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def _form(char: str) -> tuple[int, int] | None:
+    """(first code point, how many) of the class that a character is replaced within; None: it stays."""
+    if "0" <= char <= "9":
+        return 48, 10
+    if "a" <= char <= "z":
+        return 97, 26
+    if "A" <= char <= "Z":
+        return 65, 26
+    for lo, n in ((0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17), (0x4E00, 0x5000), (0xAC00, 11172), (0x3041, 86), (0x30A1, 90), (0x5D0, 27), (0x621, 26)):
+        if lo <= ord(char) < lo + n:
+            return lo, n
+    return None
+
+
+class Permutation:
+    """A keyed permutation of the strings of one form: unbalanced Feistel rounds over their mixed-radix number."""
+
+    def __init__(self, key: bytes, kind: str, form: tuple):
+        self.key = hashlib.blake2b(repr((kind, form)).encode(), key=key[:64], digest_size=32).digest()
+        self.form = form
+        half = len(form) // 2
+        self.left = 1
+        for _, n in form[:half]:
+            self.left *= n
+        self.right = 1
+        for _, n in form[half:]:
+            self.right *= n
+
+    def _round(self, i: int, half: int) -> int:
+        return int.from_bytes(hashlib.blake2b(half.to_bytes((half.bit_length() + 8) // 8, "big"), key=self.key, salt=bytes([i]), digest_size=32).digest(), "big")
+
+    def __call__(self, text: str) -> str:
+        number = 0
+        for c, (lo, n) in zip(text, self.form, strict=True):
+            number = number * n + ord(c) - lo
+        a, b = divmod(number, self.right)
+        for i in range(8):
+            if i % 2:
+                b = (b + self._round(i, a)) % self.right
+            else:
+                a = (a + self._round(i, b)) % self.left
+        if self.left == 1:
+            b = (b + self._round(8, 0)) % self.right
+        number, out = a * self.right + b, []
+        for lo, n in reversed(self.form):
+            number, d = divmod(number, n)
+            out.append(chr(lo + d))
+        return "".join(reversed(out))
+
+
+class Surrogates:
+    """Finds entities and replaces them; ``key`` decides all replacements."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+        self.known: dict[tuple[str, str], str] = {}
+
+    def _permute(self, kind: str, text: str, valid=lambda x: True, fixed: int = 0) -> str:
+        """Letters and digits of ``text`` after the first ``fixed`` characters, moved within their classes."""
+        forms = [_form(c) if i >= fixed else None for i, c in enumerate(text)]
+        core = "".join(c for c, f in zip(text, forms, strict=True) if f)
+        if not core:
+            return text
+        move = Permutation(self.key, kind, tuple(f for f in forms if f))
+
+        def put(new: str) -> str:
+            rest = iter(new)
+            return "".join(next(rest) if f else c for c, f in zip(text, forms, strict=True))
+
+        now = core
+        for _ in range(2000):
+            now = move(now)
+            if now == core:  # the whole cycle holds no other valid string
+                break
+            if valid(put(now)):
+                return put(now)
+        return put(move(core))
+
+    def _name(self, word: str, gender: str) -> str:
+        names = {"f": FEMALE, "m": MALE}.get(gender)
+        if names and word in names:
+            order = sorted(names, key=lambda n: hmac.new(self.key, f"{gender}{n}".encode(), "sha256").digest())
+            return order[(order.index(word) + 1) % len(order)]  # one cycle: never itself, never shared
+        return self._permute("name", word)
+
+    def replace(self, kind: str, text: str, gender: str = "") -> str:
+        if (got := self.known.get((kind + gender, text))) is not None:
+            return got
+        if kind == "email":
+            local, _, domain = text.rpartition("@")
+            stem, _, top = domain.rpartition(".")
+            new = self._permute("email", f"{local}@{stem}") + "." + top
+        elif kind == "ip":
+            octets = text.split(".")
+            fine = lambda x: all(p == str(int(p)) and int(p) < 256 for p in x.split(".")) and 0 < int(x.split(".")[0]) < 224
+            new = self._permute("ip", text, fine) if fine(text) else self._permute("ip", text, lambda x: all(int(p) < 256 for p in x.split(".")) and not fine(x))
+            assert len(octets) == 4
+        elif kind == "card":
+            new = self._permute("card", text, lambda x: luhn(re.sub(r"\D", "", x)), fixed=1)
+        elif kind == "iban":
+            new = self._permute("iban", text, lambda x: mod97(x.replace(" ", "")), fixed=2)
+        elif kind == "phone":
+            new = self._permute("phone", text, fixed=len(re.match(r"\+?\d{0,3}", text)[0]) if text[0] == "+" else 0)
+        elif kind == "person":
+            new = " ".join(self._name(w, gender) for w in text.split(" "))
+        else:
+            new = self._permute(kind, text)
+        if len(self.known) < 1 << 16:
+            self.known[kind + gender, text] = new
+        return new
+
+    def find(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, gender) of the entities, in text order."""
+        out = []
+        for m in (m for lo, hi in regions(text) for m in _ALL.finditer(text, lo, hi)):
+            kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
+            start, end, gender = *m.span(), ""
+            if kind == "secret":
+                start, end = m.span("secret")
+            elif kind == "card":
+                digits = re.sub(r"\D", "", m[0])
+                if not luhn(digits) or len(set(digits)) < 3:
+                    continue
+            elif kind == "iban" and not mod97(m[0].replace(" ", "")):
+                continue
+            elif kind == "person":
+                if m["title"]:
+                    start, end = m.span("titled")
+                    gender = _TITLES[m["title"]] or self._gender(m["titled"].split(" ")[0])
+                else:
+                    gender = self._gender(m["given"])
+            out.append((start, end, kind, gender))
+        return out
+
+    @staticmethod
+    def _gender(word: str) -> str:
+        return "f" if word in FEMALE else "m" if word in MALE else ""
+
+
+def surrogate_text(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text with surrogates, entities.
+
+    entities: array of (start, length, kind, gender, surrogate, entity), places
+    in code points of the original text; ``entity`` is a keyed digest of the
+    original, equal for equal entities.  A null text stays null and has none;
+    repeated rows give equal results; an empty table gives no rows.  Other
+    columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Surrogates(key)
+        for batch in batches:
+            texts, found = [], []
+            for value in batch.column(0).to_pylist():
+                spans = made.find(value) if value else []
+                out, at, rows = [], 0, []
+                for start, end, kind, gender in spans:
+                    old = value[start:end]
+                    new = made.replace(kind, old, gender)
+                    out += [value[at:start], new]
+                    at = end
+                    name = hmac.new(key, f"{kind}\x1f{old}".encode(), "sha256").hexdigest()[:16]
+                    rows.append({"start": start, "length": end - start, "kind": kind, "gender": gender, "surrogate": new, "entity": name})
+                texts.append("".join([*out, value[at:]]) if spans else value)
+                found.append(rows)
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), *[(c, pa.string()) for c in ("kind", "gender", "surrogate", "entity")]]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string()), pa.array(found, kind)], ["doc_id", "text", "entities"])
+
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, entities array<struct<start:bigint,length:bigint,kind:string,gender:string,surrogate:string,entity:string>>")
+
+
+def collisions(replaced: DataFrame) -> DataFrame:
+    """Surrogates of one kind that stand for more than one entity, and entities with more than one surrogate: none, if all is well."""
+    rows = replaced.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.entity").distinct()
+    shared = rows.groupBy("kind", F.col("surrogate").alias("value")).count().where(F.col("count") > 1)
+    return shared.union(rows.groupBy("kind", F.col("entity").alias("value")).count().where(F.col("count") > 1))
