@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of 16 MB at most, where the session has Spark's own bound: a worker holds one batch of texts and what it makes of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(name, str(16 << 20))
+    return spark
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages restart from there, on any executor."""
     spark = df.sparkSession

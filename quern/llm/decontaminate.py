@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .language_id import Lookup
 from .wordhash import PUNCTUATION, hash_words, shingle_hashes, text_buffers
 
@@ -168,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
 
 def _seeded(own: DataFrame, benchmark: DataFrame, n: int, item_id: str, item_text: str) -> Iterator[tuple[DataFrame, object]]:
     """For each block of test items: their ids, and the broadcast items with the seeds that ``own.text`` decides."""
-    spark = own.sparkSession
+    spark = small_batches(own.sparkSession)
     tests = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     blocks = max(1, -(-size // BLOCK_BYTES))

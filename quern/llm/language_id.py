@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .wordhash import text_buffers
 
 _U = np.uint64
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, use: Column | None = None, order: int = 4, train_b
 
 def _learn(docs, use, order, train_bytes, doc_id, text, lang):
     sample = training_sample(docs, F.lit(True) if use is None else use, train_bytes, doc_id, text, lang)
-    return docs.sparkSession.sparkContext.broadcast(train(sample, order)) if sample else None
+    return small_batches(docs.sparkSession).sparkContext.broadcast(train(sample, order)) if sample else None
 
 
 def _has_letter(text: str) -> Column:

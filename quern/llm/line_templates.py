@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .wordhash import hash_words, mix64, text_buffers, word_spans
 
 _U = np.uint64
@@ -113,6 +113,7 @@ def drop_recurring_lines(docs: DataFrame, texts: int = 3, lead: int = 2, least:
     empty line.  Repeated rows give equal results; an empty table gives no
     rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"))
     found = own.select("text", "text_hash").mapInArrow(_texts(lead, least), "text_hash bigint, templates array<bigint>")
     held = cut(found.where(F.size("templates") > 0).groupBy("text_hash").agg(F.first("templates").alias("templates")).select("text_hash", F.explode("templates").alias("template")), "line-templates")

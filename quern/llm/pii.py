@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Given names whose gender is taken as known; the surrogate comes from the same list.
 FEMALE = "Alice Amelia Anna Barbara Camille Carmen Charlotte Chloe Clara Elena Elisabeth Emily Emma Eva Hannah Helene Ingrid Isabel Jane Julia Karin Katharina Laura Lucia Marie Maria Mary Monika Nicole Olivia Patricia Petra Sabine Sarah Sofia Sophie Susan Teresa Ursula Valerie".split()
 MALE = "Adam Alexander Antoine Bernard Carlos Charles Daniel David Diego Edward Emil Felix Fernando Francisco Frank Georg George Hans Henri Henry Jacques James Javier Jean John Jorge Juan Karl Klaus Louis Luis Manuel Michael Miguel Olivier Paul Peter Pierre Robert Stefan Thomas William".split()
@@ -254,6 +256,7 @@ def surrogate_text(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: st
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), *[(c, pa.string()) for c in ("kind", "gender", "surrogate", "entity")]]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string()), pa.array(found, kind)], ["doc_id", "text", "entities"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, entities array<struct<start:bigint,length:bigint,kind:string,gender:string,surrogate:string,entity:string>>")
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .wordhash import text_buffers
 
 UNIT = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
@@ -148,7 +149,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes], doc_id: str = "doc_id", t
     bytes that no piece covers count as one token each.  Repeated rows give
     equal results; an empty table gives no rows.  Other columns are not read.
     """
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton(pieces))
+    automaton = small_batches(docs.sparkSession).sparkContext.broadcast(Automaton(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(automaton.value)
