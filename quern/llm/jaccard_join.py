@@ -11,9 +11,12 @@ Nothing is quadratic in a group of copies:
 
 * equal sets are one class from the start;
 * prefix shingles travel packed, a row for each task and partition, and only
-  those of two classes or more go on; they don't go on as pairs but as routes
-  to a group, named after the least class of the list, so that the many
-  shared shingles of a group of copies lead to few groups;
+  those of two classes or more go on;
+* lists of up to eight classes go on as pairs, which are counted: a pair that
+  meets in such lists alone must do so as often as it has to share shingles;
+* longer lists go on as routes to a group, named after the least class of the
+  list, so that the many shared shingles of a group of copies lead to few
+  groups; a pair that meets in any of them is verified there;
 * each document's set travels once to each of its groups; a group over the
   size limit is dealt into blocks, and each pair of blocks is a group;
 * within a group a document is verified against those of other components
@@ -32,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small_batches
 from .wordhash import hash_words, mix64, shingle_hashes, text_buffers
 
 _U = np.uint64
-SKETCH_BITS = 20
-SKETCH_BLOCKS = 16
+SKETCH_BITS = 22
+SKETCH_BLOCKS = 64
 MOST_MATCHES = 4
-FLUSH = 1 << 21
+SHORT_LIST = 8
+FLUSH = 1 << 20
 GROUP_DOCS, GROUP_SHINGLES = 4000, 4_000_000
 
 
@@ -63,15 +67,15 @@ def global_order(shingles: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray,
 def choose_prefix(level: np.ndarray, percent: int) -> tuple[int, int]:
     """(matches asked for, prefix length) of least estimated cost.
 
-    An entry costs one for itself and its frequency for the list that it
-    reads; of the pairs so met, l matches leave about 1 / l**2 to verify.
+    The pairs that the prefix meets are counted, at one each; of these, l
+    matches leave about one in 4**l to verify, at the cost of the whole set.
     """
     n = len(level)
     least = -(-percent * n // 100)
     short = n - least + 1
     most = max(1, min(MOST_MATCHES, least))
     met = np.cumsum(np.exp2(level[: short + most - 1] / 4.0))
-    cost = [met[short + m - 2] * (1 + 4 / m**2) for m in range(1, most + 1)]
+    cost = [met[short + m - 2] * (1 + n / 4**m) for m in range(1, most + 1)]
     m = int(np.argmin(cost)) + 1
     return m, short + m - 1
 
@@ -89,15 +93,12 @@ def _count(width: int, bits: int):
         schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
         for batch in batches:
             n, name = [], []
-            pending: list[np.ndarray] = []
             for s in _read(batch, 1, width):
                 n.append(len(s))
                 name.append(set_name(s))
                 if len(s) and name[-1] not in seen:
                     seen.add(name[-1])
-                    pending.append((s >> _U(64 - bits)).astype(np.int64))
-            if pending:
-                cells += np.bincount(np.concatenate(pending), minlength=1 << bits).astype(np.uint32)
+                    np.add.at(cells, (s >> _U(64 - bits)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if seen:
@@ -133,7 +134,7 @@ def frequency_levels(sketches: DataFrame, bits: int) -> np.ndarray:
 
 
 def _index(width: int, percent: int, levels, parts: int):
-    """Packed index entries: for each partition the shingles (32 bits of them), their sets, and the sets' names and sizes.
+    """Packed index entries: for each partition the shingles (32 bits of them), their sets, and the sets' names and sizes (with the matches they ask for in the low three bits).
 
     A shingle's partition and its 32 bits come from different bits of its
     hash.  Two shingles that agree in both lead to a pair that fails its
@@ -163,11 +164,11 @@ def _index(width: int, percent: int, levels, parts: int):
                     continue
                 seen.add(name)
                 token, level = global_order(s, levels.value)
-                _, length = choose_prefix(level, percent)
+                matches, length = choose_prefix(level, percent)
                 tokens.append(token[:length])
                 owners.append(np.full(length, len(names), dtype=np.uint32))
                 names.append(name)
-                sizes.append(len(s))
+                sizes.append(len(s) << 3 | matches)
                 held += length
                 if held >= FLUSH:
                     yield flush(tokens, owners, np.array(names, np.int64), np.array(sizes, np.int64))
@@ -178,10 +179,13 @@ def _index(width: int, percent: int, levels, parts: int):
     return run
 
 
+LISTS = "grp bigint, name bigint, n bigint, other bigint, other_n bigint, shared bigint, need bigint"
+
+
 def _lists(percent: int):
-    """Routes (group, name, size) of the classes that share an index entry with another of a size that can match."""
+    """What the lists of the index lead to: routes (grp, name, n), or pairs (name, n, other, other_n) with how often they met and have to."""
 
-    def routes(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    def lists(rows: list[tuple]) -> list[np.ndarray]:
         token = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
         name, size = [], []
         for tokens, owners, names, sizes in rows:
@@ -200,35 +204,48 @@ def _lists(percent: int):
         token, name, size = token[order], name[order], size[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-        token, name, size = token[new], name[new], size[new]
-        fits = np.zeros(len(token), dtype=bool)  # the next in size in its list is no larger than can match
+        token, name, need, size = token[new], name[new], size[new] & 7, size[new] >> 3
+        fits = np.zeros(len(token), dtype=bool)
         fits[1:] = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        # a list falls apart where sizes jump: what is left are runs of two or more
-        start = ~fits
-        run = np.cumsum(start)
-        count = np.bincount(run) if len(run) else np.zeros(1, np.int64)
-        keep = count[run] > 1
-        name, size, run = name[keep], size[keep], run[keep]
-        if not len(name):
-            return name, name, size
+        run = np.cumsum(~fits)  # a list falls apart where sizes jump
+        count = np.bincount(run)[run] if len(run) else run
+        pairs = [np.zeros((0, 5), np.int64)]
+        small = count <= SHORT_LIST
+        for step in range(1, SHORT_LIST):
+            i = np.flatnonzero(small[:-step] & (run[step:] == run[:-step]) & (100 * size[:-step] >= percent * size[step:]))
+            turn = name[i] > name[i + step]
+            a, b = np.where(turn, i + step, i), np.where(turn, i, i + step)
+            pairs.append(np.stack([name[a], size[a], name[b], size[b], np.minimum(need[a], need[b])], axis=1))
+        pair = np.concatenate(pairs)
+        pair = pair[np.lexsort((pair[:, 2], pair[:, 0]))]
+        first = np.flatnonzero(np.append(True, (pair[1:, 0] != pair[:-1, 0]) | (pair[1:, 2] != pair[:-1, 2]))) if len(pair) else np.zeros(0, np.int64)
+        shared = np.diff(np.append(first, len(pair)))
+        pair = pair[first]
+        name, size, run = name[~small], size[~small], run[~small]
         begin = np.flatnonzero(np.diff(run, prepend=-1))
-        least = np.minimum.reduceat(mix64(name.view(_U)), begin)
-        group = np.repeat(least, np.diff(np.append(begin, len(run)))).view(np.int64)
+        group = np.zeros(0, np.int64)
+        if len(run):
+            least = np.minimum.reduceat(mix64(name.view(_U)), begin)
+            group = np.repeat(least, np.diff(np.append(begin, len(run)))).view(np.int64)
         order = np.lexsort((name, group))
         group, name, size = group[order], name[order], size[order]
         new = np.ones(len(group), dtype=bool)
         new[1:] = (group[1:] != group[:-1]) | (name[1:] != name[:-1])
-        return group[new], name[new], size[new]
+        return [group[new], name[new], size[new], pair, shared]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
         for batch in batches:
             for part, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 parts.setdefault(part, []).append(tuple(rest))
+        columns = ["grp", "name", "n", "other", "other_n", "shared", "need"]
+        whole = lambda x: pa.array(x, pa.int64())
         while parts:
             _, rows = parts.popitem()
-            group, name, size = routes(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(name, pa.int64()), pa.array(size, pa.int64())], ["grp", "name", "n"])
+            group, name, size, pair, shared = lists(rows)
+            none = pa.nulls(len(group)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([whole(group), whole(name), whole(size), none, none, none, none], columns)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pair)).cast(pa.int64()), *[whole(pair[:, c]) for c in range(4)], whole(shared), whole(pair[:, 4])], columns)
 
     return run
 
@@ -345,7 +362,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
     null.  Repeated rows each get their row.  An empty table gives no rows.
     doc_id is an integer; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = cut(own.mapInArrow(_count(width, sketch_bits), "row bigint, n bigint, name bigint, block int, cells binary"), "jaccard-count")
     rows = first.where("block IS NULL").select(F.col("row").alias("doc_id"), "n", "name")
@@ -354,7 +371,11 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held * (100 - percent) // 100 // 2_000_000)
     index = own.select("text").mapInArrow(_index(width, percent, levels, parts), "part int, tokens binary, owners binary, names binary, sizes binary")
-    routes = index.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), "grp bigint, name bigint, n bigint")
+    met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), LISTS), "jaccard-lists")
+    pairs = met.where("grp IS NULL").groupBy("name", "n", "other", "other_n").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    # a counted pair is a group of its own, shared with the other pairs of its lesser name
+    ends = pairs.select(F.xxhash64("name").alias("grp"), F.explode(F.array(F.struct("name", "n"), F.struct(F.col("other").alias("name"), F.col("other_n").alias("n")))).alias("e")).select("grp", "e.*")
+    routes = met.where("grp IS NOT NULL").select("grp", "name", "n").union(ends)
     routes = cut(routes.groupBy("grp", "name").agg(F.max("n").alias("n")), "jaccard-routes")
     groups = routes.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("w") / GROUP_SHINGLES)).cast("int")
