@@ -1,0 +1 @@
+"""Operators over events, intervals, trees, sets and folds."""

@@ -1,11 +1,373 @@
-"""All registered queries of the engine, and their SQL."""
+"""All registered queries of the engine, and their SQL: its operators applied to the ordinary tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import globs, text
+from quern.operators import asof, sequences, trees, values
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    from quern.plans import script_queries
+
+    return QUERIES | script_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark, d, kind=None) -> DataFrame:
+    rows = table(spark, d, "events")
+    return rows.where(F.col("event_type") == kind) if kind else rows
+
+
+DAY = F.to_date("ts")
+
+
+def _reached(spark, d):
+    return asof.last_definition(events(spark, d, "click").select("user_id", "ts", "event_id"), events(spark, d, "purchase").select("event_id", "user_id", "ts"), ["user_id"], ["ts"], "event_id", DAY, "def_event_id")
+
+
+_REACHED = "SELECT p.event_id, p.user_id, c.event_id AS def_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts > c.ts"
+
+
+@query(_REACHED)
+def asof_last_definition(spark, d):
+    return _reached(spark, d).drop("ts")
+
+
+_GUARD = "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE CASE WHEN event_id % 2 = 0 THEN 'a/b' ELSE 'a/c' END END"
+
+
+@query(f"""
+WITH e AS (SELECT *, {_GUARD} AS g FROM events)
+SELECT event_id, def_event_id FROM (
+  SELECT p.event_id, c.event_id AS def_event_id, row_number() OVER (PARTITION BY p.event_id ORDER BY c.ts DESC NULLS LAST) AS r
+  FROM (SELECT * FROM e WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c
+    ON p.user_id = c.user_id AND c.ts < p.ts AND (c.g = '' OR c.g = p.g OR starts_with(p.g, c.g || '/'))) WHERE r = 1""")
+def asof_dominant_definition(spark, d):
+    guard = F.filter(F.split(F.expr(_GUARD), "/"), lambda x: x != "")
+    rows = events(spark, d).withColumn("guard", guard).select("event_id", "user_id", "ts", "event_type", "guard")
+    found = asof.dominant_definition(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], ["ts"], "event_id", "guard", "event_id", "def_event_id")
+    return found.select("event_id", "def_event_id")
+
+
+def _around(spark, d):
+    return asof.counts_around(events(spark, d, "error").select("event_id", "user_id", "ts"), events(spark, d).where("event_type <> 'error'").select("user_id", "ts"), ["user_id"], ["ts"])
+
+
+@query("SELECT e.event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts < e.ts AND o.event_type <> 'error') AS n_before FROM events e WHERE e.event_type = 'error'")
+def defs_before(spark, d):
+    return _around(spark, d).select("event_id", "n_before")
+
+
+@query("SELECT e.event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts > e.ts AND o.event_type <> 'error') AS n_after FROM events e WHERE e.event_type = 'error'")
+def uses_after(spark, d):
+    return _around(spark, d).select("event_id", "n_after")
+
+
+@query(f"SELECT def_event_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS uses FROM ({_REACHED}) WHERE def_event_id IS NOT NULL GROUP BY 1")
+def def_use_edges(spark, d):
+    return asof.def_use_edges(_reached(spark, d), "def_event_id", "event_id").select("def_event_id", F.array_join(F.col("uses").cast("array<string>"), ",").alias("uses"))
+
+
+@query("SELECT event_id, user_id FROM events c WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = c.user_id AND p.ts > c.ts)")
+def unused_definitions(spark, d):
+    return asof.unused_definitions(events(spark, d, "click").select("event_id", "user_id", "ts"), events(spark, d, "purchase"), ["user_id"], "ts").drop("ts")
+
+
+@query("SELECT user_id FROM events WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id HAVING count(DISTINCT event_type) = 3")
+def all_branch_intersection(spark, d):
+    return asof.in_all_branches(events(spark, d), ["user_id"], "event_type", ["click", "purchase", "view"])
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def oneshot_first_call(spark, d):
+    return asof.first_calls(events(spark, d).select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS exec_id FROM events")
+def exec_numbering(spark, d):
+    return sequences.number_rows(events(spark, d).select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"]).select("event_id", F.col("exec_id").cast("bigint").alias("exec_id"))
+
+
+_RUNS = "SELECT *, sum(CASE WHEN before IS DISTINCT FROM event_type AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"SELECT user_id, run::BIGINT AS run, event_type, count(*) AS size FROM ({_RUNS}) GROUP BY 1, 2, 3")
+def runs_islands(spark, d):
+    return sequences.runs(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "run", "event_type", "size")
+
+
+@query(f"SELECT event_id, event_type FROM ({_RUNS}) WHERE n = 1 OR before IS DISTINCT FROM event_type")
+def adjacent_dedup(spark, d):
+    return sequences.drop_adjacent_repeats(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS k, o_orderkey % 50 AS lo, o_orderkey % 50 + 60 AS hi FROM orders),
+g AS (SELECT l_orderkey AS k, l_partkey % 100 AS a, l_partkey % 100 + l_linenumber AS b FROM lineitem),
+p AS (SELECT k, unnest(range(lo, hi + 1)) AS x FROM r),
+f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = p.k AND p.x BETWEEN g.a AND g.b)),
+i AS (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS island FROM f)
+SELECT k, min(x) AS lo, max(x) AS hi FROM i GROUP BY k, island""")
+def interval_subtract(spark, d):
+    ranges = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("lo"), (F.col("o_orderkey") % 50 + 60).alias("hi"))
+    gaps = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 100).alias("a"), (F.col("l_partkey") % 100 + F.col("l_linenumber")).alias("b"))
+    return sequences.subtract_intervals(ranges, gaps, "k", "lo", "hi", "a", "b")
+
+
+@query()
+def chunk_lookahead(spark, d):
+    rows = events(spark, d).select("user_id", "event_id", "ts", F.array("event_type").alias("defines"), F.array("event_type").alias("uses"))
+    return sequences.look_ahead_chunks(rows, ["user_id"], ["ts", "event_id"], "defines", "uses", 2).select("event_id", "chunk")
+
+
+def _places(spark, d):
+    r, n, c, s = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
+    return (
+        r.select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
+        .union(n.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
+        .union(c.select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
+        .union(s.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
+    )
+
+
+_PLACES = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
+
+
+@query(f"WITH RECURSIVE t AS ({_PLACES}), p AS (SELECT node, parent AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT p.node, t.parent FROM p JOIN t ON p.up = t.node WHERE t.parent IS NOT NULL) SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
+def nested_set_descendants(spark, d):
+    tree = trees.paths(_places(spark, d), "node", "parent")
+    numbered = trees.post_order(tree, []).withColumn("k", F.lit(0))
+    # as nested sets: a node begins after its path in pre-order and ends with its last descendant
+    pre = sequences.number_rows(numbered, ["k"], ["path"], "exec_id")
+    sizes = pre.select(F.explode("path").alias("node")).groupBy("node").count()
+    nodes = pre.join(sizes, "node").select("k", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
+    inner = nodes.where("exit_id > exec_id + 1")
+    both = inner.select("k", F.col("node").alias("ancestor"), "exec_id", "exit_id").join(nodes.select("k", F.col("node").alias("descendant"), F.col("exec_id").alias("at")), "k").where("at > exec_id AND at < exit_id")
+    return both.groupBy("ancestor").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, [n_regionkey, 100 + c_nationkey, 1000 + c_custkey] AS p FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT a.c_custkey, CASE WHEN a.p[1] <> b.p[1] THEN 0 WHEN a.p[2] <> b.p[2] THEN 1 ELSE 2 END::BIGINT AS shared FROM c a JOIN c b ON b.c_custkey = a.c_custkey + 1""")
+def ancestor_prefix(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.array(F.col("n_regionkey").cast("bigint"), 100 + F.col("c_nationkey").cast("bigint"), 1000 + F.col("c_custkey")).alias("p"))
+    other = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("p").alias("q"))
+    return c.join(other, "c_custkey").select("c_custkey", F.size(sequences.common_prefix(F.col("p"), F.col("q"))).cast("bigint").alias("shared"))
+
+
+@query("""
+WITH t AS (SELECT 'r' || r_regionkey AS node, lpad(r_regionkey::VARCHAR, 2, '0') || '~' AS k FROM region
+UNION ALL SELECT 'n' || n_nationkey, lpad(n_regionkey::VARCHAR, 2, '0') || lpad(n_nationkey::VARCHAR, 2, '0') FROM nation)
+SELECT node, row_number() OVER (ORDER BY k) AS place FROM t""")
+def postorder_topo(spark, d):
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+    above = F.when(F.lit(False), pair(0, "r_regionkey"))
+    nodes = r.select(pair(0, "r_regionkey").alias("node"), above.alias("parent")).union(n.select(pair(1, "n_nationkey").alias("node"), pair(0, "n_regionkey").alias("parent")))
+    placed = trees.post_order(trees.paths(nodes, "node", "parent"), [])
+    return placed.select(F.concat(F.when(F.col("node.kind") == 0, "r").otherwise("n"), F.col("node.id").cast("string")).alias("node"), F.col("place").cast("bigint").alias("place"))
+
+
+_LINKS = "SELECT DISTINCT s_nationkey AS src, (s_suppkey * 7 + s_nationkey) % 25 AS dst FROM supplier WHERE s_suppkey % 3 = 0"
+
+
+@query(f"WITH RECURSIVE e AS ({_LINKS}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM c")
+def transitive_closure(spark, d):
+    links = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("bigint").alias("src"), F.expr("(s_suppkey * 7 + s_nationkey) % 25").cast("bigint").alias("dst"))
+    return trees.closure(links)
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
+def include_extraction(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+@query("""SELECT page_id, regexp_replace(html, '("(?:\\\\.|[^"\\\\])*")|/\\*(?s:.*?)\\*/|//[^\\n]*', '\\1 ', 'g') AS html FROM pages""")
+def comment_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", text.strip_comments(F.col("html")).alias("html"))
+
+
+@query("""SELECT doc_id, regexp_replace(replace(text, '.' || chr(10), '\\' || chr(10)), '\\\\[ \\t]*\\n', ' ', 'g') AS text FROM documents""")
+def continuation_merge(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.merge_continuations(F.replace("text", F.lit(".\n"), F.lit("\\\n"))).alias("text"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])and([^A-Za-z0-9_]|$)')")
+def value_usage_whole_word(spark, d):
+    return table(spark, d, "documents").where(text.has_word(F.col("text"), "and")).select("doc_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*[a-e]?*[!0-9]'")
+def glob_match(spark, d):
+    return table(spark, d, "part").where(globs.glob_match(F.col("p_name"), "*[a-e]?*[!0-9]")).select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3][24]')")
+def glob_enumerate(spark, d):
+    patterns = spark.createDataFrame([("Brand#[1-3][24]",)], "pattern string")
+    strings = patterns.select(F.explode(globs.glob_enumerate("pattern")).alias("p_brand"))
+    return table(spark, d, "part").join(F.broadcast(strings), "p_brand").select("p_partkey", "p_brand")
+
+
+_PATTERNS = ("*", "PROMO*", "*A?*", "[A-M]*", "nothing*")
+
+
+@query(f"WITH p(pattern) AS (VALUES {', '.join(repr((x,)).replace(',)', ')') for x in _PATTERNS)}) SELECT pattern, (SELECT p_type FROM part WHERE p_type GLOB pattern ORDER BY length(p_type), p_type LIMIT 1) AS match FROM p")
+def glob_theta_platform(spark, d):
+    return values.platform_match(spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string"), table(spark, d, "part"), "pattern", "p_type")
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_brand, '^\$', ''), '[^A-Za-z0-9_]', '_', 'g'), '^([0-9])', '_\1') AS name FROM part")
+def as_tr_sh(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.as_tr_sh(F.col("p_brand")).alias("name"))
+
+
+@query("SELECT c_custkey, regexp_replace(upper(replace(c_name, '*', 'P')), '[^A-Z0-9]', '_', 'g') AS macro, lower(regexp_replace(upper(replace(c_name, '*', 'P')), '[^A-Z0-9]', '_', 'g')) AS cfg FROM customer")
+def sanitize_c_name(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.sanitize_c_name(F.col("c_name")).alias("macro"), text.cfg_name(F.col("c_name")).alias("cfg"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_type, '[^A-Za-z0-9_]', '_', 'g') AS name FROM part")
+def canonicalize(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.automake_canonicalize(F.col("p_type")).alias("name"))
+
+
+@query(r"SELECT p_partkey, nullif(regexp_extract(p_brand || ' v' || p_size || '.' || p_partkey % 7 || '-rc', '([0-9]+(?:\.[0-9]+)?(?:\.[0-9]+)?(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?)', 1), '') AS version FROM part")
+def version_sanitize(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.sanitize_version(F.concat("p_brand", F.lit(" v"), "p_size", F.lit("."), F.col("p_partkey") % 7, F.lit("-rc"))).alias("version"))
+
+
+@query("SELECT r_name || '/' || p || '/' || s AS name FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders)")
+def cartesian_product(spark, d):
+    sets = table(spark, d, "orders").agg(F.collect_set("o_orderpriority").alias("p"), F.collect_set("o_orderstatus").alias("s"))
+    regions = table(spark, d, "region").agg(F.collect_set("r_name").alias("r"), F.lit(0).alias("k")).join(sets.withColumn("k", F.lit(0)), "k")
+    return regions.select(F.explode(values.product([F.col("r"), F.col("p"), F.col("s")])).alias("t")).select(F.array_join("t", "/").alias("name"))
+
+
+@query("SELECT p_brand, true AS numeric, string_agg(p_size::VARCHAR, ',' ORDER BY p_size) AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM (SELECT DISTINCT p_brand, p_size FROM part)) WHERE r <= 10 GROUP BY 1")
+def top10_candidates(spark, d):
+    found = values.candidates(table(spark, d, "part").select("p_brand", F.col("p_size").cast("string").alias("v")), ["p_brand"], "v")
+    return found.select("p_brand", "numeric", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
+
+
+@query("SELECT 'n' || n_nationkey AS option_name, 'candidates left out' AS error FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'n' || n_nationkey, 'alias of no representative' FROM nation WHERE n_nationkey % 3 = 2")
+def partition_check(spark, d):
+    kind = F.col("n_nationkey") % 3
+    rows = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("option_name"), F.array(F.lit("yes"), F.lit("no"), F.lit("on")).alias("candidates"), F.array(F.lit("yes"), F.lit("no")).alias("representatives"),
+        F.when(kind == 0, F.create_map(F.lit("on"), F.lit("yes"))).when(kind == 1, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("on"), F.lit("maybe"))).alias("aliases"),
+    )
+    return values.partition_errors(rows)
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY 1, 2 HAVING bool_or(value > 50) AND bool_or(NOT value > 50)")
+def contradiction_detect(spark, d):
+    return values.contradictions(events(spark, d).where("value IS NOT NULL").withColumn("no", F.col("value") > 50), ["user_id"], "event_type", "no")
+
+
+_HINT = "CASE WHEN v = '' THEN 'Empty' WHEN v IN ('yes','no','0','1','true','false','on','off') THEN 'Boolean' WHEN regexp_full_match(v, '\\d*') THEN 'Integer' WHEN regexp_matches(v, '\\s') THEN 'List' ELSE 'Literal' END"
+_VALUES = "SELECT event_type || '/' || user_id % 5 AS var, CASE WHEN event_type = 'click' THEN (value::BIGINT % 2)::VARCHAR WHEN event_type = 'view' THEN props WHEN event_type = 'error' THEN '' ELSE (event_id + 2)::VARCHAR END AS v FROM events"
+
+
+def _typed(spark, d):
+    v = F.expr("CASE WHEN event_type = 'click' THEN CAST(CAST(round(value) AS BIGINT) % 2 AS STRING) WHEN event_type = 'view' THEN props WHEN event_type = 'error' THEN '' ELSE CAST(event_id + 2 AS STRING) END")
+    return events(spark, d).where("value IS NOT NULL AND props IS NOT NULL").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 5).cast("string")).alias("var"), v.alias("v"))
+
+
+@query(f"SELECT var, {_HINT} AS hint, count(*) AS n FROM ({_VALUES} WHERE value IS NOT NULL AND props IS NOT NULL) GROUP BY 1, 2")
+def type_hints(spark, d):
+    return _typed(spark, d).withColumn("hint", values.type_hint(F.col("v"))).groupBy("var", "hint").agg(F.count("*").alias("n"))
+
+
+_TYPES = f"SELECT var, CASE WHEN count(DISTINCT hint) FILTER (WHERE hint <> 'Empty') = 1 THEN max(hint) FILTER (WHERE hint <> 'Empty') ELSE 'Literal' END AS type FROM (SELECT var, {_HINT} AS hint FROM ({_VALUES} WHERE value IS NOT NULL AND props IS NOT NULL)) GROUP BY 1"
+
+
+@query(_TYPES)
+def type_infer(spark, d):
+    return values.infer_types(_typed(spark, d).withColumn("hint", values.type_hint(F.col("v"))), "var", "hint")
+
+
+@query(f"""
+WITH t AS ({_TYPES}), e AS (SELECT var AS src, replace(var, split_part(var, '/', 1), 'error') AS dst FROM t WHERE starts_with(var, 'click')),
+a AS (SELECT t.var, CASE WHEN t.type = 'Literal' AND x.ty IS NOT NULL THEN x.ty ELSE t.type END AS type FROM t LEFT JOIN
+  (SELECT dst AS var, min(t.type) AS ty FROM e JOIN t ON e.src = t.var WHERE t.type <> 'Literal' GROUP BY 1 HAVING count(DISTINCT t.type) = 1) x ON t.var = x.var)
+SELECT a.var, CASE WHEN a.type = 'Literal' AND x.ty IS NOT NULL THEN x.ty ELSE a.type END AS type FROM a LEFT JOIN
+  (SELECT src AS var, min(a.type) AS ty FROM e JOIN a ON e.dst = a.var WHERE a.type <> 'Literal' GROUP BY 1 HAVING count(DISTINCT a.type) = 1) x ON a.var = x.var""")
+def type_propagate(spark, d):
+    types = type_infer(spark, d)
+    edges = types.where("var LIKE 'click%'").select(F.col("var").alias("src"), F.concat(F.lit("error/"), F.split_part("var", F.lit("/"), F.lit(2))).alias("dst"))
+    return values.propagate_types(types, edges, "var", "src", "dst")
+
+
+@query("SELECT split_part(p_type, ' ', 1) || '@' AS dict_id, split_part(p_type, ' ', 1) AS name, count(*) AS n FROM part GROUP BY 1, 2")
+def dict_group(spark, d):
+    parts = F.array(F.struct(F.lit("Name").alias("kind"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("text")), F.struct(F.lit("Indirect").alias("kind"), F.lit("x").alias("text")), F.struct(F.lit("Indirect").alias("kind"), F.lit("y").alias("text")))
+    rows = table(spark, d, "part").select(text.encode_dictionary_id(parts).alias("dict_id"))
+    return rows.groupBy("dict_id").agg(F.count("*").alias("n")).select("dict_id", text.dictionary_name(F.col("dict_id")).alias("name"), "n")
+
+
+_KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'Literal' WHEN 1 THEN 'Path' WHEN 2 THEN 'Boolean' ELSE 'List' END"
+
+
+@query(f"SELECT l_suppkey, arg_max({_KIND}, CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 6 END) AS kind FROM lineitem GROUP BY 1")
+def max_priority_type(spark, d):
+    return values.strongest(table(spark, d, "lineitem").withColumn("kind", F.expr(_KIND)), ["l_suppkey"], "kind", "l_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'cpp' WHEN p_size < 30 THEN 'subst' END AS policy FROM part")
+def policy_lookup(spark, d):
+    sizes = table(spark, d, "part").select(F.col("p_size").alias("key")).distinct()
+    maps = [sizes.where("key < 10").withColumn("policy", F.lit("cpp")), sizes.where("key < 30").withColumn("policy", F.lit("subst"))]
+    return values.policy(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", maps).select("p_partkey", "policy")
+
+
+@query("SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2")
+def feature_edges(spark, d):
+    o, c, l, s = (table(spark, d, t) for t in ("orders", "customer", "lineitem", "supplier"))
+    rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
+    return rows.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT o_custkey, bool_or(l_discount > 0.08) AS mutable FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+j AS (SELECT c_custkey, n_nationkey, n_regionkey, mutable FROM m JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'c_custkey' AS level, c_custkey::VARCHAR AS key, bool_or(mutable) AS mutable FROM j GROUP BY 2 UNION ALL
+SELECT 'n_nationkey', n_nationkey::VARCHAR, bool_or(mutable) FROM j GROUP BY 2 UNION ALL SELECT 'n_regionkey', n_regionkey::VARCHAR, bool_or(mutable) FROM j GROUP BY 2""")
+def skeleton_mutability(spark, d):
+    o, c, l, n = (table(spark, d, t) for t in ("orders", "customer", "lineitem", "nation"))
+    own = l.join(o, l.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.bool_or(F.col("l_discount") > 0.08).alias("mutable"))
+    rows = own.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return trees.roll_up(rows, ["c_custkey", "n_nationkey", "n_regionkey"], "mutable")
+
+
+@query("SELECT user_id, count(*) AS n, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS kinds FROM events GROUP BY 1")
+def metrics_export(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), ";").alias("kinds"))
