@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quern.sources.shell import Node, literal
 
 _TEST = {"Eq": "=", "Neq": "!=", "Lt": "-lt", "Le": "-le", "Gt": "-gt", "Ge": "-ge"}
@@ -20,12 +22,21 @@ def word(fragments: list, quote: bool = False) -> str:
     return "".join(map(fragment, fragments))
 
 
+def _plain(text: str) -> str:
+    """A literal outside of quotes: in single quotes, or escaped, where the shell would read it otherwise."""
+    if not re.search(r"""[\s;&|<>()*?#$`"'\\]""", text):
+        return text
+    return f"'{text}'" if "'" not in text else re.sub(r"""([^\w./:=@%+,-])""", r"\\\1", text)
+
+
 def fragment(f) -> str:
     kind = f[0]
-    if kind in ("lit", "glob"):
+    if kind == "lit":
+        return _plain(f[1])
+    if kind == "glob":
         return f[1]
     if kind == "dq":
-        return '"' + "".join(map(fragment, f[1])) + '"'
+        return '"' + "".join(re.sub(r'([$`"\\])', r"\\\1", x[1]) if x[0] == "lit" else fragment(x) for x in f[1]) + '"'
     if kind == "var":
         return "$" + f[1] if len(f[1]) == 1 and not f[1].isalpha() else "${" + f[1] + "}"
     if kind == "subst":

@@ -29,7 +29,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from quern.plans import script_queries
+
+    return SQL | script_queries.oracle_sql()
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,11 +43,10 @@ def events(spark, d, kind=None) -> DataFrame:
     return rows.where(F.col("event_type") == kind) if kind else rows
 
 
-DAY = F.to_date("ts")
 
 
 def _reached(spark, d):
-    return asof.last_definition(events(spark, d, "click").select("user_id", "ts", "event_id"), events(spark, d, "purchase").select("event_id", "user_id", "ts"), ["user_id"], ["ts"], "event_id", DAY, "def_event_id")
+    return asof.last_definition(events(spark, d, "click").select("user_id", "ts", "event_id"), events(spark, d, "purchase").select("event_id", "user_id", "ts"), ["user_id"], ["ts"], "event_id", F.to_date("ts"), "def_event_id")
 
 
 _REACHED = "SELECT p.event_id, p.user_id, c.event_id AS def_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts > c.ts"
