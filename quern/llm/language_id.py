@@ -130,7 +130,8 @@ def train(texts: dict[str, list[bytes]], order: int) -> Model:
             got = [grams(np.frombuffer(pad + t, dtype=np.uint8), length, order) for t in texts[lang] if t]
             per.append(np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, _U), np.zeros(0, np.int64)))
         counts.append(per)
-    keys = [np.unique(np.concatenate([k for k, _ in per])) for per in counts]
+    # a context before the first byte of a text is padding and no n-gram of it, but it has an escape
+    keys = [np.unique(np.concatenate([k for k, _ in per] + [k >> _U(8) for k, _ in after])) for per, after in zip(counts, [*counts[1:], []], strict=True)]
     model = Model(langs, order, [Lookup(k) for k in keys], [])
     model.escapes = [np.zeros((1 if not c else len(keys[c - 1]), len(langs)), dtype=np.float32) for c in range(order + 1)]
     for length in range(1, order + 2):
@@ -147,8 +148,7 @@ def train(texts: dict[str, list[bytes]], order: int) -> Model:
             n, d = np.add.reduceat(c, start) if len(k) else c, np.diff(np.append(start, len(k)))
             at = np.searchsorted(ctx, context)
             place = np.zeros(len(ctx), np.int64) if length == 1 else np.searchsorted(keys[length - 2], ctx)
-            known = np.isin(ctx, keys[length - 2]) if length > 1 else np.ones(len(ctx), bool)
-            model.escapes[length - 1][place[known], j] = -np.log2(d / (n + d))[known]
+            model.escapes[length - 1][place, j] = -np.log2(d / (n + d))
             seen = np.searchsorted(own, k)
             new = np.ones(len(own), dtype=bool)
             new[seen] = False
