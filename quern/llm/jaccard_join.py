@@ -399,10 +399,10 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
     least = rows.groupBy("name").agg(F.min("doc_id").alias("id")).join(roots.withColumnRenamed("node", "name"), "name")
     named = least.select("root", "name").join(least.groupBy("root").agg(F.min("id").alias("linked")), "root").select("name", "linked")
     alone = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("alone")).join(named, "name", "left")
-    return (
-        rows.join(alone.withColumnRenamed("name", "_name").hint("shuffle_hash"), (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("linked", "alone")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    # a table of its own, so that the join below can split the rows of a class with very many copies
+    ids = cut(alone.select(F.col("name").alias("_name"), F.coalesce("linked", "alone").alias("_id")), "jaccard-ids")
+    found = rows.join(ids, (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _named(width: int):
