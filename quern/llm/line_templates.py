@@ -118,7 +118,8 @@ def drop_recurring_lines(docs: DataFrame, texts: int = 3, lead: int = 2, least:
     found = own.select("text", "text_hash").mapInArrow(_texts(lead, least), "text_hash bigint, templates array<bigint>")
     held = cut(found.where(F.size("templates") > 0).groupBy("text_hash").agg(F.first("templates").alias("templates")).select("text_hash", F.explode("templates").alias("template")), "line-templates")
     often = held.groupBy("template").count().where(F.col("count") >= texts).select("template")
-    drop = held.join(often, "template").groupBy("text_hash").agg(F.collect_list("template").alias("templates"))
+    # a table of its own, so that the join can split the rows of a text with very many copies
+    drop = cut(held.join(often, "template").groupBy("text_hash").agg(F.collect_list("template").alias("templates")), "line-drops")
     rows = own.join(drop.hint("shuffle_hash"), "text_hash", "left").select("text", "doc_id", "templates")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_strip(lead, least, kind), f"doc_id {kind}, n_lines bigint, n_dropped bigint, text string")
