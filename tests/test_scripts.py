@@ -101,3 +101,36 @@ def test_stream(spark, tmp_path):
     q = streaming.parsed_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("parsed").where("tbl = 'node'").count() == 1
+
+
+def test_rewriting():
+    from quern.operators import rewriting
+
+    text = "echo hi\necho x > f\nif a; then\n  echo no\nelif b; then\n  x=1\nelse\n  y=2\nfi\nrm -f f g\nfor i in 1 2; do\n  p=1\n  q=2\n  if t; then break; fi\n  r=3\ndone\ncase $v in\n a) echo z ;;\n *) w=1 ;;\nesac\n"
+    nodes = parse(text)
+    kept = rewriting.remove(nodes, lambda n: n.kind == "Command" and n.words[0] == [("lit", "echo")])
+    shown = rendering.script(kept)
+    assert "echo" not in shown and "if ! a && b; then" in shown and "w='1'" in shown
+    assert rendering.script(parse(shown)) == shown
+    quiet = rewriting.without_messages(nodes)
+    assert [n.kind for n in quiet][:2] == ["Redirect", "If"]
+    assert rewriting.redirected(nodes) == ["f"] and rewriting.removed_files(nodes) == ["f", "g"]
+    assert [(len(r), m) for r, m in rewriting.loop_runs(nodes[4].branches[0][1])] == [(2, False), (1, True), (1, False)]
+    flat = rewriting.flatten(nodes, 0)
+    assert any(n.kind == "Function" for n in flat) and [n.kind for n in rewriting.flatten(nodes, 100)] == [n.kind for n in nodes]
+    assert rewriting.remove(parse("if a; then\n  b\nfi\n"), lambda n: n.kind == "Command") == []
+
+
+def test_codegen():
+    from quern.operators import codegen
+
+    body = lambda b: rendering.body(b, 0)
+    one = lambda text: codegen.render(parse(text)[0], body)
+    assert one("AC_CHECK_HEADERS([stdio.h zlib.h], [x=1])").count("check_header(") == 2 and "rustc-cfg=have_zlib_h" in one("AC_CHECK_HEADERS([zlib.h])")
+    assert 'check_library("deflate", &["z"], &[], false)' in one("AC_CHECK_LIB([z], [deflate])")
+    assert "int main" in one("AC_COMPILE_IFELSE([AC_LANG_PROGRAM([[#include <a.h>]], [[f();]])], [x=1], [x=2])")
+    assert one("AC_DEFINE_UNQUOTED([V], [\"a$b\"])") == 'println!("cargo:rustc-env=V=a{}", b);'
+    assert "run_pkg_config" in one("PKG_CHECK_MODULES([Z], [zlib >= 1.2])") and one("AM_PROG_AR") is None
+    assert codegen.banned_names(parse("AM_PROG_AR\nif x; then\n AC_DEFINE([A])\n LT_INIT\nfi\n")) == {"AM_PROG_AR", "LT_INIT"}
+    assert codegen.required_functions(one("AC_CHECK_FUNCS([f])")) == ["check_func"]
+    assert codegen.assignment(parse("a=yes")[0], "Boolean") == "a = true;" and codegen.assignment(parse('L="$L -lz"')[0], "List<Literal>") == 'L.push("-lz".to_string());'
