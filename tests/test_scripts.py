@@ -134,3 +134,24 @@ def test_codegen():
     assert codegen.banned_names(parse("AM_PROG_AR\nif x; then\n AC_DEFINE([A])\n LT_INIT\nfi\n")) == {"AM_PROG_AR", "LT_INIT"}
     assert codegen.required_functions(one("AC_CHECK_FUNCS([f])")) == ["check_func"]
     assert codegen.assignment(parse("a=yes")[0], "Boolean") == "a = true;" and codegen.assignment(parse('L="$L -lz"')[0], "List<Literal>") == 'L.push("-lz".to_string());'
+
+
+def test_scopes():
+    from quern.operators.analysis import environment_variables, scopes
+
+    s = Script("echo $CC\nx=1\necho done\necho $x\nx=2\necho more\necho other\necho $x\n")
+    chunks = s.chunks(0)
+    got = {(d["var"], d["index"]): d for d in scopes(s, chunks)}
+    assert got["CC", 0]["owner"] is None and got["CC", 0]["readers"] == [0]
+    assert ("x", 1) in got and got["x", 0]["owner"] is not None and got["x", 1]["overwriters"] == [got["x", 1]["owner"]]
+    assert environment_variables(s, chunks, {"CC", "x", "unseen"}) == {"CC", "unseen"}
+
+
+def test_build_script_text():
+    from quern.plans import runtime
+
+    text = runtime.build_rs(["fn func0() {}"], ['if check_header("a.h") {\n}', 'let p = run_pkg_config("z");'], record_path="r.csv")
+    for part in ("fn check_header", "fn compile", "fn run_pkg_config", "fn execute_cmd", "fn main() {", "fn func0", "fn record"):
+        assert text.count(part) == 1
+    assert "check_sizeof" not in text and text.count("{") == text.count("}")
+    assert "chain(A.iter()" in runtime.bindgen_call(["A"]) and "bool" in runtime.environment("v", "Boolean")
