@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def descendants(nodes: DataFrame, key: str = "script_id", node: str = "node_id", begin: str = "exec_id", end: str = "exit_id") -> DataFrame:
     """(key, node, descendant) for nodes numbered as nested sets: those that begin within [begin, end)."""
-    a = nodes.select(F.col(key), F.col(node).alias("ancestor"), F.col(begin).alias("_lo"), F.col(end).alias("_hi"))
+    a = nodes.where(F.col(end) > F.col(begin) + 1).select(F.col(key), F.col(node).alias("ancestor"), F.col(begin).alias("_lo"), F.col(end).alias("_hi"))
     b = nodes.select(F.col(key), F.col(node).alias("descendant"), F.col(begin).alias("_at"))
     return a.join(b, key).where("_at > _lo AND _at < _hi").select(key, "ancestor", "descendant")
 

@@ -159,15 +159,12 @@ _PLACES = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION A
 
 @query(f"WITH RECURSIVE t AS ({_PLACES}), p AS (SELECT node, parent AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT p.node, t.parent FROM p JOIN t ON p.up = t.node WHERE t.parent IS NOT NULL) SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
 def nested_set_descendants(spark, d):
-    tree = trees.paths(_places(spark, d), "node", "parent")
-    numbered = trees.post_order(tree, []).withColumn("k", F.lit(0))
-    # as nested sets: a node begins after its path in pre-order and ends with its last descendant
-    pre = sequences.number_rows(numbered, ["k"], ["path"], "exec_id")
-    sizes = pre.select(F.explode("path").alias("node")).groupBy("node").count()
-    nodes = pre.join(sizes, "node").select("k", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
-    inner = nodes.where("exit_id > exec_id + 1")
-    both = inner.select("k", F.col("node").alias("ancestor"), "exec_id", "exit_id").join(nodes.select("k", F.col("node").alias("descendant"), F.col("exec_id").alias("at")), "k").where("at > exec_id AND at < exit_id")
-    return both.groupBy("ancestor").agg(F.count("*").alias("n"))
+    # numbered as nested sets under each root: a node ends where its last descendant does
+    tree = trees.paths(_places(spark, d), "node", "parent").withColumn("root", F.get("path", 0))
+    placed = sequences.number_rows(tree, ["root"], ["path"], "exec_id")
+    sizes = tree.select(F.explode("path").alias("node")).groupBy("node").count()
+    nodes = placed.join(sizes, "node").select("root", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
+    return trees.descendants(nodes, "root", "node").groupBy("ancestor").agg(F.count("*").alias("n"))
 
 
 @query("""
