@@ -37,7 +37,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def discard(tables: list[DataFrame]) -> None:
+    """Deletes what ``cut`` has written for tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._quern_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession, rows: int, rows_each: int = 500_000) -> int:
@@ -82,11 +92,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     are left, so a node of any degree is pre-aggregated, never gathered.
     """
     edges = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{label}-edges")
-    names = None
+    names, written = None, [edges]
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
         step = cut(step, f"{label}-names")
+        written.append(step)
         if names is None:
             names = step
         else:
@@ -100,5 +111,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             .distinct()
         )
         edges = cut(edges, f"{label}-edges")
+        written.append(edges)
         if edges.isEmpty():
-            return cut(names, f"{label}-roots")
+            roots = cut(names, f"{label}-roots")
+            discard(written)
+            return roots

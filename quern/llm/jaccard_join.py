@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, discard, small_batches
 from .wordhash import hash_words, mix64, shingle_hashes, text_buffers
 
 _U = np.uint64
@@ -377,6 +377,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
     ends = pairs.select(F.xxhash64("name").alias("grp"), F.explode(F.array(F.struct("name", "n"), F.struct(F.col("other").alias("name"), F.col("other_n").alias("n")))).alias("e")).select("grp", "e.*")
     routes = met.where("grp IS NOT NULL").select("grp", "name", "n").union(ends)
     routes = cut(routes.groupBy("grp", "name").agg(F.max("n").alias("n")), "jaccard-routes")
+    spent = [met, routes]
     groups = routes.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("w") / GROUP_SHINGLES)).cast("int")
     routes = routes.join(groups.where("m > 1").select("grp", blocks.alias("k")), "grp").withColumn("side", F.pmod(F.xxhash64("name"), F.col("k")).cast("int"))
@@ -396,6 +397,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
     edges = sent.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(_verify(percent), "a bigint, b bigint")
 
     roots = components(edges, "jaccard")
+    discard(spent)
     least = rows.groupBy("name").agg(F.min("doc_id").alias("id")).join(roots.withColumnRenamed("node", "name"), "name")
     named = least.select("root", "name").join(least.groupBy("root").agg(F.min("id").alias("linked")), "root").select("name", "linked")
     alone = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("alone")).join(named, "name", "left")
