@@ -8,7 +8,7 @@ with the words around it; the score is the alignment's share of what the whole
 item would get, so edited and paraphrased copies score by what is left.
 
 Words are separated by every ASCII character other than letters and digits,
-and A-Z is lower-cased.  The benchmark is handed out in blocks of bounded size;
+and letters are lower-cased in every script.  The benchmark is handed out in blocks of bounded size;
 nothing of the documents is gathered.
 """
 
@@ -30,6 +30,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a text; A-Z is folded by the hash, letters beyond ASCII here."""
+    if len(data) and data.max() > 127:
+        data = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape"), np.uint8)
+    return hash_words(data, PUNCTUATION)
+
+
 @dataclass
 class Items:
     """A block of test items and where their n-grams are."""
@@ -43,7 +50,7 @@ class Items:
 
 
 def load_items(rows: list[tuple], n: int) -> Items:
-    words = [hash_words(np.frombuffer((text or "").encode(), np.uint8), PUNCTUATION) for _, text in rows]
+    words = [word_hashes(np.frombuffer((text or "").encode(), np.uint8)) for _, text in rows]
     widths = sorted({min(n, len(w)) for w in words if len(w)})
     items = Items([i for i, _ in rows], words, widths)
     if widths:
@@ -125,7 +132,7 @@ def _count(items, n: int):
         for batch in batches:
             for data in text_buffers(batch.column(0)):
                 if data is not None:
-                    held[np.unique(hits(items.value, hash_words(data, PUNCTUATION))[1])] += 1
+                    held[np.unique(hits(items.value, word_hashes(data))[1])] += 1
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], ["gram", "held"])
 
@@ -138,7 +145,7 @@ def _match(items, least: float):
             rows = []
             for k, data in enumerate(text_buffers(batch.column(0))):
                 if data is not None:
-                    rows += [(k, *m) for m in matches(items.value, hash_words(data, PUNCTUATION), least)]
+                    rows += [(k, *m) for m in matches(items.value, word_hashes(data), least)]
             at = pa.array([r[0] for r in rows], pa.int64())
             cols = [batch.column(1).take(at), batch.column(2).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array([r[c] for r in rows], pa.int64()) for c in (3, 4)]], ["doc_id", "text_hash", "item", "score", "first_word", "last_word"])
@@ -191,7 +198,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: flo
 
         def keep(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [d is None or not matches(seeded.value, hash_words(d, PUNCTUATION), least) for d in text_buffers(batch.column(place))]
+                clean = [d is None or not matches(seeded.value, word_hashes(d), least) for d in text_buffers(batch.column(place))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

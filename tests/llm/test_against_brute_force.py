@@ -328,6 +328,17 @@ def test_contamination(spark, docs, texts):
     assert clean == {*texts, *planted} - {d for d, _ in got}
 
 
+def test_contamination_in_capitals(spark):
+    """Copies of items beyond ASCII are found in any case, and scored and placed as whole copies."""
+    item = "Où êtes-vous allés après l’été, Élodie ? Ça dépend — d’où, наверное, придёт ответ на это"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.upper()), (2, f"AVANT !! {item.upper()} APRÈS"), (3, item.lower()), (4, "Ünrelated Wörds ALONE, où êtes-vous"), (5, None), (6, "É")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.first_word) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {1: (1.0, 0), 2: (1.0, 1), 3: (1.0, 0)}
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {4, 5, 6}
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op10_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id").collect()
