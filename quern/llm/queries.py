@@ -148,6 +148,62 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.other) AS component_id FRO
 """
 
 
+# the CRC-32 of the UTF-8 bytes, a byte at a time; the table's entries are linear in the bits of their index
+_CRC_BITS = []
+for _bit in range(8):
+    _value = 1 << _bit
+    for _ in range(8):
+        _value = (_value >> 1) ^ (0xEDB88320 if _value & 1 else 0)
+    _CRC_BITS.append(_value)
+_CRC_STEP = "c >> 8"
+for _bit, _value in enumerate(_CRC_BITS):
+    _CRC_STEP = f"xor({_CRC_STEP}, ((xor(c, b) >> {_bit}) & 1) * {_value})"
+
+_SHARD_SQL = f"""
+WITH t AS (
+  SELECT DISTINCT coalesce(text, '') AS text FROM documents
+), c AS (
+  SELECT text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: {_CRC_STEP})) AS crc FROM t
+), d AS (
+  SELECT doc_id, source, strlen(coalesce(documents.text, ''))::BIGINT + 1 AS size, crc AS text_crc32,
+    md5('7' || chr(31) || coalesce(doc_id::VARCHAR, chr(30) || 'null') || chr(31) || crc) AS key
+  FROM documents JOIN c ON coalesce(documents.text, '') = c.text
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM d
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * n)::DOUBLE, source NULLS FIRST, r) - 1 AS place FROM r
+), s AS (
+  SELECT *, (place * 16) // total AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - (shard * total + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+_LINES_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT text FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t
+), w AS (
+  SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@/\\]') THEN chr(10) ELSE x END) AS w FROM l
+), k AS (
+  SELECT *, len(w) AS n, 3 + (len(w) - 2) // 2 AS half FROM w WHERE len(w) >= 5
+), m AS (
+  SELECT text, place, [n::VARCHAR, 'all', array_to_string(w, ' ')] AS template FROM k
+  UNION ALL SELECT text, place, [n::VARCHAR, 'early', array_to_string(w[1 : half - 1], ' ')] FROM k WHERE half - 3 >= 5
+  UNION ALL SELECT text, place, [n::VARCHAR, 'late', array_to_string(w[1 : 2] || w[half : n], ' ')] FROM k WHERE n - half + 1 >= 5
+), o AS (
+  SELECT template FROM m GROUP BY 1 HAVING count(DISTINCT text) >= 3
+), g AS (
+  SELECT DISTINCT text, place FROM m SEMI JOIN o USING (template)
+), s AS (
+  SELECT l.text, count(*) AS n_lines, count(g.place) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS kept
+  FROM l LEFT JOIN g ON l.text = g.text AND l.place = g.place GROUP BY 1
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(kept) AS kept_sha256
+FROM documents LEFT JOIN s ON documents.text = s.text
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """crc32, hashes of 64 bits, models and alignments have no counterpart in the SQL dialect: those queries are tested against brute force."""
-    return {"op1_chat_rotation": _CHAT_SQL, "op2_mix_sources": _MIX_SQL, "op6_jaccard_groups": _JACCARD_SQL}
+    """Hashes of 64 bits that results show, vocabularies, models and alignments have no counterpart in the SQL dialect: those queries are tested against brute force."""
+    return {"op1_chat_rotation": _CHAT_SQL, "op2_mix_sources": _MIX_SQL, "op4_stratified_shards": _SHARD_SQL, "op6_jaccard_groups": _JACCARD_SQL, "op7_line_templates": _LINES_SQL}
