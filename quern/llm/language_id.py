@@ -168,8 +168,10 @@ def training_sample(docs: DataFrame, use: Column, train_bytes: int, doc_id: str,
 
     Rows are chosen by a hash of the doc_id under a threshold for each
     language; texts over a sixteenth of a language's part are passed over, so
-    that one text can't break the bound.  The sample is the operator's one
-    bounded gathering; scoring covers all rows and whole texts.
+    that one text can't break the bound.  A language that this leaves without
+    any text gives its shortest one, so every language is learned.  The sample
+    is the operator's one bounded gathering; scoring covers all rows and whole
+    texts.
     """
     size = F.octet_length(F.col(text))
     rows = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("size"), F.pmod(F.xxhash64(F.lit("language id"), F.col(doc_id)), F.lit(1 << 30)).alias("h"))
@@ -184,7 +186,11 @@ def training_sample(docs: DataFrame, use: Column, train_bytes: int, doc_id: str,
     limit = max(part / 16, 4096)
     for r in rows.where(chosen & (F.col("size") <= limit)).select("lang", "text", "h").collect():
         out[r["lang"]].append(r["text"].encode())
-    return {k: sorted(v) for k, v in out.items() if v}
+    if none := [k for k, v in out.items() if not v]:
+        shortest = rows.where(F.col("lang").isin(none) & (F.col("size") > 0)).groupBy("lang").agg(F.min(F.struct("size", "h", "text")).alias("t"))
+        for r in shortest.collect():
+            out[r["lang"]].append(r["t"]["text"].encode())
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def identify(docs: DataFrame, use: Column | None = None, order: int = 4, train_bytes: int = 3 << 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -345,6 +345,15 @@ def test_language_accuracy(spark):
     assert len(rows) > 150 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_of_long_texts_alone(spark):
+    """A language is learned even if each of its texts is longer than what the sample takes."""
+    one, two = "the cat sat on the mat with that hat ", "der hund und die katze und das haus "
+    rows = [(i, one * 3, "en") for i in range(30)] + [(100 + i, two * (400 + i), "de") for i in range(3)] + [(200, "und die katze", "de"), (201, two * 900, "de"), (300, "", "fr"), (301, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, use=F.col("doc_id") < 200, train_bytes=8192).collect()}
+    assert got[200] == got[201] == "de" and got[0] == "en" and got[300] == got[301] == "und"
+
+
 def test_code_lengths():
     """Costs of the tables against escapes followed one by one."""
     train = {"x": [b"abracadabra abra"], "y": [b"banana bandana"]}
