@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The documents in which each n-gram of the benchmark occurs are counted over the
-whole corpus.  Of every test item the rarer half of its n-grams are its seeds:
-relative to the item, so that an item that has leaked into very many documents
-keeps its seeds as well.  Wherever a document holds a seed, the item is aligned
-with the words around it; the score is the alignment's share of what the whole
-item would get, so edited and paraphrased copies score by what is left.
+Every n-gram of a test item is a seed.  Wherever a document holds one, the item
+is aligned with the words around it, unless the words there can't reach the
+least score in any order; the score is the alignment's share of what the whole
+item would get, so edited and paraphrased copies score by what is left.  A copy
+in which no ``n`` words in a row are left has no seed and isn't found.
 
 Words are separated by every ASCII character other than letters and digits,
 and letters are lower-cased in every script.  The benchmark is handed out in blocks of bounded size;
@@ -56,21 +55,12 @@ def load_items(rows: list[tuple], n: int) -> Items:
     if widths:
         items.grams = np.unique(np.concatenate([shingle_hashes(w, n) for w in words]))
         items.lookup = Lookup(items.grams)
+    for i, w in enumerate(words):
+        for place, row in enumerate(np.searchsorted(items.grams, shingle_hashes(w, n)).tolist()):
+            items.seeds.setdefault(row, []).append((i, place))
     return items
 
 
-def choose_seeds(items: Items, n: int, held: dict[int, int]) -> None:
-    """The rarer half of each item's n-grams, counting those of equal rarity in full."""
-    for i, words in enumerate(items.words):
-        own = shingle_hashes(words, n)
-        if not len(own):
-            continue
-        rows = np.searchsorted(items.grams, own)
-        rare = np.array([held.get(int(r), 0) for r in rows])
-        for place in np.flatnonzero(rare <= np.sort(rare)[(len(rare) - 1) // 2]):
-            items.seeds.setdefault(int(rows[place]), []).append((i, int(place)))
-
-
 def hits(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in a text at which an n-gram of the benchmark begins, and the n-grams' rows."""
     places, rows = [], []
@@ -98,13 +88,19 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
+def reachable(item: np.ndarray, window: np.ndarray) -> int:
+    """No local alignment scores more: the best run of the window, if each word that the item holds matched."""
+    run = np.concatenate([[0], np.cumsum(np.where(np.isin(window, item), MATCH, GAP))])
+    return int((run - np.minimum.accumulate(run)).max())
+
+
 def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word) of each item of which a text holds a copy."""
     spans: dict[int, list[tuple[int, int]]] = {}
     for place, row in zip(*(x.tolist() for x in hits(items, words)), strict=True):
         for item, inside in items.seeds.get(row, ()):
             size = len(items.words[item])
-            slack = size // 2 + 8
+            slack = int(MATCH * size * (1 - least)) + 1  # words that a copy can hold besides the item's
             spans.setdefault(item, []).append((max(0, place - inside - slack), min(len(words), place - inside + size + slack)))
     out = []
     for item, own in spans.items():
@@ -117,28 +113,17 @@ def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, fl
                 merged.append([lo, hi])
         best = (0, 0, 0, 0)
         for lo, hi in merged:
+            if reachable(whole, words[lo:hi]) < least * MATCH * len(whole):
+                continue
             score, i, j = align(whole, words[lo:hi])
             best = max(best, (score, -lo, i, j))
         score, lo, i, j = best[0], -best[1], best[2], best[3]
-        if score >= least * MATCH * len(whole):
+        if score and score >= least * MATCH * len(whole):
             _, _, back = align(whole[:i][::-1], words[lo : lo + j][::-1])
             out.append((item, score / (MATCH * len(whole)), lo + j - back, lo + j - 1))
     return out
 
 
-def _count(items, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(items.value.grams), dtype=np.int64)
-        for batch in batches:
-            for data in text_buffers(batch.column(0)):
-                if data is not None:
-                    held[np.unique(hits(items.value, word_hashes(data))[1])] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], ["gram", "held"])
-
-    return run
-
-
 def _match(items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,34 +152,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"))
     kind = own.schema["doc_id"].dataType.simpleString()
     out = None
-    for ids, seeded in _seeded(own, benchmark, n, item_id, item_text):
+    for ids, seeded in _seeded(docs, benchmark, n, item_id, item_text):
         found = own.mapInArrow(_match(seeded, least), f"doc_id {kind}, text_hash bigint, item bigint, score double, first_word bigint, last_word bigint")
         found = found.join(F.broadcast(ids), "item").select("doc_id", "text_hash", "item_id", "score", "first_word", "last_word")
         out = found if out is None else out.union(found)
     return out
 
 
-def _seeded(own: DataFrame, benchmark: DataFrame, n: int, item_id: str, item_text: str) -> Iterator[tuple[DataFrame, object]]:
-    """For each block of test items: their ids, and the broadcast items with the seeds that ``own.text`` decides."""
-    spark = small_batches(own.sparkSession)
+def _seeded(docs: DataFrame, benchmark: DataFrame, n: int, item_id: str, item_text: str) -> Iterator[tuple[DataFrame, object]]:
+    """For each block of test items: their ids, and the broadcast items with their seeds."""
+    spark = small_batches(docs.sparkSession)
     tests = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
     blocks = max(1, -(-size // BLOCK_BYTES))
     for block in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = load_items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], n)
-        held = spark.sparkContext.broadcast(items)
-        counts = own.select("text").mapInArrow(_count(held, n), "gram bigint, held bigint").groupBy("gram").agg(F.sum("held").alias("held"))
-        choose_seeds(items, n, {r["gram"]: r["held"] for r in counts.collect()})
         names = spark.createDataFrame(list(enumerate(items.ids)), f"item bigint, item_id {tests.schema['item_id'].dataType.simpleString()}")
         yield names, spark.sparkContext.broadcast(items)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of a test item, with all their columns and no shuffle of them."""
-    own = docs.select(F.col(text).cast("string").alias("text"))
     place = docs.columns.index(text)
-    for _, seeded in _seeded(own, benchmark, n, item_id, item_text):
+    for _, seeded in _seeded(docs, benchmark, n, item_id, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:
             for batch in batches:

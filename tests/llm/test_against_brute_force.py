@@ -328,6 +328,21 @@ def test_contamination(spark, docs, texts):
     assert clean == {*texts, *planted} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_contamination_of_changed_copies(spark, every):
+    """The one copy of an item, with every 4th or 5th word changed, is found beside whole copies of it and without them."""
+    items = {i: [f"w{i}x{k}" for k in range(40)] for i in range(6)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    changed = {i: ["changed" if k % every == every - 1 else x for k, x in enumerate(w)] for i, w in items.items()}
+    apart = items[5][:20] + ["between"] * 35 + items[5][20:]
+    rows = [(i, "before it " + " ".join(w) + " after") for i, w in changed.items()] + [(10 + k, " ".join(items[0]) + f" {k}") for k in range(3)] + [(20, " ".join(apart)), (21, " ".join(items[1][:12]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    least = {(i, i): plain_alignment(w, changed[i]) / 80 for i, w in items.items()}
+    assert min(least.values()) >= 0.5 and got == least | {(10 + k, 0): 1.0 for k in range(3)} | {(20, 5): (80 - 35) / 80}
+    assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {21}
+
+
 def test_contamination_in_capitals(spark):
     """Copies of items beyond ASCII are found in any case, and scored and placed as whole copies."""
     item = "Où êtes-vous allés après l’été, Élodie ? Ça dépend — d’où, наверное, придёт ответ на это"
