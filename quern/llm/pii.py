@@ -24,11 +24,19 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 # Given names whose gender is taken as known; the surrogate comes from the same list.
-FEMALE = "Alice Amelia Anna Barbara Camille Carmen Charlotte Chloe Clara Elena Elisabeth Emily Emma Eva Hannah Helene Ingrid Isabel Jane Julia Karin Katharina Laura Lucia Marie Maria Mary Monika Nicole Olivia Patricia Petra Sabine Sarah Sofia Sophie Susan Teresa Ursula Valerie".split()
-MALE = "Adam Alexander Antoine Bernard Carlos Charles Daniel David Diego Edward Emil Felix Fernando Francisco Frank Georg George Hans Henri Henry Jacques James Javier Jean John Jorge Juan Karl Klaus Louis Luis Manuel Michael Miguel Olivier Paul Peter Pierre Robert Stefan Thomas William".split()
-_TITLES = {"Mr": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
-_GIVEN = "|".join(sorted({*FEMALE, *MALE}, key=lambda x: (-len(x), x)))
+FEMALE = "Abigail Adriana Agnes Alexandra Alice Amanda Amelia Amy Ana Angela Angelika Anita Anna Anne Antonia Ashley Astrid Aurelie Aurélie Barbara Beatrice Betty Birgit Brenda Brigitte Camille Carla Carmen Carol Caroline Catherine Cecile Charlotte Chloe Chloé Christina Christine Claire Clara Claudia Cristina Cynthia Cécile Deborah Debra Diana Diane Donna Dorothy Elena Elisabeth Elizabeth Ella Ellen Emily Emma Erika Eva Florence Francoise Franziska Françoise Gabriele Gisela Gloria Hanna Hannah Heather Heike Helen Helena Helene Hélène Ines Ingrid Inés Irene Irma Isabel Isabella Jacqueline Jane Janet Janice Jennifer Jessica Joan Johanna Joyce Judith Julia Julie Juliette Karen Karin Katharina Kathleen Kelly Kimberly Laura Lea Lena Leonie Linda Lisa Louise Lucia Lucie Lucy Lucía Léa Magdalena Manon Margaret Margarita Maria Marie Marina Marta Martha Martina Mary María Mathilde Megan Melissa Mia Michelle Monika Mónica Nadia Nancy Natalia Nathalie Nicole Nina Olivia Pamela Patricia Paula Pauline Petra Pilar Rachel Rebecca Renate Rosa Rosario Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Simone Sofia Sofía Sophie Stefanie Stephanie Susan Susanne Sylvie Teresa Theresa Ursula Ute Valerie Vanessa Veronica Victoria Virginia Virginie Yvonne Zoe Zoé".split()
+MALE = "Aaron Adam Adrian Alain Alan Albert Alberto Alejandro Alexander Alfred Alfredo Andre Andreas Andrew André Andrés Anthony Antoine Antonio Arthur Axel Benjamin Bernard Bernd Björn Brian Bruno Carlos Charles Christian Christoph Christopher Claude Damien Daniel David Dennis Didier Diego Dieter Dirk Donald Douglas Eduardo Edward Emil Enrique Eric Erik Ernst Fabian Federico Felix Fernando Florian Francisco Francois Frank Franz François Friedrich Gary Georg George Gerald Gerard Gerhard Gregory Guillaume Guillermo Gustav Gérard Günter Günther Hans Harald Harold Heinrich Heinz Helmut Henri Henry Hermann Horst Hugo Ian Ignacio Jack Jacob Jacques James Jason Javier Jean Jeffrey Jens Jerome Jerry Jesus Jesús Joachim Joe Johann Johannes John Jonas Jonathan Jorge Jose Joseph Joshua José Juan Juergen Julien Justin Jérôme Jörg Jürgen Karl Keith Kenneth Kevin Klaus Kurt Larry Laurent Lawrence Leon Lorenzo Louis Lucas Luis Lukas Manfred Manuel Marc Marcel Marco Marcos Mario Mark Markus Martin Matthew Matthias Max Maxime Michael Miguel Mohamed Muhammad Nicholas Nicolas Noah Oliver Olivier Oscar Otto Pablo Pascal Patrick Paul Pedro Peter Philip Philipp Philippe Pierre Rafael Rainer Ralf Ramon Ramón Raul Raymond Raúl Rene René Ricardo Richard Robert Roberto Roger Roland Ronald Rudolf Ryan Samuel Scott Sebastian Sergio Simon Stefan Stephan Stephen Steven Sven Theodor Thierry Thomas Thorsten Timothy Tobias Tom Tomas Tomás Ulrich Uwe Victor Vincent Walter Werner Wilhelm William Wolfgang Xavier Yves".split()
+FEMALE_CYRILLIC = "Александра Алина Алиса Анастасия Анна Валентина Валерия Вера Виктория Галина Дарья Евгения Екатерина Елена Елизавета Зоя Ирина Кристина Ксения Лариса Любовь Людмила Маргарита Марина Мария Надежда Наталья Нина Оксана Ольга Полина Светлана София Татьяна Юлия Яна".split()
+MALE_CYRILLIC = "Александр Алексей Анатолий Андрей Антон Артём Борис Вадим Валентин Валерий Василий Виктор Виталий Владимир Вячеслав Геннадий Георгий Григорий Даниил Денис Дмитрий Евгений Иван Игорь Илья Кирилл Константин Леонид Максим Михаил Николай Олег Павел Пётр Роман Сергей Станислав Степан Фёдор Юрий Яков".split()
+_LISTS = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)
+_GENDER = {n: g for names, g in zip(_LISTS, "fmfm", strict=True) for n in names}
+_LISTED = {n: names for names in _LISTS for n in names}
+_TITLES = {"Mr": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": "", "Doctor": "", "Professor": "", "Señor": "m", "Señora": "f", "Mlle": "f", "Mademoiselle": "f", "Господин": "m", "Госпожа": "f"}
+_GIVEN = "|".join(sorted(_GENDER, key=lambda x: (-len(x), x)))
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_SURNAME = rf"(?![а-яё]){_CAP}"
+#: Digits that a number can have at most, with the country code; 15 in other countries.
+_DIGITS_OF = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12, "49": 13}
 
 #: In the order in which they win where two begin at one place.
 PATTERNS = {
@@ -38,16 +46,18 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,4})|\(\d{3,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)",
-    "person": rf"(?<!\w)(?:(?P<title>{'|'.join(_TITLES)})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{_GIVEN}) (?P<family>{_CAP}))(?!\w)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12}(?!\d))){1,8}|\(\d{3,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<![/-])(?!\d\d(?P<date>[./-])\d\d(?P=date)(?:\d\d|\d{4})(?!\d|(?P=date)\d))(?:00?[1-9]\d{0,3}|\(0[1-9]\d{0,3}\))[ ./-]+\d{1,8}(?:[ .-]\d{1,8}){0,5})(?!\w|\.\d)",
+    "person": rf"(?<!\w)(?:(?P<title>{'|'.join(_TITLES)})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{_GIVEN})(?:-{_SURNAME})?(?: (?:{_GIVEN}|[A-ZА-ЯЁ]\.|{_SURNAME}(?<=вич|вна|чна)))* (?P<family>{_SURNAME}))(?!\w)",
 }
+_PLAIN_PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?!\w|\.\d)")
 _ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: Entities are looked for around these only: digits and @, words before secrets, titles and known names.
 _DIGITS = re.compile(r"[\d@](?:[\d ().+@-]*[\d@])?")
 _KEYWORDS = ("key", "secret", "token", "passw", "auth")
 _KEYWORD = re.compile("|".join(_KEYWORDS))
-_CAPITAL = re.compile(r"\b[A-Z][a-z]+")
-_KNOWN = frozenset([*FEMALE, *MALE, *_TITLES])
+_CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+")
+_NAME = re.compile(_CAP)
+_KNOWN = frozenset([*_GENDER, *_TITLES])
 _AROUND = 90
 
 
@@ -75,6 +85,29 @@ def _edge(text: str, at: int, step: int) -> int:
     return min(max(at, 0), len(text))
 
 
+def phone_end(text: str, start: int, end: int) -> int:
+    """Where the number that begins at ``start`` ends, without numbers that follow it; ``start`` if there is none."""
+    abroad, national = text[start] == "+", text[start : start + 2].lstrip("(")[0] == "0"
+    if not abroad and not national:
+        return end
+    most, least = 15 if abroad or text.startswith("00", start) else 12, 7 if abroad else 9
+    if abroad:
+        digits = re.sub(r"\D", "", text[start:end])
+        most = next((_DIGITS_OF[c] for c in (digits[:1], digits[:2]) if c in _DIGITS_OF), most)
+    count, best = 0, start
+    for m in re.finditer(r"\d+\)?", text[start:end]):
+        count += len(m[0].rstrip(")")) if m[0] != "0)" else 0  # (0) is the prefix of calls within the country
+        if count > most:
+            break
+        at = start + m.end()
+        if count >= least and not re.match(r"\w|\.\d", text[at : at + 2]):
+            best = at
+    plain = _PLAIN_PHONE.match(text, start) if abroad else None
+    if national and best == start and re.fullmatch(r"\(\d{3,4}\)[ .-]?\d{3}[ .-]?\d{3,4}", text[start:end]):
+        return end
+    return max(best, plain.end() if plain else start)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -144,6 +177,7 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.known: dict[tuple[str, str], str] = {}
+        self.turned: dict[str, str] = {}
 
     def _permute(self, kind: str, text: str, valid=lambda x: True, fixed: int = 0) -> str:
         """Letters and digits of ``text`` after the first ``fixed`` characters, moved within their classes."""
@@ -167,11 +201,12 @@ class Surrogates:
         return put(move(core))
 
     def _name(self, word: str, gender: str) -> str:
-        names = {"f": FEMALE, "m": MALE}.get(gender)
-        if names and word in names:
-            order = sorted(names, key=lambda n: hmac.new(self.key, f"{gender}{n}".encode(), "sha256").digest())
-            return order[(order.index(word) + 1) % len(order)]  # one cycle: never itself, never shared
-        return self._permute("name", word)
+        if names := _LISTED.get(word):
+            if word not in self.turned:
+                order = sorted(names, key=lambda n: hmac.new(self.key, f"{_GENDER[n]}{n}".encode(), "sha256").digest())
+                self.turned |= zip(order, order[1:] + order[:1], strict=True)  # one cycle: never itself, never shared
+            return self.turned[word]
+        return self._permute("name", word, lambda x: x not in _LISTED)
 
     def replace(self, kind: str, text: str, gender: str = "") -> str:
         if (got := self.known.get((kind + gender, text))) is not None:
@@ -202,29 +237,64 @@ class Surrogates:
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, gender) of the entities, in text order."""
         out = []
-        for m in (m for lo, hi in regions(text) for m in _ALL.finditer(text, lo, hi)):
-            kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
-            start, end, gender = *m.span(), ""
-            if kind == "secret":
-                start, end = m.span("secret")
-            elif kind == "card":
-                digits = re.sub(r"\D", "", m[0])
-                if not luhn(digits) or len(set(digits)) < 3:
+        for lo, hi in regions(text):
+            at = lo
+            while m := _ALL.search(text, at, hi):
+                kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
+                start, end, gender, at = *m.span(), "", m.end()
+                if kind == "secret":
+                    start, end = m.span("secret")
+                elif kind == "card":
+                    digits = re.sub(r"\D", "", m[0])
+                    if not luhn(digits) or len(set(digits)) < 3:
+                        continue
+                elif kind == "iban" and not mod97(m[0].replace(" ", "")):
                     continue
-            elif kind == "iban" and not mod97(m[0].replace(" ", "")):
+                elif kind == "phone":
+                    end = at = phone_end(text, start, end)
+                    if end == start:
+                        at = start + 1
+                        continue
+                elif kind == "person":
+                    if m["title"]:
+                        start, end = m.span("titled")
+                        gender = _TITLES[m["title"]] or self._gender(m["titled"].split(" ")[0])
+                    else:
+                        gender = self._gender(m["given"])
+                    if text[end - 2 : end] in ("'s", "’s"):
+                        end -= 2
+                out.append((start, end, kind, gender))
+        return self._mentions(text, out)
+
+    @staticmethod
+    def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+        """With the other places at which a name of a person found in the text stands alone."""
+        names: dict[str, str] = {}
+        for start, end, kind, gender in found:
+            if kind == "person":
+                for word in text[start:end].split(" "):
+                    if len(word) > 1 and word[-1] != ".":
+                        names.setdefault(word, gender)
+        if not names:
+            return found
+        more, ends, k = [], [(s, e) for s, e, _, _ in found], 0
+        for m in _NAME.finditer(text):
+            start, end = m.span()
+            while k < len(ends) and ends[k][1] <= start:
+                k += 1
+            if (k < len(ends) and ends[k][0] < end) or re.match(r"[\w@]", text[max(0, start - 1) : start]) or re.match(r"[\w@]", text[end : end + 1]):
                 continue
-            elif kind == "person":
-                if m["title"]:
-                    start, end = m.span("titled")
-                    gender = _TITLES[m["title"]] or self._gender(m["titled"].split(" ")[0])
-                else:
-                    gender = self._gender(m["given"])
-            out.append((start, end, kind, gender))
-        return out
+            if m[0] in names:
+                more.append((start, end, "person", names[m[0]]))
+            else:
+                for part in re.finditer(r"[^-'’]+", m[0]):
+                    if part[0] in names:
+                        more.append((start + part.start(), start + part.end(), "person", names[part[0]]))
+        return sorted([*found, *more])
 
     @staticmethod
     def _gender(word: str) -> str:
-        return "f" if word in FEMALE else "m" if word in MALE else ""
+        return _GENDER.get(word.split("-")[0], "")
 
 
 def surrogate_text(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -266,6 +266,30 @@ def test_surrogates():
     assert re.fullmatch(r"[а-я]+", pii.Surrogates(b"k")._name("привет", ""))
 
 
+@pytest.mark.parametrize("number", ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+44 (20) 7946 0958", "+49 30 1234567", "555 123 4567", "030 1234567", "01 23 45 67 89", "01.23.45.67.89", "(030) 1234567", "+1 (017) 555-7713"])
+def test_phone_numbers(number):
+    s = pii.Surrogates(b"key")
+    for given in (number, f"call {number}, or", f"{number} 97.51.17.173", f"{number} 4845168114407329 x"):
+        assert [given[a:b] for a, b, k, _ in s.find(given) if k == "phone"] == [number], given
+    assert s.replace("phone", number) != number
+
+
+def test_no_phone_numbers():
+    s = pii.Surrogates(b"key")
+    assert not [x for t in ("on 01.02.2024 12 30", "from 2024-01-02 to 2024-02-03", "05/06/2023 10", "0.123 456 789", "1 + 2 3") for x in s.find(t)]
+
+
+def test_names_and_their_mentions():
+    s = pii.Surrogates(b"key")
+    given = "Smith began. Linda Brown, Mark Davis, Richard Miller, Jean-Pierre Dupont, Иван Петрович Сидоров and Mr. John Smith's son; later John and Brown met Smith's dog and Сидоров, not Johnson. Mr. James met Mrs. James"
+    found = [(given[a:b], k) for a, b, k, _ in s.find(given)]
+    names = "Smith|Linda Brown|Mark Davis|Richard Miller|Jean-Pierre Dupont|Иван Петрович Сидоров|John Smith|John|Brown|Smith|Сидоров|James|James".split("|")
+    assert found == [(n, "person") for n in names]
+    new = {given[a:b]: s.replace(k, given[a:b], g) for a, b, k, g in s.find(given)}
+    assert new["John Smith"] == f"{new['John']} {new['Smith']}" and new["Linda Brown"].endswith(" " + new["Brown"]) and new["Linda Brown"].split()[0] in pii.FEMALE
+    assert new["Иван Петрович Сидоров"].split()[0] in pii.MALE_CYRILLIC and len({s.replace("person", given[a:b], g) for a, b, _, g in s.find(given) if given[a:b] == "James"}) == 1
+
+
 @pytest.mark.parametrize("form", ["00", "000", "a0", "aaa"])
 def test_permutation_is_one(form):
     classes = tuple((48, 10) if c == "0" else (97, 26) for c in form)
