@@ -17,7 +17,7 @@ from quern.llm.sharding import sharded
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or as likely in another language, go."""
+    """Documents without a letter, as likely in another language, or in none that was learned, go."""
     return identified(docs)
 
 

@@ -27,6 +27,8 @@ _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 BLOCK = 1 << 19
+#: A text may cost so many times what all but a hundredth of held-out texts cost a byte, and so many bits more (a key or a card number in a short text).
+TIMES, MORE_BITS = 2.0, 256
 
 
 def grams(data: np.ndarray, length: int, pad: int) -> np.ndarray:
@@ -238,12 +240,34 @@ def _predict(model, data: np.ndarray | None, letter: bool) -> tuple[str, float,
     return model.value.langs[best], float(sure), float(bits[best] / len(data))
 
 
+def byte_limits(sample: dict[str, list[bytes]], order: int) -> np.ndarray:
+    """For each language by name, the bits per byte over which a text isn't taken to be in it.
+
+    An eighth of the different texts of the sample is held out and scored by
+    the others; infinite for a language that has no two texts of 32 bytes.
+    """
+    rest, held = {}, {}
+    for name, texts in sample.items():
+        own = sorted(set(texts))
+        held[name] = [t for t in own[::8] if len(t) >= 32] if len(own) > 1 else []
+        rest[name] = [t for k, t in enumerate(own) if k % 8] or own
+    model = train(rest, order)
+    costs = [[model.bits(np.frombuffer(t, np.uint8))[j] / len(t) for t in held[name]] for j, name in enumerate(model.langs)]
+    return np.array([TIMES * np.percentile(c, 99) if c else np.inf for c in costs])
+
+
 def identified(docs: DataFrame, least_score: float = 0.5, use: Column | None = None, order: int = 4, train_bytes: int = 3 << 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with all their columns and no shuffle of them.
 
-    Rejected: ``und``, and a score under ``least_score``.
+    Rejected: ``und``, a score under ``least_score``, and texts whose code
+    length is over ``MORE_BITS`` plus, for each byte, ``TIMES`` the 99th
+    percentile of held-out texts of the predicted language: those are in no
+    learned language.  The score alone can't tell, as it compares the learned
+    languages with each other.
     """
-    model = _learn(docs, use, order, train_bytes, doc_id, text, lang)
+    sample = training_sample(docs, F.lit(True) if use is None else use, train_bytes, doc_id, text, lang)
+    model = small_batches(docs.sparkSession).sparkContext.broadcast(train(sample, order)) if sample else None
+    limits = dict(zip(sorted(sample), byte_limits(sample, order).tolist(), strict=True)) if sample else {}
     place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +275,8 @@ def identified(docs: DataFrame, least_score: float = 0.5, use: Column | None = N
             letters = batch.column(batch.num_columns - 1).to_pylist()
             known = []
             for data, letter in zip(text_buffers(batch.column(place)), letters, strict=True):
-                pred, score, _ = _predict(model, data, letter)
-                known.append(pred != UNKNOWN and score >= least_score)
+                pred, score, per = _predict(model, data, letter)
+                known.append(pred != UNKNOWN and score >= least_score and per * len(data) <= MORE_BITS + limits[pred] * len(data))
             kept = batch.filter(pa.array(known, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 

@@ -393,6 +393,20 @@ def test_language_of_long_texts_alone(spark):
     assert got[200] == got[201] == "de" and got[0] == "en" and got[300] == got[301] == "und"
 
 
+def test_texts_in_no_learned_language(spark):
+    """Random letters and other languages go, whatever the learned languages say of each other; clean texts stay."""
+    r = random.Random(7)
+    words = {"en": "the cat sat on mat with that hat and then it ran away from dogs".split(), "de": "der hund und die katze im haus sind nicht mehr da seit gestern".split()}
+    rows = [(1000 * k + i, " ".join([*(r.choice(w) for _ in range(r.randrange(20, 60))), *([f"token = {r.randrange(10**15)}"] if i % 4 == 1 else [])]), lang) for k, (lang, w) in enumerate(words.items()) for i in range(60)]
+    rows += [(9001, "".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(900)), None), (9002, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 4, None), (9003, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4, None)]
+    rows += [(9004, "the cat and the dogs ran away from that mat token = 7844238401328224", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in language_id.identified(docs).collect()}
+    assert kept == {x[0] for x in rows} - {9001, 9002, 9003}
+    scores = {x.doc_id: x.score for x in language_id.identify(docs).where("doc_id > 9000").collect()}
+    assert min(scores.values()) >= 0.5
+
+
 def test_code_lengths():
     """Costs of the tables against escapes followed one by one."""
     train = {"x": [b"abracadabra abra"], "y": [b"banana bandana"]}
