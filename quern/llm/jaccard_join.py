@@ -258,6 +258,8 @@ def _send(width: int, percent: int, levels):
         for batch in batches:
             rows, held = [], 0
             for s, name, routes in zip(_read(batch, 0, width), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if set_name(s) != name:  # another text with the doc_id of the class
+                    continue
                 token, level = global_order(s, levels.value)
                 matches, length = choose_prefix(level, percent)
                 data = token.tobytes()

@@ -90,6 +90,15 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(df).collect()} == components(given)
 
 
+def test_jaccard_of_shared_ids(spark):
+    """Different texts with one doc_id keep their own links."""
+    text = lambda k, side, end: " ".join(f"{side}{k}x{j}" for j in range(40)) + f" {end}"
+    rows = [(k, text(k, side, "one")) for k in range(12) for side in "ab"] + [(100 * (1 + at) + k, text(k, side, "two")) for k in range(12) for at, side in enumerate("ab")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_groups(df).collect())
+    assert got == sorted((i, i % 100) for i, _ in rows)
+
+
 def test_jaccard_on_documents(docs, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_groups(docs).collect()} == components(texts)
 
