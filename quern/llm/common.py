@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own if the master is local, so that
+    driver and executors are one process; on a cluster an error, for no folder
+    of one machine can be read by the others.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -83,36 +93,56 @@ def _over(window, group: Sequence[str], bucket: str):
     return window if group else Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
+#: So many edges, 16 bytes each, are one task's work: what is left of a larger table once rounds have shrunk it, or the whole of a smaller one.
+SMALL_EDGES = 1 << 18
+
+
+def components(edges: DataFrame, label: str, small: int = SMALL_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the least node of the component.
 
-    Every round names each node after its least neighbour and rewrites the
-    edges with the new names, until no edge is left; names are then followed
-    round by round.  A round is an aggregate and two joins on the edges that
-    are left, so a node of any degree is pre-aggregated, never gathered.
+    A round names each node after its least neighbour and rewrites the edges
+    with the new names: an aggregate and two joins on the edges that are left,
+    so a node of any degree is pre-aggregated, never gathered.  Once ``small``
+    edges or fewer are left, one task of bounded size ends the work; names are
+    then handed back round by round.  The result doesn't depend on ``small``.
     """
     edges = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{label}-edges")
-    names, written = None, [edges]
-    while True:
+    steps, written = [], [edges]
+    while edges.count() > small:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-        step = cut(step, f"{label}-names")
-        written.append(step)
-        if names is None:
-            names = step
-        else:
-            follow = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            names = names.join(follow, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        steps.append(cut(step, f"{label}-names"))
         edges = (
-            edges.join(step.select(F.col("node").alias("a"), F.col("root").alias("a2")), "a")
-            .join(step.select(F.col("node").alias("b"), F.col("root").alias("b2")), "b")
+            edges.join(steps[-1].select(F.col("node").alias("a"), F.col("root").alias("a2")), "a")
+            .join(steps[-1].select(F.col("node").alias("b"), F.col("root").alias("b2")), "b")
             .where("a2 <> b2")
             .selectExpr("greatest(a2, b2) AS a", "least(a2, b2) AS b")
             .distinct()
         )
         edges = cut(edges, f"{label}-edges")
-        written.append(edges)
-        if edges.isEmpty():
-            roots = cut(names, f"{label}-roots")
-            discard(written)
-            return roots
+        written += [steps[-1], edges]
+    names = edges.coalesce(1).mapInArrow(_united, "node bigint, root bigint")
+    for step in reversed(steps):
+        names = cut(names, f"{label}-names")
+        written.append(names)
+        follow = names.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        names = step.join(follow, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    roots = cut(names, f"{label}-roots")
+    discard(written)
+    return roots
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a bounded table of edges: the larger root goes under the smaller until none differ."""
+    ends = [np.concatenate([np.asarray(b.column(0)), np.asarray(b.column(1))]).reshape(2, -1) for b in batches if b.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        a, b = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[root], pa.int64())], ["node", "root"])

@@ -85,52 +85,56 @@ def _read(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray
         yield shingle_set(data, width)
 
 
+COUNTED = "row bigint, text_hash bigint, n bigint, name bigint, block int, cells binary"
+
+
 def _count(width: int, bits: int):
-    """Names and sizes of the sets, and at the end of a task the sketch of its distinct sets."""
+    """Names and sizes of the sets, and at the end of a task the sketch of its distinct sets, in blocks (n: what the block counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen = np.zeros(1 << bits, dtype=np.uint32), set()
-        schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+        schema = pa.schema([("row", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
         for batch in batches:
             n, name = [], []
-            for s in _read(batch, 1, width):
+            for s in _read(batch, 2, width):
                 n.append(len(s))
                 name.append(set_name(s))
                 if len(s) and name[-1] not in seen:
                     seen.add(name[-1])
                     np.add.at(cells, (s >> _U(64 - bits)).astype(np.int64), np.uint32(1))
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(name, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if seen:
             parts = [p.astype(np.uint8) if p.max() < 256 else p for p in np.split(cells, SKETCH_BLOCKS)]
-            none = pa.nulls(SKETCH_BLOCKS).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            none, held = pa.nulls(SKETCH_BLOCKS).cast(pa.int64()), [int(p.sum(dtype=np.int64)) for p in parts]
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(held, pa.int64()), none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
 
     return run
 
 
-def _sum_sketches(bits: int):
+def _levels(bits: int, total: int):
+    """The sketches of all tasks, summed, as frequency levels: quarter powers of two of what each cell counts over the mean."""
     size = (1 << bits) // SKETCH_BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(cells, dtype=np.uint8 if len(cells) == size else np.uint32)
-                total[block] = total.get(block, 0) + own.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"])
+                counts[block] = counts.get(block, 0) + own.astype(np.int64)
+        levels = [np.minimum(4 * np.log2(1 + np.maximum(c - total / (1 << bits), 0)), 255).astype(np.uint8).tobytes() for c in counts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
 
     return run
 
 
-def frequency_levels(sketches: DataFrame, bits: int) -> np.ndarray:
-    """Quarter powers of two of what each cell of the sketch counts over the mean: 2**bits bytes."""
-    counts = np.zeros(1 << bits, dtype=np.int64)
+def frequency_levels(sketches: DataFrame, bits: int, total: int) -> np.ndarray:
+    """A byte for each cell of the sketch: 2**bits bytes, whatever the input.  ``total``: what all cells count together."""
+    out = np.zeros(1 << bits, dtype=np.uint8)
     size = (1 << bits) // SKETCH_BLOCKS
-    for block, cells in sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_sum_sketches(bits), "block int, cells binary").collect():
-        counts[block * size : (block + 1) * size] = np.frombuffer(bytes(cells), dtype=np.int64)
-    over = np.maximum(counts - counts.mean(), 0)
-    return np.minimum(4 * np.log2(1 + over), 255).astype(np.uint8)
+    for block, levels in sketches.repartition(SKETCH_BLOCKS, "block").mapInArrow(_levels(bits, total), "block int, levels binary").collect():
+        out[block * size : (block + 1) * size] = np.frombuffer(bytes(levels), dtype=np.uint8)
+    return out
 
 
 def _index(width: int, percent: int, levels, parts: int):
@@ -351,27 +355,18 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bits: int = SKETCH_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
-
-    Words are runs of other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; a
-    document's set has its distinct shingles of ``width`` words (with fewer
-    words, the whole sequence as one).  Two documents link when 100 * common >=
-    ``percent`` * all; component_id is the least doc_id that links reach, itself
-    included.  Without words, or with a null text, a set is empty and links
-    with nothing: component_id is then the row's own doc_id.  Rows with a null
-    doc_id link like others and don't name a component unless all of it are
-    null.  Repeated rows each get their row.  An empty table gives no rows.
-    doc_id is an integer; other columns are not read.
-    """
+def _grouped(docs: DataFrame, percent: int, width: int, sketch_bits: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, name) of each row, and (_name, _root, _id) of each class: the least name and the least doc_id that links reach."""
     spark = small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = cut(own.mapInArrow(_count(width, sketch_bits), "row bigint, n bigint, name bigint, block int, cells binary"), "jaccard-count")
-    rows = first.where("block IS NULL").select(F.col("row").alias("doc_id"), "n", "name")
-    held = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
-    levels = spark.sparkContext.broadcast(frequency_levels(first.where("block IS NOT NULL").select("block", "cells"), sketch_bits))
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held * (100 - percent) // 100 // 2_000_000)
+    hashed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    first = cut(hashed.mapInArrow(_count(width, sketch_bits), COUNTED), "jaccard-count")
+    rows = first.where("block IS NULL").select(F.col("row").alias("doc_id"), "text_hash", "n", "name")
+    in_sketch = F.col("block").isNotNull()
+    held = first.agg(F.coalesce(F.sum(F.when(~in_sketch, F.col("n"))), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(in_sketch, F.col("n"))), F.lit(0)).alias("sketch")).first()
+    levels = spark.sparkContext.broadcast(frequency_levels(first.where(in_sketch).select("block", "cells"), sketch_bits, held["sketch"]))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held["rows"] * (100 - percent) // 100 // 2_000_000)
     index = own.select("text").mapInArrow(_index(width, percent, levels, parts), "part int, tokens binary, owners binary, names binary, sizes binary")
     met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_lists(percent), LISTS), "jaccard-lists")
     pairs = met.where("grp IS NULL").groupBy("name", "n", "other", "other_n").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need")
@@ -390,21 +385,37 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bi
     # one row of each class that has routes gets to send its set
     holder = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("id"))
     senders = holder.join(routes, "name").select("name", "routes", F.col("id").alias("_id"))
-    nameless = senders.where("_id IS NULL")
     wanted = own.join(senders.where("_id IS NOT NULL").hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("text", "name", "routes")
-    if not nameless.isEmpty():  # classes in which no row has a doc_id: found by their texts
+    if not rows.where("doc_id IS NULL AND n > 0").isEmpty():  # classes in which no row has a doc_id: found by their texts
         found = own.where("doc_id IS NULL").select("text").mapInArrow(_named(width), "text string, name bigint")
-        wanted = wanted.union(found.join(nameless, "name").select("text", "name", "routes"))
+        wanted = wanted.union(found.join(senders.where("_id IS NULL"), "name").select("text", "name", "routes"))
     sent = wanted.mapInArrow(_send(width, percent, levels), "grp bigint, lo int, hi int, side int, name bigint, matches int, prefix int, shingles binary")
     edges = sent.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(_verify(percent), "a bigint, b bigint")
 
     roots = components(edges, "jaccard")
+    levels.destroy()
     discard(spent)
-    least = rows.groupBy("name").agg(F.min("doc_id").alias("id")).join(roots.withColumnRenamed("node", "name"), "name")
-    named = least.select("root", "name").join(least.groupBy("root").agg(F.min("id").alias("linked")), "root").select("name", "linked")
-    alone = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("alone")).join(named, "name", "left")
-    # a table of its own, so that the join below can split the rows of a class with very many copies
-    ids = cut(alone.select(F.col("name").alias("_name"), F.coalesce("linked", "alone").alias("_id")), "jaccard-ids")
+    classes = holder.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    linked = classes.groupBy(F.col("root").alias("_root")).agg(F.min("id").alias("_id"))
+    # a table of its own, so that a join with it can split the rows of a class with very many copies
+    ids = cut(classes.join(linked, F.col("root") == F.col("_root")).select(F.col("name").alias("_name"), "_root", "_id"), "jaccard-ids")
+    return rows, ids
+
+
+def jaccard_groups(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bits: int = SKETCH_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id.
+
+    Words are runs of other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; a
+    document's set has its distinct shingles of ``width`` words (with fewer
+    words, the whole sequence as one).  Two documents link when 100 * common >=
+    ``percent`` * all; component_id is the least doc_id that links reach, itself
+    included.  Without words, or with a null text, a set is empty and links
+    with nothing: component_id is then the row's own doc_id.  Rows with a null
+    doc_id link like others and don't name a component unless all of it are
+    null.  Repeated rows each get their row.  An empty table gives no rows.
+    doc_id is an integer; other columns are not read.
+    """
+    rows, ids = _grouped(docs, percent, width, sketch_bits, doc_id, text)
     found = rows.join(ids, (F.col("name") == F.col("_name")) & (F.col("n") > 0), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -417,18 +428,26 @@ def _named(width: int):
     return run
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row named component_id stays.
+def keep_one(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bits: int = SKETCH_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each component one row stays.
 
-    Of repeated rows with that doc_id one stays; rows with a null doc_id can't
-    be named and all stay.
+    That is a row with the least doc_id of the component, nulls last; of
+    different texts with that doc_id the one whose set has the least name.  A
+    row is told by doc_id and text, so another text under a doc_id that stays
+    or goes is judged by its own links.  Rows without words (null, empty or
+    white space) link with nothing and stay.  Of rows with equal doc_id and
+    text one stays, whichever of them.  An empty table gives no rows.
     """
-    groups = jaccard_groups(docs, doc_id=doc_id, text=text, **options)
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_times"))
-    kept = cut(kept, "jaccard-kept")
-    out = docs.join(kept.hint("shuffle_hash"), docs[doc_id] == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | docs[doc_id].isNull())
-    once = out.select(*[docs[c] for c in docs.columns])
+    rows, ids = _grouped(docs, percent, width, sketch_bits, doc_id, text)
+    texts = rows.groupBy("doc_id", "text_hash", "n", "name").agg(F.count("*").alias("times"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "name", "text_hash", "times")).alias("k")
+    linked = texts.where("n > 0").join(ids, F.col("name") == F.col("_name")).groupBy("_root").agg(least).select("k.doc_id", "k.text_hash", "k.times")
+    kept = linked.union(texts.where("n = 0").select("doc_id", "text_hash", "times"))
+    kept = cut(kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"), F.col("times").alias("_times")), "jaccard-kept")
+    own_hash = F.xxhash64(docs[text].cast("string"))
+    out = docs.join(kept.hint("shuffle_hash"), docs[doc_id].cast("bigint").eqNullSafe(F.col("_kept")) & (own_hash == F.col("_kept_hash")))
+    columns = [docs[c] for c in docs.columns]
     if kept.where("_times > 1").isEmpty():
-        return once
-    single = out.where(F.coalesce("_times", F.lit(1)) == 1).select(*[docs[c] for c in docs.columns])
-    return single.union(out.where("_times > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([doc_id]))
+        return out.select(*columns)
+    again = out.where("_times > 1").select(*columns, "_kept", "_kept_hash").dropDuplicates(["_kept", "_kept_hash"])
+    return out.where("_times = 1").select(*columns).union(again.drop("_kept", "_kept_hash"))

@@ -60,8 +60,13 @@ def mix(docs: DataFrame, weights=cyclic_weights, share: float = 1.0, cap: float
     none; repeated rows are separate documents, in any order among themselves.
     An empty table gives no rows.  Other columns are not read.
     """
+    return _taken(docs, weights, share, cap, seed, doc_id, text, source).drop("_row")
+
+
+def _taken(docs: DataFrame, weights, share: float, cap: float, seed: int, doc_id: str, text: str, source: str, row: Column | None = None) -> DataFrame:
+    """What ``mix`` returns, and ``_row``: the row's own number, which breaks ties."""
     key = shuffle_key(seed, F.col("doc_id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), (F.lit(0).cast("bigint") if row is None else row).alias("_row"))
     rows = cut(rows.withColumn("_key", key), "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     sizes = cut(sizes, "mixing")
@@ -69,7 +74,7 @@ def mix(docs: DataFrame, weights=cyclic_weights, share: float = 1.0, cap: float
     plan = water_fill(weights(sizes.drop("_rows")).where("weight > 0"), share, cap)
     plan = plan.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), "target")
     rows = rows.withColumn("_bucket", hash_bucket(F.col("_key"), tasks(docs.sparkSession, total)))
-    rows = prefix_sums(rows, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "_upto")
+    rows = prefix_sums(rows, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_row")], F.col("size"), "_upto")
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     budget = F.floor(F.coalesce(F.col("target"), F.lit(0.0))).cast("bigint")
     rows = rows.withColumn("_turns", F.when(F.col("_size") > 0, F.expr("CAST(floor(coalesce(target, 0)) AS BIGINT) DIV _size")).otherwise(F.lit(0)))
@@ -79,20 +84,23 @@ def mix(docs: DataFrame, weights=cyclic_weights, share: float = 1.0, cap: float
     return rows.select(
         "doc_id", "source", "size", F.coalesce("_size", F.lit(0)).cast("bigint").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"),
         (F.col("_turns") * F.col("size") + F.col("_part")).cast("bigint").alias("taken"),
-        (F.col("_turns") + F.when((F.col("_part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("bigint").alias("epochs"),
+        (F.col("_turns") + F.when((F.col("_part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("bigint").alias("epochs"), "_row",
     )
 
 
-def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=cyclic_weights, share: float = 1.0, cap: float = 3.0, seed: int = 11, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-    Only whole documents are written: the one at which a budget ends is taken
-    once more if at least half of it is within.  Rows that share a doc_id are
-    taken as often as the largest among them.
+    Texts stay whole: the one document of a source at which the budget ends is
+    taken once more if at least half of it is within, so a source's words are
+    its target to half a document.  Each row counts for itself, also if it
+    shares its doc_id with others or has none: rows are numbered as they are
+    written to the shared folder, once.  Rows without words (null, empty, white
+    space) have no share and are not taken.  An empty table gives no rows.
     """
-    plan = mix(docs, doc_id=doc_id, **options)
-    half = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(half).cast("int").alias("_mix_n"))
-    times = docs.join(plan.where("_mix_n > 0").hint("shuffle_hash"), docs[doc_id].eqNullSafe(F.col("_mix_id")))
-    times = times.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
-    return times.select(*[docs[c] for c in docs.columns])
+    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias("_mix_row")), "mix-rows")
+    plan = _taken(docs_, weights, share, cap, seed, doc_id, text, source, F.col("_mix_row"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = plan.select(F.col("_row").alias("_plan_row"), times.alias("_mix_n")).where("_mix_n > 0")
+    out = docs_.join(plan.hint("shuffle_hash"), F.col("_mix_row") == F.col("_plan_row"))
+    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)

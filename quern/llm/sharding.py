@@ -12,8 +12,6 @@ ranks, is all that one task sees, however large a source is.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +32,19 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, doc_id: str
     Repeated rows each get a slot; which of identical rows gets which cannot be
     told apart.  An empty table gives no rows.  Other columns are not read.
     """
+    return _places(docs, shards, seed, doc_id, text, source).drop("_row")
+
+
+def _places(docs: DataFrame, shards: int, seed: int, doc_id: str, text: str, source: str, row: Column | None = None) -> DataFrame:
+    """What ``assign_shards`` returns, and ``_row``: the row's own number, which breaks ties."""
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 1
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), crc.alias("text_crc32"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), crc.alias("text_crc32"), (F.lit(0).cast("bigint") if row is None else row).alias("_row"))
     rows = cut(rows.withColumn("_key", shuffle_key(seed, F.col("doc_id"), F.col("text_crc32"))), "sharding")
     total = rows.count()
     buckets = tasks(docs.sparkSession, total)
     rows = rows.withColumn("_bucket", hash_bucket(F.col("_key"), buckets))
-    order = [F.col("_key"), F.col("doc_id"), F.col("size")]
+    order = [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_row")]
     rows = prefix_sums(rows, ["source"], "_bucket", order, F.lit(1), "_rank")
     held = rows.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
     rows = cut(rows.join(held, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_bucket"), "sharding")
@@ -52,22 +55,19 @@ def assign_shards(docs: DataFrame, shards: int = 16, seed: int = 7, doc_id: str
     shard = F.expr(f"((_place - 1) * {shards}) DIV {max(total, 1)}")
     rows = rows.withColumn("_shard", shard)
     first = F.expr(f"(_shard * {total} + {shards - 1}) DIV {shards}")
-    return rows.select("doc_id", "source", "size", "text_crc32", F.col("_shard").cast("int").alias("shard"), (F.col("_place") - 1 - first).cast("bigint").alias("slot"))
+    return rows.select("doc_id", "source", "size", "text_crc32", F.col("_shard").cast("int").alias("shard"), (F.col("_place") - 1 - first).cast("bigint").alias("slot"), "_row")
 
 
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` with shard and slot (which replace columns of those names).
 
-    Rows find their places by doc_id, source and text; rows that agree in all
-    three are numbered and take the places of such rows one by one.
+    Every row has a place of its own, also among equal rows: rows are numbered
+    as they are written to the shared folder, once, and find their places by
+    that number, in one shuffle of the texts.  Null texts, sources and ids are
+    values like others; an empty table gives no rows.
     """
-    places = assign_shards(docs, shards, seed, doc_id, text, source)
-    keys = ["_shard_id", "_shard_source", "_shard_crc", "_shard_nth"]
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_crc32").orderBy("shard", "slot"))
-    places = places.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "text_crc32"), keys, strict=False)], nth.alias(keys[3]), F.col("shard").alias("_shard_no"), F.col("slot").alias("_shard_slot"))
-    crc = F.crc32(F.coalesce(docs[text], F.lit("")).cast("binary"))
-    rows = docs.withColumn("_own_crc", crc)
-    rows = rows.withColumn("_own_nth", F.row_number().over(Window.partitionBy(doc_id, source, "_own_crc").orderBy(F.lit(0))))
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip((doc_id, source, "_own_crc", "_own_nth"), keys, strict=True)]
+    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias("_shard_row")), "shard-rows")
+    places = _places(docs_, shards, seed, doc_id, text, source, F.col("_shard_row"))
+    places = places.select(F.col("_row").alias("_place_row"), F.col("shard").alias("_shard_no"), F.col("slot").alias("_shard_slot"))
     kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
-    return rows.join(places.hint("shuffle_hash"), reduce(lambda a, b: a & b, same)).select(*kept, F.col("_shard_no").alias("shard"), F.col("_shard_slot").alias("slot"))
+    return docs_.join(places.hint("shuffle_hash"), F.col("_shard_row") == F.col("_place_row")).select(*kept, F.col("_shard_no").alias("shard"), F.col("_shard_slot").alias("slot"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import chat, decontaminate, jaccard_join, language_id, line_templates, mixing, order_minhash, pii, sharding, token_counts
+from quern.llm import chat, common, decontaminate, jaccard_join, language_id, line_templates, mixing, order_minhash, pii, sharding, token_counts
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, shard int, name string, _bucket int"
 LONG = "word other " * 20_000
@@ -88,3 +88,36 @@ def test_stages(spark, docs, tmp_path, k):
     kept = stage(spark, docs, str(tmp_path))
     assert kept.count() > 0 and set(docs.columns) <= {*kept.columns}
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_keep_one_of_shared_ids(spark):
+    """Rows are kept by doc_id and text: no copy stays and no unique text is lost, whatever ids say."""
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey", "north south east west up down")
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, d), (3, d), (None, a), (None, "left right in out here there")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, "left right in out here there")], key=str)
+
+
+def test_mix_and_shards_of_shared_ids(spark):
+    """Each row counts for itself, if it shares its doc_id or all it has with others."""
+    rows = [(1, "a b c", "s", 0)] * 3 + [(1, "d e f g h i", "s", 1), (None, "j", "s", 2), (None, "k l", "t", 3), (2, None, "t", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, shard int")
+    out = mixing.mixed_documents(docs, weights=lambda s: s.withColumn("weight", F.lit(1)), share=1.0).collect()
+    words = {s: sum(len(r.text.split()) for r in out if r.source == s) for s in "st"}
+    assert words["t"] == 6 and abs(words["s"] - 12) <= 3 and not any(r.text is None for r in out)  # t is taken three times, as often as the cap allows
+    placed = sharding.sharded(docs, 3).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in placed) == sorted((r[0] or 0, r[1] or "") for r in rows)
+    assert sorted((r.shard, r.slot) for r in placed) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("small", [0, 5, 1000])
+def test_components(spark, small):
+    """The same components however many edges one task may end with."""
+    edges = [(k, k + 1) for k in range(30) if k % 7] + [(100, 5), (5, 100), (40, 40), (60, 100)]
+    got = {(r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint"), "test", small).collect()}
+    root = {}
+    for k in range(31):
+        root[k] = k if not k or k % 7 == 1 else root[k - 1]
+    root |= {100: root[5], 60: root[5]}
+    assert got == {(k, r) for k, r in root.items() if k}
