@@ -1,13 +1,12 @@
 """PII surrogates: keyed, type-consistent, the same for the same entity everywhere.
 
-Entities are found in the whole text and replaced one for one.  Parts that are
-digits or letters go through a keyed permutation of all strings of their form,
-so two different entities can't get the same surrogate and one entity has the
-same one in every document, without a table of all entities.  Strings that
-aren't valid for their type (a card number's check digit, an address that is
-reserved) or that equal the original are walked over; the walk stays on the
-permutation's cycle, so it keeps what is distinct apart.  ``collisions`` checks
-that over a whole table.
+Entities are found in the whole text and replaced one for one.  All valid
+values of a form (the numbers that an octet can be, letters by vowel and
+consonant, all but the check digits of a card) stand in a keyed order, and each
+is replaced by the one after it, the last by the first.  So a surrogate is
+valid, is never the original, is the same for one entity in every document and
+never shared by two, without a table of all entities.  ``with_collisions``
+checks that over a whole table.
 """
 
 from __future__ import annotations
@@ -15,13 +14,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 # Given names whose gender is taken as known; the surrogate comes from the same list.
 FEMALE = "Abigail Adriana Agnes Alexandra Alice Amanda Amelia Amy Ana Angela Angelika Anita Anna Anne Antonia Ashley Astrid Aurelie Aurélie Barbara Beatrice Betty Birgit Brenda Brigitte Camille Carla Carmen Carol Caroline Catherine Cecile Charlotte Chloe Chloé Christina Christine Claire Clara Claudia Cristina Cynthia Cécile Deborah Debra Diana Diane Donna Dorothy Elena Elisabeth Elizabeth Ella Ellen Emily Emma Erika Eva Florence Francoise Franziska Françoise Gabriele Gisela Gloria Hanna Hannah Heather Heike Helen Helena Helene Hélène Ines Ingrid Inés Irene Irma Isabel Isabella Jacqueline Jane Janet Janice Jennifer Jessica Joan Johanna Joyce Judith Julia Julie Juliette Karen Karin Katharina Kathleen Kelly Kimberly Laura Lea Lena Leonie Linda Lisa Louise Lucia Lucie Lucy Lucía Léa Magdalena Manon Margaret Margarita Maria Marie Marina Marta Martha Martina Mary María Mathilde Megan Melissa Mia Michelle Monika Mónica Nadia Nancy Natalia Nathalie Nicole Nina Olivia Pamela Patricia Paula Pauline Petra Pilar Rachel Rebecca Renate Rosa Rosario Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Simone Sofia Sofía Sophie Stefanie Stephanie Susan Susanne Sylvie Teresa Theresa Ursula Ute Valerie Vanessa Veronica Victoria Virginia Virginie Yvonne Zoe Zoé".split()
@@ -35,26 +35,33 @@ _TITLES = {"Mr": "m", "Herr": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms":
 _GIVEN = "|".join(sorted(_GENDER, key=lambda x: (-len(x), x)))
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _SURNAME = rf"(?![а-яё]){_CAP}"
+#: Without a title or a listed given name, two or three capitalised words are a name after these words or before those.
+_BEFORE = "Dear|Name|Author|Contact|Signed|[Ww]ritten by|[Ss]igned by|[Rr]egards,|Sincerely,|Liebe|Lieber|Cher|Chère|Querido|Querida|Estimado|Estimada|Уважаемый|Уважаемая"
+_SPEAKS = "wrote|writes|said|says|asked|replied|told|added|explained|schrieb|sagte|fragte|antwortete|escribió|dijo|respondió|écrit|déclare|répond|написал|написала|сказал|сказала|ответил|ответила"
+_NO_NAME = "The|A|An|In|On|At|But|And|As|So|If|When|Then|Yesterday|Today|Later|He|She|It|They|We|You|I|Das|Der|Die|Ein|Eine|Und|Aber|El|La|Los|Las|Y|Pero|Le|Les|Et|Mais|И|Но|А"
+_FULL = rf"(?!(?:{_NO_NAME}) )(?:{_CAP}|[A-ZА-ЯЁ]\.)(?: (?:{_CAP}|[A-ZА-ЯЁ]\.)){{0,1}} {_CAP}"
+_ARTICLE = re.compile(r"(?i:(?<!\w)(?:the|an?|das|der|die|eine?|el|la|los|las|les?) )$")
 #: Digits that a number can have at most, with the country code; 15 in other countries.
 _DIGITS_OF = {"1": 11, "7": 11, "33": 11, "34": 11, "44": 12, "49": 13}
 
 #: In the order in which they win where two begin at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|auth)\b["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9+/_=-]{8,})""",
+    "secret": r"""(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|auth)\b["']?\s*[:=]\s*["']?)(?P<secret>[A-Za-z0-9+/_=-]{8,}|(?=[A-Za-z+/_=-]*\d)[A-Za-z0-9+/_=-]{4,7})""",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12}(?!\d))){1,8}|\(\d{3,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?<![/-])(?!\d\d(?P<date>[./-])\d\d(?P=date)(?:\d\d|\d{4})(?!\d|(?P=date)\d))(?:00?[1-9]\d{0,3}|\(0[1-9]\d{0,3}\))[ ./-]+\d{1,8}(?:[ .-]\d{1,8}){0,5})(?!\w|\.\d)",
-    "person": rf"(?<!\w)(?:(?P<title>{'|'.join(_TITLES)})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{_GIVEN})(?:-{_SURNAME})?(?: (?:{_GIVEN}|[A-ZА-ЯЁ]\.|{_SURNAME}(?<=вич|вна|чна)))* (?P<family>{_SURNAME}))(?!\w)",
+    "person": rf"(?<!\w)(?:(?P<title>{'|'.join(_TITLES)})\.? (?P<titled>{_CAP}(?: {_CAP})?)|(?P<given>{_GIVEN})(?:-{_SURNAME})?(?: (?:{_GIVEN}|[A-ZА-ЯЁ]\.|{_SURNAME}(?<=вич|вна|чна)))* (?P<family>{_SURNAME})|(?:{_BEFORE}):? (?P<after>{_FULL})|(?P<before>{_FULL})(?= (?:{_SPEAKS})(?!\w)))(?!\w)",
 }
 _PLAIN_PHONE = re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?!\w|\.\d)")
 _ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: Entities are looked for around these only: digits and @, words before secrets, titles and known names.
 _DIGITS = re.compile(r"[\d@](?:[\d ().+@-]*[\d@])?")
 _KEYWORDS = ("key", "secret", "token", "passw", "auth")
-_KEYWORD = re.compile("|".join(_KEYWORDS))
+_KEYWORD = re.compile(rf"""(?i:{'|'.join(_KEYWORDS)})\w*["']?\s*[:=]\s*["']?\S*""")
+_CONTEXT = re.compile(rf"(?<!\w)(?:(?:{_BEFORE})|(?:{_SPEAKS})(?!\w))")
 _CAPITAL = re.compile(r"\b[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+")
 _NAME = re.compile(_CAP)
 _KNOWN = frozenset([*_GENDER, *_TITLES])
@@ -65,9 +72,10 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
     """Parts of a text outside of which no entity can lie; they begin and end at white space."""
     at = [m.span() for m in _DIGITS.finditer(text)]
     low = text.lower()
-    if any(k in low for k in _KEYWORDS) and len(low) == len(text):
-        at += [m.span() for m in _KEYWORD.finditer(low)]
+    if any(k in low for k in _KEYWORDS):
+        at += [m.span() for m in _KEYWORD.finditer(text)]  # in the text itself: small letters can differ in length
     at += [m.span() for m in _CAPITAL.finditer(text) if m[0] in _KNOWN]
+    at += [m.span() for m in _CONTEXT.finditer(text)]
     lo = hi = -1
     for start, end in sorted(at):
         if start > hi:
@@ -116,59 +124,93 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def mod97(iban: str) -> bool:
-    turned = iban[4:] + iban[:4]
-    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+    """Check digits go from 02 to 98, so that each account has one."""
+    return "02" <= iban[2:4] <= "98" and _mod97(iban) == 1
+
+
+class Alphabet:
+    """The values of one place, in a fixed order."""
+
+    def __init__(self, values):
+        self.values = list(values)
+        self.index = {v: i for i, v in enumerate(self.values)}
+        self.name = f"{len(self.values)}:{self.values[0]}"
 
 
-def _form(char: str) -> tuple[int, int] | None:
-    """(first code point, how many) of the class that a character is replaced within; None: it stays."""
-    if "0" <= char <= "9":
-        return 48, 10
-    if "a" <= char <= "z":
-        return 97, 26
-    if "A" <= char <= "Z":
-        return 65, 26
-    for lo, n in ((0x430, 32), (0x410, 32), (0x3B1, 17), (0x391, 17), (0x4E00, 0x5000), (0xAC00, 11172), (0x3041, 86), (0x30A1, 90), (0x5D0, 27), (0x621, 26)):
-        if lo <= ord(char) < lo + n:
-            return lo, n
-    return None
+def _spread(lo: int, n: int) -> str:
+    return "".join(chr(lo + i) for i in range(n))
+
+
+_DIGIT, _AREA_DIGIT = Alphabet("0123456789"), Alphabet("23456789")
+_LETTERS = [Alphabet(x) for x in (_spread(97, 26), _spread(65, 26), _spread(0x430, 32), _spread(0x410, 32), _spread(0x3B1, 17), _spread(0x391, 17), _spread(0x4E00, 0x5000), _spread(0xAC00, 11172), _spread(0x3041, 86), _spread(0x30A1, 90), _spread(0x5D0, 27), _spread(0x621, 26))]
+_LETTER = {c: x for x in reversed(_LETTERS) for c in x.values}
+#: In names vowels stay vowels and consonants stay consonants, so that what comes out can be spoken.
+_SOUNDS = [Alphabet(y) for x in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèéêëìíîïòóôöùúûü", "çñ", "аеёиоуыэюя", "бвгджзклмнпрстфхцчшщ") for y in (x, x.upper())]
+_SOUND = {c: x for x in _SOUNDS for c in x.values}
+_OCTETS = {"first": [Alphabet(map(str, r)) for r in (range(1, 10), range(10, 100), range(100, 224), range(224, 256))], "other": [Alphabet(map(str, r)) for r in (range(10), range(10, 100), range(100, 256))]}
+_SSN = [(Alphabet(f"{k:03}" for k in range(1, 1000) if k != 666), Alphabet(["000", "666"])), (Alphabet(f"{k:02}" for k in range(1, 100)), Alphabet(["00"])), (Alphabet(f"{k:04}" for k in range(1, 10_000)), Alphabet(["0000"]))]
+#: None of them ends in another, so a name has one at most; it shows the gender and stays.
+_ENDING = re.compile(r"(?<=\w\w)(?:ский|ская|ович|евич|овна|евна|ова|ева|ина|ов|ев|ин)$")
+
+
+def _form(char: str) -> Alphabet | None:
+    """The class that a character is replaced within; None: it stays."""
+    return _DIGIT if char in _DIGIT.index else _LETTER.get(char)
 
 
 class Permutation:
-    """A keyed permutation of the strings of one form: unbalanced Feistel rounds over their mixed-radix number."""
+    """A keyed order of all values of a form (an alphabet for each place) and in it the value after each.
 
-    def __init__(self, key: bytes, kind: str, form: tuple):
-        self.key = hashlib.blake2b(repr((kind, form)).encode(), key=key[:64], digest_size=32).digest()
+    The place of a value in the order comes from Feistel rounds over its
+    mixed-radix number, and they are undone for the next place.  One place
+    alone has its values sorted by a keyed hash.
+    """
+
+    def __init__(self, key: bytes, kind: str, form: tuple[Alphabet, ...]):
+        self.key = hashlib.blake2b(repr((kind, [a.name for a in form])).encode(), key=key[:64], digest_size=32).digest()
         self.form = form
-        half = len(form) // 2
-        self.left = 1
-        for _, n in form[:half]:
-            self.left *= n
-        self.right = 1
-        for _, n in form[half:]:
-            self.right *= n
+        sizes = [len(a.values) for a in form]
+        half = next((k for k in range(1, len(sizes)) if prod(sizes[:k]) ** 2 >= prod(sizes)), len(sizes) - 1)
+        self.left, self.right = prod(sizes[:half]), prod(sizes[half:])
+        self.order = None
+        if min(self.left, self.right) == 1:
+            self.order = sorted(range(self.left * self.right), key=lambda k: self._round(0, k))
+            self.place = {k: i for i, k in enumerate(self.order)}
 
     def _round(self, i: int, half: int) -> int:
         return int.from_bytes(hashlib.blake2b(half.to_bytes((half.bit_length() + 8) // 8, "big"), key=self.key, salt=bytes([i]), digest_size=32).digest(), "big")
 
-    def __call__(self, text: str) -> str:
-        number = 0
-        for c, (lo, n) in zip(text, self.form, strict=True):
-            number = number * n + ord(c) - lo
+    def _after(self, number: int) -> int:
+        if self.order is not None:
+            return self.order[(self.place[number] + 1) % len(self.order)]
         a, b = divmod(number, self.right)
         for i in range(8):
             if i % 2:
                 b = (b + self._round(i, a)) % self.right
             else:
                 a = (a + self._round(i, b)) % self.left
-        if self.left == 1:
-            b = (b + self._round(8, 0)) % self.right
-        number, out = a * self.right + b, []
-        for lo, n in reversed(self.form):
-            number, d = divmod(number, n)
-            out.append(chr(lo + d))
-        return "".join(reversed(out))
+        a, b = divmod((a * self.right + b + 1) % (self.left * self.right), self.right)
+        for i in reversed(range(8)):
+            if i % 2:
+                b = (b - self._round(i, a)) % self.right
+            else:
+                a = (a - self._round(i, b)) % self.left
+        return a * self.right + b
+
+    def __call__(self, values: Sequence[str]) -> list[str]:
+        number, out = 0, []
+        for v, a in zip(values, self.form, strict=True):
+            number = number * len(a.values) + a.index[v]
+        number = self._after(number)
+        for a in reversed(self.form):
+            number, d = divmod(number, len(a.values))
+            out.append(a.values[d])
+        return out[::-1]
 
 
 class Surrogates:
@@ -177,36 +219,37 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.known: dict[tuple[str, str], str] = {}
+        self.orders: dict[tuple, Permutation] = {}
         self.turned: dict[str, str] = {}
 
-    def _permute(self, kind: str, text: str, valid=lambda x: True, fixed: int = 0) -> str:
+    def _moved(self, kind: str, values: Sequence[str], forms: Sequence[Alphabet | None]) -> list[str]:
+        """The values after these; those without an alphabet stay."""
+        form = tuple(f for f in forms if f)
+        if not form:
+            return list(values)
+        if (move := self.orders.get((kind, form))) is None:
+            if len(self.orders) >= 4096:
+                self.orders.clear()
+            move = self.orders[kind, form] = Permutation(self.key, kind, form)
+        rest = iter(move([v for v, f in zip(values, forms, strict=True) if f]))
+        return [next(rest) if f else v for v, f in zip(values, forms, strict=True)]
+
+    def _text(self, kind: str, text: str, fixed: int = 0) -> str:
         """Letters and digits of ``text`` after the first ``fixed`` characters, moved within their classes."""
-        forms = [_form(c) if i >= fixed else None for i, c in enumerate(text)]
-        core = "".join(c for c, f in zip(text, forms, strict=True) if f)
-        if not core:
-            return text
-        move = Permutation(self.key, kind, tuple(f for f in forms if f))
-
-        def put(new: str) -> str:
-            rest = iter(new)
-            return "".join(next(rest) if f else c for c, f in zip(text, forms, strict=True))
-
-        now = core
-        for _ in range(2000):
-            now = move(now)
-            if now == core:  # the whole cycle holds no other valid string
-                break
-            if valid(put(now)):
-                return put(now)
-        return put(move(core))
-
-    def _name(self, word: str, gender: str) -> str:
+        return "".join(self._moved(kind, text, [_form(c) if i >= fixed else None for i, c in enumerate(text)]))
+
+    def _name(self, word: str, gender: str = "") -> str:
         if names := _LISTED.get(word):
             if word not in self.turned:
                 order = sorted(names, key=lambda n: hmac.new(self.key, f"{_GENDER[n]}{n}".encode(), "sha256").digest())
                 self.turned |= zip(order, order[1:] + order[:1], strict=True)  # one cycle: never itself, never shared
             return self.turned[word]
-        return self._permute("name", word, lambda x: x not in _LISTED)
+        ending = m[0] if (m := _ENDING.search(word)) else ""
+        stem = word[: len(word) - len(ending)]
+        while True:  # over given names, whose places belong to given names; the cycle leads back to this one at last
+            stem = "".join(self._moved("name", stem, [_SOUND.get(c) or _LETTER.get(c) for c in stem]))
+            if stem + ending not in _LISTED:
+                return stem + ending
 
     def replace(self, kind: str, text: str, gender: str = "") -> str:
         if (got := self.known.get((kind + gender, text))) is not None:
@@ -214,32 +257,43 @@ class Surrogates:
         if kind == "email":
             local, _, domain = text.rpartition("@")
             stem, _, top = domain.rpartition(".")
-            new = self._permute("email", f"{local}@{stem}") + "." + top
+            new = self._text("email", f"{local}@{stem}") + "." + top
         elif kind == "ip":
             octets = text.split(".")
-            fine = lambda x: all(p == str(int(p)) and int(p) < 256 for p in x.split(".")) and 0 < int(x.split(".")[0]) < 224
-            new = self._permute("ip", text, fine) if fine(text) else self._permute("ip", text, lambda x: all(int(p) < 256 for p in x.split(".")) and not fine(x))
-            assert len(octets) == 4
+            forms = [next((a for a in _OCTETS["other" if k else "first"] if v in a.index), None) for k, v in enumerate(octets)]
+            new = ".".join(self._moved("ip", octets, forms))
+        elif kind == "ssn":
+            parts = text.split("-")
+            new = "-".join(self._moved("ssn", parts, [next(a for a in both if v in a.index) for v, both in zip(parts, _SSN, strict=True)]))
         elif kind == "card":
-            new = self._permute("card", text, lambda x: luhn(re.sub(r"\D", "", x)), fixed=1)
+            *most, last = (i for i, c in enumerate(text) if c.isdigit())
+            new = self._text("card", text[:last], fixed=1)
+            new += next(d for d in "0123456789" if luhn(re.sub(r"\D", "", new) + d)) + text[last + 1 :]
         elif kind == "iban":
-            new = self._permute("iban", text, lambda x: mod97(x.replace(" ", "")), fixed=2)
+            new = self._text("iban", text, fixed=4)
+            new = f"{new[:2]}{98 - _mod97(re.sub(' ', '', f'{new[:2]}00{new[4:]}')):02}{new[4:]}"
         elif kind == "phone":
-            new = self._permute("phone", text, fixed=len(re.match(r"\+?\d{0,3}", text)[0]) if text[0] == "+" else 0)
+            fixed = len(re.match(r"\+\d{0,3}|", text)[0])
+            digits = [i for i, c in enumerate(text) if c.isdigit() and i >= fixed]
+            first = next((i for i in digits if text[i] != "0"), len(text))  # zeros before it are the prefix
+            forms = [None if i < first else _AREA_DIGIT if i == first and c in _AREA_DIGIT.index else None if i == first else _form(c) for i, c in enumerate(text)]
+            new = "".join(self._moved("phone", text, forms))
         elif kind == "person":
-            new = " ".join(self._name(w, gender) for w in text.split(" "))
+            new = " ".join(self._name(w) for w in text.split(" "))
         else:
-            new = self._permute(kind, text)
+            new = self._text(kind, text)
         if len(self.known) < 1 << 16:
             self.known[kind + gender, text] = new
         return new
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, gender) of the entities, in text order."""
-        out = []
+        out, at = [], 0
         for lo, hi in regions(text):
-            at = lo
-            while m := _ALL.search(text, at, hi):
+            at = max(at, lo)
+            while at < hi and (m := _ALL.search(text, at, hi)):
+                if m.end() == hi < len(text):
+                    m = _ALL.match(text, m.start()) or m  # it may go on beyond the region
                 kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
                 start, end, gender, at = *m.span(), "", m.end()
                 if kind == "secret":
@@ -259,6 +313,11 @@ class Surrogates:
                     if m["title"]:
                         start, end = m.span("titled")
                         gender = _TITLES[m["title"]] or self._gender(m["titled"].split(" ")[0])
+                    elif own := next((x for x in ("after", "before") if m[x]), ""):
+                        start, end = m.span(own)
+                        if own == "before" and _ARTICLE.search(text[max(0, start - 6) : start]):  # a house, not a person
+                            continue
+                        gender = self._gender(text[start:end].split(" ")[0])
                     else:
                         gender = self._gender(m["given"])
                     if text[end - 2 : end] in ("'s", "’s"):
@@ -331,8 +390,28 @@ def surrogate_text(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: st
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, entities array<struct<start:bigint,length:bigint,kind:string,gender:string,surrogate:string,entity:string>>")
 
 
+def with_collisions(replaced: DataFrame) -> DataFrame:
+    """A row for each entity of the rows that ``surrogate_text`` returns: doc_id, the entity's fields, and ``collides``.
+
+    collides: whether another entity of the kind has the same surrogate, or the
+    entity another surrogate elsewhere: never, if all is well.  What is joined
+    back are the colliding values alone; values that stand in very many rows
+    are aggregated before they are shuffled.
+    """
+    rows = cut(replaced.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*"), "surrogates")
+    both = None
+    for own, other in (("surrogate", "entity"), ("entity", "surrogate")):
+        found = rows.groupBy("kind", F.col(own).alias("value")).agg(F.min(other).alias("a"), F.max(other).alias("b")).where("a <> b").select(F.col("kind").alias("_kind"), F.lit(own).alias("_of"), F.col("value").alias("_value"))
+        both = found if both is None else both.union(found)
+    both = cut(both, "surrogate-collisions")
+    if both.isEmpty():
+        return rows.withColumn("collides", F.lit(False))
+    for own in ("surrogate", "entity"):
+        bad = both.where(F.col("_of") == own).select("_kind", F.col("_value").alias(f"_{own}"))
+        rows = rows.join(bad, (F.col("kind") == F.col("_kind")) & (F.col(own) == F.col(f"_{own}")), "left").drop("_kind")
+    return rows.withColumn("collides", F.col("_surrogate").isNotNull() | F.col("_entity").isNotNull()).drop("_surrogate", "_entity")
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
-    """Surrogates of one kind that stand for more than one entity, and entities with more than one surrogate: none, if all is well."""
-    rows = replaced.select(F.explode("entities").alias("e")).select("e.kind", "e.surrogate", "e.entity").distinct()
-    shared = rows.groupBy("kind", F.col("surrogate").alias("value")).count().where(F.col("count") > 1)
-    return shared.union(rows.groupBy("kind", F.col("entity").alias("value")).count().where(F.col("count") > 1))
+    """The rows of ``with_collisions`` that collide."""
+    return with_collisions(replaced).where("collides")

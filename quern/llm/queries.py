@@ -51,9 +51,8 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each entity: where it stands in which document, what it is and what replaces it."""
-    rows = pii.surrogate_text(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
-    return rows.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    """A row for each entity: where it stands in which document, what it is, what replaces it, and whether another entity has the same surrogate."""
+    return pii.with_collisions(pii.surrogate_text(_table(spark, sf_dir, "documents"), SURROGATE_KEY))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

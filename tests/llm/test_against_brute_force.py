@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -299,19 +300,113 @@ def test_names_and_their_mentions():
     assert new["Иван Петрович Сидоров"].split()[0] in pii.MALE_CYRILLIC and len({s.replace("person", given[a:b], g) for a, b, _, g in s.find(given) if given[a:b] == "James"}) == 1
 
 
-@pytest.mark.parametrize("form", ["00", "000", "a0", "aaa"])
-def test_permutation_is_one(form):
-    classes = tuple((48, 10) if c == "0" else (97, 26) for c in form)
+@pytest.mark.parametrize("form", ["0", "a", "00", "000", "a0", "aaa", "ba"])
+def test_permutation_is_one_cycle(form):
+    """Every value of a form is reached once, and none is its own surrogate."""
+    classes = tuple(pii._form(c) for c in form)
     move = pii.Permutation(b"k", "t", classes)
-    total = int(np.prod([n for _, n in classes]))
-    from itertools import product
-
-    assert len({move("".join(x)) for x in product(*["".join(chr(lo + i) for i in range(n)) for lo, n in classes])}) == total
+    made = {x: "".join(move(x)) for x in map("".join, product(*[a.values for a in classes]))}
+    assert set(made.values()) == set(made) and not any(a == b for a, b in made.items())
+    assert made != {x: "".join(pii.Permutation(b"other", "t", classes)(x)) for x in made}
+
+
+def made_entities(r):
+    """One valid entity of each kind."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    card = r.choice("3456") + digits(r.choice([13, 14, 15]) - 1)
+    card += next(d for d in "0123456789" if pii.luhn(card + d))
+    account = r.choice(["DE", "GB", "FR"]) + "00" + digits(18)
+    iban = account[:2] + f"{98 - pii._mod97(account):02}" + account[4:]
+    return {
+        "ip": ".".join(str(r.randrange(1 if not k else 0, 224 if not k else 256)) for k in range(4)), "card": card, "iban": " ".join(iban[k : k + 4] for k in range(0, len(iban), 4)) if r.random() < 0.5 else iban,
+        "ssn": f"{r.choice([x for x in range(1, 1000) if x != 666]):03}-{r.randrange(1, 100):02}-{r.randrange(1, 10000):04}", "email": f"{r.choice('abcxyz')}{digits(3)}.{r.choice(['kim', 'lee'])}@mail{digits(2)}.example.org",
+        "phone": f"+1 ({r.randrange(200, 1000)}) {r.randrange(200, 1000)}-{digits(4)}", "secret": "".join(r.choice("abcdef0123456789") for _ in range(24)),
+        "person": f"{r.choice([*pii.FEMALE, *pii.MALE])} {r.choice('Brown Smith Keller Novak Moreau Okafor Lindqvist Yamada'.split())}",
+    }
+
+
+def is_valid(kind, text):
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(p == str(int(p)) and int(p) < 256 for p in parts) and 0 < int(parts[0]) < 224
+    if kind == "card":
+        return pii.luhn(text) and text.isdigit()
+    if kind == "iban":
+        return pii.mod97(text.replace(" ", ""))
+    if kind == "ssn":
+        a, b, c = text.split("-")
+        return a not in ("000", "666") and b != "00" and c != "0000" and (len(a), len(b), len(c)) == (3, 2, 4)
+    if kind == "phone":
+        return bool(re.fullmatch(r"\+1 \([2-9]\d\d\) \d{3}-\d{4}", text))
+    return bool(text.strip())
+
+
+def test_surrogates_are_valid():
+    """Of thousands of entities of each kind every surrogate is valid, another text, found as the same kind, and no other's."""
+    r, s, made = random.Random(3), pii.Surrogates(b"quern surrogate key"), defaultdict(dict)
+    for _ in range(4000):
+        for kind, text in made_entities(r).items():
+            made[kind][text] = s.replace(kind, text)
+    for kind, pairs in made.items():
+        assert len(set(pairs.values())) == len(pairs) and not any(a == b or len(a) != len(b) for a, b in pairs.items() if kind != "person"), kind
+        assert all(is_valid(kind, x) for x in pairs.values()), kind
+        again = [x for x in list(pairs.values())[:500] if [x] != [(f"token: {x}" if kind == "secret" else x)[a:b] for a, b, k, _ in s.find(f"token: {x}" if kind == "secret" else x) if k == kind]]
+        assert len(again) <= (25 if kind == "person" else 0), (kind, again[:5])
+    odd = ["803.1.1.1", "224.0.0.1", "0.0.0.0", "01.2.3.4", "000-00-0000", "666-12-3456"]
+    assert s.replace("ip", "224.0.0.1").startswith("2") and len({s.replace("ssn", x) for x in odd[4:]}) == 2
+
+
+def planted_texts(r, n):
+    words = "stone river under green walks often while paper light moves seven other below quiet turns".split()
+    for _ in range(n):
+        parts, own = [], []
+        for kind, text in made_entities(r).items():
+            parts += [r.choice(words) for _ in range(r.randrange(3, 60))]
+            parts.append(f"{r.choice(['secret', 'API_KEY', 'password'])}={text}" if kind == "secret" else text)
+            own.append((kind, text))
+        parts += ["then", "the", "version", "1.2.3", "of", "2024-01-02", "costs", "1,234.50", "and", "serial", "1234567812345678", "ends"]
+        yield " ".join(parts), own
+
+
+def test_what_is_found():
+    """Recall and precision over planted entities, with numbers between them that are none."""
+    r, s = random.Random(9), pii.Surrogates(b"k")
+    hit = found = wanted = 0
+    for text, own in planted_texts(r, 300):
+        got = Counter((k, text[a:b]) for a, b, k, _ in s.find(text))
+        hit += sum((got & Counter(own)).values())
+        found += sum(got.values())
+        wanted += len(own)
+    assert hit >= 0.97 * wanted and hit >= 0.97 * found, (hit, wanted, found)
+
+
+def test_regions_lose_nothing(texts, monkeypatch):
+    """What is found around triggers is what is found in the whole text."""
+    s, r = pii.Surrogates(b"k"), random.Random(4)
+    some = [*texts.values(), *(t for t, _ in planted_texts(r, 30)), "password" + " " * 300 + "= hunter22", "İİİ our secret=abcdefghijkl here", "x" * 200 + "@" + "y" * 200 + ".org"]
+    near = [s.find(t) for t in some]
+    monkeypatch.setattr(pii, "regions", lambda text: [(0, len(text))])
+    assert near == [s.find(t) for t in some] and all(near[-3:])
+
+
+def test_names_by_context_and_short_secrets():
+    s = pii.Surrogates(b"key")
+    found = lambda t: [(t[a:b], k) for a, b, k, _ in s.find(t)]
+    assert found("Yesterday Ravi Kumar wrote that Author: Ngozi Okafor met Kumar.") == [("Ravi Kumar", "person"), ("Ngozi Okafor", "person"), ("Kumar", "person")]
+    assert found("password: short1 and token=\"a1b2\"; the secret: nothing") == [("short1", "secret"), ("a1b2", "secret")]
+    assert found("The Big House said nothing. When Time told") == []
+    new = [s.replace("person", x) for x in ("Brown", "Петрова", "Сидоров")]
+    assert re.fullmatch(r"[B-DF-HJ-NP-TV-Z][b-df-hj-np-tv-z][aeiou][b-df-hj-np-tv-z]{2}", new[0]) and new[1].endswith("ова") and new[2].endswith("ов")
 
 
 def test_surrogates_over_the_table(spark, docs, texts):
     out = pii.surrogate_text(docs, b"k").cache()
-    assert pii.collisions(out).count() == 0
+    rows = pii.with_collisions(out).collect()
+    assert len(rows) == sum(len(r.entities) for r in out.collect()) and not any(r.collides for r in rows)
+    some = out.where("size(entities) > 0").orderBy("doc_id").limit(5)
+    twice = out.union(some.withColumn("entities", F.transform("entities", lambda e: e.withField("entity", F.lit("another")))))
+    wrong = {r.surrogate for r in some.select(F.explode("entities").alias("e")).select("e.*").collect()}
+    assert wrong and {r.surrogate for r in pii.collisions(twice).collect()} >= wrong
     for r in out.collect():
         text, shift = texts[r.doc_id], 0
         for e in r.entities:
