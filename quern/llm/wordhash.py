@@ -4,21 +4,20 @@ Words are the maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z is
 lower-cased, nothing else is changed.  UTF-8 never uses those bytes inside a
 multi-byte character, so byte runs and code-point runs are the same words.
 
-Everything here is plain numpy on one block of text at a time, so memory is
-bounded by the block and not by the table.
+Everything here is plain numpy on one text at a time, so memory is bounded by
+the text and not by the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-BLOCK_BYTES = 1 << 20
+_ODD = 0x9E3779B97F4A7C15
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,23 +38,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random 64-bit value for every byte; A-Z share those of a-z.
-_TABLE = mix64(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
-
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, b in enumerate((_BASE, inverse)):
-            p = np.full(size, b & _MASK, dtype=_U)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+#: A-Z as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: The low bytes that a word's last eight bytes have, by their number.
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
+#: Longer words are hashed one by one.
+LONG_WORD = 128
 
 
 def word_spans(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +57,27 @@ def word_spans(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray
 
 
 def hash_words(data: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
-    """One 64-bit hash for each word of a text, in text order."""
+    """One 64-bit hash for each word of a text, in text order.
+
+    A word's length and its bytes, eight at a time, go through a bijection of
+    64-bit words each; words of over ``LONG_WORD`` bytes through BLAKE2.
+    """
     start, end = word_spans(data, space)
     if not len(start):
         return np.zeros(0, dtype=_U)
-    parts = []
-    lo = 0
-    while lo < len(start):  # blocks of whole words
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + BLOCK_BYTES)))
-        first, last = int(start[lo]), int(end[hi - 1])
-        power, inverse = _powers(last - first + 1)
-        run = np.zeros(last - first + 1, dtype=_U)
-        np.cumsum(_TABLE[data[first:last]] * power[:-1], out=run[1:])
-        s, e = start[lo:hi] - first, end[lo:hi] - first
-        parts.append(mix64((run[e] - run[s]) * inverse[s] + (e - s).astype(_U)))
-        lo = hi
-    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+    size = end - start
+    low = np.zeros(len(data) + 8, dtype=np.uint8)
+    np.take(_LOWER, data, out=low[: len(data)], mode="clip")
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=low.data, strides=(1,))
+    out = mix64((eight[start] & _KEPT[np.minimum(size, 8)]) + size.astype(_U) * _U(_ODD))
+    left, at = np.flatnonzero(size > 8), 8
+    while len(left) and at < LONG_WORD:
+        out[left] = mix64(mix64(eight[start[left] + at] & _KEPT[np.minimum(size[left] - at, 8)]) + out[left] * _U(_ODD))
+        at += 8
+        left = left[size[left] > at]
+    for k in left:
+        out[k] = int.from_bytes(blake2b(low[start[k] : end[k]].data, digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
