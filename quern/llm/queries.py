@@ -183,13 +183,16 @@ WITH t AS (
 ), l AS (
   SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t
 ), w AS (
-  SELECT *, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@/\\]') THEN chr(10) ELSE x END) AS w FROM l
+  SELECT *, list_transform(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@/\\]') THEN chr(10) ELSE x END) AS w FROM l
+), q AS (
+  SELECT unnest([[]::INT[], [0], [1], [2], [3], [0, 1], [0, 2], [0, 3], [1, 2], [1, 3], [2, 3]]) AS q
 ), k AS (
-  SELECT *, len(w) AS n, 3 + (len(w) - 2) // 2 AS half FROM w WHERE len(w) >= 5
+  SELECT text, place, q, w, list_transform(w, lambda x, i: CASE WHEN i > 1 AND list_has_any(q, list_filter([0, 1, 2, 3], lambda z: i > 1 + (len(w) - 1) * z // 4 AND i <= 1 + (len(w) - 1) * (z + 1) // 4)) THEN chr(13) ELSE x END) AS t,
+    len(list_filter(q, lambda z: (len(w) - 1) * (z + 1) // 4 > (len(w) - 1) * z // 4)) = len(q) AS fits
+  FROM w, q WHERE len(w) > 0 AND (len(w) >= 5 OR len(q) = 0)
 ), m AS (
-  SELECT text, place, [n::VARCHAR, 'all', array_to_string(w, ' ')] AS template FROM k
-  UNION ALL SELECT text, place, [n::VARCHAR, 'early', array_to_string(w[1 : half - 1], ' ')] FROM k WHERE half - 3 >= 5
-  UNION ALL SELECT text, place, [n::VARCHAR, 'late', array_to_string(w[1 : 2] || w[half : n], ' ')] FROM k WHERE n - half + 1 >= 5
+  SELECT text, place, [q::VARCHAR, array_to_string(t, ' ')] AS template FROM k
+  WHERE fits AND 2 * len(list_filter(t, lambda x: x NOT IN (chr(10), chr(13)))) >= len(w) AND (len(q) = 0 OR len(list_filter(t, lambda x: x NOT IN (chr(10), chr(13)))) >= 5)
 ), o AS (
   SELECT template FROM m GROUP BY 1 HAVING count(DISTINCT text) >= 3
 ), g AS (

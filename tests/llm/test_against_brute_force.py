@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -236,18 +236,16 @@ def test_units_cover_the_text(texts, monkeypatch):
     assert all([u for some in token_counts.units(texts[i].encode()) for u in some] == u for i, u in whole.items())
 
 
-def plain_templates(text, lead=2, least=5):
+def plain_templates(text, least=5):
     for k, line in enumerate(text.split("\n")):
         tokens = ["*" if re.search(r"[0-9@/\\]", w) else lower(w) for w in WORDS.findall(line)]
-        if len(tokens) < least:
-            continue
-        head, rest = tuple(tokens[:lead]), tokens[lead:]
-        half = len(rest) // 2
-        yield k, (len(tokens), head, tuple(rest), "all")
-        if half >= least:
-            yield k, (len(tokens), head, tuple(rest[:half]), "early")
-        if len(rest) - half + 0 >= least:
-            yield k, (len(tokens), head, tuple(rest[half:]), "late")
+        n = len(tokens)
+        for some in ((), *combinations(range(4), 1), *combinations(range(4), 2)):
+            spans = [range(1 + (n - 1) * q // 4, 1 + (n - 1) * (q + 1) // 4) for q in some]
+            shown = ["?" if any(i in x for x in spans) else t for i, t in enumerate(tokens)]
+            stay = sum(t not in "*?" for t in shown)
+            if n and all(spans) and 2 * stay >= n and (not some or stay >= least):
+                yield k, (some, *shown)
 
 
 def test_line_templates(spark, docs, texts):
@@ -264,6 +262,18 @@ def test_line_templates(spark, docs, texts):
         assert (r.n_lines, r.n_dropped) == (len(lines), len(drop)) and r.text == "\n".join(x for k, x in enumerate(lines) if k not in drop)
 
 
+def test_lines_that_vary():
+    """Which lines fall together: any field in two quarters at most, short lines as a whole; not tables, not a few common words."""
+    names, hosts = "alice bob carol dan eve".split(), "alpha beta gamma delta omega".split()
+    same = [
+        [f"User {n} logged in from host {h} on the main gateway" for n, h in zip(names, hosts, strict=True)], ["All rights reserved."] * 5, [f"Connection to server closed by user {n}" for n in names],
+        [f"Retry {k} of job {k * 7} failed with code {k % 3}" for k in range(5)], ["one two three four five six seven eight nine ten"] * 5,
+    ]
+    apart = [[f"{k} {k * 3} {k * 5} {k * 7}" for k in range(5)], [f"the {n} of the {h}" for n, h in zip(names, hosts, strict=True)], [f"{n} went to the house of her friends" for n in names], [f"{n} saw {h} and {n}{h} near the {h}{n} house" for n, h in zip(names, hosts, strict=True)], [" \t "] * 5]
+    keys = lambda t: set(line_templates.templates(np.frombuffer(t.encode(), np.uint8), 1, 5)[1].tolist())
+    assert all(set.intersection(*map(keys, x)) for x in same) and not any(keys(a) & keys(b) for x in apart for i, a in enumerate(x) for b in x[:i])
+
+
 def test_surrogates():
     s = pii.Surrogates(b"key")
     given = "Mail a.b@x1.org, Mrs. Emma Brown or Emma Brown, Mr. Karl Braun, +1 (017) 555-7713 and 4845168114407329, 97.51.17.173; token = \"ab12cd34ef\" card 1234567812345678"
