@@ -29,6 +29,9 @@ UNKNOWN = "und"
 BLOCK = 1 << 19
 #: A text may cost so many times what all but a hundredth of held-out texts cost a byte, and so many bits more (a key or a card number in a short text).
 TIMES, MORE_BITS = 2.0, 256
+#: The bytes of a text depend on each other: for the score its code lengths count as those of so many bytes at most.
+EVIDENCE = 8
+MOST_LANGUAGES = 1000
 
 
 def grams(data: np.ndarray, length: int, pad: int) -> np.ndarray:
@@ -168,30 +171,36 @@ def train(texts: dict[str, list[bytes]], order: int) -> Model:
 def training_sample(docs: DataFrame, use: Column, train_bytes: int, doc_id: str, text: str, lang: str) -> dict[str, list[bytes]]:
     """About ``train_bytes`` of text of all languages together, dealt equally, gathered on the driver.
 
-    Rows are chosen by a hash of the doc_id under a threshold for each
-    language; texts over a sixteenth of a language's part are passed over, so
-    that one text can't break the bound.  A language that this leaves without
-    any text gives its shortest one, so every language is learned.  The sample
-    is the operator's one bounded gathering; scoring covers all rows and whole
-    texts.
+    A language's rows are chosen by a hash of doc_id and text; a text gives the
+    whole of itself or, if it is longer than a sixteenth of its language's
+    part (4096 bytes at least), a slice of as many code points from a place
+    that the hash decides.  So every language with a text is learned and the
+    bound holds whatever texts are like, to the four bytes of a code point.
+    The sample is the operator's one bounded gathering; scoring covers all rows
+    and whole texts.  More than ``MOST_LANGUAGES`` are an error.
     """
-    size = F.octet_length(F.col(text))
-    rows = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("size"), F.pmod(F.xxhash64(F.lit("language id"), F.col(doc_id)), F.lit(1 << 30)).alias("h"))
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("size").alias("n")).collect() if r["n"]}
-    if not held:
+    rows = docs.where(use & F.col(lang).isNotNull() & (F.octet_length(F.col(text)) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.char_length(F.col(text)).alias("size"), F.xxhash64(F.lit("language id"), F.col(doc_id), F.col(text)).alias("h"))
+    names = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if not names:
         return {}
-    part = train_bytes / len(held)
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different languages: {sorted(names)[:5]} ...")
+    part = train_bytes // len(names)
+    limit = max(part // 16, 4096)
+    taken = F.least("size", F.lit(limit))
+    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(taken).alias("n")).collect()}
+    low = F.pmod("h", F.lit(1 << 30))
     chosen = F.lit(False)
     for name, n in sorted(held.items()):
-        chosen = chosen | ((F.col("lang") == name) & (F.col("h") < F.lit(int(min(1.0, part / n) * (1 << 30)))))
+        chosen = chosen | ((F.col("lang") == name) & (low < F.lit(int(min(1.0, part / n) * (1 << 30)))))
+    begin = (F.pmod(F.shiftright("h", 30), F.col("size") - taken + 1) + 1).cast("int")
+    rows = rows.withColumn("slice", F.substring(F.col("text"), begin, taken))
     out: dict[str, list[bytes]] = {name: [] for name in held}
-    limit = max(part / 16, 4096)
-    for r in rows.where(chosen & (F.col("size") <= limit)).select("lang", "text", "h").collect():
-        out[r["lang"]].append(r["text"].encode())
-    if none := [k for k, v in out.items() if not v]:
-        shortest = rows.where(F.col("lang").isin(none) & (F.col("size") > 0)).groupBy("lang").agg(F.min(F.struct("size", "h", "text")).alias("t"))
-        for r in shortest.collect():
-            out[r["lang"]].append(r["t"]["text"].encode())
+    for r in rows.where(chosen).select("lang", "slice").collect():
+        out[r["lang"]].append(r["slice"].encode())
+    if none := [k for k, v in out.items() if not v]:  # few rows, and none under the threshold
+        for r in rows.where(F.col("lang").isin(none)).groupBy("lang").agg(F.min(F.struct(low, "h", "slice")).alias("t")).select("lang", "t.slice").collect():
+            out[r["lang"]].append(r["slice"].encode())
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -202,10 +211,12 @@ def identify(docs: DataFrame, use: Column | None = None, order: int = 4, train_b
     text and a language; predictions read the text alone.  lang_pred: the
     language of the least code length (the first by name among equals), or
     ``und`` where the text is null or has no letter, or nothing could be
-    learned; score: its probability given the text when all languages are as
+    learned; score: its probability given ``EVIDENCE`` bytes that cost what the
+    text costs a byte (or the text, if shorter), when all languages are as
     likely before, 0 for ``und``; bits_per_byte: its code length per byte.
     Repeated rows give equal results; an empty table gives no rows.  Other
-    columns are not read.  Up to a few hundred languages are meant.
+    columns are not read.  Up to a few hundred languages are meant; over
+    ``MOST_LANGUAGES`` are an error.
     """
     model = _learn(docs, use, order, train_bytes, doc_id, text, lang)
 
@@ -236,7 +247,7 @@ def _predict(model, data: np.ndarray | None, letter: bool) -> tuple[str, float,
         return UNKNOWN, 0.0, None
     bits = model.value.bits(data)
     best = int(bits.argmin())
-    sure = 1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()
+    sure = 1 / np.exp2(np.maximum(bits[best] - bits, -1e6) * min(1.0, EVIDENCE / len(data))).sum()
     return model.value.langs[best], float(sure), float(bits[best] / len(data))
 
 
@@ -263,7 +274,9 @@ def identified(docs: DataFrame, least_score: float = 0.5, use: Column | None = N
     length is over ``MORE_BITS`` plus, for each byte, ``TIMES`` the 99th
     percentile of held-out texts of the predicted language: those are in no
     learned language.  The score alone can't tell, as it compares the learned
-    languages with each other.
+    languages with each other.  Null texts and texts without a letter go, as do
+    all if nothing could be learned; repeated rows are judged alike; an empty
+    table gives no rows.
     """
     sample = training_sample(docs, F.lit(True) if use is None else use, train_bytes, doc_id, text, lang)
     model = small_batches(docs.sparkSession).sparkContext.broadcast(train(sample, order)) if sample else None

@@ -20,7 +20,7 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation from every participant's side; mask: ``from-to`` of the assistant's texts."""
     rows = chat.rotate(_table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.zip_with("mask_from", "mask_to", lambda a, b: F.concat(a.cast("string"), F.lit("-"), b.cast("string"))), ",")
-    return rows.select("conv_id", "participant", "part", "n_messages", "text", spans.alias("mask"))
+    return rows.select("conv_id", "participant", "n_messages", "text", spans.alias("mask"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     rows = language_id.identify(docs, use=~held_out)
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -74,24 +74,24 @@ def queries() -> dict:
 
 _CHAT_SQL = """
 WITH m AS (
-  SELECT conv_id, coalesce(turn // 4096, 0) AS part, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, role AS participant FROM m WHERE role IS NOT NULL AND role <> 'system'
 ), r AS (
-  SELECT m.conv_id, participant, part, turn, role, text, role IS NOT DISTINCT FROM participant AS own,
+  SELECT m.conv_id, participant, turn, role, text, role IS NOT DISTINCT FROM participant AS own,
     CASE WHEN role IS NOT DISTINCT FROM participant THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
          ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' END || chr(10) AS head
   FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 8) OVER (
-    PARTITION BY conv_id, participant, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text
+    PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, role NULLS FIRST, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
   FROM r
 )
-SELECT conv_id, participant, part, count(*) AS n_messages,
+SELECT conv_id, participant, count(*) AS n_messages,
   string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text,
   coalesce(string_agg(pos::BIGINT::VARCHAR || '-' || (pos + length(text))::BIGINT::VARCHAR, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (WHERE own), '') AS mask
-FROM s GROUP BY conv_id, participant, part
+FROM s GROUP BY conv_id, participant
 """
 
 _MIX_SQL = r"""

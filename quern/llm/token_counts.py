@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -36,12 +37,16 @@ def read_vocabulary(path: str) -> list[bytes]:
 
 
 class Automaton:
-    """Trie with failure links; node 0 is the root."""
+    """Trie with failure links; node 0 is the root.
+
+    Single bytes are pieces in any case: a byte that no piece of the vocabulary
+    covers counts as one token, so every match can be popped to its end.
+    """
 
     def __init__(self, pieces: Iterable[bytes]):
         self.next: list[dict[int, int]] = [{}]
         whole = [False]
-        for piece in pieces:
+        for piece in chain(pieces, (bytes([b]) for b in range(256))):
             node = 0
             for byte in piece:
                 if (to := self.next[node].get(byte)) is None:
@@ -50,8 +55,8 @@ class Automaton:
                     whole.append(False)
                 node = to
             whole[node] = bool(piece)
-        # fail: where the rest of a node's string leads once its tokens are popped, -1 if it can't be matched
-        self.fail, self.popped = [-1] * len(whole), [0] * len(whole)
+        # fail: where the rest of a node's string leads once its tokens are popped
+        self.fail, self.popped = [0] * len(whole), [0] * len(whole)
         level = [0]
         while level:
             below = []
@@ -59,60 +64,29 @@ class Automaton:
                 for byte, to in self.next[node].items():
                     below.append(to)
                     if whole[to]:
-                        self.fail[to], self.popped[to] = 0, 1
+                        self.popped[to] = 1
                         continue
                     at, n = self.fail[node], self.popped[node]
-                    while at >= 0 and byte not in self.next[at]:
+                    while byte not in self.next[at]:
                         n += self.popped[at]
                         at = self.fail[at]
-                    if at >= 0:
-                        self.fail[to], self.popped[to] = self.next[at][byte], n
+                    self.fail[to], self.popped[to] = self.next[at][byte], n
             level = below
 
     def count(self, data: bytes) -> int:
-        """Greedy longest-match pieces in ``data``; a byte that no piece begins with counts as one."""
+        """Greedy longest-match pieces in ``data``."""
         step, fail, popped = self.next, self.fail, self.popped
         node = total = 0
-        depth = 0  # bytes of the string of the node that are still to be popped
-        for at, byte in enumerate(data):
+        for byte in data:
             while (to := step[node].get(byte)) is None:
-                if node == 0:
-                    total += 1  # unknown byte
-                    break
-                if fail[node] < 0:
-                    return total + self._slow(data[at - depth :])
                 total += popped[node]
                 node = fail[node]
-                depth = self._depth(node)
-            else:
-                node = to
-                depth += 1
+            node = to
         while node:
-            if fail[node] < 0:
-                return total + self._slow(data[len(data) - depth :])
             total += popped[node]
             node = fail[node]
-            depth = self._depth(node)
         return total
 
-    def _depth(self, node: int) -> int:
-        if not hasattr(self, "depths"):
-            self.depths = [0] * len(self.next)
-            for n, edges in enumerate(self.next):
-                for to in edges.values():
-                    self.depths[to] = self.depths[n] + 1
-        return self.depths[node]
-
-    def _slow(self, data: bytes) -> int:
-        """Where a vocabulary lacks single bytes and a match gets stuck: pop the longest piece or one unknown byte, and go on."""
-        node, longest = 0, 0
-        for at, byte in enumerate(data):
-            if (node := self.next[node].get(byte, -1)) < 0:
-                break
-            if self.fail[node] == 0 and self.popped[node] == 1:
-                longest = at + 1
-        return 1 + self.count(data[max(1, longest) :])
-
 
 class Counts(dict):
     """Token counts of units, found when first asked for; long units and those beyond the bound aren't kept."""

@@ -74,13 +74,24 @@ def test_no_model_without_labels(docs):
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (1, 1, None, "b", 1), (2, None, "system", "s", 1), (None, 3, "ann", None, 1), (3, 0, "ann", "x", 1), (3, 5000, "bob", "y", 1)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, participant int")
-    got = {(r.conv_id, r.participant, r.part): r for r in chat.rotate(turns).collect()}
-    assert set(got) == {(1, "user", 0), (None, "ann", 0), (3, "ann", 0), (3, "ann", 1), (3, "bob", 0), (3, "bob", 1)}
-    assert got[(1, "user", 0)].n_messages == 3 and "<|user name=unknown|>" in got[(1, "user", 0)].text
-    assert got[(3, "bob", 0)].text == "<|user name=ann|>\nx<|end|>\n" and got[(3, "bob", 1)].mask_from == [14]
+    got = {(r.conv_id, r.participant): r for r in chat.rotate(turns).collect()}
+    assert set(got) == {(1, "user"), (None, "ann"), (3, "ann"), (3, "bob")}
+    assert got[1, "user"].n_messages == 3 and "<|user name=unknown|>" in got[1, "user"].text
+    assert got[3, "bob"].text == "<|user name=ann|>\nx<|end|>\n<|assistant|>\ny<|end|>\n" and got[3, "bob"].mask_from == [41]
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
+def test_long_chat(spark):
+    """A dialogue of ten thousand turns with repeated and missing turn numbers is one row for each participant."""
+    turns = spark.range(10_000).select(F.lit(7).alias("conv_id"), F.when(F.col("id") % 10 > 0, F.col("id") % 4).alias("turn"), F.element_at(F.array(F.lit("ann"), F.lit("bob"), F.lit("system")), (F.col("id") % 3 + 1).cast("int")).alias("role"), F.concat(F.lit("wörd"), F.col("id")).alias("text"))
+    rows = chat.rotate(turns).collect()
+    assert sorted(r.participant for r in rows) == ["ann", "bob"]
+    for r in rows:
+        own = [r.text[a:b] for a, b in zip(r.mask_from, r.mask_to, strict=True)]
+        assert r.n_messages == 10_000 == r.text.count("<|end|>") and sorted(own) == sorted(x.text for x in turns.where(F.col("role") == r.participant).collect())
+        assert all(r.text[a - 14 : a] == "<|assistant|>\n" for a in r.mask_from)
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, docs, tmp_path, k):
     spark.createDataFrame([(1, "one two three")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
