@@ -14,9 +14,10 @@ two sorts of a text are sorts of primitive arrays.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -75,48 +76,66 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     return with_fingerprint(rows, "text", "fingerprint", **options).select("doc_id", "fingerprint")
 
 
-def _bounds(spark: SparkSession, docs: DataFrame, doc_id: str) -> list[int]:
-    """Ids that part the table into about as many ranges as there are shuffle partitions."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.where(F.col(doc_id).isNotNull()).approxQuantile(doc_id, [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    return sorted({int(x) for x in found})
+#: A range of rows is as many bytes of text as this at most, while there are no more ranges than ``MOST_RANGES``, whose bounds are a literal.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are at most the value; found in two steps, so that it takes the root of their number."""
+def _bounds(rows: DataFrame, ranges: int) -> list[Row]:
+    """Keys that part the rows into about as many ranges; a sample of 32 for each range tells them, results don't depend on them.
+
+    The sample is chosen by a hash, so rows of one id, or of none, are parted by
+    their texts' hashes like others.
+    """
+    held = rows.count()
+    if ranges < 2 or not held:
+        return []
+    share = min(1.0, 32 * ranges / held)
+    found = rows.where(F.pmod(F.xxhash64(F.lit("bounds"), "_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("_key").orderBy("_key").collect()
+    return [found[i]["_key"] for i in sorted({len(found) * k // ranges for k in range(1, ranges)} - {0})] if found else []
+
+
+def _range_of(rows: DataFrame, bounds: list[Row]) -> Column:
+    """How many of the bounds are at most the row's key; found in two steps, so that it takes the root of their number."""
     if not bounds:
         return F.lit(0)
+    kind = rows.schema["_key"].dataType.simpleString()
     step = max(1, int(len(bounds) ** 0.5))
-    heads = F.array(*[F.lit(b) for b in bounds[::step]])
-    groups = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    head = F.size(F.filter(heads, lambda b: b <= value))
-    inside = F.size(F.filter(F.get(groups, head - 1), lambda b: b <= value))
-    return F.when(value.isNull() | (head == 0), F.lit(0)).otherwise((head - 1) * step + inside).cast("int")
+    listed = lambda x: json.dumps([[b.asDict() for b in part] for part in x] if isinstance(x[0], list) else [b.asDict() for b in x])
+    heads = F.from_json(F.lit(listed(bounds[::step])), f"array<{kind}>")
+    groups = F.from_json(F.lit(listed([bounds[i : i + step] for i in range(0, len(bounds), step)])), f"array<array<{kind}>>")
+    head = F.size(F.filter(heads, lambda b: b <= F.col("_key")))
+    inside = F.size(F.filter(F.get(groups, head - 1), lambda b: b <= F.col("_key")))
+    return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + inside).cast("int")
 
 
 def with_next(docs: DataFrame, carry: list[str], before: Callable[[DataFrame], DataFrame] = lambda df: df, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds next_<column> for each column of ``carry``: that of the next row by descending doc_id, after the last that of the first.
 
-    Rows are dealt by ranges of doc_id, one shuffle; the first row of each
-    range also stands at the end of the range above it, so no range needs
-    another.  Rows of equal doc_id follow each other by descending text; null
-    ids come last.  ``before`` adds columns before rows are dealt.
+    Rows of equal doc_id follow each other by descending hash of their texts;
+    null ids come last; ids can be numbers or strings.  Rows are dealt by
+    ranges of id and hash, one shuffle of about ``RANGE_BYTES`` each, several
+    times as many as there are partitions, so that partitions get about equal
+    parts; the first row of each range also stands at the end of the range
+    above it, so no range needs another.  ``before`` adds columns before rows
+    are dealt.
     """
     spark = docs.sparkSession
-    bounds = _bounds(spark, docs, doc_id)
-    rows = docs.withColumn("_range", _range_of(F.col(doc_id), bounds))
-    ids = rows.groupBy("_range").agg(F.max(doc_id).alias("_id")).orderBy("_range").collect()  # as many as ranges
+    rows = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("s")).first()["s"]
+    ranges = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    rows = rows.withColumn("_range", _range_of(rows, _bounds(rows, ranges)))
+    ids = rows.groupBy("_range").agg(F.max("_key").alias("_top")).orderBy("_range").collect()  # as many as ranges
     if not ids:
         rows = before(rows)
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carry]).drop("_range")
+        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carry]).drop("_range", "_key")
     above = {r["_range"]: ids[(i + 1) % len(ids)]["_range"] for i, r in enumerate(ids)}
-    heads = spark.createDataFrame([(r["_range"], r["_id"], above[r["_range"]]) for r in ids], f"_own int, _head {docs.schema[doc_id].dataType.simpleString()}, _to int")
-    first = rows.join(F.broadcast(heads), (F.col("_range") == F.col("_own")) & F.col(doc_id).eqNullSafe(F.col("_head")))
-    first = first.withColumn("_place", F.row_number().over(Window.partitionBy("_own").orderBy(F.col(text).desc_nulls_last()))).where("_place = 1")
-    first = first.withColumn("_range", F.col("_to")).select(*docs.columns, "_range", F.lit(True).alias("_guest"))
-    both = rows.select(*docs.columns, "_range", F.lit(False).alias("_guest")).union(first).transform(before)
-    order = Window.partitionBy("_range").orderBy("_guest", F.col(doc_id).desc_nulls_last(), F.col(text).desc_nulls_last())
-    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).where("NOT _guest").drop("_range", "_guest")
+    heads = spark.createDataFrame([(r["_range"], r["_top"], above[r["_range"]]) for r in ids], f"_own int, _head {rows.schema['_key'].dataType.simpleString()}, _to int")
+    first = rows.join(F.broadcast(heads), (F.col("_range") == F.col("_own")) & F.col("_key").eqNullSafe(F.col("_head")))
+    first = first.withColumn("_place", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).where("_place = 1")
+    first = first.withColumn("_range", F.col("_to")).select(*docs.columns, "_key", "_range", F.lit(True).alias("_guest"))
+    both = rows.select(*docs.columns, "_key", "_range", F.lit(False).alias("_guest")).union(first).transform(before)
+    order = Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc())
+    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).where("NOT _guest").drop("_range", "_guest", "_key")
 
 
 def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -126,7 +145,10 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     first as many (or all) of the next document's text, by descending doc_id
     (after the last: the first).  Columns: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint (strings), near_edited, near_next.  A null
-    text counts as empty.
+    text counts as empty; null ids come last, and rows of one id follow each
+    other by their texts' hashes, so that reruns agree; a single row is its own
+    next one; repeated rows each get their row; an empty table gives no rows.
+    Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_next(rows, ["text", "own"], lambda df: with_fingerprint(df, "text", "own", **options))

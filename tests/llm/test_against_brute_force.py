@@ -156,25 +156,63 @@ def test_sharded_keeps_rows(docs):
 
 
 def fingerprint(text, k=3, size=2, kept=64):
+    """Order MinHash from start to end: occurrence numbers, the least hashes, tuples in text order."""
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    one = lambda x, width, seed: xxhash.xxh64_intdigest((x & (1 << 8 * width) - 1).to_bytes(width, "little"), seed)
 
     def chain(*longs):
         seed = 42
         for x in longs:
-            seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+            seed = one(x, 8, seed)
         return seed
 
     words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORDS.findall(text)]
     seen, numbered = Counter(), []
     for i in range(len(words)):
-        top = signed(chain(*words[i : i + k])) >> 32
-        # int columns hash as four bytes in little-endian order through the 32-bit path
-        numbered.append((top, i))
-    out = []
-    for top, i in sorted(numbered):
-        out.append((top, seen[top], i))
-        seen[top] += 1
-    return words, out
+        kmer = signed(chain(*words[i : i + k])) >> 32
+        numbered.append((signed(one(seen[kmer], 4, one(kmer, 8, 42))) >> 32, i))
+        seen[kmer] += 1
+    least = sorted(numbered)[: kept + size - 1]
+    tuples = [sorted(least[j : j + size], key=lambda x: x[1]) for j in range(max(min(kept, len(least) - size + 1), min(1, len(least))))]
+    return sorted({signed(chain(*[h & 0xFFFFFFFF for h, _ in t])) >> 32 for t in tuples})
+
+
+def test_order_minhash_by_brute_force(spark, docs, texts):
+    """Every fingerprint and likeness of whole and edited texts, exactly."""
+    extra = [(90_001, "a b c a b c a b c d e f g", None, None, 0), (90_002, "", None, None, 0), (90_003, None, None, None, 0), (90_004, "x", None, None, 0), (90_005, "y y y y y", None, None, 0)]
+    both = docs.union(spark.createDataFrame(extra, docs.schema))
+    texts = texts | {r[0]: r[1] or "" for r in extra}
+    ids = sorted(texts, reverse=True)
+    rows = {r.doc_id: r for r in order_minhash.compared(both).collect()}
+    near = lambda a, b: 2 * len({*a} & {*b}) / (len(a) + len(b)) if a or b else 1.0
+    shown = lambda f: "".join(f"{x & 0xFFFFFFFF:08x}" for x in f)
+    own = {i: fingerprint(t) for i, t in texts.items()}
+    for k, i in enumerate(ids):
+        t, after = texts[i], ids[(k + 1) % len(ids)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + texts[after][:cut]
+        changed = fingerprint(edited)
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (shown(own[i]), shown(changed))
+        assert (rows[i].near_edited, rows[i].near_next) == pytest.approx((near(own[i], changed), near(own[i], own[after])))
+
+
+def test_next_rows_of_any_ids(spark):
+    """Strings, nulls and shared ids: one cycle through all rows, ids descending, the same with few and many ranges."""
+    rows = [(f"id{k % 40:03}" if k % 5 else None, f"text {k} " * 3) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = [(r.doc_id, r.text, r.next_text) for r in order_minhash.with_next(docs, ["text"]).collect()]
+    after = {t: n for _, t, n in out}
+    assert len(out) == 200 and len(after) == 200
+    at, order = rows[0][1], []
+    for _ in range(200):
+        order.append(at)
+        at = after[at]
+    assert at == rows[0][1] and len(set(order)) == 200
+    ids = {t: i for i, t in rows}
+    begin = next(k for k in range(200) if ids[order[k - 1]] is None and ids[order[k]] is not None)
+    turned = [ids[t] for t in order[begin:] + order[:begin]]
+    assert turned == sorted([x for x in turned if x], reverse=True) + [None] * 40
 
 
 def test_order_minhash_properties(spark, docs, texts):
@@ -193,13 +231,7 @@ def test_order_minhash_properties(spark, docs, texts):
 
 
 def test_order_minhash_steps(spark):
-    """k-mers, their numbering and their order against a plain version of the first steps."""
-    text = "a b c a b c a b c d e f g"
-    words, numbered = fingerprint(text)
-    df = spark.createDataFrame([(text,)], "t string").select(F.transform(F.split("t", " "), lambda x: F.xxhash64(x)).alias("w"))
-    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in words]
-    assert df.first().w == signed
-    assert Counter(o for _, o, _ in numbered) == {0: 7, 1: 3, 2: 2} or sum(Counter(o for _, o, _ in numbered).values()) == 13
+    """Likeness falls with the edit distance, not with the bag of words."""
     near = lambda a, b: spark.createDataFrame([(1, a), (2, b)], "doc_id bigint, text string").transform(order_minhash.fingerprints).groupBy().pivot("doc_id", [1, 2]).agg(F.first("fingerprint")).select(order_minhash.likeness(F.col("1"), F.col("2"))).first()[0]
     base = [f"w{k}" for k in range(300)]
     moved, dropped = base[150:] + base[:150], base[:-1]
