@@ -487,7 +487,8 @@ def test_contamination(spark, docs, texts):
     both = docs.union(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in planted.items()], docs.schema))
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(both, bench).collect()}
-    assert (90_001, 0) in got and 0.6 < got[90_001, 0] < 1 and got[90_002, 1] == 1.0 if items[1].isascii() else (90_001, 0) in got
+    assert 0.6 < got[90_001, 0] < 1
+    assert got[90_002, 1] == 1.0
     assert not any(d == 90_003 for d, _ in got)
     whole = {(i, k) for i, t in texts.items() for k, item in items.items() if " " + " ".join(split(item)) + " " in " " + " ".join(split(t)) + " "}
     assert whole and whole <= set(got)
@@ -498,6 +499,24 @@ def test_contamination(spark, docs, texts):
     assert clean == {*texts, *planted} - {d for d, _ in got}
 
 
+def test_contamination_recall(spark):
+    """Against exhaustive alignment: of random copies with 10 to 30 % of words replaced, put in or left out, all but a few are found, and no others."""
+    r = random.Random(12)
+    items = {k: [f"w{r.randrange(400)}" for _ in range(40)] for k in range(25)}
+    rows = []
+    for i in range(400):
+        copy, rate = [], r.choice([0.1, 0.2, 0.3])
+        for w in items[r.randrange(25)]:
+            turn = r.random()
+            copy += [w] if turn > rate else r.choice([[f"w{r.randrange(400)}"], [w, f"w{r.randrange(400)}"], []])
+        rows.append((i, " ".join([f"w{r.randrange(400)}" for _ in range(30)] + copy + [f"w{r.randrange(400)}" for _ in range(30)])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {(i, k): plain_alignment(w, t.split()) / 80 for i, t in rows for k, w in items.items() if len({*w} & {*t.split()}) >= 16}
+    want = {k: v for k, v in want.items() if v >= 0.5}
+    assert got == {k: v for k, v in want.items() if k in got} and len(got) >= 0.98 * len(want) > 350
+
+
 @pytest.mark.parametrize("every", [4, 5])
 def test_contamination_of_changed_copies(spark, every):
     """The one copy of an item, with every 4th or 5th word changed, is found beside whole copies of it and without them."""
@@ -605,4 +624,18 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in decontaminate.contaminated(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert out and not ids & bad and all(Counter(comps[i][1] for i in ids)[c] == 1 for c in {comps[i][1] for i in ids})
     assert all(docs[r.doc_id].text == r.text for r in out)
-    assert len({(r.shard, r.slot) for r in out}) == len(out)
+    # the mix: each source's words are its target to half a document, by the words that came in
+    clean = [i for i in docs if i not in bad and i == comps[i][1] or comps[i][0] == 0 and i not in bad]
+    came = defaultdict(list)
+    for i in clean:
+        came[docs[i].source].append(len(WORDS.findall(docs[i].text)))
+    mixed = spark.createDataFrame([tuple(docs[i]) for i in clean], spark.read.parquet(f"{DATA}/documents.parquet").schema)
+    target = {r.source: r.target for r in mixing.mix(mixed).collect()}
+    for source, sizes in came.items():
+        assert abs(sum(len(WORDS.findall(r.text)) for r in out if r.source == source) - target[source]) <= max(sizes) / 2 + 1
+    # the shards: equal counts, gapless slots, every source in its share
+    by = Counter(r.shard for r in out)
+    assert sorted(by) == list(range(16)) and max(by.values()) - min(by.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(16) for k in range(by[s])]
+    share, held = Counter((r.shard, r.source) for r in out), Counter(r.source for r in out)
+    assert all(abs(share[s, x] - held[x] / 16) <= 1.001 for s in by for x in held)
