@@ -6,8 +6,8 @@ tokens after the leading one are four quarters, and lines that agree in all of
 them, in any three or in any two are a group, whose template has wildcards for
 the quarters in which they differ.  So fields that vary are found wherever they
 stand, if they lie in two quarters at most, without an order in which lines
-come and without a search among the groups of a leaf: each line has eleven
-candidates, and a template that recurs in enough different texts is dropped
+come and without a search among the groups of a leaf: each line has at most six
+candidates (one that is wider than another stands for it), and a template that recurs in enough different texts is dropped
 with every line that has it.
 
 A token is variable if it holds a digit, ``@``, a slash or a backslash.  At
@@ -19,6 +19,7 @@ words don't fall together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -71,17 +72,19 @@ def templates(data: np.ndarray, lead: int, least: int) -> tuple[np.ndarray, np.n
     const = [fixed[edge[q + 1]] - fixed[edge[q]] for q in range(4)]
     leaf = mix64(size.astype(_U) * _U(3) + _U(7)) + run[edge[4]] - run[first]
     whole = fixed[edge[4]] - fixed[first]
-    ids, lines, keys = line[first], [], []
-    for k, quarters in enumerate(OPEN):
+    ids, lines, keys, wider = line[first], [], [], {}
+    for k, quarters in reversed([*enumerate(OPEN)]):
         key, stays = leaf, whole
-        fits = 2 * whole >= size if not k else size >= least
+        fits = size > 0
         for q in quarters:
             key, stays = key - part[q], stays - const[q]
             fits &= edge[q + 1] > edge[q]
-        if k:
-            fits &= (stays >= least) & (2 * stays >= size)
-        lines.append(ids[fits])
-        keys.append(mix64(key[fits] + _CODES[k]))
+        fits &= (2 * stays >= size) & ((stays >= least) | (not k))
+        # lines that agree here agree in what a wider template keeps of it: the wider one alone is counted
+        new = fits & ~reduce(np.logical_or, (w for x, w in wider.items() if {*quarters} < {*x}), np.zeros(len(size), dtype=bool))
+        wider[quarters] = fits
+        lines.append(ids[new])
+        keys.append(mix64(key[new] + _CODES[k]))
     return np.concatenate(lines), np.concatenate(keys)
 
 
