@@ -267,13 +267,15 @@ def byte_limits(sample: dict[str, list[bytes]], order: int) -> np.ndarray:
     return np.array([TIMES * np.percentile(c, 99) if c else np.inf for c in costs])
 
 
-def identified(docs: DataFrame, least_score: float = 0.5, use: Column | None = None, order: int = 4, train_bytes: int = 3 << 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identified(docs: DataFrame, least_score: float = 0.3, use: Column | None = None, order: int = 4, train_bytes: int = 3 << 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised, with all their columns and no shuffle of them.
 
     Rejected: ``und``, a score under ``least_score``, and texts whose code
     length is over ``MORE_BITS`` plus, for each byte, ``TIMES`` the 99th
     percentile of held-out texts of the predicted language: those are in no
-    learned language.  The score alone can't tell, as it compares the learned
+    learned language.  ``least_score`` leaves texts in two languages, which score
+    about a half, and rejects what several languages explain alike.  The score
+    alone can't tell, as it compares the learned
     languages with each other.  Null texts and texts without a letter go, as do
     all if nothing could be learned; repeated rows are judged alike; an empty
     table gives no rows.
