@@ -33,7 +33,7 @@ def last_definition(defs: DataFrame, uses: DataFrame, by: Sequence[str], order:
     return found.join(carry, [*by, "_bucket"]).select(*columns, F.coalesce(out, "_carry").alias(out))
 
 
-def dominant_definition(defs: DataFrame, uses: DataFrame, by: Sequence[str], order: Sequence[str], value: str, guard: str, use_id: str, out: str = "definition") -> DataFrame:
+def dominant_definition(defs: DataFrame, uses: DataFrame, by: Sequence[str], order: Sequence[str], value: str, guard: str, use_id: str, out: str = "definition", bucket: Column | None = None) -> DataFrame:
     """The latest definition before each use whose guards are a prefix of the use's.
 
     ``guard``: array column on both sides.  A use's guard has few prefixes, so
@@ -42,22 +42,26 @@ def dominant_definition(defs: DataFrame, uses: DataFrame, by: Sequence[str], ord
     """
     keyed = uses.withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(0), F.size(guard)), lambda n: F.concat_ws("\x1f", F.slice(guard, 1, n)))))
     given = defs.select(*by, *order, F.struct(*order, value).alias("_def"), F.concat_ws("\x1f", guard).alias("_prefix"))
-    found = last_definition(given, keyed, [*by, "_prefix"], order, "_def", out="_found")
+    found = last_definition(given, keyed, [*by, "_prefix"], order, "_def", bucket, "_found")
     best = found.groupBy(use_id).agg(F.max("_found")[value].alias(out))
     return uses.join(best, use_id, "left")
 
 
-def counts_around(marks: DataFrame, events: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+def counts_around(marks: DataFrame, events: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column | None = None) -> DataFrame:
     """``marks`` with n_before and n_after: how many of ``events`` of the same key come strictly before and after."""
     columns = marks.columns
-    rows = marks.select(*columns, F.lit(1).alias("_mark"), F.lit(0).alias("_n")).union(
-        events.select(*[F.col(c) if c in {*by, *order} else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in columns], F.lit(0).alias("_mark"), F.lit(1).alias("_n"))
+    slot = (F.lit(0) if bucket is None else bucket).alias("_bucket")
+    rows = marks.select(*columns, slot, F.lit(1).alias("_mark"), F.lit(0).alias("_n")).union(
+        events.select(*[F.col(c) if c in {*by, *order} else F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in columns], slot, F.lit(0).alias("_mark"), F.lit(1).alias("_n"))
     )
-    own = Window.partitionBy(*by).orderBy(*order)
-    before = F.coalesce(F.sum("_n").over(own.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)) - F.coalesce(F.sum("_n").over(Window.partitionBy(*by, *order)), F.lit(0))
-    upto = F.sum("_n").over(own.rangeBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    return rows.select("*", before.alias("n_before"), (total - upto).alias("n_after")).where("_mark = 1").select(*columns, "n_before", "n_after")
+    keys = [*by, "_bucket"]
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rangeBetween(Window.unboundedPreceding, 0))
+    equal = F.sum("_n").over(Window.partitionBy(*keys, *order))
+    held = rows.groupBy(*keys).agg(F.sum("_n").alias("_held"))
+    both = Window.partitionBy(*by)
+    held = held.withColumn("_all", F.sum("_held").over(both)).withColumn("_past", F.coalesce(F.sum("_held").over(both.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.select("*", (upto - equal).alias("_near"), upto.alias("_upto")).where("_mark = 1")
+    return rows.join(held, keys).select(*columns, (F.col("_past") + F.col("_near")).alias("n_before"), (F.col("_all") - F.col("_past") - F.col("_upto")).alias("n_after"))
 
 
 def def_use_edges(reached: DataFrame, definition: str, use: str) -> DataFrame:

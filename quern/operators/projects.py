@@ -46,19 +46,33 @@ def makefile_variables(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, AM_VAR)
 
 
-def inline_includes(files: DataFrame, most: int = 32) -> DataFrame:
-    """(path, content) with ``include FILE`` replaced by its content, an unknown file by nothing, until none is left; a cycle ends in nothing."""
-    start = F.regexp_extract("content", r"(?m)^-?include[ \t]+(\S+)[ \t]*$", 1)
-    for _ in range(most):
-        marked = files.withColumn("_inc", start)
-        if marked.where("_inc <> ''").isEmpty():
+_INCLUDE = r"(?m)^(-?include[ \t]+([^\s\x02]+)[ \t]*((?:\x02[^\s\x02]+)*))$"
+
+
+def inline_includes(files: DataFrame, most: int = 64) -> DataFrame:
+    """(path, content) with ``include FILE`` replaced by its content, an unknown file by nothing, until none is left.
+
+    A file that would come to stand within itself is replaced by nothing: an
+    inserted line knows the files that it came through.  Chains of over
+    ``most`` files are an error, never left out.
+    """
+    texts = files.select(F.col("path").alias("_inc"), F.col("content").alias("_text"))
+    while True:
+        part = lambda n: F.regexp_extract("content", _INCLUDE, n)
+        marked = files.withColumn("_line", part(1)).withColumn("_inc", part(2)).withColumn("_chain", part(3))
+        if marked.where("_line <> ''").isEmpty():
             return files
-        own = files.select(F.col("path").alias("_inc"), F.col("content").alias("_text"))
-        joined = marked.join(own, "_inc", "left")
-        whole = F.regexp_extract("content", r"(?m)^(-?include[ \t]+\S+[ \t]*)$", 1)
-        new = F.when(F.col("_inc") == "", F.col("content")).otherwise(F.replace(F.col("content"), whole, F.when(F.col("_inc") == F.col("path"), "").otherwise(F.coalesce("_text", F.lit("")))))
+        deep = F.size(F.split("_chain", "\x02")) > most
+        if not marked.where(deep).isEmpty():
+            raise ValueError(f"include chains of over {most} files")
+        joined = marked.join(texts, "_inc", "left")
+        within = (F.col("_inc") == F.col("path")) | F.array_contains(F.split("_chain", "\x02"), F.col("_inc"))
+        known = F.regexp_replace("_text", F.lit(r"(?m)^(-?include[ \t]+\S+)[ \t]*$"), F.concat(F.lit("$1"), F.regexp_replace(F.concat("_chain", F.lit("\x02"), "_inc"), r"([\\$])", r"\\$1")))
+        feed = F.lit("\n")
+        put = F.concat(feed, F.when(within, "").otherwise(F.coalesce(known, F.lit(""))), feed)
+        whole = F.replace(F.concat(feed, "content", feed), F.concat(feed, "_line", feed), put)  # the line as a whole, not what begins like it
+        new = F.when(F.col("_line") == "", F.col("content")).otherwise(F.substring(whole, F.lit(2), F.length(whole) - 2))
         files = cut(joined.select("path", new.alias("content")))
-    return files.select("path", F.regexp_replace("content", r"(?m)^-?include[ \t]+\S+[ \t]*$", "").alias("content"))
 
 
 def current_values(assigned: DataFrame) -> DataFrame:
@@ -68,8 +82,11 @@ def current_values(assigned: DataFrame) -> DataFrame:
     return kept.select("file", "name", "line", F.posexplode("words").alias("pos", "word"), "conds")
 
 
-def resolve_words(values: DataFrame, most: int = 16) -> DataFrame:
-    """Words ``$(NAME)`` replaced by the words of that variable in the same file, level by level; a variable within itself gives nothing, conditions add up."""
+def resolve_words(values: DataFrame, most: int = 64) -> DataFrame:
+    """Words ``$(NAME)`` replaced by the words of that variable in the same file, level by level; a variable within itself gives nothing, conditions add up.
+
+    Chains of over ``most`` variables are an error, never left out.
+    """
     rows = values.withColumn("_path", F.array("name"))
     done = None
     for _ in range(most):
@@ -79,11 +96,11 @@ def resolve_words(values: DataFrame, most: int = 16) -> DataFrame:
         done = flat if done is None else done.union(flat)
         left = rows.where("_ref IS NOT NULL")
         if left.isEmpty():
-            break
+            return done.select("file", "name", "line", "pos", "word", "conds")
         sub = values.select("file", F.col("name").alias("_ref"), F.col("word").alias("_w"), F.col("conds").alias("_c"))
         left = left.join(sub, ["file", "_ref"]).where("NOT array_contains(_path, _ref)")
         rows = cut(left.select("file", "name", "line", "pos", F.col("_w").alias("word"), F.array_union("conds", "_c").alias("conds"), F.concat("_path", F.array("_ref")).alias("_path")))
-    return done.select("file", "name", "line", "pos", "word", "conds")
+    raise ValueError(f"chains of over {most} variables")
 
 
 def targets(values: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Ordered operators: numbering, runs, gaps, adjacent repeats, look-ahead chunks."""
+"""Ordered operators: numbering, runs, gaps, adjacent repeats, look-ahead chunks.
+
+Where a key can hold very many rows, ``bucket`` (an integer or date column
+whose order agrees with ``order``) deals it over tasks; what a bucket needs of
+the ones before it comes from a table with a row for each key and bucket.
+"""
 
 from __future__ import annotations
 
@@ -9,68 +14,125 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "exec_id") -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def number_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "exec_id", bucket: Column | None = None) -> DataFrame:
+    if bucket is None:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    held = rows.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = held.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
+    return _carried(local, counts, by).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
+
+
+def _carried(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the columns that the table has for their key and bucket; nulls are keys like others."""
+    keys = [*by, "_bucket"]
+    named = table.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"_of_{k}"])
+    return rows.join(named, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
-def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: str) -> DataFrame:
+def _previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, bucket: Column | None) -> DataFrame:
+    """``_before``: a struct of the value of the row before in the key's order, null for the first row of all."""
+    held = rows.withColumn("_bucket", F.lit(0) if bucket is None else bucket).withColumn("_own", F.struct(F.col(value).alias("v")))
+    near = F.lag("_own").over(Window.partitionBy(*by, "_bucket").orderBy(*order))
+    if bucket is None:
+        return held.withColumn("_before", near).drop("_own", "_bucket")
+    last = held.groupBy(*by, "_bucket").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
+    last = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket"))).drop("_last")
+    return _carried(held.withColumn("_before", near), last, by).withColumn("_before", F.coalesce("_before", "_carry")).drop("_own", "_bucket", "_carry")
+
+
+def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: str, bucket: Column | None = None) -> DataFrame:
     """Runs of equal marks that follow each other: by, run number from 0, mark, size, and first and last of the last order column."""
-    own = Window.partitionBy(*by).orderBy(*order)
-    new = (~F.col(mark).eqNullSafe(F.lag(mark).over(own))) & (F.row_number().over(own) > 1)
-    numbered = rows.withColumn("run", F.sum(new.cast("bigint")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = _previous(rows, by, order, mark, bucket)
+    new = (F.col("_before").isNotNull() & ~F.col(mark).eqNullSafe(F.col("_before.v"))).cast("bigint")
+    seen = seen.withColumn("_new", new).drop("_before")
+    if bucket is None:
+        numbered = seen.withColumn("run", F.sum("_new").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        held = seen.withColumn("_bucket", bucket)
+        before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = held.groupBy(*by, "_bucket").agg(F.sum("_new").alias("_n")).withColumn("_done", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        local = held.withColumn("run", F.sum("_new").over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        numbered = _carried(local, sums, by).withColumn("run", F.col("run") + F.col("_done"))
     return numbered.groupBy(*by, "run", mark).agg(F.count("*").alias("size"), F.min(order[-1]).alias("first"), F.max(order[-1]).alias("last"))
 
 
-def drop_adjacent_repeats(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
-    return rows.withColumn("_keep", first | ~F.col(value).eqNullSafe(before)).where("_keep").drop("_keep")
+def drop_adjacent_repeats(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, bucket: Column | None = None) -> DataFrame:
+    seen = _previous(rows, by, order, value, bucket)
+    return seen.where(F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.v"))).drop("_before")
 
 
 def subtract_intervals(ranges: DataFrame, gaps: DataFrame, key: str, lo: str, hi: str, gap_lo: str, gap_hi: str) -> DataFrame:
-    """What is left of each whole-number range [lo, hi] without its gaps [gap_lo, gap_hi]: rows (key, lo, hi).
+    """What is left of each whole-number range [lo, hi] without the gaps [gap_lo, gap_hi] of its key: rows (key, lo, hi).
 
-    Gaps are sorted within their key; the running maximum of their ends says
-    where the next free part can begin, so overlaps need no merge.
+    Each range is cut on its own, also if a key has several or they overlap;
+    equal ranges give their parts as often as they stand there.  Gaps are
+    sorted within their range; the running maximum of their ends says where the
+    next free part can begin, so overlaps need no merge.
     """
-    own = Window.partitionBy(key).orderBy(gap_lo, gap_hi)
-    inside = ranges.join(gaps, key).where((F.col(gap_hi) >= F.col(lo)) & (F.col(gap_lo) <= F.col(hi)))
-    reach = F.max(gap_hi).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    before = inside.select(key, F.greatest(F.col(lo), F.coalesce(reach + 1, F.col(lo))).alias("lo"), (F.col(gap_lo) - 1).alias("hi"))
-    tail = inside.groupBy(key, lo, hi).agg((F.max(gap_hi) + 1).alias("_from")).select(key, F.greatest(lo, "_from").alias("lo"), F.col(hi).alias("hi"))
-    whole = ranges.join(inside.select(key).distinct(), key, "left_anti").select(key, F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    return before.union(tail).union(whole).where("lo <= hi")
+    each = ranges.groupBy(F.col(key).alias("_key"), F.col(lo).alias("_lo"), F.col(hi).alias("_hi")).agg(F.count("*").alias("_times"))
+    cuts = gaps.select(F.col(key).alias("_k"), F.col(gap_lo).alias("_a"), F.col(gap_hi).alias("_b"))
+    rows = each.join(cuts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_b") >= F.col("_lo")) & (F.col("_a") <= F.col("_hi")), "left")
+    own = Window.partitionBy("_key", "_lo", "_hi").orderBy("_a", "_b")
+    reach = F.coalesce(F.max("_b").over(own.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.col("_lo"))
+    until = F.max("_b").over(Window.partitionBy("_key", "_lo", "_hi"))
+    rows = rows.withColumns({"_from": F.greatest("_lo", reach), "_until": until, "_last": F.lead(F.lit(1)).over(own).isNull()})
+    before = F.struct(F.col("_from").alias("lo"), F.coalesce(F.col("_a") - 1, F.col("_hi")).alias("hi"))
+    after = F.struct(F.greatest(F.col("_lo"), F.col("_until") + 1).alias("lo"), F.col("_hi").alias("hi"))
+    free = F.array(before, F.when(F.col("_last") & F.col("_a").isNotNull(), after))
+    parts = rows.select("_key", "_times", F.explode(F.array_compact(free)).alias("f")).where("f.lo <= f.hi")
+    return parts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(F.col("_key").alias(key), F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi"))
 
 
 def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str], defines: str, uses: str, window: int = 2, out: str = "chunk") -> DataFrame:
     """Fuses rows in order to chunks: the next row joins if it uses what the chunk defines, or else the rows up to the farthest related one of the next ``window``.
 
-    ``defines`` and ``uses`` are arrays of strings.  The state is a fold over
-    one key's rows, which arrive sorted and are held one key at a time.
+    ``defines`` and ``uses`` are arrays of strings.  The state is what the chunk
+    defines so far and ``window`` rows at most, so rows stream through, sorted
+    within their partition, and a key is never held whole.
     """
     names = [*rows.columns, out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out} bigint"
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable").reset_index(drop=True)
-        d, u = [set(x) for x in frame[defines]], [set(x) for x in frame[uses]]
-        chunk, number, at = [0] * len(frame), 0, 0
-        while at < len(frame):
-            have, end = set(d[at]), at + 1
-            while end < len(frame):
-                related = [k for k in range(end, min(len(frame), end + max(1, window))) if have & u[k]]
-                if not related:
-                    break
-                last = related[0] if related[0] == end else related[-1]
-                for k in range(end, last + 1):
-                    have |= d[k]
-                end = last + 1
-            chunk[at:end] = [number] * (end - at)
-            number, at = number + 1, end
-        frame[out] = chunk
-        return frame[names]
-
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    ahead = max(1, window)
+    keyed, made, used = [rows.columns.index(c) for c in by], rows.columns.index(defines), rows.columns.index(uses)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, number, have, waiting, done = None, 0, None, [], []
+
+        def settle(end: bool) -> None:
+            nonlocal number, have
+            while waiting and (end or len(waiting) >= ahead):
+                if have is None:
+                    taken, have = 1, set()
+                else:
+                    related = [k for k, r in enumerate(waiting[:ahead]) if not have.isdisjoint(r[used])]
+                    if not related:
+                        number, have = number + 1, None
+                        continue
+                    taken = 1 if related[0] == 0 else related[-1] + 1
+                for r in waiting[:taken]:
+                    have.update(r[made])
+                    done.append((*r, number))
+                del waiting[:taken]
+
+        for frame in frames:
+            for r in frame.itertuples(index=False, name=None):
+                own = tuple(None if r[k] != r[k] else r[k] for k in keyed)
+                if own != key:
+                    settle(True)
+                    key, number, have = own, 0, None
+                waiting.append(r)
+                settle(False)
+            yield pd.DataFrame(done, columns=names)
+            done = []
+        settle(True)
+        yield pd.DataFrame(done, columns=names)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, schema)
 
 
 def common_prefix(a: Column, b: Column) -> Column:

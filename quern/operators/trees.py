@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of ``spark.checkpoint.dir`` and read back; where that is unset (tests), cached."""
+    """Written to the shared folder of ``spark.checkpoint.dir`` and read back; where that is unset, cached if the master is local, an error on a cluster."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return df.persist()
     path = f"{place.rstrip('/')}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -26,6 +29,12 @@ def descendants(nodes: DataFrame, key: str = "script_id", node: str = "node_id",
     return a.join(b, key).where("_at > _lo AND _at < _hi").select(key, "ancestor", "descendant")
 
 
+def descendants_of_paths(paths_: DataFrame) -> DataFrame:
+    """(ancestor, descendant) from the path of each node: as many rows as all depths together, and no join."""
+    above = F.slice("path", 1, F.size("path") - 1)
+    return paths_.select(F.explode(above).alias("ancestor"), F.col("node").alias("descendant"))
+
+
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 64) -> DataFrame:
     """All (src, dst) that a path leads to; cycles are fine.
 

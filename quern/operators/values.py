@@ -45,19 +45,21 @@ def candidates(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return top.groupBy(*by, "numeric").agg(F.transform(listed, lambda x: x["v"]).alias("candidates"))
 
 
-def platform_match(patterns: DataFrame, names: DataFrame, pattern: str, name: str) -> DataFrame:
+def platform_match(patterns: DataFrame, names: DataFrame, pattern: str, name: str, most: int = 10_000) -> DataFrame:
     """For each pattern the first name that it matches, by length and then by text; null without one.
 
-    Patterns are a written list: each distinct one is turned into a regular
-    expression and matched against all different names.
+    Patterns are a written list, of ``most`` different ones at most (more are an
+    error); it is sent to all tasks as regular expressions, and names are read
+    once.
     """
-    found = None
-    distinct = [r[0] for r in patterns.select(pattern).distinct().orderBy(pattern).collect()]
-    kinds = names.select(name).distinct()
-    for p in distinct:
-        hit = kinds.where(globs.glob_match(F.col(name), p)).agg(F.min_by(name, F.struct(F.length(name), F.col(name))).alias("match")).select(F.lit(p).alias(pattern), "match")
-        found = hit if found is None else found.union(hit)
-    return patterns.join(found, pattern, "left") if found is not None else patterns.withColumn("match", F.lit(None).cast("string"))
+    distinct = [r[0] for r in patterns.where(F.col(pattern).isNotNull()).select(pattern).distinct().limit(most + 1).collect()]
+    if len(distinct) > most:
+        raise ValueError(f"over {most} patterns")
+    listed = [(p, e[:-1] + r"\z") for p in distinct if (e := globs.to_regex(p))]
+    regexes = F.broadcast(patterns.sparkSession.createDataFrame(listed, "_pattern string, _regex string"))
+    hit = names.select(F.col(name).alias("_name")).distinct().join(regexes, F.expr("_name RLIKE _regex"))
+    first = hit.groupBy("_pattern").agg(F.min_by("_name", F.struct(F.length("_name"), "_name")).alias("match"))
+    return patterns.join(first, F.col(pattern) == F.col("_pattern"), "left").select(*patterns.columns, "match")
 
 
 def contradictions(atoms: DataFrame, by: Sequence[str], var: str, negated: str) -> DataFrame:

@@ -69,12 +69,12 @@ SELECT event_id, def_event_id FROM (
 def asof_dominant_definition(spark, d):
     guard = F.filter(F.split(F.expr(_GUARD), "/"), lambda x: x != "")
     rows = events(spark, d).withColumn("guard", guard).select("event_id", "user_id", "ts", "event_type", "guard")
-    found = asof.dominant_definition(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], ["ts"], "event_id", "guard", "event_id", "def_event_id")
+    found = asof.dominant_definition(rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id"], ["ts"], "event_id", "guard", "event_id", "def_event_id", F.to_date("ts"))
     return found.select("event_id", "def_event_id")
 
 
 def _around(spark, d):
-    return asof.counts_around(events(spark, d, "error").select("event_id", "user_id", "ts"), events(spark, d).where("event_type <> 'error'").select("user_id", "ts"), ["user_id"], ["ts"])
+    return asof.counts_around(events(spark, d, "error").select("event_id", "user_id", "ts"), events(spark, d).where("event_type <> 'error'").select("user_id", "ts"), ["user_id"], ["ts"], F.to_date("ts"))
 
 
 @query("SELECT e.event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts < e.ts AND o.event_type <> 'error') AS n_before FROM events e WHERE e.event_type = 'error'")
@@ -109,7 +109,7 @@ def oneshot_first_call(spark, d):
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS exec_id FROM events")
 def exec_numbering(spark, d):
-    return sequences.number_rows(events(spark, d).select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"]).select("event_id", F.col("exec_id").cast("bigint").alias("exec_id"))
+    return sequences.number_rows(events(spark, d).select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], bucket=F.to_date("ts")).select("event_id", F.col("exec_id").cast("bigint").alias("exec_id"))
 
 
 _RUNS = "SELECT *, sum(CASE WHEN before IS DISTINCT FROM event_type AND n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
@@ -117,28 +117,39 @@ _RUNS = "SELECT *, sum(CASE WHEN before IS DISTINCT FROM event_type AND n > 1 TH
 
 @query(f"SELECT user_id, run::BIGINT AS run, event_type, count(*) AS size FROM ({_RUNS}) GROUP BY 1, 2, 3")
 def runs_islands(spark, d):
-    return sequences.runs(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "run", "event_type", "size")
+    return sequences.runs(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")).select("user_id", "run", "event_type", "size")
 
 
 @query(f"SELECT event_id, event_type FROM ({_RUNS}) WHERE n = 1 OR before IS DISTINCT FROM event_type")
 def adjacent_dedup(spark, d):
-    return sequences.drop_adjacent_repeats(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type")
+    return sequences.drop_adjacent_repeats(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts")).select("event_id", "event_type")
 
 
 @query("""
-WITH r AS (SELECT o_orderkey AS k, o_orderkey % 50 AS lo, o_orderkey % 50 + 60 AS hi FROM orders),
+WITH r AS (SELECT o_orderkey AS k, n, o_orderkey % 50 + 40 * n AS lo, o_orderkey % 50 + 40 * n + 25 AS hi FROM orders, (VALUES (0), (1)) t(n)),
 g AS (SELECT l_orderkey AS k, l_partkey % 100 AS a, l_partkey % 100 + l_linenumber AS b FROM lineitem),
-p AS (SELECT k, unnest(range(lo, hi + 1)) AS x FROM r),
+p AS (SELECT k, n, unnest(range(lo, hi + 1)) AS x FROM r),
 f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = p.k AND p.x BETWEEN g.a AND g.b)),
-i AS (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS island FROM f)
-SELECT k, min(x) AS lo, max(x) AS hi FROM i GROUP BY k, island""")
+i AS (SELECT k, n, x, x - row_number() OVER (PARTITION BY k, n ORDER BY x) AS island FROM f)
+SELECT k, min(x) AS lo, max(x) AS hi FROM i GROUP BY k, n, island""")
 def interval_subtract(spark, d):
-    ranges = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("lo"), (F.col("o_orderkey") % 50 + 60).alias("hi"))
+    lo = F.col("o_orderkey") % 50 + 40 * F.col("n")
+    ranges = table(spark, d, "orders").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.col("o_orderkey").alias("k"), lo.alias("lo"), (lo + 25).alias("hi"))
     gaps = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 100).alias("a"), (F.col("l_partkey") % 100 + F.col("l_linenumber")).alias("b"))
     return sequences.subtract_intervals(ranges, gaps, "k", "lo", "hi", "a", "b")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT user_id, event_id, event_type AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT user_id, n, 0::BIGINT AS chunk, [x] AS have FROM t WHERE n = 1
+  UNION ALL
+  SELECT s.user_id, CASE WHEN NOT list_contains(s.have, a.x) AND list_contains(s.have, b.x) THEN b.n ELSE a.n END,
+    CASE WHEN list_contains(s.have, a.x) OR coalesce(list_contains(s.have, b.x), false) THEN s.chunk ELSE s.chunk + 1 END,
+    CASE WHEN list_contains(s.have, a.x) THEN s.have WHEN list_contains(s.have, b.x) THEN list_append(s.have, a.x) ELSE [a.x] END
+  FROM s JOIN t a ON a.user_id = s.user_id AND a.n = s.n + 1 LEFT JOIN t b ON b.user_id = s.user_id AND b.n = s.n + 2
+)
+SELECT t.event_id, s.chunk FROM t ASOF JOIN s ON t.user_id = s.user_id AND t.n <= s.n""")
 def chunk_lookahead(spark, d):
     rows = events(spark, d).select("user_id", "event_id", "ts", F.array("event_type").alias("defines"), F.array("event_type").alias("uses"))
     return sequences.look_ahead_chunks(rows, ["user_id"], ["ts", "event_id"], "defines", "uses", 2).select("event_id", "chunk")
@@ -157,14 +168,22 @@ def _places(spark, d):
 _PLACES = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"
 
 
-@query(f"WITH RECURSIVE t AS ({_PLACES}), p AS (SELECT node, parent AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT p.node, t.parent FROM p JOIN t ON p.up = t.node WHERE t.parent IS NOT NULL) SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
+_BELOW = f"WITH RECURSIVE t AS ({_PLACES}), p AS (SELECT node, parent AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT p.node, t.parent FROM p JOIN t ON p.up = t.node WHERE t.parent IS NOT NULL)"
+
+
+@query(f"{_BELOW} SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
 def nested_set_descendants(spark, d):
     # numbered as nested sets under each root: a node ends where its last descendant does
     tree = trees.paths(_places(spark, d), "node", "parent").withColumn("root", F.get("path", 0))
     placed = sequences.number_rows(tree, ["root"], ["path"], "exec_id")
     sizes = tree.select(F.explode("path").alias("node")).groupBy("node").count()
     nodes = placed.join(sizes, "node").select("root", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
-    return trees.descendants(nodes, "root", "node").groupBy("ancestor").agg(F.count("*").alias("n"))
+    return nodes.select(F.col("node").alias("ancestor"), (F.col("exit_id") - F.col("exec_id") - 1).alias("n")).where("n > 0")
+
+
+@query(f"{_BELOW} SELECT up AS ancestor, node AS descendant FROM p")
+def tree_descendants(spark, d):
+    return trees.descendants_of_paths(trees.paths(_places(spark, d), "node", "parent"))
 
 
 @query("""
@@ -176,25 +195,31 @@ def ancestor_prefix(spark, d):
     return c.join(other, "c_custkey").select("c_custkey", F.size(sequences.common_prefix(F.col("p"), F.col("q"))).cast("bigint").alias("shared"))
 
 
-@query("""
-WITH t AS (SELECT 'r' || r_regionkey AS node, lpad(r_regionkey::VARCHAR, 2, '0') || '~' AS k FROM region
-UNION ALL SELECT 'n' || n_nationkey, lpad(n_regionkey::VARCHAR, 2, '0') || lpad(n_nationkey::VARCHAR, 2, '0') FROM nation)
-SELECT node, row_number() OVER (ORDER BY k) AS place FROM t""")
+_SORTED = " UNION ALL ".join([
+    "SELECT 'r' || r_regionkey AS node, r_regionkey AS root, '~' AS k FROM region",
+    "SELECT 'n' || n_nationkey, n_regionkey, lpad(n_nationkey::VARCHAR, 2, '0') || '~' FROM nation",
+    "SELECT 'c' || c_custkey, n_regionkey, lpad(c_nationkey::VARCHAR, 2, '0') || 'c' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "SELECT 's' || s_suppkey, n_regionkey, lpad(s_nationkey::VARCHAR, 2, '0') || 's' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+])
+
+
+@query(f"SELECT node, row_number() OVER (PARTITION BY root ORDER BY k) AS place FROM ({_SORTED})")
 def postorder_topo(spark, d):
-    r, n = table(spark, d, "region"), table(spark, d, "nation")
-    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("id"))
-    above = F.when(F.lit(False), pair(0, "r_regionkey"))
-    nodes = r.select(pair(0, "r_regionkey").alias("node"), above.alias("parent")).union(n.select(pair(1, "n_nationkey").alias("node"), pair(0, "n_regionkey").alias("parent")))
-    placed = trees.post_order(trees.paths(nodes, "node", "parent"), [])
-    return placed.select(F.concat(F.when(F.col("node.kind") == 0, "r").otherwise("n"), F.col("node.id").cast("string")).alias("node"), F.col("place").cast("bigint").alias("place"))
+    r, n, c, s = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"))
+    above = F.when(F.lit(False), pair("r", "r_regionkey"))
+    nodes = r.select(pair("r", "r_regionkey").alias("node"), above.alias("parent")).union(n.select(pair("n", "n_nationkey"), pair("r", "n_regionkey")))
+    nodes = nodes.union(c.select(pair("c", "c_custkey"), pair("n", "c_nationkey"))).union(s.select(pair("s", "s_suppkey"), pair("n", "s_nationkey")))
+    placed = trees.post_order(trees.paths(nodes, "node", "parent").withColumn("root", F.get("path", 0)), ["root"])
+    return placed.select(F.concat("node.kind", F.col("node.id").cast("string")).alias("node"), F.col("place").cast("bigint").alias("place"))
 
 
-_LINKS = "SELECT DISTINCT s_nationkey AS src, (s_suppkey * 7 + s_nationkey) % 25 AS dst FROM supplier WHERE s_suppkey % 3 = 0"
+_LINKS = "SELECT DISTINCT s_nationkey AS src, (s_suppkey * 7 + s_nationkey) % 25 AS dst FROM supplier"
 
 
 @query(f"WITH RECURSIVE e AS ({_LINKS}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM c")
 def transitive_closure(spark, d):
-    links = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").cast("bigint").alias("src"), F.expr("(s_suppkey * 7 + s_nationkey) % 25").cast("bigint").alias("dst"))
+    links = table(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("src"), F.expr("(s_suppkey * 7 + s_nationkey) % 25").cast("bigint").alias("dst"))
     return trees.closure(links)
 
 
@@ -297,15 +322,15 @@ _VALUES = "SELECT event_type || '/' || user_id % 5 AS var, CASE WHEN event_type
 
 def _typed(spark, d):
     v = F.expr("CASE WHEN event_type = 'click' THEN CAST(CAST(round(value) AS BIGINT) % 2 AS STRING) WHEN event_type = 'view' THEN props WHEN event_type = 'error' THEN '' ELSE CAST(event_id + 2 AS STRING) END")
-    return events(spark, d).where("value IS NOT NULL AND props IS NOT NULL").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 5).cast("string")).alias("var"), v.alias("v"))
+    return events(spark, d).select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 5).cast("string")).alias("var"), v.alias("v"))
 
 
-@query(f"SELECT var, {_HINT} AS hint, count(*) AS n FROM ({_VALUES} WHERE value IS NOT NULL AND props IS NOT NULL) GROUP BY 1, 2")
+@query(f"SELECT var, {_HINT} AS hint, count(*) AS n FROM ({_VALUES}) GROUP BY 1, 2")
 def type_hints(spark, d):
     return _typed(spark, d).withColumn("hint", values.type_hint(F.col("v"))).groupBy("var", "hint").agg(F.count("*").alias("n"))
 
 
-_TYPES = f"SELECT var, CASE WHEN count(DISTINCT hint) FILTER (WHERE hint <> 'Empty') = 1 THEN max(hint) FILTER (WHERE hint <> 'Empty') ELSE 'Literal' END AS type FROM (SELECT var, {_HINT} AS hint FROM ({_VALUES} WHERE value IS NOT NULL AND props IS NOT NULL)) GROUP BY 1"
+_TYPES = f"SELECT var, CASE WHEN count(DISTINCT hint) FILTER (WHERE hint <> 'Empty') = 1 THEN max(hint) FILTER (WHERE hint <> 'Empty') ELSE 'Literal' END AS type FROM (SELECT var, {_HINT} AS hint FROM ({_VALUES})) GROUP BY 1"
 
 
 @query(_TYPES)

@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import projects, values
+from quern.operators import asof, projects, sequences, values
 from quern.plans import exports, models
 from quern.sources import platforms
 
@@ -22,6 +23,43 @@ def test_includes_inline(spark):
     assert got["a"].split() == ["x", "1", "z", "2", "y"] and got["d"].split() == ["q"]
 
 
+def test_includes_of_cycles_and_chains(spark):
+    """Each file once on a way; many includes in one file; chains over the bound are an error."""
+    rows = [("p", "1\ninclude q\ninclude q\n2"), ("q", "3\ninclude p\ninclude r"), ("r", "4\ninclude q"), ("many", "\n".join(f"include f{k}" for k in range(40)))] + [(f"f{k}", str(100 + k)) for k in range(40)]
+    got = {r.path: r.content.split() for r in projects.inline_includes(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got["p"] == ["1", "3", "4", "3", "4", "2"] and got["q"] == ["3", "1", "2", "4"] and got["many"] == [str(100 + k) for k in range(40)]
+    chain = spark.createDataFrame([(f"c{k}", f"include c{k + 1}" if k < 9 else "end") for k in range(10)], "path string, content string")
+    assert {r.content.strip() for r in projects.inline_includes(chain).collect()} == {"end"}
+    with pytest.raises(ValueError):
+        projects.inline_includes(chain, most=5)
+
+
+def test_long_chains_of_variables(spark):
+    rows = projects.makefile_variables(spark.createDataFrame([("m", "".join(f"V{k} = $(V{k + 1})\n" for k in range(20)) + "V20 = a.c\n")], "path string, content string"))
+    held = projects.current_values(rows)
+    assert {r.name: r.word for r in projects.resolve_words(held).collect()} == {f"V{k}": "a.c" for k in range(21)}
+    with pytest.raises(ValueError):
+        projects.resolve_words(held, most=10)
+
+
+def test_intervals_of_several_ranges(spark):
+    ranges = spark.createDataFrame([(1, 0, 10), (1, 20, 30), (2, 0, 30), (2, 20, 30), (2, 20, 30), (3, 5, 5), (None, 1, 2)], "k int, lo int, hi int")
+    gaps = spark.createDataFrame([(1, 25, 26), (2, 25, 26), (2, 0, 3), (2, 2, 4), (3, 0, 9)], "k int, a int, b int")
+    got = sorted(map(tuple, sequences.subtract_intervals(ranges, gaps, "k", "lo", "hi", "a", "b").collect()), key=str)
+    assert got == sorted([(1, 0, 10), (1, 20, 24), (1, 27, 30), (2, 5, 24), (2, 27, 30), (2, 20, 24), (2, 27, 30), (2, 20, 24), (2, 27, 30), (None, 1, 2)], key=str)
+
+
+def test_buckets_change_nothing(spark):
+    rows = spark.range(300).selectExpr("id % 3 AS k", "id AS t", "CASE WHEN id % 17 < 9 THEN 'a' WHEN id % 5 = 0 THEN NULL ELSE 'b' END AS m")
+    slot = F.floor(F.col("t") / 13).cast("int")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(sequences.runs(rows, ["k"], ["t"], "m"), sequences.runs(rows, ["k"], ["t"], "m", slot))
+    assert same(sequences.number_rows(rows, ["k"], ["t"]), sequences.number_rows(rows, ["k"], ["t"], bucket=slot).select("k", "t", "m", "exec_id"))
+    assert same(sequences.drop_adjacent_repeats(rows, ["k"], ["t"], "m"), sequences.drop_adjacent_repeats(rows, ["k"], ["t"], "m", slot))
+    marks, events = rows.where("m = 'a'").select("k", "t"), rows.where("m = 'b'").select("k", "t")
+    assert same(asof.counts_around(marks, events, ["k"], ["t"]), asof.counts_around(marks, events, ["k"], ["t"], slot))
+
+
 def test_headers(spark):
     files = spark.createDataFrame([("src/a.c", '#include "b.h"\n#include <stdio.h>\n'), ("inc/b.h", '#include "c.h"\n'), ("inc/c.h", '#include "b.h"\n')], "path string, content string")
     inside, outside = projects.reached_headers(spark.createDataFrame([("src/a.c",)], "path string"), files, ["inc"])
