@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -194,3 +194,68 @@ def generated_files(written: DataFrame, removed: DataFrame) -> DataFrame:
     """Paths that a script writes and doesn't remove, both normalised."""
     clean = lambda d: d.select("script_id", text.normalize_path(F.col("path")).alias("path")).distinct()
     return clean(written).join(clean(removed), ["script_id", "path"], "left_anti")
+
+
+def source_paths(*parts: DataFrame) -> DataFrame:
+    """(path) of sources, headers and configuration templates one after the other, repeats kept."""
+    out = parts[0].select("path")
+    for p in parts[1:]:
+        out = out.union(p.select("path"))
+    return out
+
+
+def other_paths(*parts: DataFrame) -> DataFrame:
+    """(path) of templates and link targets, each once."""
+    return source_paths(*parts).distinct()
+
+
+def load_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """(path, content) of the listed files under a folder that Spark reads."""
+    found = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace(F.input_file_name(), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "").alias("path"), F.col("value").alias("content"))
+    return found.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def mentioned_variables(templates: DataFrame, variables: DataFrame) -> DataFrame:
+    """(path, var): variables that a template names as ``@VAR@``; templates are read once, whatever the variables."""
+    names = templates.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"@([A-Za-z_]\w*)@"), F.lit(1))).alias("var")).distinct()
+    return names.join(variables.select("var").distinct(), "var", "left_semi").select("path", "var")
+
+
+def cflags_variables(values: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, var): variables in the CFLAGS of library targets."""
+    own = found.where("kind = 'LTLIBRARIES'").select("file", F.concat(text.automake_canonicalize(F.col("target")), F.lit("_CFLAGS")).alias("name"))
+    words = values.join(own, ["file", "name"]).select("file", F.regexp_extract("word", r"^\$[({](\w+)[)}]$", 1).alias("var"))
+    return words.where("var <> ''").distinct()
+
+
+def condition_guards(conditions: DataFrame, tests: DataFrame) -> DataFrame:
+    """(key, test): each condition key once with the test that the script gives it; a key without one is an error row (null)."""
+    return conditions.select("key").distinct().join(tests.groupBy(F.col("condition").alias("key")).agg(F.min("test").alias("test")), "key", "left")
+
+
+def first_provided(providers: list[DataFrame], key: str, value: str) -> DataFrame:
+    """Of each key the value of the first provider that has one."""
+    rows = None
+    for k, p in enumerate(providers):
+        own = p.where(F.col(value).isNotNull()).select(key, value, F.lit(k).alias("_k"))
+        rows = own if rows is None else rows.union(own)
+    return rows.groupBy(key).agg(F.min_by(value, "_k").alias(value))
+
+
+def package_paths(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(pc_name, path): where a package's description lies, ``NAME.pc`` if it isn't known."""
+    known = catalogue.select("pc_name", F.col("path").alias("_path"))
+    return names.select("pc_name").distinct().join(known, "pc_name", "left").select("pc_name", F.coalesce("_path", F.concat("pc_name", F.lit(".pc"))).alias("path"))
+
+
+def merged_positions(*maps: DataFrame) -> DataFrame:
+    """(var, places): the places of each variable from several maps (var, place), in order."""
+    rows = maps[0].select("var", "place")
+    for m in maps[1:]:
+        rows = rows.union(m.select("var", "place"))
+    return rows.groupBy("var").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def merged_flags(rows: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """What any of a key's rows asks for."""
+    return rows.groupBy(*by).agg(*[F.bool_or(f).alias(f) for f in flags])

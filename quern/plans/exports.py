@@ -96,3 +96,19 @@ def default_init(ownerless: DataFrame, environment: DataFrame, types: DataFrame)
     return rows.groupBy("script_id").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("text"))
 
 
+def project_info(parts: dict[str, DataFrame], links: DataFrame) -> DataFrame:
+    """One row: sorted paths of each part, links as (target, source) pairs, and how many files and links there are.
+
+    parts: name to (path).  It is a record that a person reads; ``to_json`` of
+    it is the exported text.
+    """
+    out = links.agg(F.array_sort(F.collect_set(F.struct("target", "source"))).alias("links"), F.count("*").alias("n_links"))
+    total = F.lit(0)
+    for name, rows in parts.items():
+        out = out.join(rows.agg(F.array_sort(F.collect_set("path")).alias(name)))  # one row each
+        total = total + F.size(name)
+    return out.select(*parts, "links", total.cast("bigint").alias("n_files"), "n_links")
+
+
+def project_info_json(info: DataFrame) -> DataFrame:
+    return info.select(F.to_json(F.struct(*info.columns)).alias("json"))

@@ -35,7 +35,7 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _table(spark, d, name):
-    return tables.table(tables.parse_scripts(scripts(spark, d)), name)
+    return tables.parse_table(scripts(spark, d), name)
 
 
 def script_nodes(spark, d):
