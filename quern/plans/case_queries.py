@@ -436,8 +436,13 @@ def case_guard_rewrites(rows):
     return per_script(rows, made, "node_id bigint, branch int, supported string, without_empty string, contradictory boolean, dead boolean")
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, as the SQL has them."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int"})
+
+
 def queries() -> dict:
-    return {name: (lambda spark, d, cases=cases, f=f: f(scripts(spark, d, *cases))) for name, (cases, f) in QUERIES.items()}
+    return {name: (lambda spark, d, cases=cases, f=f: _wide(f(scripts(spark, d, *cases)))) for name, (cases, f) in QUERIES.items()}
 
 
 def _literal(v) -> str:

@@ -111,6 +111,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "script_nodes": "SELECT kind, n * (SELECT count(*) FROM nation) AS n FROM (VALUES ('Macro', 7), ('Assignment', 5), ('If', 1), ('For', 1), ('Command', 1)) t(kind, n)",
         "script_eval_names": f"SELECT {_ID}, name, value FROM nation, (VALUES ('have_a'), ('have_b')) a(name), (VALUES ('yes'), ('no')) b(value)",
+        "script_def_use": f"SELECT {_ID}, var, def_node::BIGINT AS def_node, use_node::BIGINT AS use_node FROM nation, (VALUES ('x', 5, 6), ('f', 9, 10), ('y', 6, 10)) t(var, def_node, use_node)",
+        # 0 and 1 are as Boolean as what x is compared with; another number agrees with it in nothing
+        "script_types": f"SELECT {_ID}, var, CASE WHEN var = 'x' AND n_regionkey > 1 THEN 'Literal' ELSE type END AS type FROM nation, (VALUES ('f', 'Literal'), ('with_z', 'Boolean'), ('withval', 'Boolean'), ('x', 'Boolean'), ('y', 'Boolean')) t(var, type)",
+        "script_chunks": f"SELECT {_ID}, chunk::BIGINT AS chunk, nodes::BIGINT AS nodes, first_line::INT AS first_line FROM nation, (VALUES (0, 1, 1), (1, 1, 2), (2, 3, 3), (3, 1, 12), (4, 1, 13), (5, 1, 14), (6, 1, 15), (7, 1, 16)) t(chunk, nodes, first_line)",
+        "script_skeletons": f"""SELECT {_ID}, chunk::BIGINT AS chunk, signature, CASE chunk WHEN 1 THEN 'let mut with_z: bool = false;' ELSE 'let mut f: String = String::new();' || chr(10) || 'let mut x: '
+            || CASE WHEN n_regionkey > 1 THEN 'String = String::new();' ELSE 'bool = false;' END || chr(10) || 'let mut y: bool = false;' END AS header, footer
+            FROM nation, (VALUES (1, 'fn func1()', ''), (2, 'fn func2() -> (bool)', '(y)')) t(chunk, signature, footer)""",
         "script_metadata": f"SELECT {_ID}, regexp_replace(lower(n_name), '[^a-z0-9_-]', '-', 'g') AS name, '1.' || n_nationkey || '.3-rc1' AS version FROM nation",
         "script_symbols": f"SELECT {_ID}, symbol, CASE WHEN symbol = 'NATION' THEN n_nationkey::VARCHAR ELSE '1' END AS value FROM nation, (VALUES ('NATION'), ('HAVE_STDIO_H'), ('HAVE_ZLIB_H')) t(symbol)",
         "script_files": f"SELECT {_ID}, 'file' AS role, CASE k WHEN 1 THEN 'Makefile' ELSE 'src/' || n_name || '.h' END AS target, CASE k WHEN 1 THEN 'Makefile.am' ELSE 'src/conf.in' END AS source FROM nation, (VALUES (1), (2)) t(k)",
