@@ -17,10 +17,13 @@ Nothing is quadratic in a group of copies:
 * longer lists go on as routes to a group, named after the least class of the
   list, so that the many shared shingles of a group of copies lead to few
   groups; a pair that meets in any of them is verified there;
-* each document's set travels once to each of its groups; a group over the
-  size limit is dealt into blocks, and each pair of blocks is a group;
-* within a group a document is verified against those of other components
-  only, and the edges that come out are a spanning forest.
+* each document's set travels once to each of its groups, and within a group it
+  is verified against those of other components only: the edges that come out
+  are a spanning forest;
+* a group over the size limit is dealt into blocks.  First a few pivots of the
+  group visit all blocks, then, with the components so far, all members outside
+  of the group's largest component do.  So in a large group of near-copies a
+  set travels twice, and only those that belong to no large component more.
 
 The order needs no exact counts: frequencies come from a sketch of fixed size
 over all documents, the only thing that is broadcast.
@@ -45,6 +48,7 @@ MOST_MATCHES = 4
 SHORT_LIST = 8
 FLUSH = 1 << 20
 GROUP_DOCS, GROUP_SHINGLES = 4000, 4_000_000
+PIVOTS = 8
 
 
 def shingle_set(data: np.ndarray | None, width: int) -> np.ndarray:
@@ -254,9 +258,12 @@ def _lists(percent: int):
     return run
 
 
+SENT = "grp bigint, block int, side int, part bigint, name bigint, matches int, prefix int, shingles binary"
+
+
 def _send(width: int, percent: int, levels):
     """Each set, in the global order, to the groups that its class has routes to."""
-    schema = pa.schema([("grp", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("name", pa.int64()), ("matches", pa.int32()), ("prefix", pa.int32()), ("shingles", pa.binary())])
+    schema = pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("side", pa.int32()), ("part", pa.int64()), ("name", pa.int64()), ("matches", pa.int32()), ("prefix", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,43 +275,48 @@ def _send(width: int, percent: int, levels):
                 matches, length = choose_prefix(level, percent)
                 data = token.tobytes()
                 for r in routes:
-                    rows.append((r["grp"], r["lo"], r["hi"], r["side"], name, matches, length, data))
+                    rows.append((r["grp"], r["block"], r["side"], r["part"], name, matches, length, data))
                     held += len(data)
-                if held > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
+                    if held > 16 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def links(members: list[tuple], percent: int, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the members (side, name, matches, prefix length, shingles in global order).
+def links(members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the members (side, part, name, matches, prefix length, shingles in global order).
 
-    ``across``: only pairs from different sides.  Components grow as links are
-    found; pairs within one need no test.  A few members are tested against all
-    first; then all outside the largest component, each against every member
-    that isn't in its own: so each pair is in one component or has been tested.
+    Members of one part are known to be in one component.  If there are
+    visitors (side 1), pairs of a visitor and a member of side 0 are all that is
+    asked for, and each visitor is tested.  Otherwise components grow as links
+    are found; pairs within one need no test.  A few members are tested against
+    all first; then all outside the largest component, each against every
+    member that isn't in its own: so each pair is in one component or has been
+    tested.
     """
     m = len(members)
-    size = np.array([len(x[4]) for x in members])
-    name = [x[1] for x in members]
-    if m == 2:
+    size = np.array([len(x[5]) for x in members])
+    name = [x[2] for x in members]
+    side = np.array([x[0] for x in members])
+    visits = np.flatnonzero(side == 1)
+    if m == 2 and not len(visits):
         a, b = members
-        if a[1] == b[1] or across and a[0] == b[0] or 100 * size.min() < percent * size.max():
+        if a[2] == b[2] or a[1] == b[1] or 100 * size.min() < percent * size.max():
             return []
-        if len(np.intersect1d(a[4][: a[3]], b[4][: b[3]], assume_unique=True)) < min(a[2], b[2]):
+        if len(np.intersect1d(a[5][: a[4]], b[5][: b[4]], assume_unique=True)) < min(a[3], b[3]):
             return []
-        both = len(np.intersect1d(a[4], b[4], assume_unique=True))
+        both = len(np.intersect1d(a[5], b[5], assume_unique=True))
         return [(name[0], name[1])] if 100 * both >= percent * (int(size.sum()) - both) else []
-    side, need, prefix = (np.array([x[i] for x in members]) for i in (0, 2, 3))
-    values, token = np.unique(np.concatenate([x[4] for x in members]), return_inverse=True)
+    need, prefix = (np.array([x[i] for x in members]) for i in (3, 4))
+    values, token = np.unique(np.concatenate([x[5] for x in members]), return_inverse=True)
     end = np.cumsum(size)
     begin = end - size
     in_prefix = np.concatenate([token[b : b + p] for b, p in zip(begin, prefix, strict=True)])
     owner = np.repeat(np.arange(m), prefix)
-    part = np.arange(m)
+    part = np.unique([x[1] for x in members], return_inverse=True)[1]
     mark = np.zeros(len(values), dtype=bool)
     found = []
 
@@ -313,8 +325,8 @@ def links(members: list[tuple], percent: int, across: bool) -> list[tuple[int, i
         mark[own[: prefix[x]]] = True
         shared = np.bincount(owner[mark[in_prefix]], minlength=m)
         can = (shared >= np.minimum(need, need[x])) & (part != part[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
-        if across:
-            can &= side != side[x]
+        if len(visits):
+            can &= side == 0
         mark[own] = True
         for y in np.flatnonzero(can):
             if part[y] != part[x]:
@@ -324,6 +336,10 @@ def links(members: list[tuple], percent: int, across: bool) -> list[tuple[int, i
                     part[part == part[y]] = part[x]
         mark[own] = False
 
+    if len(visits):
+        for x in visits:
+            test(x)
+        return found
     for x in range(min(m, 4)):
         test(x)
     inside = np.flatnonzero(part == np.bincount(part).argmax())[0]
@@ -339,14 +355,14 @@ def _verify(percent: int):
 
         def close() -> None:
             if key is not None and len(members) > 1:
-                out.extend(links(list(members.values()), percent, key[1] != key[2]))
+                out.extend(links(list(members.values()), percent))
 
         for batch in batches:
-            for grp, lo, hi, side, name, matches, prefix, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (grp, lo, hi) != key:
+            for grp, block, side, part, name, matches, prefix, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (grp, block) != key:
                     close()
-                    key, members = (grp, lo, hi), {}
-                members[name] = (side, name, matches, prefix, np.frombuffer(data, dtype=_U))
+                    key, members = (grp, block), {}
+                members[side, name] = (side, part, name, matches, prefix, np.frombuffer(data, dtype=_U))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
             out.clear()
         close()
@@ -377,22 +393,48 @@ def _grouped(docs: DataFrame, percent: int, width: int, sketch_bits: int, doc_id
     spent = [met, routes]
     groups = routes.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("m") / GROUP_DOCS), F.ceil(F.col("w") / GROUP_SHINGLES)).cast("int")
-    routes = routes.join(groups.where("m > 1").select("grp", blocks.alias("k")), "grp").withColumn("side", F.pmod(F.xxhash64("name"), F.col("k")).cast("int"))
-    routes = routes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    routes = routes.select("name", F.struct("grp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side").alias("route"))
-    routes = routes.groupBy("name").agg(F.collect_list("route").alias("routes"))
-
+    members = routes.join(groups.where("m > 1").select("grp", blocks.alias("k")), "grp").select("grp", "name", "k", F.pmod(F.xxhash64("name"), F.col("k")).cast("int").alias("block"))
+    members = cut(members, "jaccard-members")
+    spent.append(members)
     # one row of each class that has routes gets to send its set
     holder = rows.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("id"))
-    senders = holder.join(routes, "name").select("name", "routes", F.col("id").alias("_id"))
-    wanted = own.join(senders.where("_id IS NOT NULL").hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("text", "name", "routes")
-    if not rows.where("doc_id IS NULL AND n > 0").isEmpty():  # classes in which no row has a doc_id: found by their texts
-        found = own.where("doc_id IS NULL").select("text").mapInArrow(_named(width), "text string, name bigint")
-        wanted = wanted.union(found.join(senders.where("_id IS NULL"), "name").select("text", "name", "routes"))
-    sent = wanted.mapInArrow(_send(width, percent, levels), "grp bigint, lo int, hi int, side int, name bigint, matches int, prefix int, shingles binary")
-    edges = sent.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi").mapInArrow(_verify(percent), "a bigint, b bigint")
-
+    nameless = not rows.where("doc_id IS NULL AND n > 0").isEmpty()
+
+    def verified(routes: DataFrame, label: str) -> DataFrame:
+        """Links of the groups that the routes (grp, block, side, part, name) lead to."""
+        listed = routes.select("name", F.struct("grp", "block", "side", "part").alias("route")).groupBy("name").agg(F.collect_list("route").alias("routes"))
+        senders = holder.join(listed, "name").select("name", "routes", F.col("id").alias("_id"))
+        wanted = own.join(senders.where("_id IS NOT NULL").hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("text", "name", "routes")
+        if nameless:  # classes in which no row has a doc_id: found by their texts
+            found = own.where("doc_id IS NULL").select("text").mapInArrow(_named(width), "text string, name bigint")
+            wanted = wanted.union(found.join(senders.where("_id IS NULL"), "name").select("text", "name", "routes"))
+        sent = wanted.mapInArrow(_send(width, percent, levels), SENT)
+        edges = cut(sent.repartition(parts, "grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_verify(percent), "a bigint, b bigint"), label)
+        spent.append(edges)
+        return edges
+
+    home = F.lit(0).alias("side")
+    visit = [F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.lit(1).alias("side")]
+    large = members.where("k > 1")
+    routes = members.select("grp", "block", home, F.col("name").alias("part"), "name")
+    any_large = not large.isEmpty()
+    if any_large:
+        pivots = large.withColumn("_h", F.xxhash64(F.lit("pivot"), "name")).groupBy("grp", "k").agg(F.min(F.struct("_h", "name")).alias("p0"), *[F.min(F.when(F.pmod("_h", F.lit(PIVOTS)) == j, F.struct("_h", "name"))).alias(f"p{j + 1}") for j in range(PIVOTS)])
+        pivots = pivots.select("grp", "k", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col(f"p{j}.name") for j in range(PIVOTS + 1)])))).alias("name"))
+        routes = routes.union(pivots.select("grp", *visit, F.col("name").alias("part"), "name").select("grp", "block", "side", "part", "name"))
+    edges = verified(routes, "jaccard-links")
     roots = components(edges, "jaccard")
+    if any_large:
+        placed = large.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("part", F.coalesce("root", "name"))
+        most = placed.groupBy("grp", "part").agg(F.count("*").alias("_c")).groupBy("grp").agg(F.max_by("part", F.struct("_c", "part")).alias("_most"))
+        placed = cut(placed.join(most, "grp").select("grp", "k", "block", "name", "part", (F.col("part") != F.col("_most")).alias("outside")), "jaccard-outside")
+        spent.append(placed)
+        outside = placed.where("outside")
+        if not outside.isEmpty():
+            open_ = placed.join(outside.select("grp").distinct(), "grp", "left_semi")
+            routes = open_.select("grp", "block", home, "part", "name").union(outside.select("grp", *visit, "part", "name"))
+            spent.append(roots)
+            roots = components(edges.union(verified(routes, "jaccard-links")), "jaccard")
     levels.destroy()
     discard(spent)
     classes = holder.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))

@@ -32,7 +32,9 @@ BLOCK = 1 << 20
 
 
 def read_vocabulary(path: str) -> list[bytes]:
-    """The pieces of a file with a base64 piece and its rank on each line, read on the driver."""
+    """The pieces of a file with a base64 piece and its rank on each line, read on the driver; a missing file is an error that names it."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no vocabulary at {path}: hand token_counts its pieces, or name a file")
     return [base64.b64decode(line.split()[0]) for line in Path(path).read_bytes().splitlines() if line.strip()]
 
 
