@@ -87,3 +87,13 @@ def roll_up(rows: DataFrame, levels: list[str], flag: str) -> DataFrame:
         own = rows.groupBy(F.lit(level).alias("level"), F.col(level).cast("string").alias("key")).agg(F.bool_or(flag).alias(flag))
         out = own if out is None else out.union(own)
     return out
+
+
+def without_nodes(tables: dict[str, DataFrame], gone: DataFrame, columns: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """Each table without the rows that name a removed node (script_id, node_id) in one of its columns."""
+    out = {}
+    for name, rows in tables.items():
+        for c in columns[name]:
+            rows = rows.join(gone.select("script_id", F.col("node_id").alias(c)), ["script_id", c], "left_anti").select(*rows.columns)
+        out[name] = rows
+    return out

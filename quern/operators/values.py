@@ -123,3 +123,9 @@ def policy(rows: DataFrame, key: str, maps: Sequence[DataFrame]) -> DataFrame:
     for i, m in enumerate(maps):
         rows = rows.join(m.select(F.col("key").alias(key), F.col("policy").alias(f"_p{i}")), key, "left")
     return rows.withColumn("policy", F.coalesce(*[f"_p{i}" for i in range(len(maps))])).drop(*[f"_p{i}" for i in range(len(maps))])
+
+
+def scope_types(scopes: DataFrame, types: DataFrame, own: DataFrame) -> DataFrame:
+    """``type`` of each scope (script_id, var, idx): inferred for the scope alone (own: script_id, var, idx, type) or else for the variable."""
+    rows = scopes.join(own.withColumnRenamed("type", "_own"), ["script_id", "var", "idx"], "left").join(types, ["script_id", "var"], "left")
+    return rows.withColumn("type", F.coalesce("_own", "type", F.lit("Literal"))).select(*scopes.columns, "type")

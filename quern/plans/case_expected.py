@@ -612,4 +612,65 @@ EXPECTED = {
             ('branches', 6, 0, 'Var EXTRA Set', 'Var EXTRA Set', True, False),
         ],
     ),
+    "case_paths": (
+        ('node_id', 'word', 'paths', 'parts', 'absolute'),
+        [
+            ('paths', 3, 1, '-r', 'Lit -r', False),
+            ('paths', 3, 2, 'src/{name},src/{name}/a', 'Var d|Lit /|Var s', False),
+            ('paths', 3, 3, '/opt/src/{name}', 'Lit opt/|Var d', True),
+            ('paths', 5, 1, '', 'Lit -', False),
+            ('paths', 5, 2, 'out/{name}.o', 'Lit out/{name}.o', False),
+        ],
+    ),
+    "case_delimited": (
+        ('node_id', 'guards', 'error_out'),
+        [
+            ('paths', 5, '(Var d Eq src & Var s Eq {num})', False),
+        ],
+    ),
+    "case_visited": (
+        ('pos', 'n'),
+        [
+            ('loops', 0, 201),
+            ('loops', 1, 3),
+            ('loops', 2, 301),
+            ('commands', 0, 100),
+            ('commands', 1, 1),
+            ('commands', 2, 2),
+            ('commands', 3, 4),
+            ('commands', 4, 1),
+            ('commands', 5, 2),
+            ('commands', 6, 102),
+            ('paths', 0, 100),
+            ('paths', 1, 2),
+            ('paths', 2, 2),
+        ],
+    ),
+    "case_scope_types": (
+        ('var', 'idx', 'type'),
+        [
+            ('order', 'CC', 0, 'Literal'),
+            ('order', 'i', 0, 'Literal'),
+            ('order', 'p', 0, 'Literal'),
+            ('order', 'x', 0, 'Integer'),
+            ('order', 'x', 1, 'Path'),
+            ('order', 'y', 0, 'Integer'),
+            ('order', 'z', 0, 'Literal'),
+        ],
+    ),
+    "case_cleaned": (
+        ('tbl', 'n'),
+        [
+            ('order', 'edge', 2),
+            ('order', 'event', 9),
+            ('order', 'node', 9),
+        ],
+    ),
+    "case_chunk_dump": (
+        ('chunk', 'text'),
+        [
+            ('order', 3, '#4 y=${x}\nfn func3(x: &usize) -> (usize)\nlet mut y: usize = 0;\n(y)'),
+            ('order', 7, '#8 for i in 1 2; do\n  p=${i}\ndone\n#10 echo ${x} ${p}\nfn func7(x: &usize)\nlet mut i: String = String::new();\nlet mut p: String = String::new();'),
+        ],
+    ),
 }

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quern.operators import codegen, defuse, guards, macros, options, projects, rendering, rewriting, rust
-from quern.operators.analysis import Script, infer
+from quern.operators import codegen, defuse, guards, macros, options, projects, rendering, rewriting, rust, trees, values
+from quern.operators.analysis import Script, Visitor, infer, path_parts, paths_of
 from quern.plans import exports, runtime
 from quern.plans.case_expected import EXPECTED
 from quern.sources import platforms, tables
@@ -83,6 +83,14 @@ case $use in
   *) mode=$use ;;
 esac
 with_dep=no
+""",
+    "paths": """d=src/./{name}
+for s in a b/..; do
+  cp -r $d/$s /opt/$d/
+done
+if test "$d-$s" = "src-{num}"; then
+  mv - out/{name}.o
+fi
 """,
     "order": """echo $CC
 x={num}
@@ -392,6 +400,65 @@ def case_translated(rows):
     return per_script(rows, made, "part string, pos int, text string")
 
 
+@query("paths")
+def case_paths(rows):
+    """Words of commands as paths: what they can name, their parts, and whether they are absolute."""
+
+    def made(s):
+        for r in s.rows:
+            if r.kind == "Command":
+                for k, w in enumerate(r.node.words[1:], 1):
+                    parts, absolute = path_parts(w)
+                    yield r.node_id, k, ",".join(paths_of(s, w, r.exec_id)), "|".join(f"{a} {b}" for a, b in parts), absolute
+
+    return per_script(rows, made, "node_id bigint, word bigint, paths string, parts string, absolute boolean")
+
+
+@query("paths")
+def case_delimited(rows):
+    return case_guards(rows)
+
+
+@query("loops", "commands", "paths")
+def case_visited(rows):
+    """A visitor that counts what stands below each node, and one kind of its own."""
+
+    class Count(Visitor):
+        def visit(self, r, below):
+            return 1 + sum(below)
+
+        def visit_assignment(self, r, below):
+            return 100
+
+    return per_script(rows, lambda s: enumerate(Count(s).run()), "pos bigint, n bigint")
+
+
+@query("order")
+def case_scope_types(rows):
+    """The second scope of x is a Path on its own; the others have what was inferred for the variable."""
+    scopes = _table(rows, "scope").select("script_id", "var", "idx")
+    own = scopes.where("var = 'x' AND idx = 1").withColumn("type", F.lit("Path"))
+    return values.scope_types(scopes, case_types(rows), own)
+
+
+@query("order")
+def case_cleaned(rows):
+    """The tables of a script once the first assignment and the loop's body are gone."""
+    nodes, events, edges = _table(rows, "node"), _table(rows, "var_event"), case_def_use(rows)
+    gone = nodes.where("node_id IN (2, 9)").select("script_id", "node_id")
+    left = trees.without_nodes({"node": nodes, "event": events, "edge": edges}, gone, {"node": ["node_id"], "event": ["node_id"], "edge": ["def_node", "use_node"]})
+    out = None
+    for name, t in left.items():
+        own = t.groupBy("script_id", F.lit(name).alias("tbl")).agg(F.count("*").alias("n"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query("order")
+def case_chunk_dump(rows):
+    return exports.chunk_dump(_table(rows, "chunk").where("chunk IN (3, 7)"), _table(rows, "node"), exports.skeletons(_table(rows, "chunk_io"), case_types(rows)))
+
+
 @query("order")
 def case_helpers(rows):
     """Texts that stand around chunks: names, calls, dummies, placeholders, exports, conversions, directories."""

@@ -112,3 +112,11 @@ def project_info(parts: dict[str, DataFrame], links: DataFrame) -> DataFrame:
 
 def project_info_json(info: DataFrame) -> DataFrame:
     return info.select(F.to_json(F.struct(*info.columns)).alias("json"))
+
+
+def chunk_dump(chunks: DataFrame, nodes: DataFrame, skeletons_: DataFrame) -> DataFrame:
+    """(script_id, chunk, text): what a chunk is made of, for people to read: its nodes in order, signature, header and footer."""
+    lines = chunks.join(nodes, ["script_id", "node_id"]).groupBy("script_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("exec_id", "source"))).alias("_n"))
+    shown = F.array_join(F.transform("_n", lambda n: F.concat(F.lit("#"), n["exec_id"].cast("string"), F.lit(" "), n["source"])), "\n")
+    rows = lines.join(skeletons_, ["script_id", "chunk"], "left")
+    return rows.select("script_id", "chunk", F.concat_ws("\n", shown, *[F.when(F.col(c) != "", F.col(c)) for c in ("signature", "header", "footer")]).alias("text"))

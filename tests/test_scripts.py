@@ -155,3 +155,67 @@ def test_build_script_text():
         assert text.count(part) == 1
     assert "check_sizeof" not in text and text.count("{") == text.count("}")
     assert "chain(A.iter()" in runtime.bindgen_call(["A"]) and "bool" in runtime.environment("v", "Boolean")
+
+
+@pytest.mark.parametrize("text, value", [("1 + 2 * 3", 7), ("(1 + 2) * 3", 9), ("2 ** 3 ** 2", 512), ("10 - 3 - 2", 5), ("a > 3 ? a : -b", 5), ("!a || b << 2", 1), ("0x10 + 010", 24), ("~0 & 7", 7), ("7 % 4 == 3 && 1", 1)])
+def test_arithmetic(text, value):
+    """Trees against a plain evaluation, also after printing."""
+    from quern.sources import arithmetic
+
+    names = {"a": 5, "b": 2}
+
+    def run(t):
+        if t[0] == "num":
+            return int(t[1], 16 if t[1][:2] == "0x" else 8 if t[1][0] == "0" and len(t[1]) > 1 else 10)
+        if t[0] == "var":
+            return names[t[1]]
+        if t[0] == "un":
+            return {"-": lambda x: -x, "+": lambda x: x, "!": lambda x: int(not x), "~": lambda x: ~x}[t[1]](run(t[2]))
+        if t[0] == "cond":
+            return run(t[2]) if run(t[1]) else run(t[3])
+        a, b = run(t[2]), run(t[3])
+        return int(eval(f"{a} {({'&&': 'and', '||': 'or'}).get(t[1], t[1])} {b}".replace("- -", "+ "))) if t[1] not in ("&&", "||") else int(bool(a) and bool(b)) if t[1] == "&&" else int(bool(a) or bool(b))
+
+    tree = arithmetic.parse(text)
+    assert run(tree) == value and run(arithmetic.parse(arithmetic.shown(tree))) == value
+
+
+def test_arithmetic_uses():
+    from quern.sources import arithmetic
+
+    assert arithmetic.uses(arithmetic.parse("a = b++ + $c, d += ${e}")) == ["b", "c", "d", "e"]
+    for bad in ("1 +", "(2", "a ? b", "1 2", "#"):
+        with pytest.raises(ValueError):
+            arithmetic.parse(bad)
+
+
+def test_printer_can_be_overridden():
+    from quern.operators import rust
+
+    class Quiet(rust.Printer):
+        def visit_command(self, n):
+            return ""
+
+    nodes = parse("x=1\necho a\nif test $x = 1; then\n  echo b\n  y=2\nfi\n")
+    assert Quiet().body(nodes) == '    x = "1".to_string();\n    if x == "1" {\n        y = "2".to_string();\n    }'
+    called = rust.Printer({}, lambda n: "func1(&x);" if n.kind == "If" else None)
+    assert called.body(nodes).split("\n")[-1] == "    func1(&x);"
+
+
+def test_cache_keys(spark, tmp_path):
+    """Equal content is computed once; other content, nulls and the places of words count apart."""
+    from pyspark.sql import functions as F
+
+    from quern.plans import cache
+
+    kept = cache.Cache(spark, f"file://{tmp_path}/kept", "out string")
+    asked = []
+
+    def compute(rows):
+        asked.append(rows.count())
+        return rows.select("key", F.upper("a").alias("out"))
+
+    rows = spark.createDataFrame([("x", "y"), ("x", "y"), ("xy", ""), ("x", None)], "a string, b string")
+    first = sorted(map(str, kept.through(rows, ["a", "b"], compute).select("a", "b", "out").collect()))
+    assert first == sorted(map(str, kept.through(rows, ["a", "b"], compute).select("a", "b", "out").collect())) and asked == [3, 0]
+    assert len({r.k for r in rows.select(cache.content_key("a", "b").alias("k")).collect()}) == 3
