@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
@@ -259,3 +259,11 @@ def merged_positions(*maps: DataFrame) -> DataFrame:
 def merged_flags(rows: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
     """What any of a key's rows asks for."""
     return rows.groupBy(*by).agg(*[F.bool_or(f).alias(f) for f in flags])
+
+
+def merged_literals(parts: Column) -> Column:
+    """Parts of a value with literals that follow each other as one; parts: array<struct<kind, text>>."""
+    one = lambda k, t: F.struct(k.alias("kind"), t.alias("text"))
+    joins = lambda acc, x: (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["kind"] == "Lit") & (x["kind"] == "Lit")
+    more = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(one(F.lit("Lit"), F.concat(F.try_element_at(acc, F.lit(-1))["text"], x["text"]))))
+    return F.aggregate(parts, F.array().cast("array<struct<kind:string,text:string>>"), lambda acc, x: F.when(joins(acc, x), more(acc, x)).otherwise(F.concat(acc, F.array(one(x["kind"], x["text"])))))

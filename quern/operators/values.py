@@ -129,3 +129,8 @@ def scope_types(scopes: DataFrame, types: DataFrame, own: DataFrame) -> DataFram
     """``type`` of each scope (script_id, var, idx): inferred for the scope alone (own: script_id, var, idx, type) or else for the variable."""
     rows = scopes.join(own.withColumnRenamed("type", "_own"), ["script_id", "var", "idx"], "left").join(types, ["script_id", "var"], "left")
     return rows.withColumn("type", F.coalesce("_own", "type", F.lit("Literal"))).select(*scopes.columns, "type")
+
+
+def with_known_types(types: DataFrame, known: DataFrame) -> DataFrame:
+    """(script_id, var, type) with the types of standard variables (known: var, type) in place of inferred ones."""
+    return types.join(known.select("var", F.col("type").alias("_known")), "var", "left").select("script_id", "var", F.coalesce("_known", "type").alias("type"))

@@ -673,4 +673,21 @@ EXPECTED = {
             ('order', 7, '#8 for i in 1 2; do\n  p=${i}\ndone\n#10 echo ${x} ${p}\nfn func7(x: &usize)\nlet mut i: String = String::new();\nlet mut p: String = String::new();'),
         ],
     ),
+    "case_in_brace": (
+        ('pos', 'source'),
+        [
+            ('commands', 0, 'n=$(( {num} * 2 + count ))'),
+            ('commands', 1, '{\n  echo start\n  echo ${n} > out_{name}.txt\n}'),
+            ('commands', 2, 'cat in.txt | grep ${n} > log.txt'),
+        ],
+    ),
+    "case_approximated": (
+        ('pos', 'guards', 'about'),
+        [
+            ('branches', 0, 'false', False),
+            ('branches', 1, 'Arg EXTRA True', False),
+            ('branches', 2, 'false', True),
+            ('branches', 3, 'Arg EXTRA True', False),
+        ],
+    ),
 }

@@ -459,6 +459,23 @@ def case_chunk_dump(rows):
     return exports.chunk_dump(_table(rows, "chunk").where("chunk IN (3, 7)"), _table(rows, "node"), exports.skeletons(_table(rows, "chunk_io"), case_types(rows)))
 
 
+@query("commands")
+def case_in_brace(rows):
+    return per_script(rows, lambda s: [(k, rendering.node(n)) for k, n in enumerate(rewriting.in_brace(s.top, 1, 3)[:3])], "pos int, source string")
+
+
+@query("branches")
+def case_approximated(rows):
+    """Stacks of guards with LIBS as an option that is on by default and EXTRA as one that isn't."""
+
+    def made(s):
+        a, b = guards.atom("Arg", "LIBS", "Empty"), guards.atom("Arg", "EXTRA", "True")
+        for k, stack in enumerate(([a, b], [guards.negate(a), b], [b, guards.negate(b)], [("or", [a, b])])):
+            yield k, "; ".join(map(guards.text, guards.approximated(stack, {"LIBS": True, "EXTRA": False}))), guards.all_about(("and", stack), "EXTRA")
+
+    return per_script(rows, made, "pos int, guards string, about boolean")
+
+
 @query("order")
 def case_helpers(rows):
     """Texts that stand around chunks: names, calls, dummies, placeholders, exports, conversions, directories."""

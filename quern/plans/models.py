@@ -76,3 +76,28 @@ def restore_placeholders(source, mappings: list[tuple[str, str]]):
     for name, text in mappings:
         source = F.replace(source, F.lit(name), F.lit(text))
     return source
+
+
+OPTION_TASK = "Part the values that a build option can have. Name one representative for each group of values that lead to the same build, and give every other value as an alias of its representative. Say whether the option is on unless somebody asks, and which value it then has."
+OPTION_SCHEMA = '{"representatives": ["value"], "aliases": {"value": "representative"}, "enabled_by_default": true, "non_boolean_default": null}'
+CHUNK_TASK = "Translate the shell commands to one Rust function with the signature that is given. Keep every given snippet and placeholder as it stands, call no macro by its name, and add no effect that the commands don't have."
+CHUNK_SCHEMA = '{"rust_func_body": "text"}'
+PARTITION = "representatives array<string>, aliases map<string,string>, enabled_by_default boolean, non_boolean_default string"
+
+
+def option_requests(candidates: DataFrame) -> DataFrame:
+    """(request_id, request) for each option: its name and the values found, in order."""
+    rows = candidates.groupBy("option_name").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
+    return rows.select(F.col("option_name").alias("request_id"), F.to_json(F.struct("option_name", "candidates")).alias("request"))
+
+
+def analysed_options(candidates: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(partitions, failures) of options from answers (request_id, answer): what breaks a rule, or was never answered, is a failure row and no partition."""
+    from quern.operators import values
+
+    asked = candidates.groupBy("option_name").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
+    rows = asked.join(answers.select(F.col("request_id").alias("option_name"), F.from_json("answer", PARTITION).alias("a")), "option_name", "left").select("option_name", "candidates", "a.*")
+    none = rows.where("representatives IS NULL").select("option_name", F.lit("no answer").alias("error"))
+    given = rows.where("representatives IS NOT NULL").withColumn("aliases", F.coalesce("aliases", F.create_map().cast("map<string,string>")))
+    wrong = values.partition_errors(given)
+    return given.join(wrong.select("option_name").distinct(), "option_name", "left_anti"), none.union(wrong)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import asof, dictionaries, macros, options, projects
+from quern.operators import asof, dictionaries, macros, options, projects, values
 from quern.plans import cache, exports, models
 from quern.sources import platforms
 
@@ -395,3 +395,35 @@ def separator_in_force(spark, d):
     e = table(spark, d, "events")
     given = e.where("event_type IN ('view', 'click')").select("user_id", "ts", F.substring("event_type", -1, 1).alias("v"))
     return asof.last_definition(given, e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), ["user_id"], ["ts"], "v", F.to_date("ts"), "separator").select("event_id", "separator")
+
+
+@query("""SELECT 'o' || n_nationkey AS option_name, CASE n_nationkey % 3 WHEN 1 THEN 'no answer' ELSE 'alias of no representative' END AS error FROM nation WHERE n_nationkey % 3 > 0
+UNION ALL SELECT 'o' || n_nationkey, 'fine: ' || CASE WHEN n_regionkey = 0 THEN 'fast,no,yes' ELSE 'no,yes' END FROM nation WHERE n_nationkey % 3 = 0""")
+def analysed_options(spark, d):
+    n = table(spark, d, "nation").withColumn("option_name", F.concat(F.lit("o"), "n_nationkey"))
+    candidates = n.select("option_name", F.explode(F.when(F.col("n_regionkey") == 0, F.array(F.lit("yes"), F.lit("no"), F.lit("fast"))).otherwise(F.array(F.lit("yes"), F.lit("no")))).alias("value"))
+    alias = F.when(F.col("n_nationkey") % 3 == 2, F.when(F.col("n_regionkey") == 0, '{"fast": "gone"}').otherwise('{"no": "gone"}')).when(F.col("n_regionkey") == 0, '{"fast": "yes"}').otherwise("{}")
+    given = F.when((F.col("n_nationkey") % 3 == 2) & (F.col("n_regionkey") > 0), '["yes"]').otherwise('["yes", "no"]')
+    answer = F.concat(F.lit('{"representatives": '), given, F.lit(', "aliases": '), alias, F.lit(', "enabled_by_default": true}'))
+    answers = n.where("n_nationkey % 3 <> 1").select(F.col("option_name").alias("request_id"), answer.alias("answer"))
+    fine, wrong = models.analysed_options(candidates, answers)
+    return wrong.union(fine.select("option_name", F.concat(F.lit("fine: "), F.array_join(F.array_sort("candidates"), ","))))
+
+
+@query("""SELECT 'o' || n_nationkey AS request_id, '{"option_name":"o' || n_nationkey || '","candidates":["' || n_regionkey || '","a"]}' AS request FROM nation""")
+def option_requests(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("o"), "n_nationkey").alias("option_name"), F.explode(F.array(F.lit("a"), F.col("n_regionkey").cast("string"), F.lit("a"))).alias("value"))
+    return models.option_requests(n)
+
+
+@query("SELECT p_partkey, 'Lit a' || p_size || 'b|Var V|Lit c' AS parts FROM part")
+def merged_literals(spark, d):
+    one = lambda k, t: F.struct(F.lit(k).alias("kind"), t.alias("text"))
+    parts = F.array(one("Lit", F.lit("a")), one("Lit", F.col("p_size").cast("string")), one("Lit", F.lit("b")), one("Var", F.lit("V")), one("Lit", F.lit("c")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(projects.merged_literals(parts), lambda x: F.concat(x["kind"], F.lit(" "), x["text"])), "|").alias("parts"))
+
+
+@query("SELECT 's' AS script_id, 'v' || n_nationkey AS var, CASE WHEN n_nationkey % 2 = 0 THEN 'Path' ELSE 'Literal' END AS type FROM nation")
+def known_types(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("v"), "n_nationkey").alias("var"), "n_nationkey")
+    return values.with_known_types(n.select(F.lit("s").alias("script_id"), "var", F.lit("Literal").alias("type")), n.where("n_nationkey % 2 = 0").select("var", F.lit("Path").alias("type")))
