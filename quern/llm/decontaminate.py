@@ -180,7 +180,12 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, n: int, item_id: str, item_te
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no copy of a test item, with all their columns and no shuffle of them."""
+    """The rows of ``docs`` that hold no copy of a test item, with all their columns and no shuffle of them.
+
+    A copy is what ``contaminated`` finds.  Rows with a null or empty text
+    stay, repeated rows stay or go together, null and empty items match
+    nothing; without items all rows stay, and an empty table gives no rows.
+    """
     place = docs.columns.index(text)
     for _, seeded in _seeded(docs, benchmark, n, item_id, item_text):
 

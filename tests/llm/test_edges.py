@@ -97,7 +97,19 @@ def test_stages(spark, docs, tmp_path, k):
     spark.createDataFrame([(1, "one two three")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     stage = corpus_pipeline.STAGES[k][1]
     kept = stage(spark, docs, str(tmp_path))
-    assert kept.count() > 0 and set(docs.columns) <= {*kept.columns}
+    assert set(docs.columns) <= {*kept.columns}
+    rows = kept.collect()
+    ids = [r.doc_id for r in rows]
+    if k == 0:  # without letters or text: gone; repeated rows stay
+        assert not {3, 4, 6, 7} & {*ids} and ids.count(1) == 2 and ids.count(None) == 1
+    elif k == 1:  # the copies under 1 and 2 are one row; rows without words stay
+        assert sorted(i for i in ids if i) == [1, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
+    elif k == 2:  # the row with the item is gone
+        assert 9 not in ids and len(rows) == len(ROWS) - 1
+    elif k == 3:  # rows without words aren't taken
+        assert not any(not (r.text or "").strip() for r in rows)
+    else:
+        assert len(rows) == len(ROWS) and sorted(r.slot for r in rows if r.shard == 0) == list(range(sum(r.shard == 0 for r in rows)))
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
