@@ -1,4 +1,4 @@
-"""What the case queries return, read through against the scripts: for each query its columns after script_id, and rows of (case, values)."""
+"""What the case queries return, as the operators gave it and read through against the scripts: for each query its columns after script_id, and rows of (case, values)."""
 
 EXPECTED = {
     "case_nodes": (

@@ -1,8 +1,10 @@
 """Queries that run the script operators over scripts of several kinds, each written for every nation.
 
 A case is a script with a name and a number (its key and 40) of the nation in it.  What a query
-has to return for a case is written out beside it (``EXPECTED``), with the same
-name and number, so the SQL puts the nations into rows that nothing computed.
+returns for a case is held in ``EXPECTED``, with the same name and number: rows
+that the operators gave once and that were read through against the scripts.
+The SQL puts the nations into them, so it guards against change and is no
+second computation.
 """
 
 from __future__ import annotations
@@ -534,7 +536,7 @@ def _literal(v) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The written rows of a query's cases, with each nation's name and number."""
+    """The rows held for a query's cases, with each nation's name and number."""
     out = {}
     for name, (columns, rows) in EXPECTED.items():
         kinds = [next((type(r[k + 1]) for r in rows if r[k + 1] is not None), str) for k in range(len(columns))]
