@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language_id, line_templates, mixing, order_minhash, pii, sharding, token_counts
+from . import chat, decontaminate, divergence, jaccard_join, language_id, line_templates, mixing, order_minhash, pages, pii, repair, sharding, token_counts
 
 #: Where the vocabulary of the token count query lies on the driver; QUERN_VOCABULARY names another.
 VOCABULARY = os.environ.get("QUERN_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
@@ -69,8 +69,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows damaged by ``crc32(conv_id:turn) % 20``: 0 dropped, 1 emptied, 2 without its marks, 3 there twice, 4 said by the user.  Null reads as one space but for conv_id and turn themselves."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(way == 1, "").when(way == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    rows = turns.select("conv_id", "turn", F.when(way == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.when(way == 0, 0).when(way == 3, 2).otherwise(1).alias("times"))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.expr("array_repeat(0, times)"))).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of ``conversations`` after ``damaged``; one of which no row is left has zeros, no edits and the hash of an empty text."""
+    turns = _table(spark, sf_dir, "conversations")
+    report, rows = repair.repair(damaged(turns))
+    report, texts = report.withColumnRenamed("conv_id", "report_id"), repair.digests(rows).withColumnRenamed("conv_id", "text_id")
+    every = turns.select("conv_id").distinct()
+    every = every.join(report, F.col("conv_id").eqNullSafe(F.col("report_id")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("text_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language's sources: all others by divergence, and the 200 terms that set each apart most."""
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    named = (op1_chat_rotation, op2_mix_sources, op3_order_minhash, op4_stratified_shards, op5_token_counts, op6_jaccard_groups, op7_line_templates, op8_pii_surrogates, op9_decontaminate, op10_language_id)
+    named = (op1_chat_rotation, op2_mix_sources, op3_order_minhash, op4_stratified_shards, op5_token_counts, op6_jaccard_groups, op7_line_templates, op8_pii_surrogates, op9_decontaminate, op10_language_id, op11_conversation_repair, op12_main_text, op13_divergence_audit)
     return {f.__name__: f for f in named}
 
 
@@ -208,6 +237,102 @@ FROM documents LEFT JOIN s ON documents.text = s.text
 """
 
 
+_REPAIR_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: {_CRC_STEP})) % 20 AS way
+  FROM conversations
+), e AS (
+  SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+    CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d
+), c AS (
+  SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), f AS MATERIALIZED (
+  SELECT c.c, turn, role, text, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY c.c ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY c.c, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault
+  FROM e JOIN c ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+), a AS (
+  SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY pos) || initial AS two FROM f
+), n AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS size FROM a GROUP BY c
+), op AS (
+  FROM (VALUES (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'), (3, 'u', 2, 0, 'K'), (0, NULL, 2, 1, 'R'), (1, NULL, 2, 1, 'R'), (2, NULL, 3, 1, 'R'), (3, NULL, 2, 1, 'R'),
+    (0, NULL, 0, 2, 'D'), (1, NULL, 1, 2, 'D'), (2, NULL, 2, 2, 'D'), (3, NULL, 3, 2, 'D')) v(q, initial, goes, cost, edit)
+), ins AS (
+  FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')) v(q, goes, cost, edits)
+), dp AS (
+  SELECT c, 0::BIGINT AS pos, ins.goes AS q, format('{{:09d}}', cost) || edits AS v FROM n JOIN ins ON ins.q = 0
+  UNION ALL
+  SELECT dp.c, f.pos, ins.goes, min(format('{{:09d}}', dp.v[:9]::INT + op.cost + ins.cost + CASE WHEN fault = 'truncated' AND op.edit <> 'D' THEN 5 ELSE 0 END) || dp.v[10:] || op.edit || ins.edits)
+  FROM dp JOIN f ON f.c = dp.c AND f.pos = dp.pos + 1
+    JOIN op ON op.q = dp.q AND (op.edit = 'D' OR coalesce(fault, 'truncated') = 'truncated' AND coalesce(op.initial, f.initial) = f.initial) JOIN ins ON ins.q = op.goes
+  GROUP BY dp.c, f.pos, ins.goes
+), best AS (
+  SELECT dp.c, min(v) AS v FROM dp JOIN n ON n.c = dp.c AND n.size = dp.pos WHERE q IN (0, 3) GROUP BY dp.c
+), edit AS (
+  SELECT c, unnest(string_split(v[10:], '')) AS edit, generate_subscripts(string_split(v[10:], ''), 1) AS k FROM best WHERE length(v) > 9
+), placed AS (
+  SELECT c, edit, k, sum((edit <> 'I')::INT) OVER w AS pos, sum((edit <> 'D')::INT) OVER w AS j, sum((edit <> 'D')::INT) OVER (PARTITION BY c) % 2 AS odd FROM edit WINDOW w AS (PARTITION BY c ORDER BY k)
+), t AS (
+  SELECT placed.c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) FILTER (edit <> 'D') AS t
+  FROM placed LEFT JOIN f ON f.c = placed.c AND f.pos = placed.pos GROUP BY placed.c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(v[:9]::BIGINT, 0) AS cost, coalesce(v[10:], '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM c LEFT JOIN n USING (c) LEFT JOIN best USING (c) LEFT JOIN t USING (c)
+"""
+
+# the tables' pages mark their article, so that plain patterns find what scores must find
+_PAGES_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, list_transform(string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(p|h1)>'), lambda b: regexp_replace(replace(b, '<br>', ' '), '</?b>', '', 'g')) AS b FROM pages
+), d AS (
+  SELECT page_id, url, list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS b FROM a
+)
+SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text, length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10)))::BIGINT AS n_chars FROM d
+"""
+
+_DIVERGENCE_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS MATERIALIZED (
+  SELECT row, lang, source, unnest(w) AS term FROM d
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY 1
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN kept ON o.lang = kept.lang AND o.term = kept.term GROUP BY 1, 2, 3
+), s AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY 1, 2
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + v.v) AS p,
+    1 + 1000000000::HUGEINT * (kept.n + 1) // (v.total + v.v) AS q
+  FROM g JOIN kept ON g.lang = kept.lang JOIN v ON g.lang = v.lang LEFT JOIN s ON g.lang = s.lang AND g.source = s.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), r AS (
+  SELECT a.lang, a.source, 'term' AS part, a.term AS item, (p - q) * (p - q) // q AS value FROM p a WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, coalesce(x.value, 0)
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM k WHERE part = 'pair' OR rank <= 200
+"""
+
+
 _TOKENS_SQL = rf"""
 WITH RECURSIVE v AS (
   SELECT DISTINCT hex(from_base64(string_split(line, ' ')[1])) AS p
@@ -217,7 +342,9 @@ WITH RECURSIVE v AS (
 ), o AS MATERIALIZED (
   SELECT doc_id, text, row_number() OVER () AS rid FROM documents
 ), u AS (
-  SELECT rid, unnest(regexp_extract_all(text, ' ?[^ 	-]+|[ 	-]')) AS unit FROM o
+  SELECT rid, unnest(regexp_extract_all(text, ' ?[^ 	-
+]+|[ 	-
+]')) AS unit FROM o
 ), d AS (
   SELECT DISTINCT unit, hex(encode(unit)) AS h FROM u
 ), r AS (
@@ -236,4 +363,4 @@ SELECT doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_units, 0)::
 
 def oracle_sql() -> dict[str, str]:
     """Hashes of 64 bits that results show, models and alignments have no counterpart in the SQL dialect: those queries are tested against brute force."""
-    return {"op1_chat_rotation": _CHAT_SQL, "op2_mix_sources": _MIX_SQL, "op4_stratified_shards": _SHARD_SQL, "op5_token_counts": _TOKENS_SQL, "op6_jaccard_groups": _JACCARD_SQL, "op7_line_templates": _LINES_SQL}
+    return {"op1_chat_rotation": _CHAT_SQL, "op2_mix_sources": _MIX_SQL, "op4_stratified_shards": _SHARD_SQL, "op5_token_counts": _TOKENS_SQL, "op6_jaccard_groups": _JACCARD_SQL, "op7_line_templates": _LINES_SQL, "op11_conversation_repair": _REPAIR_SQL, "op12_main_text": _PAGES_SQL, "op13_divergence_audit": _DIVERGENCE_SQL}
