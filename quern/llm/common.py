@@ -42,6 +42,18 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``df`` has it, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages restart from there, on any executor."""
     spark = df.sparkSession

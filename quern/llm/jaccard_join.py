@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, small_batches
+from .common import components, cut, discard, small_batches, unused
 from .wordhash import hash_words, mix64, shingle_hashes, text_buffers
 
 _U = np.uint64
@@ -478,18 +478,20 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5, sketch_bits: in
     row is told by doc_id and text, so another text under a doc_id that stays
     or goes is judged by its own links.  Rows without words (null, empty or
     white space) link with nothing and stay.  Of rows with equal doc_id and
-    text one stays, whichever of them.  An empty table gives no rows.
+    text one stays, whichever of them.  Other columns may have any names.
+    An empty table gives no rows.
     """
     rows, ids = _grouped(docs, percent, width, sketch_bits, doc_id, text)
     texts = rows.groupBy("doc_id", "text_hash", "n", "name").agg(F.count("*").alias("times"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "name", "text_hash", "times")).alias("k")
     linked = texts.where("n > 0").join(ids, F.col("name") == F.col("_name")).groupBy("_root").agg(least).select("k.doc_id", "k.text_hash", "k.times")
     kept = linked.union(texts.where("n = 0").select("doc_id", "text_hash", "times"))
-    kept = cut(kept.select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"), F.col("times").alias("_times")), "jaccard-kept")
+    id_, hash_, times = unused(docs, "_kept", "_kept_hash", "_times")
+    kept = cut(kept.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("times").alias(times)), "jaccard-kept")
     own_hash = F.xxhash64(docs[text].cast("string"))
-    out = docs.join(kept.hint("shuffle_hash"), docs[doc_id].cast("bigint").eqNullSafe(F.col("_kept")) & (own_hash == F.col("_kept_hash")))
+    out = docs.join(kept.hint("shuffle_hash"), docs[doc_id].cast("bigint").eqNullSafe(F.col(id_)) & (own_hash == F.col(hash_)))
     columns = [docs[c] for c in docs.columns]
-    if kept.where("_times > 1").isEmpty():
+    if kept.where(F.col(times) > 1).isEmpty():
         return out.select(*columns)
-    again = out.where("_times > 1").select(*columns, "_kept", "_kept_hash").dropDuplicates(["_kept", "_kept_hash"])
-    return out.where("_times = 1").select(*columns).union(again.drop("_kept", "_kept_hash"))
+    again = out.where(F.col(times) > 1).select(*columns, id_, hash_).dropDuplicates([id_, hash_])
+    return out.where(F.col(times) == 1).select(*columns).union(again.drop(id_, hash_))

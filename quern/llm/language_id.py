@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .wordhash import text_buffers
 
 _U = np.uint64
@@ -277,8 +277,8 @@ def identified(docs: DataFrame, least_score: float = 0.3, use: Column | None = N
     about a half, and rejects what several languages explain alike.  The score
     alone can't tell, as it compares the learned
     languages with each other.  Null texts and texts without a letter go, as do
-    all if nothing could be learned; repeated rows are judged alike; an empty
-    table gives no rows.
+    all if nothing could be learned; repeated rows are judged alike; other
+    columns may have any names; an empty table gives no rows.
     """
     sample = training_sample(docs, F.lit(True) if use is None else use, train_bytes, doc_id, text, lang)
     model = small_batches(docs.sparkSession).sparkContext.broadcast(train(sample, order)) if sample else None
@@ -295,4 +295,4 @@ def identified(docs: DataFrame, least_score: float = 0.3, use: Column | None = N
             kept = batch.filter(pa.array(known, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return docs.select("*", _has_letter(text)).mapInArrow(keep, docs.schema)
+    return docs.select("*", _has_letter(text).alias(*unused(docs, "_has_letter"))).mapInArrow(keep, docs.schema)

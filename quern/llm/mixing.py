@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, hash_bucket, prefix_sums, tasks
+from .common import WORD, cut, hash_bucket, prefix_sums, tasks, unused
 from .sharding import shuffle_key
 
 
@@ -96,11 +96,13 @@ def mixed_documents(docs: DataFrame, weights=cyclic_weights, share: float = 1.0,
     its target to half a document.  Each row counts for itself, also if it
     shares its doc_id with others or has none: rows are numbered as they are
     written to the shared folder, once.  Rows without words (null, empty, white
-    space) have no share and are not taken.  An empty table gives no rows.
+    space) have no share and are not taken.  Other columns may have any names.
+    An empty table gives no rows.
     """
-    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias("_mix_row")), "mix-rows")
-    plan = _taken(docs_, weights, share, cap, seed, doc_id, text, source, F.col("_mix_row"))
+    row, plan_row, n, k = unused(docs, "_mix_row", "_plan_row", "_mix_n", "_mix_k")
+    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias(row)), "mix-rows")
+    plan = _taken(docs_, weights, share, cap, seed, doc_id, text, source, F.col(row))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    plan = plan.select(F.col("_row").alias("_plan_row"), times.alias("_mix_n")).where("_mix_n > 0")
-    out = docs_.join(plan.hint("shuffle_hash"), F.col("_mix_row") == F.col("_plan_row"))
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+    plan = plan.select(F.col("_row").alias(plan_row), times.alias(n)).where(F.col(n) > 0)
+    out = docs_.join(plan.hint("shuffle_hash"), F.col(row) == F.col(plan_row))
+    return out.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

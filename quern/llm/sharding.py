@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_bucket, prefix_sums, tasks
+from .common import cut, hash_bucket, prefix_sums, tasks, unused
 
 
 def shuffle_key(seed: int, *columns: Column) -> Column:
@@ -64,10 +64,12 @@ def sharded(docs: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc
     Every row has a place of its own, also among equal rows: rows are numbered
     as they are written to the shared folder, once, and find their places by
     that number, in one shuffle of the texts.  Null texts, sources and ids are
-    values like others; an empty table gives no rows.
+    values like others; other columns may have any names; an empty table gives
+    no rows.
     """
-    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias("_shard_row")), "shard-rows")
-    places = _places(docs_, shards, seed, doc_id, text, source, F.col("_shard_row"))
-    places = places.select(F.col("_row").alias("_place_row"), F.col("shard").alias("_shard_no"), F.col("slot").alias("_shard_slot"))
-    kept = [F.col(c) for c in docs.columns if c not in ("shard", "slot")]
-    return docs_.join(places.hint("shuffle_hash"), F.col("_shard_row") == F.col("_place_row")).select(*kept, F.col("_shard_no").alias("shard"), F.col("_shard_slot").alias("slot"))
+    row, place_row, shard, slot = unused(docs, "_shard_row", "_place_row", "_shard_no", "_shard_slot")
+    docs_ = cut(docs.select("*", F.monotonically_increasing_id().alias(row)), "shard-rows")
+    places = _places(docs_, shards, seed, doc_id, text, source, F.col(row))
+    places = places.select(F.col("_row").alias(place_row), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return docs_.join(places.hint("shuffle_hash"), F.col(row) == F.col(place_row)).select(*kept, F.col(shard).alias("shard"), F.col(slot).alias("slot"))

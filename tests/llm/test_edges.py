@@ -113,6 +113,23 @@ def test_stages(spark, docs, tmp_path, k):
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+#: What the stages call their own columns, in the input here.
+INNER = "_mix_row _plan_row _mix_n _mix_k _shard_row _place_row _shard_no _shard_slot _kept _kept_hash _times _Has_Letter _row _key _bucket _rank _place _part _upto _turns _source _size name n text_hash times target taken epochs _name _root _id key place Shard slot_ item_id score".split()
+
+
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_stand_any_names(spark, docs, tmp_path, k):
+    spark.createDataFrame([(1, "one two three")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    more = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(INNER)])
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, more, str(tmp_path))
+    rows, want = out.collect(), stage(spark, plain, str(tmp_path)).collect()
+    assert {c for c in INNER if c != "Shard"} <= {*out.columns}
+    assert all(r[c] == i for r in rows for i, c in enumerate(INNER) if c != "Shard")
+    assert sorted((str(r.doc_id), str(r.text), str(r.source)) for r in rows) == sorted((str(r.doc_id), str(r.text), str(r.source)) for r in want)
+
+
 def test_keep_one_of_shared_ids(spark):
     """Rows are kept by doc_id and text: no copy stays and no unique text is lost, whatever ids say."""
     a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue black white grey", "north south east west up down")
