@@ -21,10 +21,10 @@ def number_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: s
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = held.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = held.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)))
-    return _carried(local, counts, by).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
+    return carried(local, counts, by).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
 
 
-def _carried(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+def carried(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows with the columns that the table has for their key and bucket; nulls are keys like others."""
     keys = [*by, "_bucket"]
     named = table.withColumnsRenamed({k: f"_of_{k}" for k in keys})
@@ -42,7 +42,7 @@ def _previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: s
         return held.withColumn("_before", near).drop("_own", "_bucket")
     last = held.groupBy(*by, "_bucket").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
     last = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket"))).drop("_last")
-    return _carried(held.withColumn("_before", near), last, by).withColumn("_before", F.coalesce("_before", "_carry")).drop("_own", "_bucket", "_carry")
+    return carried(held.withColumn("_before", near), last, by).withColumn("_before", F.coalesce("_before", "_carry")).drop("_own", "_bucket", "_carry")
 
 
 def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: str, bucket: Column | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def runs(rows: DataFrame, by: Sequence[str], order: Sequence[str], mark: str, bu
         before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = held.groupBy(*by, "_bucket").agg(F.sum("_new").alias("_n")).withColumn("_done", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
         local = held.withColumn("run", F.sum("_new").over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-        numbered = _carried(local, sums, by).withColumn("run", F.col("run") + F.col("_done"))
+        numbered = carried(local, sums, by).withColumn("run", F.col("run") + F.col("_done"))
     return numbered.groupBy(*by, "run", mark).agg(F.count("*").alias("size"), F.min(order[-1]).alias("first"), F.max(order[-1]).alias("last"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import globs, text
@@ -43,8 +43,6 @@ def events(spark, d, kind=None) -> DataFrame:
     return rows.where(F.col("event_type") == kind) if kind else rows
 
 
-
-
 def _reached(spark, d):
     return asof.last_definition(events(spark, d, "click").select("user_id", "ts", "event_id"), events(spark, d, "purchase").select("event_id", "user_id", "ts"), ["user_id"], ["ts"], "event_id", F.to_date("ts"), "def_event_id")
 
@@ -87,6 +85,25 @@ def uses_after(spark, d):
     return _around(spark, d).select("event_id", "n_after")
 
 
+@query("""
+WITH p AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM events WHERE event_type = 'purchase')
+SELECT p.event_id, c.event_id AS def_event_id FROM p JOIN events c ON c.event_type = 'click' AND c.user_id = p.user_id AND c.ts < p.ts AND (p.since IS NULL OR c.ts > p.since)""")
+def all_definitions_between(spark, d):
+    """For every purchase all clicks of the user since the purchase before it."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    uses = events(spark, d, "purchase").select("event_id", "user_id", "ts", F.lag("ts").over(before).alias("since"))
+    defs = events(spark, d, "click").select("user_id", "ts", "event_id")
+    return asof.definitions_before(defs, uses, ["user_id"], ["ts"], "event_id", F.to_date, ["since"], "def_event_id").select("event_id", "def_event_id")
+
+
+@query("SELECT e.event_id, p.event_id AS use_event_id FROM events e JOIN events p ON e.event_type = 'error' AND p.event_type = 'purchase' AND e.user_id = p.user_id AND (p.ts > e.ts OR p.ts = e.ts AND p.event_id > e.event_id)")
+def all_usages_after(spark, d):
+    """For every error all purchases of the user after it."""
+    columns = ("event_id", "user_id", "ts")
+    marks = events(spark, d, "error").select(*columns)
+    return asof.usages_after(events(spark, d, "purchase").select(*columns), marks, ["user_id"], ["ts", "event_id"], "event_id", F.to_date, out="use_event_id").select("event_id", "use_event_id")
+
+
 @query(f"SELECT def_event_id, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS uses FROM ({_REACHED}) WHERE def_event_id IS NOT NULL GROUP BY 1")
 def def_use_edges(spark, d):
     return asof.def_use_edges(_reached(spark, d), "def_event_id", "event_id").select("def_event_id", F.array_join(F.col("uses").cast("array<string>"), ",").alias("uses"))
