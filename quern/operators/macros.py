@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.containment import contained
 
 #: Macros that have no effect on the build.
 DROPPED = ("AS_INIT", "AS_ME_PREPARE", "AS_UNAME", "AC_CONFIG_SRCDIR", "AC_PREREQ", "AC_COPYRIGHT", "AC_REVISION", "AH_TOP", "LT_PREREQ", "AC_MSG_CHECKING", "AC_MSG_RESULT", "AC_MSG_NOTICE")
@@ -88,9 +89,9 @@ def all_path_definitions(events: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_options(calls: DataFrame, events: DataFrame, nodes: DataFrame) -> DataFrame:
     """(script_id, option, kind, vars): options of AC_ARG_WITH and AC_ARG_ENABLE and the variables that their actions set."""
     own = calls.where(F.col("name").isin("AC_ARG_WITH", "AC_ARG_ENABLE")).select("script_id", "node_id", F.regexp_replace(arg(0), "[^A-Za-z0-9_]", "_").alias("option"), F.when(F.col("name") == "AC_ARG_WITH", "with").otherwise("enable").alias("kind"))
-    spans = nodes.select("script_id", "node_id", F.col("exec_id").alias("lo"), "exit_id")
-    made = events.where("event = 'def'").select("script_id", "var", "exec_id")
-    inside = own.join(spans, ["script_id", "node_id"]).join(made, "script_id").where("exec_id > lo AND exec_id < exit_id AND var NOT IN ('withval', 'enableval')")
+    spans = own.join(nodes.select("script_id", "node_id", "exec_id", "exit_id"), ["script_id", "node_id"])
+    made = events.where("event = 'def' AND var NOT IN ('withval', 'enableval')")
+    inside = contained(spans, made, ["script_id"], "exec_id", "exit_id", "exec_id", "node_id", "var", names=("node_id", "var"))
     return own.join(inside.groupBy("script_id", "node_id").agg(F.array_sort(F.collect_set("var")).alias("vars")), ["script_id", "node_id"], "left").select("script_id", "option", "kind", F.coalesce("vars", F.array().cast("array<string>")).alias("vars"))
 
 

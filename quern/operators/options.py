@@ -2,8 +2,8 @@
 
 Operators on the tables of scripts: ``options`` (script_id, option, node_id of
 the declaration), ``option_vars`` (script_id, option, var), ``assignment``,
-``guard_term``, ``node`` and ``var_event``.  Scripts are small and many: what
-is joined here is joined by script.
+``guard_term``, ``node`` and ``var_event``.  What stands within what is found by
+containment, by script and range of places.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.containment import contained
 from quern.operators.trees import cut
 
 YES, NO = "yes", "no"
@@ -40,17 +41,15 @@ def outermost_guarded(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """(script_id, name, node_id): nodes with such a branch that stand in no other node of the same name."""
     spans = nodes.select("script_id", "node_id", "exec_id", "exit_id")
     own = blocks_guarded_by(terms).select("script_id", "name", "node_id").distinct().join(spans, ["script_id", "node_id"])
-    around = own.select("script_id", "name", F.col("exec_id").alias("_lo"), F.col("exit_id").alias("_hi"))
-    inside = own.join(around, ["script_id", "name"]).where("exec_id > _lo AND exec_id < _hi").select("script_id", "name", "node_id")
+    inside = contained(own, own, ["script_id", "name"], "exec_id", "exit_id", "exec_id", "node_id", "node_id", names=("_around", "node_id"))
     return own.select("script_id", "name", "node_id").join(inside, ["script_id", "name", "node_id"], "left_anti")
 
 
 def contexts(option_vars: DataFrame, terms: DataFrame, nodes: DataFrame, assigned: DataFrame, most: int = 64) -> DataFrame:
     """(script_id, option, var): an option's variables and, step by step, those that hold its name and are assigned under a guard about one of them."""
-    spans = nodes.select("script_id", "node_id", F.col("exec_id").alias("_lo"), F.col("exit_id").alias("_hi"))
+    spans = nodes.select("script_id", "node_id", "exec_id", "exit_id")
     guarded = blocks_guarded_by(terms).select("script_id", F.col("name").alias("var"), "node_id").distinct().join(spans, ["script_id", "node_id"])
-    made = assigned.select("script_id", F.col("var").alias("_var"), "exec_id")
-    step = cut(guarded.join(made, "script_id").where("exec_id > _lo AND exec_id < _hi").select("script_id", "var", "_var").distinct())
+    step = cut(contained(guarded, assigned, ["script_id"], "exec_id", "exit_id", "exec_id", "var", "var", names=("var", "_var")).distinct())
     seen = frontier = cut(option_vars.select("script_id", "option", "var").distinct())
     for _ in range(most):
         new = frontier.join(step, ["script_id", "var"]).where(F.contains("_var", F.col("option"))).select("script_id", "option", F.col("_var").alias("var")).distinct()
@@ -72,8 +71,8 @@ def value_candidates(context: DataFrame, terms: DataFrame, assigned: DataFrame)
 
 def _outside(assigned: DataFrame, options: DataFrame, nodes: DataFrame) -> DataFrame:
     """Assignments that stand in no declaration."""
-    spans = options.select("script_id", "node_id").join(nodes.select("script_id", "node_id", "exec_id", "exit_id"), ["script_id", "node_id"]).select("script_id", F.col("exec_id").alias("_lo"), F.col("exit_id").alias("_hi"))
-    inside = assigned.join(spans, "script_id").where("exec_id > _lo AND exec_id < _hi").select("script_id", "node_id")
+    spans = options.select("script_id", "node_id").join(nodes.select("script_id", "node_id", "exec_id", "exit_id"), ["script_id", "node_id"])
+    inside = contained(spans, assigned, ["script_id"], "exec_id", "exit_id", "exec_id", "node_id", "node_id", names=("_around", "node_id"))
     return assigned.join(inside, ["script_id", "node_id"], "left_anti")
 
 
@@ -104,8 +103,8 @@ def pass_through(assigned: DataFrame, option_vars: DataFrame, all_paths: DataFra
 
 def without_declarations(nodes: DataFrame, options: DataFrame) -> DataFrame:
     """Nodes without the declarations of options and what stands in them."""
-    spans = options.select("script_id", "node_id").join(nodes.select("script_id", "node_id", "exec_id", "exit_id"), ["script_id", "node_id"]).select("script_id", F.col("exec_id").alias("_lo"), F.col("exit_id").alias("_hi"))
-    gone = nodes.join(spans, "script_id").where("exec_id >= _lo AND exec_id < _hi").select("script_id", "node_id")
+    spans = options.select("script_id", "node_id").join(nodes.select("script_id", "node_id", "exec_id", "exit_id"), ["script_id", "node_id"])
+    gone = contained(spans, nodes, ["script_id"], "exec_id", "exit_id", "exec_id", "node_id", "node_id", closed=True, names=("_around", "node_id"))
     return nodes.join(gone, ["script_id", "node_id"], "left_anti")
 
 

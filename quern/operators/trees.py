@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.containment import contained
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder of ``spark.checkpoint.dir`` and read back; where that is unset, cached if the master is local, an error on a cluster."""
@@ -23,10 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, key: str = "script_id", node: str = "node_id", begin: str = "exec_id", end: str = "exit_id") -> DataFrame:
-    """(key, node, descendant) for nodes numbered as nested sets: those that begin within [begin, end)."""
-    a = nodes.where(F.col(end) > F.col(begin) + 1).select(F.col(key), F.col(node).alias("ancestor"), F.col(begin).alias("_lo"), F.col(end).alias("_hi"))
-    b = nodes.select(F.col(key), F.col(node).alias("descendant"), F.col(begin).alias("_at"))
-    return a.join(b, key).where("_at > _lo AND _at < _hi").select(key, "ancestor", "descendant")
+    """(key, ancestor, descendant) for nodes numbered as nested sets: those that begin within (begin, end)."""
+    around = nodes.where(F.col(end) > F.col(begin) + 1)
+    return contained(around, nodes, [key], begin, end, begin, node, node, names=("ancestor", "descendant"))
 
 
 def descendants_of_paths(paths_: DataFrame) -> DataFrame:

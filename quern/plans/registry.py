@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import globs, text
-from quern.operators import asof, sequences, trees, values
+from quern.operators import asof, containment, sequences, trees, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -188,16 +188,35 @@ _PLACES = "SELECT 'r' || r_regionkey AS node, NULL AS parent FROM region UNION A
 _BELOW = f"WITH RECURSIVE t AS ({_PLACES}), p AS (SELECT node, parent AS up FROM t WHERE parent IS NOT NULL UNION ALL SELECT p.node, t.parent FROM p JOIN t ON p.up = t.node WHERE t.parent IS NOT NULL)"
 
 
-@query(f"{_BELOW} SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
-def nested_set_descendants(spark, d):
-    # numbered as nested sets under each root: a node ends where its last descendant does
+def _numbered(spark, d):
+    """The tree as nested sets under each root: a node ends where its last descendant does.  A root is dealt by the nodes below it."""
     tree = trees.paths(_places(spark, d), "node", "parent").withColumn("root", F.get("path", 0))
-    placed = sequences.number_rows(tree, ["root"], ["path"], "exec_id")
+    placed = sequences.number_rows(tree, ["root"], ["path"], "exec_id", F.get("path", 1))
     sizes = tree.select(F.explode("path").alias("node")).groupBy("node").count()
-    nodes = placed.join(sizes, "node").select("root", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
+    return placed.join(sizes, "node").select("root", "node", "exec_id", (F.col("exec_id") + F.col("count")).alias("exit_id"))
+
+
+@query(f"{_BELOW} SELECT up AS ancestor, count(*) AS n FROM p GROUP BY 1")
+def nested_set_descendants(spark, d):
+    nodes = _numbered(spark, d)
     return nodes.select(F.col("node").alias("ancestor"), (F.col("exit_id") - F.col("exec_id") - 1).alias("n")).where("n > 0")
 
 
+@query(f"{_BELOW} SELECT up AS ancestor, node AS descendant FROM p")
+def contained_descendants(spark, d):
+    """The same pairs from numbers alone: what begins within a node stands below it."""
+    return trees.descendants(_numbered(spark, d), "root", "node").drop("root")
+
+
+@query("SELECT o.o_orderkey, l.l_orderkey, l.l_linenumber::BIGINT AS l_linenumber FROM lineitem l JOIN orders own ON own.o_orderkey = l.l_orderkey JOIN orders o ON o.o_custkey = own.o_custkey AND o.o_orderdate::DATE < l.l_shipdate::DATE AND l.l_shipdate::DATE < o.o_orderdate::DATE + 60")
+def orders_around_shipments(spark, d):
+    """For every line the orders of its customer that were under sixty days old when it was sent."""
+    day = lambda c: F.unix_date(F.to_date(c))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"), day("o_orderdate").alias("lo"), (day("o_orderdate") + 60).alias("hi"))
+    lines = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "customer"), "l_orderkey").select("customer", F.struct("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber")).alias("line"), day("l_shipdate").alias("at"))
+    return containment.contained(o, lines, ["customer"], "lo", "hi", "at", "o_orderkey", "line", width=365).select(F.col("interval").alias("o_orderkey"), "place.*")
+
+
 @query(f"{_BELOW} SELECT up AS ancestor, node AS descendant FROM p")
 def tree_descendants(spark, d):
     return trees.descendants_of_paths(trees.paths(_places(spark, d), "node", "parent"))
