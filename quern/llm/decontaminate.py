@@ -1,32 +1,37 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of a test item is a seed.  Wherever a document holds one, the item
-is aligned with the words around it, unless the words there can't reach the
-least score in any order; the score is the alignment's share of what the whole
-item would get, so edited and paraphrased copies score by what is left.  A copy
-in which no ``n`` words in a row are left has no seed and isn't found.
+An n-gram of a test item is a seed if of the n-grams in some window of the
+item's words it is the one that the fewest documents hold; n-grams that no
+document holds are none.  Seeds join the documents that hold them to the items;
+each pair is then aligned around its seeds, unless the words there can't reach
+the least score in any order.  The score is the alignment's share of what the
+whole item would get, so edited and paraphrased copies score by what is left.
+A copy in which no seed is left whole isn't found.
 
 Words are separated by every ASCII character other than letters and digits,
-and letters are lower-cased in every script.  The benchmark is handed out in blocks of bounded size;
-nothing of the documents is gathered.
+and letters are lower-cased in every script.  Documents are read a fixed number
+of times, whatever the benchmark's size.  What is handed to all tasks is tables
+of bits of a fixed size, which let through all that must pass and little else;
+joins decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .language_id import Lookup
+from .common import cut, discard, small_batches, unused
 from .wordhash import PUNCTUATION, hash_words, shingle_hashes, text_buffers
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_BYTES = 16 << 20
+#: Bits of the tables that are broadcast: 4 MB.
+TABLE_BITS = 25
+HELD_GRAMS = 1 << 20
+_U = np.uint64
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
@@ -36,44 +41,35 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     return hash_words(data, PUNCTUATION)
 
 
-@dataclass
-class Items:
-    """A block of test items and where their n-grams are: those of one gram lie together, about 70 bytes for each word."""
-
-    ids: list
-    words: list[np.ndarray]
-    widths: list[int]
-    grams: np.ndarray  # distinct, ascending
-    lookup: Lookup | None
-    begin: np.ndarray  # by row of a gram: where its seeds begin, and last where all end
-    item: np.ndarray  # of each seed
-    place: np.ndarray  # of each seed in its item
-
-
-def load_items(rows: list[tuple], n: int) -> Items:
-    words = [word_hashes(np.frombuffer((text or "").encode(), np.uint8)) for _, text in rows]
-    widths = sorted({min(n, len(w)) for w in words if len(w)})
-    found = [shingle_hashes(w, n) for w in words]
-    flat = np.concatenate([np.zeros(0, np.uint64), *found])
-    grams, row = np.unique(flat, return_inverse=True)
-    size = [len(x) for x in found]
-    item = np.repeat(np.arange(len(words), dtype=np.int32), size)
-    place = np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in size]])
-    order = np.argsort(row, kind="stable")
-    begin = np.searchsorted(row[order], np.arange(len(grams) + 1))
-    return Items([i for i, _ in rows], words, widths, grams, Lookup(grams) if len(grams) else None, begin, item[order], place[order])
-
-
-def hits(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a text at which an n-gram of the benchmark begins, and the n-grams' rows."""
-    places, rows = [], []
-    for width in items.widths:
+class Bits:
+    """A set of 64-bit hashes by their first bits: holds all that were put in, and few others while it is mostly empty."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    @classmethod
+    def of(cls, rows: DataFrame, column: str) -> Bits:
+        """Of a column of any length: its bits are set in the tasks, and as many words of 64 come to the driver as the table has."""
+        at = F.shiftrightunsigned(column, 64 - TABLE_BITS)
+        words = rows.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - TABLE_BITS}) & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(1 << (TABLE_BITS - 6), _U)
+        table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(_U)
+        return cls(table)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> _U(64 - TABLE_BITS)
+        return (self.table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+
+
+def grams_of(words: np.ndarray, widths: list[int], bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of a text that ``bits`` lets through, and where they begin."""
+    grams, places = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for width in widths:
         if len(words) >= width:
-            row = items.lookup.find(shingle_hashes(words, width))
-            place = np.flatnonzero(row >= 0)
-            places.append(place)
-            rows.append(row[place])
-    return (np.concatenate(places), np.concatenate(rows)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            found = shingle_hashes(words, width)
+            places.append(np.flatnonzero(bits.has(found)))
+            grams.append(found[places[-1]])
+    return np.concatenate(grams), np.concatenate(places)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -97,102 +93,166 @@ def reachable(item: np.ndarray, window: np.ndarray) -> int:
     return int((run - np.minimum.accumulate(run)).max())
 
 
-def matches(items: Items, words: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word) of each item of which a text holds a copy."""
-    spans: dict[int, list[tuple[int, int]]] = {}
-    at, row = hits(items, words)
-    if not len(at):
-        return []
-    times = items.begin[row + 1] - items.begin[row]
-    seed = np.arange(times.sum()) + np.repeat(items.begin[row] - np.cumsum(times) + times, times)
-    for place, item, inside in zip(np.repeat(at, times).tolist(), items.item[seed].tolist(), items.place[seed].tolist(), strict=True):
-        size = len(items.words[item])
-        slack = int(MATCH * size * (1 - least)) + 1  # words that a copy can hold besides the item's
-        spans.setdefault(item, []).append((max(0, place - inside - slack), min(len(words), place - inside + size + slack)))
-    out = []
-    for item, own in spans.items():
-        whole = items.words[item]
-        merged: list[list[int]] = []
-        for lo, hi in sorted(own):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(hi, merged[-1][1])
-            else:
-                merged.append([lo, hi])
-        best = (0, 0, 0, 0)
-        for lo, hi in merged:
-            if reachable(whole, words[lo:hi]) < least * MATCH * len(whole):
-                continue
-            score, i, j = align(whole, words[lo:hi])
-            best = max(best, (score, -lo, i, j))
-        score, lo, i, j = best[0], -best[1], best[2], best[3]
-        if score and score >= least * MATCH * len(whole):
-            _, _, back = align(whole[:i][::-1], words[lo : lo + j][::-1])
-            out.append((item, score / (MATCH * len(whole)), lo + j - back, lo + j - 1))
-    return out
-
-
-def _match(items, least: float):
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, item, size, words): the words' hashes, and one hash of them all that names equal items."""
+    for batch in batches:
+        words = [word_hashes(d) if d is not None else np.zeros(0, _U) for d in text_buffers(batch.column(1))]
+        names = [int(shingle_hashes(w, len(w))[0].view(np.int64)) if len(w) else None for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())], ["item_id", "item", "size", "words"])
+
+
+def _item_grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, data in enumerate(text_buffers(batch.column(0))):
+            for item, size, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                grams = shingle_hashes(np.frombuffer(words, _U), n).view(np.int64)
+                k = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.full(k, item)), pa.array(np.full(k, size, np.int32)), pa.array(np.arange(k, dtype=np.int32))], ["gram", "item", "size", "inside"])
+
+    return run
+
+
+def _held(bits, widths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, docs): how many of the texts that a task has read hold each n-gram that passes."""
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            grams, docs = np.unique(np.concatenate([np.zeros(0, _U), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(docs.astype(np.int64))], ["gram", "docs"])
+
+        size = 0
+        for batch in batches:
+            for data in text_buffers(batch.column(0)):
                 if data is not None:
-                    rows += [(k, *m) for m in matches(items.value, word_hashes(data), least)]
-            at = pa.array([r[0] for r in rows], pa.int64())
-            cols = [batch.column(1).take(at), batch.column(2).take(at), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array([r[c] for r in rows], pa.int64()) for c in (3, 4)]], ["doc_id", "text_hash", "item", "score", "first_word", "last_word"])
+                    held.append(np.unique(grams_of(word_hashes(data), widths, bits.value)[0]))
+                    size += len(held[-1])
+                    if size > HELD_GRAMS:
+                        yield summed()
+                        size = 0
+        yield summed()
+
+    return run
+
+
+def _hits(bits, widths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text_hash, gram, place) of what may be a seed."""
+        for batch in batches:
+            rows: list[tuple[np.ndarray, np.ndarray]] = [grams_of(word_hashes(d), widths, bits.value) if d is not None else (np.zeros(0, _U), np.zeros(0, np.int64)) for d in text_buffers(batch.column(0))]
+            text = np.repeat(np.asarray(batch.column(1)), [len(g) for g, _ in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(np.concatenate([np.zeros(0, _U), *[g for g, _ in rows]]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *[p for _, p in rows]]))], ["text_hash", "gram", "place"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _near(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that may have seeds."""
+        for batch in batches:
+            yield batch.filter(pa.array(bits.value.has(np.asarray(batch.column(1)).view(_U))))
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_hash, item, first, window): the words of a text around the seeds of each item."""
+    for batch in batches:
+        for data, name, asked in zip(text_buffers(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            words = word_hashes(data)
+            at = [(a["item"], max(0, a["lo"]), words[max(0, a["lo"]) : a["hi"]].tobytes()) for a in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), *[pa.array([x[k] for x in at], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))]], ["text_hash", "item", "first", "window"])
+
+
+def _aligned(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, name, first, window, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                item, near = np.frombuffer(words, _U), np.frombuffer(window, _U)
+                enough = least * MATCH * len(item)
+                if reachable(item, near) < enough:
+                    continue
+                score, i, j = align(item, near)
+                if score and score >= enough:
+                    _, _, back = align(item[:i][::-1], near[:j][::-1])
+                    rows.append((text, name, score / (MATCH * len(item)), first + j - back, first + j - 1))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["text_hash", "item", "score", "first_word", "last_word"])
+
+    return run
+
+
+def _copies(texts: DataFrame, benchmark: DataFrame, n: int, window: int, least: float, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(text_hash, item, score, first_word, last_word) of the best copy of each item in each text, and (item_id, item).
+
+    texts: (text, text_hash).
+    """
+    spark = small_batches(texts.sparkSession)
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    tests = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_items, f"item_id {kind}, item bigint, size int, words binary").where("item IS NOT NULL")
+    tests = cut(tests, "benchmark-items")
+    items = tests.select("item", "size", "words").dropDuplicates(["item"])
+    grams = cut(items.mapInArrow(_item_grams(n), "gram bigint, item bigint, size int, inside int"), "benchmark-grams")
+    widths = [r[0] for r in items.select(F.least(F.lit(n), "size")).distinct().collect()]
+    texts = texts.where("text IS NOT NULL")
+
+    asked = spark.sparkContext.broadcast(Bits.of(grams.select("gram").distinct(), "gram"))
+    docs = texts.select("text").mapInArrow(_held(asked, widths), "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    ranked = grams.join(docs, "gram").withColumn("rank", F.struct("docs", F.xxhash64("gram").alias("tie"), "gram"))
+    ahead = Window.partitionBy("item").orderBy("inside").rangeBetween(0, max(0, window - n))
+    # the rarest n-gram of each window of the item's words
+    rarest = F.min_by(F.struct("gram", "inside"), F.struct("rank", "inside")).over(ahead)
+    seeds = cut(ranked.select("item", "size", rarest.alias("seed")).select("item", "size", "seed.*").distinct(), "benchmark-seeds")
+
+    seeded = spark.sparkContext.broadcast(Bits.of(seeds.select("gram").distinct(), "gram"))
+    hits = texts.select("text", "text_hash").mapInArrow(_hits(seeded, widths), "text_hash bigint, gram bigint, place bigint").distinct()
+    # around seeds that lie alike in text and item, to an item's length; a copy may hold other words besides the item's
+    lie = F.col("place") - F.col("inside")
+    slack = (F.col("size") * F.lit(MATCH * (1 - least))).cast("bigint") + 1
+    near = hits.join(seeds, "gram").groupBy("text_hash", "item", F.floor(lie / F.col("size")).alias("block")).agg(F.min(lie - slack).alias("lo"), F.max(lie + F.col("size") + slack).alias("hi"))
+    near = cut(near.groupBy("text_hash").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("asked")), "benchmark-near")
+    there = spark.sparkContext.broadcast(Bits.of(near, "text_hash"))
+    whole = texts.select("text", "text_hash").mapInArrow(_near(there), "text string, text_hash bigint").dropDuplicates(["text_hash"])
+    around = whole.join(near, "text_hash").select("text", "text_hash", "asked").mapInArrow(_windows, "text_hash bigint, item bigint, first bigint, window binary")
+    scored = around.join(items.select("item", "words"), "item").select("text_hash", "item", "first", "window", "words").mapInArrow(_aligned(least), "text_hash bigint, item bigint, score double, first_word bigint, last_word bigint")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("from"), "last_word")).alias("b")
+    found = scored.groupBy("text_hash", "item").agg(best).select("text_hash", "item", "b.score", (-F.col("b.from")).alias("first_word"), "b.last_word")
+    found = cut(found, "benchmark-copies")
+    discard([grams, seeds, near])
+    return found, tests.select("item_id", "item")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 2, window: int = 3, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and test item of which it holds a copy: doc_id, text_hash, item_id, score, first_word, last_word.
 
-    score: Smith-Waterman score (match 2, other word -1, gap -1) over that of
-    the whole item, at least ``least``; first_word and last_word: the copy's
-    place in the document, in words from 0.  text_hash (xxhash64 of the text)
-    tells rows apart that share a doc_id or have none.  Null or empty texts and
-    items match nothing; items of fewer than ``n`` words are looked for whole.
-    Repeated rows give repeated results, as do repeated items.  Empty tables
-    give no rows.  Other columns are not read.
+    Seeds are ``n`` words long, the rarest of every ``window`` words of an
+    item; an item of fewer words is looked for whole.  score: Smith-Waterman
+    score (match 2, other word -1, gap -1) over that of the whole item, at
+    least ``least``; first_word and last_word: the best copy's place in the
+    document, in words from 0.  text_hash (xxhash64 of the text) tells rows
+    apart that share a doc_id or have none; equal texts are aligned once.  Null
+    or empty texts and items match nothing.  Repeated rows give repeated
+    results, as do repeated items.  Empty tables give no rows.  Other columns
+    are not read.
     """
-    own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    out = None
-    for ids, seeded in _seeded(docs, benchmark, n, item_id, item_text):
-        found = own.mapInArrow(_match(seeded, least), f"doc_id {kind}, text_hash bigint, item bigint, score double, first_word bigint, last_word bigint")
-        found = found.join(F.broadcast(ids), "item").select("doc_id", "text_hash", "item_id", "score", "first_word", "last_word")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _seeded(docs: DataFrame, benchmark: DataFrame, n: int, item_id: str, item_text: str) -> Iterator[tuple[DataFrame, object]]:
-    """For each block of test items: their ids, and the broadcast items with their seeds."""
-    spark = small_batches(docs.sparkSession)
-    tests = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s")).first()["s"]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    for block in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = load_items([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], n)
-        names = spark.createDataFrame(list(enumerate(items.ids)), f"item bigint, item_id {tests.schema['item_id'].dataType.simpleString()}")
-        yield names, spark.sparkContext.broadcast(items)
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no copy of a test item, with all their columns and no shuffle of them.
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    found, tests = _copies(own.select("text", "text_hash"), benchmark, n, window, least, item_id, item_text)
+    rows = own.where("text IS NOT NULL").select("doc_id", "text_hash").join(found, "text_hash").join(tests, "item")
+    return rows.select("doc_id", "text_hash", "item_id", "score", "first_word", "last_word")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 2, window: int = 3, least: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no copy of a test item, with all their columns.
 
     A copy is what ``contaminated`` finds.  Rows with a null or empty text
     stay, repeated rows stay or go together, null and empty items match
     nothing; without items all rows stay, and an empty table gives no rows.
+    Other columns may have any names.
     """
-    place = docs.columns.index(text)
-    for _, seeded in _seeded(docs, benchmark, n, item_id, item_text):
-
-        def keep(batches: Iterator[pa.RecordBatch], seeded=seeded) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [d is None or not matches(seeded.value, word_hashes(d), least) for d in text_buffers(batch.column(place))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    own = docs.select(F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    found, _ = _copies(own, benchmark, n, window, least, item_id, item_text)
+    (gone,) = unused(docs, "_gone")
+    gone_texts = found.select(F.col("text_hash").alias(gone)).distinct()
+    return docs.join(gone_texts, docs[text].isNotNull() & (F.xxhash64(docs[text].cast("string")) == F.col(gone)), "left_anti")

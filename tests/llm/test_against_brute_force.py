@@ -532,6 +532,25 @@ def test_contamination_of_changed_copies(spark, every):
     assert {r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()} == {21}
 
 
+def test_contamination_of_natural_copies(spark):
+    """Of copies with every 3rd to 5th word changed, or a word put in after every second or third, among documents of the same words, nearly all are found that score enough; the corpus has whole copies of half of the items."""
+    r = random.Random(21)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(3000)]
+    word = lambda: r.choice(common) if r.random() < 0.5 else r.choice(rare)
+    items = {k: [word() for _ in range(r.choice([12, 30, 60]))] for k in range(80)}
+    edits = {f"every {e}": (lambda w, e=e: [word() if k % e == e - 1 else x for k, x in enumerate(w)]) for e in (3, 4, 5)}
+    edits |= {f"into {e}": (lambda w, e=e: [y for k, x in enumerate(w) for y in ([x, word()] if k % e == e - 1 else [x])]) for e in (2, 3)}
+    rows = [(i, name, f(w)) for name, f in edits.items() for i, w in items.items()] + [(i, "whole", w) for i, w in items.items() if i % 2]
+    texts = [(k, " ".join([word() for _ in range(20)] + w + [word() for _ in range(20)])) for k, (_, _, w) in enumerate(rows)] + [(10**6 + k, " ".join(word() for _ in range(200))) for k in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    for name in (*edits, "whole"):
+        due = [(k, i) for k, (i, n, w) in enumerate(rows) if n == name and plain_alignment(items[i], texts[k][1].split()) >= len(items[i])]
+        share = sum(x in found for x in due) / len(due)
+        assert len(due) >= 20 and share >= (0.9 if name == "every 3" else 0.97), (name, len(due), share)
+    assert not any(k >= 10**6 for k, _ in found)
+
+
 def test_contamination_in_capitals(spark):
     """Copies of items beyond ASCII are found in any case, and scored and placed as whole copies."""
     item = "Où êtes-vous allés après l’été, Élodie ? Ça dépend — d’où, наверное, придёт ответ на это"
