@@ -7,12 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions import globs
-
 #: The order in which types win.
 TYPE_PRIORITY = {"Either": 0, "Literal": 1, "Path": 2, "Boolean": 3, "Integer": 4, "Optional": 5, "List": 6}
-#: What architectures and systems are called elsewhere.
-PLATFORM_ALIASES = {"i386": "x86", "mingw": "windows"}
 MOST_CANDIDATES = 10
 
 
@@ -45,23 +41,6 @@ def candidates(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return top.groupBy(*by, "numeric").agg(F.transform(listed, lambda x: x["v"]).alias("candidates"))
 
 
-def platform_match(patterns: DataFrame, names: DataFrame, pattern: str, name: str, most: int = 10_000) -> DataFrame:
-    """For each pattern the first name that it matches, by length and then by text; null without one.
-
-    Patterns are a written list, of ``most`` different ones at most (more are an
-    error); it is sent to all tasks as regular expressions, and names are read
-    once.
-    """
-    distinct = [r[0] for r in patterns.where(F.col(pattern).isNotNull()).select(pattern).distinct().limit(most + 1).collect()]
-    if len(distinct) > most:
-        raise ValueError(f"over {most} patterns")
-    listed = [(p, e[:-1] + r"\z") for p in distinct if (e := globs.to_regex(p))]
-    regexes = F.broadcast(patterns.sparkSession.createDataFrame(listed, "_pattern string, _regex string"))
-    hit = names.select(F.col(name).alias("_name")).distinct().join(regexes, F.expr("_name RLIKE _regex"))
-    first = hit.groupBy("_pattern").agg(F.min_by("_name", F.struct(F.length("_name"), "_name")).alias("match"))
-    return patterns.join(first, F.col(pattern) == F.col("_pattern"), "left").select(*patterns.columns, "match")
-
-
 def contradictions(atoms: DataFrame, by: Sequence[str], var: str, negated: str) -> DataFrame:
     """Keys and variables that are asked to be both true and false."""
     return atoms.groupBy(*by, var).agg(F.bool_or(negated).alias("_no"), F.bool_or(~F.col(negated)).alias("_yes")).where("_no AND _yes").select(*by, var)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import globs, text
-from quern.operators import asof, containment, sequences, trees, values
+from quern.operators import asof, containment, globjoin, sequences, trees, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -296,7 +296,35 @@ _PATTERNS = ("*", "PROMO*", "*A?*", "[A-M]*", "nothing*")
 
 @query(f"WITH p(pattern) AS (VALUES {', '.join(repr((x,)).replace(',)', ')') for x in _PATTERNS)}) SELECT pattern, (SELECT p_type FROM part WHERE p_type GLOB pattern ORDER BY length(p_type), p_type LIMIT 1) AS match FROM p")
 def glob_theta_platform(spark, d):
-    return values.platform_match(spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string"), table(spark, d, "part"), "pattern", "p_type")
+    return globjoin.first_match(spark.createDataFrame([(p,) for p in _PATTERNS], "pattern string"), table(spark, d, "part"), "pattern", "p_type")
+
+
+_NAME_PATTERNS = "SELECT DISTINCT CASE n_nationkey % 5 WHEN 0 THEN upper(substr(n_name, 2, 3)) || '*' WHEN 1 THEN '*' || substr(n_name, 1, 2) || '*' WHEN 2 THEN '*[' || substr(n_name, 1, 3) || ']?' WHEN 3 THEN '?' || substr(n_name, 2, 2) || '*' ELSE repeat('?', n_nationkey) END AS pattern FROM nation UNION SELECT DISTINCT substr(p_type, 1, 4) || '*' || substr(p_type, -3) FROM part"
+
+
+@query(f"WITH p AS ({_NAME_PATTERNS}), n AS (SELECT DISTINCT p_type AS name FROM part UNION SELECT DISTINCT n_name FROM nation) SELECT pattern, name FROM p JOIN n ON name GLOB pattern")
+def glob_pairs(spark, d):
+    """Patterns made from names, with all names that each matches."""
+    n, part = table(spark, d, "nation"), table(spark, d, "part")
+    made = F.expr("CASE n_nationkey % 5 WHEN 0 THEN concat(upper(substr(n_name, 2, 3)), '*') WHEN 1 THEN concat('*', substr(n_name, 1, 2), '*') WHEN 2 THEN concat('*[', substr(n_name, 1, 3), ']?') WHEN 3 THEN concat('?', substr(n_name, 2, 2), '*') ELSE repeat('?', n_nationkey) END")
+    patterns = n.select(made.alias("pattern")).union(part.select(F.concat(F.substring("p_type", 1, 4), F.lit("*"), F.substring("p_type", -3, 3))))
+    return globjoin.glob_pairs(patterns, part.select(F.col("p_type").alias("name")).union(n.select("n_name")), "pattern", "name")
+
+
+@query("""
+WITH k AS (SELECT n_nationkey AS k, lower(n_name) AS name FROM nation),
+p AS (SELECT k, name, CASE WHEN k % 3 = 0 THEN 'i?86' WHEN k % 3 = 1 THEN left(name, 2) || '*' ELSE 'sparc' END AS arch_pattern, CASE WHEN k % 4 = 0 THEN '*mingw*' ELSE '*' || right(name, 2) END AS os_pattern FROM k)
+SELECT 'arch' AS part, arch_pattern AS pattern, coalesce((SELECT name FROM k WHERE k.name GLOB arch_pattern ORDER BY length(name), name LIMIT 1), CASE WHEN 'i386' GLOB arch_pattern THEN 'x86' END) AS arch, NULL AS os, NULL AS env FROM p
+UNION ALL SELECT 'os', os_pattern, NULL, coalesce((SELECT name FROM k WHERE k.name GLOB os_pattern ORDER BY length(name), name LIMIT 1), CASE WHEN 'mingw' GLOB os_pattern THEN 'windows' END),
+  CASE WHEN NOT EXISTS (SELECT 1 FROM k WHERE k.name GLOB os_pattern) AND 'mingw' GLOB os_pattern THEN 'gnu' END FROM p""")
+def platform_alternatives(spark, d):
+    """Patterns of architectures and systems, with what is supported or what stands for it."""
+    name = F.lower("n_name")
+    n = table(spark, d, "nation")
+    arch = F.when(F.col("n_nationkey") % 3 == 0, "i?86").when(F.col("n_nationkey") % 3 == 1, F.concat(F.substring(name, 1, 2), F.lit("*"))).otherwise("sparc")
+    os_ = F.when(F.col("n_nationkey") % 4 == 0, "*mingw*").otherwise(F.concat(F.lit("*"), F.substring(name, -2, 2)))
+    patterns = n.select(F.lit("arch").alias("part"), arch.alias("pattern")).union(n.select(F.lit("os"), os_))
+    return globjoin.platform_atoms(patterns, n.select(name.alias("arch"), name.alias("os")))
 
 
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_brand, '^\$', ''), '[^A-Za-z0-9_]', '_', 'g'), '^([0-9])', '_\1') AS name FROM part")

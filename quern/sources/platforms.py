@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.sequences import number_rows
+
 
 def triplets(spark: SparkSession, path: str) -> DataFrame:
     """(name, arch, os, env, abi) of a JSON object with an entry for each target; its path is a parameter."""
@@ -13,11 +15,9 @@ def triplets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def supported(platforms: DataFrame, part: str) -> DataFrame:
-    """Different values of arch or os with their place by length, then text."""
-    from pyspark.sql import Window
-
-    rows = platforms.select(F.col(part).alias("name")).where("name IS NOT NULL").distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.length("name"), "name")))
+    """Different values of arch or os with their place by length, then text; numbered length by length."""
+    rows = platforms.select(F.col(part).alias("name")).where("name IS NOT NULL").distinct().withColumn("size", F.length("name"))
+    return number_rows(rows, [], ["size", "name"], "place", F.col("size")).select("name", "place")
 
 
 def msvc_directories(include: str) -> list[str]:
