@@ -45,19 +45,18 @@ def outermost_guarded(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.select("script_id", "name", "node_id").join(inside, ["script_id", "name", "node_id"], "left_anti")
 
 
-def contexts(option_vars: DataFrame, terms: DataFrame, nodes: DataFrame, assigned: DataFrame, most: int = 64) -> DataFrame:
+def contexts(option_vars: DataFrame, terms: DataFrame, nodes: DataFrame, assigned: DataFrame) -> DataFrame:
     """(script_id, option, var): an option's variables and, step by step, those that hold its name and are assigned under a guard about one of them."""
     spans = nodes.select("script_id", "node_id", "exec_id", "exit_id")
     guarded = blocks_guarded_by(terms).select("script_id", F.col("name").alias("var"), "node_id").distinct().join(spans, ["script_id", "node_id"])
     step = cut(contained(guarded, assigned, ["script_id"], "exec_id", "exit_id", "exec_id", "var", "var", names=("var", "_var")).distinct())
     seen = frontier = cut(option_vars.select("script_id", "option", "var").distinct())
-    for _ in range(most):
+    while True:  # ends, for what is seen grows within the names of a script
         new = frontier.join(step, ["script_id", "var"]).where(F.contains("_var", F.col("option"))).select("script_id", "option", F.col("_var").alias("var")).distinct()
         frontier = cut(new.join(seen, ["script_id", "option", "var"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.union(frontier))
-    raise ValueError(f"contexts of over {most} steps")
 
 
 def value_candidates(context: DataFrame, terms: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
+from quern.operators.graphs import reached
 from quern.operators.trees import cut
 
 AM_VAR = "file string, line int, name string, op string, words array<string>, conds array<struct<negated:boolean,var:string>>"
@@ -46,33 +47,40 @@ def makefile_variables(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, AM_VAR)
 
 
-_INCLUDE = r"(?m)^(-?include[ \t]+([^\s\x02]+)[ \t]*((?:\x02[^\s\x02]+)*))$"
-
-
 def inline_includes(files: DataFrame, most: int = 64) -> DataFrame:
-    """(path, content) with ``include FILE`` replaced by its content, an unknown file by nothing, until none is left.
-
-    A file that would come to stand within itself is replaced by nothing: an
-    inserted line knows the files that it came through.  Chains of over
+    """(path, content) with ``include FILE`` replaced by its content, an unknown file by an empty line, until none is left.
+
+    Lines are rows with a key, the numbers of the lines that they came through;
+    a round replaces all include lines of all files at once by the lines of the
+    files they name, so there are as many rounds as files are nested, and texts
+    are put together once, by key.  Files without includes are handed on as
+    they are.  A file that would come to stand within itself is replaced by an
+    empty line: a line knows the files that it came through.  Chains of over
     ``most`` files are an error, never left out.
     """
-    texts = files.select(F.col("path").alias("_inc"), F.col("content").alias("_text"))
+    line = F.posexplode(F.split("content", "\n")).alias("k", "line")
+    lines = files.select("path", line).withColumn("inc", F.regexp_extract("line", r"^-?include[ \t]+(\S+)[ \t]*$", 1))
+    including = cut(lines.where("inc <> ''").select("path").distinct())
+    rows = lines.join(including, "path", "left_semi").select("path", F.array("k").alias("key"), "line", "inc", F.array("path").alias("chain"))
+    own = lines.select(F.col("path").alias("inc"), F.col("k").alias("_k"), F.col("line").alias("_line"), F.col("inc").alias("_inc"))
+    done = None
     while True:
-        part = lambda n: F.regexp_extract("content", _INCLUDE, n)
-        marked = files.withColumn("_line", part(1)).withColumn("_inc", part(2)).withColumn("_chain", part(3))
-        if marked.where("_line <> ''").isEmpty():
-            return files
-        deep = F.size(F.split("_chain", "\x02")) > most
-        if not marked.where(deep).isEmpty():
+        rows = cut(rows)
+        flat = rows.where("inc = ''").select("path", "key", "line")
+        done = flat if done is None else done.union(flat)
+        left = rows.where("inc <> ''")
+        if left.isEmpty():
+            break
+        if not left.where(F.size("chain") > most).isEmpty():
             raise ValueError(f"include chains of over {most} files")
-        joined = marked.join(texts, "_inc", "left")
-        within = (F.col("_inc") == F.col("path")) | F.array_contains(F.split("_chain", "\x02"), F.col("_inc"))
-        known = F.regexp_replace("_text", F.lit(r"(?m)^(-?include[ \t]+\S+)[ \t]*$"), F.concat(F.lit("$1"), F.regexp_replace(F.concat("_chain", F.lit("\x02"), "_inc"), r"([\\$])", r"\\$1")))
-        feed = F.lit("\n")
-        put = F.concat(feed, F.when(within, "").otherwise(F.coalesce(known, F.lit(""))), feed)
-        whole = F.replace(F.concat(feed, "content", feed), F.concat(feed, "_line", feed), put)  # the line as a whole, not what begins like it
-        new = F.when(F.col("_line") == "", F.col("content")).otherwise(F.substring(whole, F.lit(2), F.length(whole) - 2))
-        files = cut(joined.select("path", new.alias("content")))
+        within = F.array_contains("chain", F.col("inc"))
+        again = left.where(within).select("path", "key", F.lit("").alias("line"), F.lit("").alias("inc"), "chain")
+        fresh = left.where(~within).join(own, "inc", "left")
+        key = F.when(F.col("_k").isNull(), F.col("key")).otherwise(F.concat("key", F.array("_k")))
+        fresh = fresh.select("path", key.alias("key"), F.coalesce("_line", F.lit("")).alias("line"), F.coalesce("_inc", F.lit("")).alias("inc"), F.concat("chain", F.array("inc")).alias("chain"))
+        rows = again.union(fresh)
+    whole = done.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return files.join(including, "path", "left_anti").select("path", "content").union(whole)
 
 
 def current_values(assigned: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def resolve_sources(sources: DataFrame, files: DataFrame, built: DataFrame) -> D
     return tried.join(there, "_p").groupBy("file", "target", "source").agg(F.min_by("_p", "_k").alias("path"))
 
 
-def reached_headers(roots: DataFrame, files: DataFrame, directories: list[str], most: int = 64) -> tuple[DataFrame, DataFrame]:
+def reached_headers(roots: DataFrame, files: DataFrame, directories: list[str]) -> tuple[DataFrame, DataFrame]:
     """Headers that sources reach: (path) inside the project, (header) outside.
 
     files: (path, content).  A name is looked for in the directories in order,
@@ -135,35 +143,22 @@ def reached_headers(roots: DataFrame, files: DataFrame, directories: list[str],
     tries = names.select("path", "header", F.posexplode(F.transform(spelled, text.normalize_path)).alias("k", "target"))
     hit = tries.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "header").agg(F.min_by("target", "k").alias("target"))
     edges = cut(names.distinct().join(hit, ["path", "header"], "left"))
-    seen = frontier = cut(roots.select("path").distinct())
-    for _ in range(most):
-        new = frontier.join(edges, "path").where("target IS NOT NULL").select(F.col("target").alias("path")).distinct()
-        frontier = cut(new.join(seen, "path", "left_anti"))
-        if frontier.isEmpty():
-            inside = seen.join(roots, "path", "left_anti")
-            return inside, seen.join(edges, "path").where("target IS NULL").select("header").distinct()
-        seen = cut(seen.union(frontier))
-    raise ValueError(f"include chains of over {most} files")
+    seen = reached(roots, edges, [], "path", "path", "target")
+    return seen.join(roots, "path", "left_anti"), seen.join(edges, "path").where("target IS NULL").select("header").distinct()
 
 
-def values_used(symbols: DataFrame, files: DataFrame, most: int = 32) -> DataFrame:
+def values_used(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(symbol): symbols whose value is used, itself or through ``#define`` aliases: on a line that isn't a directive, and not as ``if (X)`` alone.
 
-    Lines are split to words once and joined by word; aliases are followed by a
-    frontier loop that stands cycles.
+    Lines are split to words once and joined by word; chains of aliases may be
+    of any length and run in cycles.
     """
     lines = files.select(F.explode(F.split(text.strip_comments(text.merge_continuations(F.col("content"))), "\n")).alias("line"))
     alias = lines.select(F.regexp_extract("line", r"^\s*#\s*define\s+(\w+)\s+(\w+)\s*$", 1).alias("alias"), F.regexp_extract("line", r"^\s*#\s*define\s+(\w+)\s+(\w+)\s*$", 2).alias("symbol")).where("alias <> ''").distinct()
     body = lines.where(~F.col("line").rlike(r"^\s*#")).select(F.regexp_replace("line", r"\bif\s*\(\s*!?\s*\w+\s*\)", "").alias("line"))
-    direct = cut(body.select(F.explode(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct())
-    reach = frontier = cut(symbols.select("symbol", F.col("symbol").alias("name")).distinct())
-    for _ in range(most):
-        new = frontier.join(alias.select(F.col("symbol").alias("name"), "alias"), "name").select("symbol", F.col("alias").alias("name")).distinct()
-        frontier = cut(new.join(reach, ["symbol", "name"], "left_anti"))
-        if frontier.isEmpty():
-            return reach.join(direct, "name").select("symbol").distinct()
-        reach = cut(reach.union(frontier))
-    raise ValueError(f"alias chains of over {most} steps")
+    direct = body.select(F.explode(F.regexp_extract_all("line", F.lit(r"\w+"), F.lit(0))).alias("name")).distinct()
+    named = reached(symbols.select("symbol", F.col("symbol").alias("name")), alias, ["symbol"], "name", "symbol", "alias")
+    return named.join(direct, "name").select("symbol").distinct()
 
 
 def policies(symbols: DataFrame, used: DataFrame, frozen: DataFrame) -> DataFrame:

@@ -36,24 +36,6 @@ def descendants_of_paths(paths_: DataFrame) -> DataFrame:
     return paths_.select(F.explode(above).alias("ancestor"), F.col("node").alias("descendant"))
 
 
-def closure(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 64) -> DataFrame:
-    """All (src, dst) that a path leads to; cycles are fine.
-
-    The frontier is joined with the edges until nothing new comes up; each step
-    is cut to the shared folder.  ``most`` bounds the length of paths; a
-    closure that isn't complete by then is an error, never a shorter result.
-    """
-    step = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
-    found = frontier = cut(step)
-    for _ in range(most):
-        new = frontier.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
-        frontier = cut(new.join(found, ["src", "dst"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = cut(found.union(frontier))
-    raise ValueError(f"paths of over {most} edges")
-
-
 def paths(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
     """(node, path): the nodes from the root to each node, found level by level."""
     level = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.array(node).alias("path"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import globs, text
-from quern.operators import asof, containment, globjoin, sequences, trees, values
+from quern.operators import asof, containment, globjoin, graphs, sequences, trees, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -256,7 +256,44 @@ _LINKS = "SELECT DISTINCT s_nationkey AS src, (s_suppkey * 7 + s_nationkey) % 25
 @query(f"WITH RECURSIVE e AS ({_LINKS}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::BIGINT AS src, dst::BIGINT AS dst FROM c")
 def transitive_closure(spark, d):
     links = table(spark, d, "supplier").select(F.col("s_nationkey").cast("bigint").alias("src"), F.expr("(s_suppkey * 7 + s_nationkey) % 25").cast("bigint").alias("dst"))
-    return trees.closure(links)
+    return graphs.closure(links)
+
+
+_DEPENDS = "SELECT e.event_id AS parent, c.event_id AS child FROM events e JOIN events c ON e.event_id <> c.event_id AND c.event_id IN (e.event_id // 2, e.event_id // 3)"
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_DEPENDS}), p AS (SELECT event_id AS node, 0::BIGINT AS depth FROM events UNION SELECT e.parent, depth + 1 FROM p JOIN e ON e.child = p.node)
+SELECT node AS event_id, max(depth) AS layer, NULL AS error FROM p GROUP BY 1""")
+def graph_layers(spark, d):
+    """Each event needs those of half and a third of its number: a graph with shared children, children first."""
+    e = events(spark, d).select("event_id")
+    needs = e.select(F.col("event_id").alias("parent"), F.explode(F.array(F.expr("event_id DIV 2"), F.expr("event_id DIV 3"))).alias("child")).where("parent <> child")
+    return graphs.layers(e, needs, "event_id", "parent", "child")
+
+
+@query(f"WITH RECURSIVE e AS ({_DEPENDS}), r AS (SELECT event_id AS start, event_id AS node FROM events WHERE event_id % 97 = 0 UNION SELECT r.start, e.child FROM r JOIN e ON e.parent = r.node) SELECT start, node FROM r")
+def graph_reach(spark, d):
+    """All that every 97th event needs, by steps that double."""
+    e = events(spark, d).select("event_id")
+    needs = e.select(F.col("event_id").alias("parent"), F.explode(F.array(F.expr("event_id DIV 2"), F.expr("event_id DIV 3"))).alias("child")).where("parent <> child")
+    needs = needs.join(e.select(F.col("event_id").alias("child")), "child", "left_semi")
+    start = e.where("event_id % 97 = 0").select(F.col("event_id").alias("start"), F.col("event_id").alias("node"))
+    return graphs.reached(start, needs, ["start"], "node", "parent", "child")
+
+
+@query(f"""
+WITH n AS ({_SORTED}), c AS (SELECT DISTINCT 'n' || s_nationkey AS nation FROM supplier WHERE s_acctbal < 0 UNION SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0),
+w AS (SELECT nation AS node FROM c UNION SELECT DISTINCT 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 0)
+SELECT n.node, row_number() OVER (PARTITION BY root ORDER BY k) AS place FROM n JOIN w ON n.node = w.node""")
+def closed_post_order(spark, d):
+    """Suppliers with debts and the places they stand in, children first."""
+    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"))
+    nodes = r.select(pair("r", "r_regionkey").alias("node"), F.when(F.lit(False), pair("r", "r_regionkey")).alias("parent")).union(n.select(pair("n", "n_nationkey"), pair("r", "n_regionkey"))).union(s.select(pair("s", "s_suppkey"), pair("n", "s_nationkey")))
+    tree = trees.paths(nodes, "node", "parent").withColumn("root", F.get("path", 0))
+    placed = graphs.closed_post_order(tree, s.where("s_acctbal < 0").select(pair("s", "s_suppkey").alias("node")), ["root"])
+    return placed.select(F.concat("node.kind", F.col("node.id").cast("string")).alias("node"), F.col("place").cast("bigint").alias("place"))
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
