@@ -3,10 +3,11 @@
 An n-gram of a test item is a seed if of the n-grams in some window of the
 item's words it is the one that the fewest documents hold; n-grams that no
 document holds are none.  Seeds join the documents that hold them to the items;
-each pair is then aligned around its seeds, unless the words there can't reach
-the least score in any order.  The score is the alignment's share of what the
+where two seeds of an item lie alike, or a rare one, the pair is aligned around
+them, unless the words there can't reach the least score in any order.  The score is the alignment's share of what the
 whole item would get, so edited and paraphrased copies score by what is left.
-A copy in which no seed is left whole isn't found.
+A copy in which no seed is left whole,
+or a common one alone, isn't found.
 
 Words are separated by every ASCII character other than letters and digits,
 and letters are lower-cased in every script.  Documents are read a fixed number
@@ -21,24 +22,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, small_batches, unused
-from .wordhash import PUNCTUATION, hash_words, shingle_hashes, text_buffers
+from .wordhash import PUNCTUATION, hash_spans, shingle_hashes, text_buffers, word_spans
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the tables that are broadcast: 4 MB.
 TABLE_BITS = 25
 HELD_GRAMS = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1 << 14
+#: A seed that at most one text of so many holds, or of an item with fewer seeds, asks for an alignment on its own; another only beside a second one.
+RARE, FEW = 2000, 4
 _U = np.uint64
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the words of a text; A-Z is folded by the hash, letters beyond ASCII here."""
-    if len(data) and data.max() > 127:
-        data = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape"), np.uint8)
-    return hash_words(data, PUNCTUATION)
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in small letters; bytes that are no UTF-8 as replacement characters."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        return pa.array([None if v is None else v.decode("utf-8", "replace").lower() for v in column.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def words_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words of texts, and the row of each word, by blocks of rows of about a megabyte."""
+    texts = lowered(column)
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    rows = 0
+    while rows < len(size):
+        upto = rows + max(1, int(np.searchsorted(np.cumsum(size[rows : rows + BLOCK_ROWS]), BLOCK_BYTES, "right")))
+        own = size[rows:upto]
+        parts = [np.zeros(0, np.uint8), *[d for d in text_buffers(texts.slice(rows, upto - rows)) if d is not None]]
+        data = np.concatenate(parts)
+        joined = np.full(len(data) + len(own), 0x0A, np.uint8)  # a line feed ends each text
+        joined[np.arange(len(data)) + np.repeat(np.arange(len(own)), own)] = data
+        start, end = word_spans(joined, PUNCTUATION)
+        begin = np.cumsum(own + 1) - own - 1
+        yield hash_spans(joined, start, end), rows + np.searchsorted(begin, start, "right") - 1
+        rows = upto
 
 
 class Bits:
@@ -61,13 +85,13 @@ class Bits:
         return (self.table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
-def grams_of(words: np.ndarray, widths: list[int], bits: Bits) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of a text that ``bits`` lets through, and where they begin."""
+def grams_of(words: np.ndarray, row: np.ndarray, widths: list[int], bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams within texts that ``bits`` lets through, and at which of all words they begin."""
     grams, places = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for width in widths:
         if len(words) >= width:
             found = shingle_hashes(words, width)
-            places.append(np.flatnonzero(bits.has(found)))
+            places.append(np.flatnonzero(bits.has(found) & (row[: len(found)] == row[width - 1 :])))
             grams.append(found[places[-1]])
     return np.concatenate(grams), np.concatenate(places)
 
@@ -96,9 +120,11 @@ def reachable(item: np.ndarray, window: np.ndarray) -> int:
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, item, size, words): the words' hashes, and one hash of them all that names equal items."""
     for batch in batches:
-        words = [word_hashes(d) if d is not None else np.zeros(0, _U) for d in text_buffers(batch.column(1))]
-        names = [int(shingle_hashes(w, len(w))[0].view(np.int64)) if len(w) else None for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array([len(w) for w in words], pa.int32()), pa.array([w.tobytes() for w in words], pa.binary())], ["item_id", "item", "size", "words"])
+        for words, row in words_of(batch.column(1)):
+            at, first = np.unique(row, return_index=True)
+            own = np.split(words, first[1:]) if len(at) else []
+            names = [int(shingle_hashes(w, len(w))[0].view(np.int64)) for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(names, pa.int64()), pa.array([len(w) for w in own], pa.int32()), pa.array([w.tobytes() for w in own], pa.binary())], ["item_id", "item", "size", "words"])
 
 
 def _item_grams(n: int):
@@ -124,13 +150,15 @@ def _held(bits, widths: list[int]):
 
         size = 0
         for batch in batches:
-            for data in text_buffers(batch.column(0)):
-                if data is not None:
-                    held.append(np.unique(grams_of(word_hashes(data), widths, bits.value)[0]))
-                    size += len(held[-1])
-                    if size > HELD_GRAMS:
-                        yield summed()
-                        size = 0
+            for words, row in words_of(batch.column(0)):
+                grams, at = grams_of(words, row, widths, bits.value)
+                order = np.lexsort((grams, row[at]))
+                grams, at = grams[order], row[at][order]
+                held.append(grams[np.append(True, (grams[1:] != grams[:-1]) | (at[1:] != at[:-1]))[: len(grams)]])
+                size += len(held[-1])
+                if size > HELD_GRAMS:
+                    yield summed()
+                    size = 0
         yield summed()
 
     return run
@@ -140,9 +168,10 @@ def _hits(bits, widths: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(text_hash, gram, place) of what may be a seed."""
         for batch in batches:
-            rows: list[tuple[np.ndarray, np.ndarray]] = [grams_of(word_hashes(d), widths, bits.value) if d is not None else (np.zeros(0, _U), np.zeros(0, np.int64)) for d in text_buffers(batch.column(0))]
-            text = np.repeat(np.asarray(batch.column(1)), [len(g) for g, _ in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(np.concatenate([np.zeros(0, _U), *[g for g, _ in rows]]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *[p for _, p in rows]]))], ["text_hash", "gram", "place"])
+            for words, row in words_of(batch.column(0)):
+                grams, at = grams_of(words, row, widths, bits.value)
+                own = row[at]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(own)), pa.array(grams.view(np.int64)), pa.array(at - np.searchsorted(row, own))], ["text_hash", "gram", "place"])
 
     return run
 
@@ -159,10 +188,13 @@ def _near(bits):
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text_hash, item, first, window): the words of a text around the seeds of each item."""
     for batch in batches:
-        for data, name, asked in zip(text_buffers(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = word_hashes(data)
-            at = [(a["item"], max(0, a["lo"]), words[max(0, a["lo"]) : a["hi"]].tobytes()) for a in asked]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.int64()), *[pa.array([x[k] for x in at], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))]], ["text_hash", "item", "first", "window"])
+        names, asked = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for words, row in words_of(batch.column(0)):
+            rows = np.unique(row)
+            at = []
+            for r, begin, end in zip(rows.tolist(), np.searchsorted(row, rows).tolist(), np.searchsorted(row, rows, "right").tolist(), strict=True):
+                at += [(names[r], a["item"], max(0, a["lo"]), words[begin + max(0, a["lo"]) : min(end, begin + a["hi"])].tobytes()) for a in asked[r]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in at], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["text_hash", "item", "first", "window"])
 
 
 def _aligned(least: float):
@@ -200,18 +232,25 @@ def _copies(texts: DataFrame, benchmark: DataFrame, n: int, window: int, least:
 
     asked = spark.sparkContext.broadcast(Bits.of(grams.select("gram").distinct(), "gram"))
     docs = texts.select("text").mapInArrow(_held(asked, widths), "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    docs = cut(grams.select("gram").distinct().join(docs, "gram"), "benchmark-frequencies")
     ranked = grams.join(docs, "gram").withColumn("rank", F.struct("docs", F.xxhash64("gram").alias("tie"), "gram"))
     ahead = Window.partitionBy("item").orderBy("inside").rangeBetween(0, max(0, window - n))
     # the rarest n-gram of each window of the item's words
     rarest = F.min_by(F.struct("gram", "inside"), F.struct("rank", "inside")).over(ahead)
-    seeds = cut(ranked.select("item", "size", rarest.alias("seed")).select("item", "size", "seed.*").distinct(), "benchmark-seeds")
+    seeds = ranked.select("item", "size", rarest.alias("seed")).select("item", "size", "seed.*").distinct().join(docs, "gram")
+    rare = F.col("docs") * RARE <= F.lit(texts.count())
+    seeds = cut(seeds.withColumn("alone", rare | (F.count("*").over(Window.partitionBy("item")) < FEW)).drop("docs"), "benchmark-seeds")
 
     seeded = spark.sparkContext.broadcast(Bits.of(seeds.select("gram").distinct(), "gram"))
     hits = texts.select("text", "text_hash").mapInArrow(_hits(seeded, widths), "text_hash bigint, gram bigint, place bigint").distinct()
-    # around seeds that lie alike in text and item, to an item's length; a copy may hold other words besides the item's
+    # of two seeds that lie alike in text and item both count, of one alone only if it is rare or the item has few
     lie = F.col("place") - F.col("inside")
+    alike = Window.partitionBy("text_hash", "item").orderBy("scaled").rangeBetween(-1000, 1000)
+    hits = hits.join(seeds, "gram").withColumn("scaled", F.floor(lie * 1000 / F.col("size")))
+    hits = hits.select("*", (F.min("inside").over(alike) < F.max("inside").over(alike)).alias("two")).where("two OR alone")
+    # around them, to an item's length; a copy may hold other words besides the item's
     slack = (F.col("size") * F.lit(MATCH * (1 - least))).cast("bigint") + 1
-    near = hits.join(seeds, "gram").groupBy("text_hash", "item", F.floor(lie / F.col("size")).alias("block")).agg(F.min(lie - slack).alias("lo"), F.max(lie + F.col("size") + slack).alias("hi"))
+    near = hits.groupBy("text_hash", "item", F.floor(lie / F.col("size")).alias("block")).agg(F.min(lie - slack).alias("lo"), F.max(lie + F.col("size") + slack).alias("hi"))
     near = cut(near.groupBy("text_hash").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("asked")), "benchmark-near")
     there = spark.sparkContext.broadcast(Bits.of(near, "text_hash"))
     whole = texts.select("text", "text_hash").mapInArrow(_near(there), "text string, text_hash bigint").dropDuplicates(["text_hash"])
@@ -220,7 +259,7 @@ def _copies(texts: DataFrame, benchmark: DataFrame, n: int, window: int, least:
     best = F.max(F.struct("score", (-F.col("first_word")).alias("from"), "last_word")).alias("b")
     found = scored.groupBy("text_hash", "item").agg(best).select("text_hash", "item", "b.score", (-F.col("b.from")).alias("first_word"), "b.last_word")
     found = cut(found, "benchmark-copies")
-    discard([grams, seeds, near])
+    discard([grams, docs, seeds, near])
     return found, tests.select("item_id", "item")
 
 

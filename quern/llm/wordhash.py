@@ -62,7 +62,11 @@ def hash_words(data: np.ndarray, space: np.ndarray = _SPACE) -> np.ndarray:
     A word's length and its bytes, eight at a time, go through a bijection of
     64-bit words each; words of over ``LONG_WORD`` bytes through BLAKE2.
     """
-    start, end = word_spans(data, space)
+    return hash_spans(data, *word_spans(data, space))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same for words that are known by their starts and ends."""
     if not len(start):
         return np.zeros(0, dtype=_U)
     size = end - start
