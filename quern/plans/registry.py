@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import globs, text
-from quern.operators import asof, containment, globjoin, graphs, sequences, trees, values
+from quern.operators import asof, containment, globjoin, graphs, sequences, trees, values, valuesets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -397,6 +397,62 @@ def top10_candidates(spark, d):
     return found.select("p_brand", "numeric", F.array_join("candidates", ",").alias("candidates"))
 
 
+@query("""
+WITH w AS (SELECT p_brand, split_part(p_type, ' ', 1) AS a, split_part(p_type, ' ', 2) AS b, split_part(p_type, ' ', 3) AS c, p_type, p_partkey, p_size FROM part),
+e AS (SELECT p_brand, max(p_partkey) // 2 AS at FROM part GROUP BY 1)
+SELECT e.p_brand, a || ' ' || b || ' ' || c AS name, 'a=' || a || ',b=' || b || ',c=' || c AS mapping
+FROM e JOIN (SELECT DISTINCT p_brand, a FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, b FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, c FROM w) USING (p_brand)
+WHERE EXISTS (SELECT 1 FROM w WHERE w.p_brand = e.p_brand AND w.p_type = a || ' ' || b || ' ' || c AND (w.p_partkey < e.at AND w.p_size < 30 OR w.p_size > 40))""")
+def identifier_divisions(spark, d):
+    """Names of three words, of which each can be any of its brand: those that are defined before the place or used, with which variable gave which word."""
+    part = table(spark, d, "part")
+    word = lambda k: F.split_part("p_type", F.lit(" "), F.lit(k))
+    one = lambda kind, t: F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("text"))
+    shape = F.array(one("var", "a"), one("lit", " "), one("var", "b"), one("lit", " "), one("var", "c"))
+    evals = part.groupBy("p_brand").agg(F.expr("max(p_partkey) DIV 2").alias("at")).select("p_brand", F.lit(1).alias("eval_id"), "at", shape.alias("parts"))
+    given = part.select("p_brand", F.lit(1).alias("eval_id"), F.explode(F.array(*[F.struct(F.lit(v).alias("var"), word(k + 1).alias("value")) for k, v in enumerate("abc")])).alias("v")).select("p_brand", "eval_id", "v.*")
+    known = part.where("p_size < 30").select("p_brand", F.col("p_type").alias("name"), F.col("p_partkey").alias("at"), F.lit("def").alias("role")).union(part.where("p_size > 40").select("p_brand", "p_type", "p_partkey", F.lit("use")))
+    found = valuesets.divisions(evals, given, known, ["p_brand"], "eval_id")
+    return found.select("p_brand", "name", F.array_join(F.transform("mapping", lambda m: F.concat(m["var"], F.lit("="), m["piece"])), ",").alias("mapping"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber % 3 AS pos, l_returnflag || l_linenumber AS v, [l_linestatus, l_returnflag, (l_suppkey % 3)::VARCHAR] AS c FROM lineitem WHERE l_linenumber < 6),
+m AS (SELECT l_orderkey, min(pos) AS lo, max(pos) AS hi, count(DISTINCT pos) AS n FROM l GROUP BY 1),
+t AS (
+  SELECT a.l_orderkey, a.v || coalesce(b.v, '') || coalesce(c.v, '') AS value, a.c AS x, coalesce(b.c, a.c) AS y, coalesce(c.c, a.c) AS z
+  FROM (SELECT l.* FROM l JOIN m USING (l_orderkey) WHERE pos = lo) a JOIN m USING (l_orderkey)
+    LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.pos > lo AND (b.pos < hi OR n = 2) LEFT JOIN l c ON n = 3 AND c.l_orderkey = a.l_orderkey AND c.pos = hi
+)
+SELECT DISTINCT l_orderkey, value, array_to_string(CASE WHEN x[1] <> y[1] OR x[1] <> z[1] THEN [] WHEN x[2] <> y[2] OR x[2] <> z[2] THEN x[:1] WHEN x[3] <> y[3] OR x[3] <> z[3] THEN x[:2] ELSE x END, '/') AS conds FROM t""")
+def guarded_products(spark, d):
+    """Texts put together from one line of each residue, under the conditions that all of them begin with."""
+    rows = table(spark, d, "lineitem").where("l_linenumber < 6").select("l_orderkey", (F.col("l_linenumber") % 3).alias("pos"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("v"), F.array("l_linestatus", "l_returnflag", (F.col("l_suppkey") % 3).cast("string")).alias("c"))
+    return valuesets.guarded_product(rows, ["l_orderkey"], "pos", "v", "c").select("l_orderkey", "value", F.array_join("conds", "/").alias("conds"))
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+e AS (SELECT user_id, n // 8 AS block, n % 8 AS n, event_type FROM o),
+v AS (
+  SELECT user_id, block, n, CASE WHEN event_type = 'click' THEN 'c' ELSE 'e' END AS value FROM e WHERE event_type IN ('click', 'error')
+  UNION
+  SELECT e.user_id, e.block, e.n, CASE e.event_type WHEN 'purchase' THEN '<' || v.value || '>' ELSE v.value END
+  FROM v JOIN e ON e.user_id = v.user_id AND e.block = v.block AND e.n = v.n + 1 WHERE e.event_type <> 'click'
+)
+SELECT user_id, block, n AS var, value FROM v""")
+def value_fixpoint(spark, d):
+    """Events of a user, eight at a time, define each other in a chain: clicks are texts, views copies, purchases put brackets around, errors do either."""
+    rows = sequences.number_rows(events(spark, d).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "n", F.to_date("ts")).withColumn("n", F.col("n") - 1)
+    rows = rows.select("user_id", F.expr("n DIV 8").alias("block"), (F.col("n") % 8).alias("n"), "event_type")
+    part = lambda pos, kind, t: F.struct(F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), t.alias("text"))
+    before = (F.col("n") - 1).cast("string")
+    ref, lit = (lambda pos: part(pos, "ref", before)), (lambda pos, t: part(pos, "lit", F.lit(t)))
+    defs = F.when(F.col("event_type") == "click", F.array(F.array(lit(0, "c")))).when(F.col("event_type") == "purchase", F.array(F.array(lit(0, "<"), ref(1), lit(2, ">")))).when(F.col("event_type") == "error", F.array(F.array(lit(0, "e")), F.array(ref(0)))).otherwise(F.array(F.array(ref(0))))
+    parts = rows.select("user_id", "block", F.col("n").cast("string").alias("var"), F.posexplode(defs).alias("k", "def")).select("user_id", "block", "var", F.concat("var", F.lit("/"), "k").alias("def_id"), F.inline("def"))
+    return valuesets.value_sets(parts, ["user_id", "block"]).select("user_id", "block", F.col("var").cast("bigint").alias("var"), "value")
+
+
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
