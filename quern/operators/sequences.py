@@ -91,7 +91,7 @@ def subtract_intervals(ranges: DataFrame, gaps: DataFrame, key: str, lo: str, hi
 def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str], defines: str, uses: str, window: int = 2, out: str = "chunk") -> DataFrame:
     """Fuses rows in order to chunks: the next row joins if it uses what the chunk defines, or else the rows up to the farthest related one of the next ``window``.
 
-    ``defines`` and ``uses`` are arrays of strings.  The state is what the chunk
+    ``defines`` and ``uses`` are arrays of strings, null being an empty one.  The state is what the chunk
     defines so far and ``window`` rows at most, so rows stream through, sorted
     within their partition, and a key is never held whole.
     """
@@ -109,13 +109,13 @@ def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str],
                 if have is None:
                     taken, have = 1, set()
                 else:
-                    related = [k for k, r in enumerate(waiting[:ahead]) if not have.isdisjoint(r[used])]
+                    related = [k for k, r in enumerate(waiting[:ahead]) if r[used] is not None and not have.isdisjoint(r[used])]
                     if not related:
                         number, have = number + 1, None
                         continue
                     taken = 1 if related[0] == 0 else related[-1] + 1
                 for r in waiting[:taken]:
-                    have.update(r[made])
+                    have.update(r[made] if r[made] is not None else ())
                     done.append((*r, number))
                 del waiting[:taken]
 

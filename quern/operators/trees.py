@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.containment import contained
 
 
+def shared_place(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset, one of this machine if the master is local, an error on a cluster."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/quern-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of ``spark.checkpoint.dir`` and read back; where that is unset, cached if the master is local, an error on a cluster."""
+    """Written to the shared folder and read back, so that later stages restart from there."""
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        return df.persist()
-    path = f"{place.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    path = f"{shared_place(spark)}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,20 +25,21 @@ def _longer(tuples: Column, choices: Column) -> Column:
 
 
 def candidates(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Per key up to ten values: different ones in numeric order if all are whole numbers, or else all in text order; with ``numeric``.
+    """Per key up to ten values: different ones in numeric order if all are whole numbers of any length, or else all in text order; with ``numeric``.
 
-    Ten is the feature; each key keeps its ten least while it aggregates, so no
-    key is gathered whole.
+    Null values are none, null keys a key like others.  Ten is the feature; a
+    key keeps its ten least before rows are sent, so no key is gathered whole.
     """
-    numbers = F.col(value).rlike("^[0-9]+$")
-    plain = values.groupBy(*by).agg(F.bool_and(numbers).alias("numeric"))
-    marked = values.join(plain, list(by))
-    distinct = marked.where("numeric").select(*by, "numeric", F.col(value).cast("decimal(38,0)").alias("_n"), F.lit(None).cast("string").alias("_s")).distinct()
-    rows = distinct.union(marked.where("NOT numeric").select(*by, "numeric", F.lit(None).cast("decimal(38,0)"), F.col(value)))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_n", "_s"))
-    top = rows.withColumn("_place", place).where(F.col("_place") <= MOST_CANDIDATES)
-    listed = F.array_sort(F.collect_list(F.struct("_place", F.coalesce(F.col("_n").cast("string"), F.col("_s")).alias("v"))))
-    return top.groupBy(*by, "numeric").agg(F.transform(listed, lambda x: x["v"]).alias("candidates"))
+    key = F.struct(*by)
+    rows = values.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).alias("_v"))
+    plain = rows.groupBy("_key").agg(F.bool_and(F.col("_v").rlike("^[0-9]+$")).alias("numeric"))
+    marked = rows.join(plain, "_key").select("_key", "numeric", "_v")
+    numbers = marked.where("numeric").withColumn("_v", F.regexp_replace("_v", "^0+(?=[0-9])", "")).distinct()
+    marked = numbers.union(marked.where("NOT numeric"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.when(F.col("numeric"), F.length("_v")), "_v"))
+    top = marked.withColumn("_place", place).where(F.col("_place") <= MOST_CANDIDATES)
+    listed = F.array_sort(F.collect_list(F.struct("_place", "_v")))
+    return top.groupBy("_key", "numeric").agg(F.transform(listed, lambda x: x["_v"]).alias("candidates")).select("_key.*", "numeric", "candidates")
 
 
 def contradictions(atoms: DataFrame, by: Sequence[str], var: str, negated: str) -> DataFrame:

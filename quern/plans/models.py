@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import threading
+import time
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "request_id string, answer string, attempts int, error string"
-MOST_RETRIES = 5
+MOST_RETRIES, IN_FLIGHT = 5, 10
 
 Provider = Callable[[str], str]
 Validator = Callable[[str, str], list[str]]
@@ -24,26 +31,96 @@ def prompt(instruction: str, request: str, schema: str, previous: str | None = N
     return "\n\n".join(parts)
 
 
-def ask(requests: DataFrame, provider: Provider, validate: Validator, instruction: str = "", schema: str = "{}", retries: int = MOST_RETRIES) -> DataFrame:
-    """(request_id, answer, attempts, error): each request asked again with what was wrong, ``retries`` times at most; what fails is an error row, never dropped."""
+class Ledger:
+    """Answers by request, kept in a folder that all tasks reach: one small file each, put there whole by a rename.
+
+    What a task has been answered outlives it: when it, or another attempt of
+    it, is asked again, it reads the answer and asks nobody.  ``uri`` is a
+    folder of any file system that pyarrow opens.
+    """
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def _place(self, request_id: str, request: str) -> tuple[fs.FileSystem, str]:
+        system, folder = fs.FileSystem.from_uri(self.uri)
+        return system, f"{folder}/{hashlib.sha256(f'{len(request_id)}:{request_id}{request}'.encode()).hexdigest()}.json"
+
+    def get(self, request_id: str, request: str) -> tuple | None:
+        system, path = self._place(request_id, request)
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with system.open_input_stream(path) as f:
+            return tuple(json.loads(f.read()))
+
+    def put(self, request_id: str, request: str, row: tuple) -> None:
+        system, path = self._place(request_id, request)
+        system.create_dir(path.rpartition("/")[0])
+        part = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as f:
+            f.write(json.dumps(row).encode())
+        system.move(part, path)
+
+
+class Pace:
+    """At most ``per_second`` beginnings a second, by all threads of a task."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            at = max(time.monotonic(), self.next)
+            self.next = at + self.gap
+        time.sleep(max(0.0, at - time.monotonic()))
+
+
+def ask(requests: DataFrame, provider: Provider, validate: Validator, instruction: str = "", schema: str = "{}", retries: int = MOST_RETRIES, in_flight: int = IN_FLIGHT, per_second: float | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """(request_id, answer, attempts, error): each request asked again with what was wrong, ``retries`` times at most; what fails is an error row, never dropped.
+
+    A task has up to ``in_flight`` requests under way, begins ``per_second`` of
+    them at most, and holds no more than these and their answers; rows come in
+    the order of requests.  With a ``ledger`` a request that was answered well
+    is never asked twice, whatever becomes of the task; failures are.
+    """
+
+    def one(rid: str, request: str, pace: Pace) -> tuple:
+        if ledger and (known := ledger.get(rid, request)):
+            return (rid, *known)
+        previous, errors, answer, attempt = None, None, None, 0
+        for attempt in range(1, retries + 1):
+            pace.wait()
+            try:
+                answer = provider(prompt(instruction, request, schema, previous, errors))
+                json.loads(answer)
+                errors = validate(request, answer)
+            except Exception as e:  # noqa: BLE001 - whatever a provider raises is told in the row
+                answer, errors = None, [f"{type(e).__name__}: {e}"]
+            if not errors:
+                break
+            previous = answer
+        row = (None if errors else answer, attempt, "; ".join(errors) if errors else None)
+        if ledger and not errors:
+            ledger.put(rid, request, row)
+        return (rid, *row)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for rid, request in zip(f.request_id, f.request, strict=True):
-                previous, errors = None, None
-                for attempt in range(1, retries + 1):
-                    try:
-                        answer = provider(prompt(instruction, request, schema, previous, errors))
-                        json.loads(answer)
-                        errors = validate(request, answer)
-                    except Exception as e:  # noqa: BLE001 - whatever a provider raises is told in the row
-                        answer, errors = None, [f"{type(e).__name__}: {e}"]
-                    if not errors:
-                        break
-                    previous = answer
-                out.append((rid, None if errors else answer, attempt, "; ".join(errors) if errors else None))
-            yield pd.DataFrame(out, columns=["request_id", "answer", "attempts", "error"])
+        pace = Pace(per_second)
+        with ThreadPoolExecutor(in_flight) as pool:
+            for f in frames:
+                out, open_ = [], deque()
+                try:
+                    for rid, request in zip(f.request_id, f.request, strict=True):
+                        if len(open_) == in_flight:
+                            out.append(open_.popleft().result())
+                        open_.append(pool.submit(one, rid, request, pace))
+                    out += [x.result() for x in open_]
+                except BaseException:
+                    pool.shutdown(cancel_futures=True)
+                    raise
+                yield pd.DataFrame(out, columns=["request_id", "answer", "attempts", "error"])
 
     return requests.select("request_id", "request").mapInPandas(run, ANSWER)
 
@@ -62,13 +139,16 @@ def no_op_patterns(source: str, values: list[str]) -> list[str]:
 def translation_errors(translations: DataFrame) -> DataFrame:
     """(chunk, error) for each rule that generated code breaks.
 
-    Columns: chunk, name, source, snippets, placeholders, banned (arrays).
+    Columns: chunk, name, source, snippets, placeholders, banned (arrays; null
+    is none).  A null source is an error by itself, a null name asks for none.
     """
-    missing = F.transform(F.filter("snippets", lambda s: ~F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("missing snippet: "), s))
-    dropped = F.transform(F.filter("placeholders", lambda s: ~F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("missing placeholder: "), s))
-    barred = F.transform(F.filter("banned", lambda s: F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("banned: "), s))
+    given = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    missing = F.transform(F.filter(given("snippets"), lambda s: ~F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("missing snippet: "), s))
+    dropped = F.transform(F.filter(given("placeholders"), lambda s: ~F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("missing placeholder: "), s))
+    barred = F.transform(F.filter(given("banned"), lambda s: F.contains(F.col("source"), s)), lambda s: F.concat(F.lit("banned: "), s))
     renamed = F.when(~F.contains("source", F.concat(F.lit("fn "), F.col("name"))), F.array(F.lit("the function has another name"))).otherwise(F.array().cast("array<string>"))
-    return translations.select("chunk", F.explode(F.concat(renamed, missing, dropped, barred)).alias("error"))
+    found = F.when(F.col("source").isNull(), F.array(F.lit("no translation"))).otherwise(F.concat(renamed, missing, dropped, barred))
+    return translations.select("chunk", F.explode(found).alias("error"))
 
 
 def restore_placeholders(source, mappings: list[tuple[str, str]]):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import asof, dictionaries, macros, options, projects, values
+from quern.operators.trees import shared_place
 from quern.plans import cache, exports, models
 from quern.sources import platforms
 
@@ -360,7 +361,7 @@ def placeholders(spark, d):
 @query("SELECT n_nationkey AS k, n_name AS name, length(n_name)::BIGINT AS size, CASE WHEN n_nationkey % 2 = 0 THEN 'first' ELSE 'second' END AS made_by FROM nation")
 def cached_results(spark, d):
     """Half of the results are kept by the content of their inputs; the other half is computed, and kept too."""
-    place = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/cache-{spark.sparkContext.applicationId}-{abs(hash(d)) % 10**6}"
+    place = f"{shared_place(spark)}/cache-{uuid.uuid4().hex}"
     kept = cache.Cache(spark, place, "size bigint, made_by string")
     compute = lambda by: lambda rows: rows.select("key", F.length("name").cast("bigint").alias("size"), F.lit(by).alias("made_by"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
