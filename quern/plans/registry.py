@@ -23,15 +23,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from quern.plans import case_queries, project_queries, script_queries
+    from quern.plans import case_queries, project_queries, script_queries, table_queries
 
-    return QUERIES | script_queries.queries() | case_queries.queries() | project_queries.queries()
+    return QUERIES | script_queries.queries() | case_queries.queries() | project_queries.queries() | table_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from quern.plans import case_queries, project_queries, script_queries
+    from quern.plans import case_queries, project_queries, script_queries, table_queries
 
-    return SQL | script_queries.oracle_sql() | case_queries.oracle_sql() | project_queries.oracle_sql()
+    return SQL | script_queries.oracle_sql() | case_queries.oracle_sql() | project_queries.oracle_sql() | table_queries.oracle_sql()
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
