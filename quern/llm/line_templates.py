@@ -11,8 +11,8 @@ candidates (one that is wider than another stands for it), and a template that r
 with every line that has it.
 
 A token is variable if it holds a digit, ``@``, a slash or a backslash.  At
-least half of a line's tokens must be constant in a template, and with open
-quarters ``least`` of them, so that tables of numbers and lines of a few common
+least half of a line's tokens must be constant in a template, three quarters
+if one token is open, and with open quarters ``least`` of them, so that tables of numbers and lines of a few common
 words don't fall together.
 """
 
@@ -46,6 +46,7 @@ def line_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: The quarters that a template leaves open.
 OPEN = [(), *combinations(range(4), 1), *combinations(range(4), 2)]
 _CODES = mix64(np.arange(len(OPEN), dtype=_U) + _WILD)
+_ONE = _U(0x2545F4914F6CDD1D)
 #: So many bytes of short texts are parsed at once.
 TOGETHER = 1 << 18
 
@@ -85,6 +86,16 @@ def templates(data: np.ndarray, lead: int, least: int) -> tuple[np.ndarray, np.n
         wider[quarters] = fits
         lines.append(ids[new])
         keys.append(mix64(key[new] + _CODES[k]))
+    # one token open, where no open quarter with it fits
+    quarter = np.sum([place >= np.repeat(edge[q] - first, size) for q in (1, 2, 3)], axis=0)
+    covered = np.zeros((4, len(size)), dtype=bool)
+    for quarters, fits in wider.items():
+        for q in quarters:
+            covered[q] |= fits
+    group = np.repeat(np.arange(len(size)), size)
+    one = np.flatnonzero((place >= lead) & ~variable & (4 * (whole - 1) >= 3 * size)[group] & ~covered[quarter, group])
+    lines.append(line[one])
+    keys.append(mix64(leaf[group[one]] - value[one] + mix64(place[one].astype(_U) + _ONE)))
     return np.concatenate(lines), np.concatenate(keys)
 
 

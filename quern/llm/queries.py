@@ -224,6 +224,9 @@ WITH t AS (
 ), m AS (
   SELECT text, place, [q::VARCHAR, array_to_string(t, ' ')] AS template FROM k
   WHERE fits AND 2 * len(list_filter(t, lambda x: x NOT IN (chr(10), chr(13)))) >= len(w) AND (len(q) = 0 OR len(list_filter(t, lambda x: x NOT IN (chr(10), chr(13)))) >= 5)
+  UNION ALL
+  SELECT text, place, [i::VARCHAR, md5(array_to_string(w[:i - 1], ' ') || chr(13) || array_to_string(w[i + 1:], ' '))]
+  FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM w WHERE len(w) > 0 AND 4 * (len(list_filter(w, lambda x: x <> chr(10))) - 1) >= 3 * len(w)) WHERE w[i] <> chr(10)
 ), o AS (
   SELECT template FROM m GROUP BY 1 HAVING count(DISTINCT text) >= 3
 ), g AS (

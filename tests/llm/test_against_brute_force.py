@@ -278,6 +278,10 @@ def plain_templates(text, least=5):
             stay = sum(t not in "*?" for t in shown)
             if n and all(spans) and 2 * stay >= n and (not some or stay >= least):
                 yield k, (some, *shown)
+        stay = sum(t not in "*?" for t in tokens)
+        for i in range(1, n):
+            if tokens[i] not in "*?" and 4 * (stay - 1) >= 3 * n:
+                yield k, ("one", i, *tokens[:i], *tokens[i + 1 :])
 
 
 def test_line_templates(spark, docs, texts):
@@ -306,6 +310,16 @@ def test_lines_that_vary():
     assert all(set.intersection(*map(keys, x)) for x in same) and not any(keys(a) & keys(b) for x in apart for i, a in enumerate(x) for b in x[:i])
 
 
+@pytest.mark.parametrize("line", ["Connection closed by user X today", "Connection closed by user today X", "Connection X closed by user today", "Login failed for X", "Login X failed today", "Connection closed by X", "User X logged in from the main gateway of this house at night", "one two three four five six seven eight nine X eleven twelve"])
+def test_one_field_anywhere(spark, line):
+    """One word that varies is found wherever it stands after the first, in lines of four words or more; in two texts alone it stays."""
+    names = "alice bob carol dan eve".split()
+    rows = [(k, f"Opening of text {n} with words of its own\n{line.replace('X', n)}\nand its end {n} {n}x {n}y") for k, n in enumerate(names)]
+    for n, dropped in ((5, 1), (2, 0)):
+        got = line_templates.drop_recurring_lines(spark.createDataFrame(rows[:n], "doc_id int, text string")).collect()
+        assert all((line.replace("X", names[r.doc_id]) in r.text.split("\n")) == (not dropped) for r in got), (n, [r.text for r in got])
+
+
 def test_surrogates():
     s = pii.Surrogates(b"key")
     given = "Mail a.b@x1.org, Mrs. Emma Brown or Emma Brown, Mr. Karl Braun, +1 (017) 555-7713 and 4845168114407329, 97.51.17.173; token = \"ab12cd34ef\" card 1234567812345678"
