@@ -88,32 +88,57 @@ def subtract_intervals(ranges: DataFrame, gaps: DataFrame, key: str, lo: str, hi
     return parts.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(F.col("_key").alias(key), F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi"))
 
 
-def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str], defines: str, uses: str, window: int = 2, out: str = "chunk") -> DataFrame:
+def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str], defines: str, uses: str, window: int = 2, out: str = "chunk", cut: str | None = None, free: str | None = None, within: str | None = None) -> DataFrame:
     """Fuses rows in order to chunks: the next row joins if it uses what the chunk defines, or else the rows up to the farthest related one of the next ``window``.
 
-    ``defines`` and ``uses`` are arrays of strings, null being an empty one.  The state is what the chunk
-    defines so far and ``window`` rows at most, so rows stream through, sorted
-    within their partition, and a key is never held whole.
+    ``defines`` and ``uses`` are arrays of strings, null being an empty one.
+    Columns that may be named: a row with ``cut`` true begins a chunk where it
+    is the next one; rows with ``free`` true (assignments) are looked through
+    without counting for the window; looking ahead ends where ``within`` (the
+    parent) isn't that of the chunk's first row.  The state is what the chunk
+    defines so far and ``window`` rows with the free ones among them, so rows
+    stream through, sorted within their partition, and a key is never held
+    whole.
     """
     names = [*rows.columns, out]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {out} bigint"
-    ahead = max(1, window)
     keyed, made, used = [rows.columns.index(c) for c in by], rows.columns.index(defines), rows.columns.index(uses)
+    at = lambda c: rows.columns.index(c) if c else None
+    cuts, frees, parent = at(cut), at(free), at(within)
+    known = lambda x: None if x != x else x  # noqa: E731 - a missing number is not itself
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, number, have, waiting, done = None, 0, None, [], []
+        key, number, have, inside, waiting, done = None, 0, None, None, [], []
+
+        def ahead(end: bool) -> int | None:
+            """How many rows are looked at; None if rows to come may be among them."""
+            left = window
+            for k, r in enumerate(waiting):
+                passes = frees is not None and bool(r[frees])
+                if not (left or passes) or parent is not None and known(r[parent]) != inside:
+                    return max(k, 1)
+                left -= not passes
+            return max(len(waiting), 1) if end or not left and frees is None else None
 
         def settle(end: bool) -> None:
-            nonlocal number, have
-            while waiting and (end or len(waiting) >= ahead):
+            nonlocal number, have, inside
+            while waiting:
                 if have is None:
-                    taken, have = 1, set()
+                    taken, have, inside = 1, set(), known(waiting[0][parent]) if parent is not None else None
+                elif cuts is not None and waiting[0][cuts]:
+                    number, have = number + 1, None
+                    continue
+                elif waiting[0][used] is not None and not have.isdisjoint(waiting[0][used]):
+                    taken = 1
                 else:
-                    related = [k for k, r in enumerate(waiting[:ahead]) if r[used] is not None and not have.isdisjoint(r[used])]
+                    n = ahead(end)
+                    if n is None:
+                        return
+                    related = [k for k, r in enumerate(waiting[:n]) if r[used] is not None and not have.isdisjoint(r[used])]
                     if not related:
                         number, have = number + 1, None
                         continue
-                    taken = 1 if related[0] == 0 else related[-1] + 1
+                    taken = related[-1] + 1
                 for r in waiting[:taken]:
                     have.update(r[made] if r[made] is not None else ())
                     done.append((*r, number))
@@ -121,7 +146,7 @@ def look_ahead_chunks(rows: DataFrame, by: Sequence[str], order: Sequence[str],
 
         for frame in frames:
             for r in frame.itertuples(index=False, name=None):
-                own = tuple(None if r[k] != r[k] else r[k] for k in keyed)
+                own = tuple(known(r[k]) for k in keyed)
                 if own != key:
                     settle(True)
                     key, number, have = own, 0, None

@@ -172,6 +172,23 @@ def chunk_lookahead(spark, d):
     return sequences.look_ahead_chunks(rows, ["user_id"], ["ts", "event_id"], "defines", "uses", 2).select("event_id", "chunk")
 
 
+@query("""
+WITH RECURSIVE t AS (SELECT user_id, event_id, event_type AS x, event_type = 'error' AS cut, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT user_id, n, 0::BIGINT AS chunk, [x] AS have FROM t WHERE n = 1
+  UNION ALL
+  SELECT s.user_id, CASE WHEN NOT a.cut AND NOT list_contains(s.have, a.x) AND list_contains(s.have, b.x) THEN b.n ELSE a.n END,
+    CASE WHEN NOT a.cut AND (list_contains(s.have, a.x) OR coalesce(list_contains(s.have, b.x), false)) THEN s.chunk ELSE s.chunk + 1 END,
+    CASE WHEN a.cut THEN [a.x] WHEN list_contains(s.have, a.x) THEN s.have WHEN list_contains(s.have, b.x) THEN list_append(s.have, a.x) ELSE [a.x] END
+  FROM s JOIN t a ON a.user_id = s.user_id AND a.n = s.n + 1 LEFT JOIN t b ON b.user_id = s.user_id AND b.n = s.n + 2
+)
+SELECT t.event_id, s.chunk FROM t ASOF JOIN s ON t.user_id = s.user_id AND t.n <= s.n""")
+def chunk_cuts(spark, d):
+    """The same where an error that comes next begins a chunk."""
+    rows = events(spark, d).select("user_id", "event_id", "ts", F.array("event_type").alias("defines"), F.array("event_type").alias("uses"), (F.col("event_type") == "error").alias("cut"))
+    return sequences.look_ahead_chunks(rows, ["user_id"], ["ts", "event_id"], "defines", "uses", 2, cut="cut").select("event_id", "chunk")
+
+
 def _places(spark, d):
     r, n, c, s = (table(spark, d, t) for t in ("region", "nation", "customer", "supplier"))
     return (
