@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.containment import contained
+from quern.operators.sequences import number_rows
 
 
 def shared_place(spark: SparkSession) -> str:
@@ -55,12 +56,13 @@ def paths(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame
 
 
 def post_order(paths_: DataFrame, by: list[str]) -> DataFrame:
-    """``place``: children before parents, siblings by node; from sorting paths with an end mark that sorts last."""
-    from pyspark.sql import Window
+    """``place``: children before parents, siblings by node; from sorting paths with an end mark that sorts last.
 
+    A tree is dealt by the nodes below its root.
+    """
     key = F.concat(F.transform("path", lambda x: F.struct(F.lit(0).alias("end"), x.alias("x"))), F.array(F.struct(F.lit(1).alias("end"), F.element_at("path", -1).alias("x"))))
-    window = (Window.partitionBy(*by) if by else Window).orderBy(key)
-    return paths_.withColumn("place", F.row_number().over(window))
+    place = F.struct(F.get("_key", 0), F.get("_key", 1))
+    return number_rows(paths_.withColumn("_key", key), by, ["_key"], "place", place).drop("_key")
 
 
 def remove_cascading(nodes: DataFrame, gone: DataFrame, closed: DataFrame, node: str = "node_id") -> DataFrame:
