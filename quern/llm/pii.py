@@ -154,8 +154,8 @@ _SOUNDS = [Alphabet(y) for x in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâäèé
 _SOUND = {c: x for x in _SOUNDS for c in x.values}
 _OCTETS = {"first": [Alphabet(map(str, r)) for r in (range(1, 10), range(10, 100), range(100, 224), range(224, 256))], "other": [Alphabet(map(str, r)) for r in (range(10), range(10, 100), range(100, 256))]}
 _SSN = [(Alphabet(f"{k:03}" for k in range(1, 1000) if k != 666), Alphabet(["000", "666"])), (Alphabet(f"{k:02}" for k in range(1, 100)), Alphabet(["00"])), (Alphabet(f"{k:04}" for k in range(1, 10_000)), Alphabet(["0000"]))]
-#: None of them ends in another, so a name has one at most; it shows the gender and stays.
-_ENDING = re.compile(r"(?<=\w\w)(?:ский|ская|ович|евич|овна|евна|ова|ева|ина|ов|ев|ин)$")
+#: None of them ends in another, so a name has one at most; it shows the gender and stays, and what stands before it is replaced alike for all of a family.
+_ENDING = re.compile(r"(?<=\w\w)(?:ский|ская|ович|евич|овна|евна|ова|ева|ина|ов|ев|ин|ski|ska|cki|cka|dzki|dzka|ová|sdóttir|sson)$")
 
 
 def _form(char: str) -> Alphabet | None:
@@ -246,9 +246,9 @@ class Surrogates:
             return self.turned[word]
         ending = m[0] if (m := _ENDING.search(word)) else ""
         stem = word[: len(word) - len(ending)]
-        while True:  # over given names, whose places belong to given names; the cycle leads back to this one at last
+        while True:  # over names whose places belong to others: given names and, without an ending, names with one; the cycle leads back to this one at last
             stem = "".join(self._moved("name", stem, [_SOUND.get(c) or _LETTER.get(c) for c in stem]))
-            if stem + ending not in _LISTED:
+            if stem + ending not in _LISTED and (ending or not _ENDING.search(stem)):
                 return stem + ending
 
     def replace(self, kind: str, text: str, gender: str = "") -> str:
@@ -257,7 +257,7 @@ class Surrogates:
         if kind == "email":
             local, _, domain = text.rpartition("@")
             stem, _, top = domain.rpartition(".")
-            new = self._text("email", f"{local}@{stem}") + "." + top
+            new = f"{self._text('email', local)}@{self._text('domain', stem)}.{top}"  # a domain is replaced alike in all addresses
         elif kind == "ip":
             octets = text.split(".")
             forms = [next((a for a in _OCTETS["other" if k else "first"] if v in a.index), None) for k, v in enumerate(octets)]

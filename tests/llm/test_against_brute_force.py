@@ -332,6 +332,20 @@ def test_surrogates():
     assert re.fullmatch(r"[а-я]+", pii.Surrogates(b"k")._name("привет", ""))
 
 
+def test_domains_and_families():
+    """Addresses of one domain keep one domain, and members of a family one family name, each with the ending of their own."""
+    s = pii.Surrogates(b"key")
+    bob, sue, other = (s.replace("email", x) for x in ("bob@acme.com", "sue@acme.com", "bob@acme2.com"))
+    assert bob.split("@")[1] == sue.split("@")[1] != "acme.com" and bob.split("@")[0] == other.split("@")[0] != "bob" and bob.split("@")[1] != other.split("@")[1]
+    for a, b in (("Kowalska", "Kowalski"), ("Nowacka", "Nowacki"), ("Nováková", "Novák"), ("Иванова", "Иванов"), ("Jónsdóttir", "Jónsson")):
+        x, y = s._name(a), s._name(b)
+        if b != "Novák":  # without an ending it is a name of its own
+            assert x[: len(x) - len(pii._ENDING.search(a)[0])] == y[: len(y) - len(pii._ENDING.search(b)[0])]
+        assert x != a and y != b and x.endswith(pii._ENDING.search(a)[0])
+    names = {f"{x}{y}{e}" for x in "KLMN" for y in "aeiou" for e in ("", "ski", "ska", "bski", "t")}
+    assert len({s._name(n) for n in names}) == len(names)
+
+
 @pytest.mark.parametrize("number", ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "+44 (20) 7946 0958", "+49 30 1234567", "555 123 4567", "030 1234567", "01 23 45 67 89", "01.23.45.67.89", "(030) 1234567", "+1 (017) 555-7713"])
 def test_phone_numbers(number):
     s = pii.Surrogates(b"key")
