@@ -415,20 +415,20 @@ def top10_candidates(spark, d):
 
 
 @query("""
-WITH w AS (SELECT p_brand, split_part(p_type, ' ', 1) AS a, split_part(p_type, ' ', 2) AS b, split_part(p_type, ' ', 3) AS c, p_type, p_partkey, p_size FROM part),
+WITH w AS (SELECT p_brand, p_type AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c, p_type || ' ' || p_name AS name, p_partkey, p_size FROM part),
 e AS (SELECT p_brand, max(p_partkey) // 2 AS at FROM part GROUP BY 1)
 SELECT e.p_brand, a || ' ' || b || ' ' || c AS name, 'a=' || a || ',b=' || b || ',c=' || c AS mapping
 FROM e JOIN (SELECT DISTINCT p_brand, a FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, b FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, c FROM w) USING (p_brand)
-WHERE EXISTS (SELECT 1 FROM w WHERE w.p_brand = e.p_brand AND w.p_type = a || ' ' || b || ' ' || c AND (w.p_partkey < e.at AND w.p_size < 30 OR w.p_size > 40))""")
+WHERE EXISTS (SELECT 1 FROM w WHERE w.p_brand = e.p_brand AND w.name = a || ' ' || b || ' ' || c AND (w.p_partkey < e.at AND w.p_size < 30 OR w.p_size > 40))""")
 def identifier_divisions(spark, d):
     """Names of three words, of which each can be any of its brand: those that are defined before the place or used, with which variable gave which word."""
-    part = table(spark, d, "part")
-    word = lambda k: F.split_part("p_type", F.lit(" "), F.lit(k))
+    part = table(spark, d, "part").withColumn("name", F.concat("p_type", F.lit(" "), "p_name"))
+    word = lambda k: F.split_part("name", F.lit(" "), F.lit(k))
     one = lambda kind, t: F.struct(F.lit(kind).alias("kind"), F.lit(t).alias("text"))
     shape = F.array(one("var", "a"), one("lit", " "), one("var", "b"), one("lit", " "), one("var", "c"))
     evals = part.groupBy("p_brand").agg(F.expr("max(p_partkey) DIV 2").alias("at")).select("p_brand", F.lit(1).alias("eval_id"), "at", shape.alias("parts"))
     given = part.select("p_brand", F.lit(1).alias("eval_id"), F.explode(F.array(*[F.struct(F.lit(v).alias("var"), word(k + 1).alias("value")) for k, v in enumerate("abc")])).alias("v")).select("p_brand", "eval_id", "v.*")
-    known = part.where("p_size < 30").select("p_brand", F.col("p_type").alias("name"), F.col("p_partkey").alias("at"), F.lit("def").alias("role")).union(part.where("p_size > 40").select("p_brand", "p_type", "p_partkey", F.lit("use")))
+    known = part.where("p_size < 30").select("p_brand", "name", F.col("p_partkey").alias("at"), F.lit("def").alias("role")).union(part.where("p_size > 40").select("p_brand", "name", "p_partkey", F.lit("use")))
     found = valuesets.divisions(evals, given, known, ["p_brand"], "eval_id")
     return found.select("p_brand", "name", F.array_join(F.transform("mapping", lambda m: F.concat(m["var"], F.lit("="), m["piece"])), ",").alias("mapping"))
 

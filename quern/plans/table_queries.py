@@ -193,13 +193,13 @@ def touched_nodes(spark, d):
     return options.touching(var_events(nodes(spark, d)))
 
 
-@query(f"""WITH {_EVENTS}, arm AS (SELECT w.script_id, w.parent_id, w.node_id, w.k % 2 AS branch, bool_or(w.k % 13 = 0) OVER (PARTITION BY w.parent_id, w.k % 2) AS error FROM w WHERE parent_id IS NOT NULL)
+@query(f"""WITH {_EVENTS}, arm AS (SELECT w.script_id, w.parent_id, w.node_id, (w.k // 8) % 2 AS branch, bool_or(w.k % 13 = 0) OVER (PARTITION BY w.parent_id, (w.k // 8) % 2) AS error FROM w WHERE parent_id IS NOT NULL)
 SELECT arm.script_id, arm.parent_id AS node_id, var FROM arm JOIN ev ON ev.node_id = arm.node_id AND event <> 'use'
 WHERE NOT error AND (SELECT count(DISTINCT branch) FROM arm b WHERE b.parent_id = arm.parent_id AND NOT b.error) > 1 GROUP BY 1, 2, 3 HAVING count(DISTINCT branch) = 2""")
 def defined_on_all_paths(spark, d):
     n = nodes(spark, d)
     error = F.col("k") % 13 == 0
-    arms = n.select("script_id", "node_id", "parent_id", F.when(F.col("parent_id").isNotNull(), F.col("k") % 2).alias("branch"), F.when(error, "Macro").otherwise("Simple").alias("kind"), F.when(error, "AC_MSG_ERROR").otherwise("").alias("text"))
+    arms = n.select("script_id", "node_id", "parent_id", F.when(F.col("parent_id").isNotNull(), F.expr("(k DIV 8) % 2")).alias("branch"), F.when(error, "Macro").otherwise("Simple").alias("kind"), F.when(error, "AC_MSG_ERROR").otherwise("").alias("text"))
     return macros.all_path_definitions(var_events(n), arms)
 
 
