@@ -417,9 +417,9 @@ def top10_candidates(spark, d):
 @query("""
 WITH w AS (SELECT p_brand, p_type AS a, split_part(p_name, ' ', 1) AS b, split_part(p_name, ' ', 2) AS c, p_type || ' ' || p_name AS name, p_partkey, p_size FROM part),
 e AS (SELECT p_brand, max(p_partkey) // 2 AS at FROM part GROUP BY 1)
-SELECT e.p_brand, a || ' ' || b || ' ' || c AS name, 'a=' || a || ',b=' || b || ',c=' || c AS mapping
-FROM e JOIN (SELECT DISTINCT p_brand, a FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, b FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, c FROM w) USING (p_brand)
-WHERE EXISTS (SELECT 1 FROM w WHERE w.p_brand = e.p_brand AND w.name = a || ' ' || b || ' ' || c AND (w.p_partkey < e.at AND w.p_size < 30 OR w.p_size > 40))""")
+SELECT p_brand, i || ' ' || j || ' ' || k AS name, 'a=' || i || ',b=' || j || ',c=' || k AS mapping
+FROM e JOIN (SELECT DISTINCT p_brand, a AS i FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, b AS j FROM w) USING (p_brand) JOIN (SELECT DISTINCT p_brand, c AS k FROM w) USING (p_brand)
+WHERE EXISTS (SELECT 1 FROM w WHERE w.p_brand = e.p_brand AND w.name = i || ' ' || j || ' ' || k AND (w.p_partkey < e.at AND w.p_size < 30 OR w.p_size > 40))""")
 def identifier_divisions(spark, d):
     """Names of three words, of which each can be any of its brand: those that are defined before the place or used, with which variable gave which word."""
     part = table(spark, d, "part").withColumn("name", F.concat("p_type", F.lit(" "), "p_name"))
