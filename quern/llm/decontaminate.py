@@ -49,14 +49,13 @@ def lowered(column: pa.Array) -> pa.Array:
 
 def words_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the words of texts, and the row of each word, by blocks of rows of about a megabyte."""
-    texts = lowered(column)
-    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     rows = 0
     while rows < len(size):
         upto = rows + max(1, int(np.searchsorted(np.cumsum(size[rows : rows + BLOCK_ROWS]), BLOCK_BYTES, "right")))
-        own = size[rows:upto]
-        parts = [np.zeros(0, np.uint8), *[d for d in text_buffers(texts.slice(rows, upto - rows)) if d is not None]]
-        data = np.concatenate(parts)
+        texts = lowered(column.slice(rows, upto - rows))  # small letters may have other sizes
+        own = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+        data = np.concatenate([np.zeros(0, np.uint8), *[d for d in text_buffers(texts) if d is not None]])
         joined = np.full(len(data) + len(own), 0x0A, np.uint8)  # a line feed ends each text
         joined[np.arange(len(data)) + np.repeat(np.arange(len(own)), own)] = data
         start, end = word_spans(joined, PUNCTUATION)
