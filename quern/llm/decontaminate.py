@@ -35,7 +35,7 @@ TABLE_BITS = 25
 HELD_GRAMS = 1 << 20
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 1 << 14
 #: A seed that at most one text of so many holds, or of an item with fewer seeds, asks for an alignment on its own; another only beside a second one.
-RARE, FEW = 2000, 4
+RARE, FEW = 2000, 12
 _U = np.uint64
 
 
