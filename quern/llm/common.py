@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of 16 MB at most, where the session has Spark's own bound: a worker holds one batch of texts and what it makes of it."""
+    """Arrow batches of 4 MB at most, where the session has Spark's own bound: a worker holds one batch of texts and what it makes of it, and the executor buffers on both ways."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name).lower() in ("67108864b", "67108864", "64m", "64mb"):
-        spark.conf.set(name, str(16 << 20))
+        spark.conf.set(name, str(4 << 20))
     return spark
 
 
