@@ -126,10 +126,14 @@ def target_sources(found: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def resolve_sources(sources: DataFrame, files: DataFrame, built: DataFrame) -> DataFrame:
-    """The first of a source's spellings that is a file or is built; others go.  files, built: (path)."""
+    """The first of a source's spellings that is a file or is built; others go.  files, built: (path).
+
+    Paths compress well, so a table that looks small in its files may not be;
+    the hint keeps it from being sent whole through the driver.
+    """
     tried = sources.select("*", F.posexplode(F.array(*[F.concat("source", F.lit(s)) for s in text.SOURCE_SUFFIXES])).alias("_k", "_p"))
     there = files.select(F.col("path").alias("_p")).union(built.select("path")).distinct()
-    return tried.join(there, "_p").groupBy("file", "target", "source").agg(F.min_by("_p", "_k").alias("path"))
+    return tried.join(there.hint("merge"), "_p").groupBy("file", "target", "source").agg(F.min_by("_p", "_k").alias("path"))
 
 
 def reached_headers(roots: DataFrame, files: DataFrame, directories: list[str]) -> tuple[DataFrame, DataFrame]:

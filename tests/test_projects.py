@@ -137,3 +137,12 @@ def test_product_and_candidates(spark):
     found = values.candidates(spark.createDataFrame([("k", str(x)) for x in range(12, 0, -1)] + [("t", "b"), ("t", "a"), ("t", "a")], "k string, v string"), ["k"], "v")
     got = {r.k: r.candidates for r in found.collect()}
     assert got["k"] == [str(x) for x in range(1, 11)] and got["t"] == ["a", "a", "b"]
+
+
+def test_resolved_sources_are_not_broadcast(spark):
+    """However small the tables look: the paths of all files never go through the driver."""
+    names = spark.createDataFrame([("m", "t", "a"), ("m", "t", "b"), ("m", "u", "gone")], "file string, target string, source string")
+    files, built = (spark.createDataFrame([(p,) for p in ps], "path string") for ps in (["a.c", "a.cc", "b.cc"], ["b.c", "b.c"]))
+    found = projects.resolve_sources(names, files, built)
+    assert sorted(map(tuple, found.collect())) == [("m", "t", "a", "a.c"), ("m", "t", "b", "b.c")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
