@@ -35,23 +35,40 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
         step = _squared(step)
 
 
-def reached(start: DataFrame, edges: DataFrame, by: list[str], node: str, src: str, dst: str) -> DataFrame:
+def _meetings(step: DataFrame) -> int:
+    """How many pairs of steps meet: what squaring joins, before equal pairs count once."""
+    outs = step.groupBy(F.col("src").alias("_mid")).agg(F.count("*").alias("_out"))
+    ins = step.groupBy(F.col("dst").alias("_mid")).agg(F.count("*").alias("_in"))
+    return outs.join(ins, "_mid").agg(F.sum(F.col("_out") * F.col("_in"))).first()[0] or 0
+
+
+def reached(start: DataFrame, edges: DataFrame, by: list[str], node: str, src: str, dst: str, growth: int = 4) -> DataFrame:
     """(by, node): what paths of any length lead to from each of ``start`` (by, node), itself included; cycles are fine.
 
     Rounds double as in ``closure``: what is known goes on by a step that
-    stands for all paths of the next power of two.
+    stands for all paths of the next power of two.  In a graph that branches
+    such steps become many more than its edges; so the step is squared only
+    while that joins at most ``growth`` times as many rows as there are edges.
+    From then on what is new of a round goes on by the step at hand, until
+    nothing is new: paths that are no multiple of the step begin with a
+    shorter one, which is known.  No result depends on ``growth``.
     """
     step = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    seen = [cut(start.select(*by, node).distinct())]
+    most, doubling = growth * step.count(), True
+    new = cut(start.select(*by, node).distinct())
+    seen = [new]
     pair = F.struct(*by, node)  # within a struct nulls are equal
     while True:
         known = reduce(DataFrame.union, seen)
-        further = known.join(step, F.col(node) == F.col("src")).select(*by, F.col("dst").alias(node)).distinct()
+        onward = known if doubling else new
+        further = onward.join(step, F.col(node) == F.col("src")).select(*by, F.col("dst").alias(node)).distinct()
         new = cut(further.withColumn("_pair", pair).join(known.select(pair.alias("_pair")), "_pair", "left_anti").drop("_pair"))
         if new.isEmpty():
             return known
         seen.append(new)
-        step = _squared(step)
+        doubling = doubling and _meetings(step) <= most
+        if doubling:
+            step = _squared(step)
 
 
 def layers(nodes: DataFrame, edges: DataFrame, node: str, parent: str, child: str) -> DataFrame:

@@ -49,6 +49,20 @@ def test_long_chains_end_in_few_rounds(spark, cuts):
     assert len(cuts) <= 1 + 2 * 12
 
 
+def test_reach_of_branching_graphs(spark, monkeypatch):
+    """Steps are squared while they stay few only; the result is the same however long that is, also on cycles."""
+    squared, sizes = graphs._squared, []
+    monkeypatch.setattr(graphs, "_squared", lambda step: (sizes.append(squared(step).count()), squared(step))[1])
+    edges = [(n, c) for n in range(1, 400) for c in {n // 2, n // 3} if c != n] + [(0, 390)]
+    df, start = spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([("x", 390), ("y", 7), (None, 3)], "k string, n int")
+    want = {(k, n) for k, at in (("x", 390), ("y", 7), (None, 3)) for n in {at} | walked(edges, at)}
+    got = [tuple(r) for r in graphs.reached(start, df, ["k"], "n", "src", "dst").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(sizes) <= 4 * len(edges)
+    for growth in (0, 10**6):
+        assert {tuple(r) for r in graphs.reached(start, df, ["k"], "n", "src", "dst", growth).collect()} == want
+
+
 def test_layers(spark):
     edges = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5), (6, 7), (7, 8), (8, 7), (9, 6), (8, 5), (5, 77), (1, 2)]
     nodes = spark.createDataFrame([(k,) for k in range(1, 11)] + [(1,)], "n int")
