@@ -74,25 +74,30 @@ def reached(start: DataFrame, edges: DataFrame, by: list[str], node: str, src: s
 def layers(nodes: DataFrame, edges: DataFrame, node: str, parent: str, child: str) -> DataFrame:
     """(node, layer, error): children before parents, by the longest way down: 0 without children, else one more than the highest child.
 
-    Nodes are peeled off layer by layer, each with the edges that lead to it,
-    so a round reads what is left alone.  Nodes on a cycle, or above one, are
-    never peeled: they have no layer, and an error.  Edges to or from other
-    nodes than ``nodes`` count for nothing; a node may have many parents.
+    A round hands the last layer to the parents of its nodes, and those whose
+    children are all done are the next; parents with some children left wait
+    with their count.  So a round shuffles what it changes, and reads the
+    edges, each with how many children its parent has.  Nodes on a cycle, or
+    above one, are never done: they have no layer, and an error.  Edges to or
+    from other nodes than ``nodes`` count for nothing; a node may have many
+    parents.
     """
-    left = cut(nodes.select(F.col(node).alias("node")).distinct())
+    every = cut(nodes.select(F.col(node).alias("node")).distinct())
     ends = edges.select(F.col(parent).alias("parent"), F.col(child).alias("child")).distinct()
-    open_ = cut(ends.join(left.select(F.col("node").alias("parent")), "parent", "left_semi").join(left.select(F.col("node").alias("child")), "child", "left_semi"))
-    out = None
-    for layer in range(1 << 30):
-        above = open_.select(F.col("parent").alias("node")).distinct()
-        ready = cut(left.join(above, "node", "left_anti").select("node", F.lit(layer).cast("bigint").alias("layer"), F.lit(None).cast("string").alias("error")))
-        if ready.isEmpty():
-            rest = left.select("node", F.lit(None).cast("bigint").alias("layer"), F.lit("on or above a cycle").alias("error"))
-            out = rest if out is None else out.union(rest)
-            return out.withColumnRenamed("node", node)
-        out = ready if out is None else out.union(ready)
-        left = cut(left.join(ready, "node", "left_anti"))
-        open_ = cut(open_.join(ready.select(F.col("node").alias("child")), "child", "left_anti"))
+    ends = cut(ends.join(every.select(F.col("node").alias("parent")), "parent", "left_semi").join(every.select(F.col("node").alias("child")), "child", "left_semi"))
+    below = ends.groupBy("parent").agg(F.count("*").alias("_all"))
+    open_ = cut(ends.join(below, "parent"))
+    ready = cut(every.join(below.select(F.col("parent").alias("node")), "node", "left_anti"))
+    done, waiting = [], open_.limit(0).select("parent", "_all", F.lit(1).cast("bigint").alias("_done"))
+    while not ready.isEmpty():
+        done.append(ready.select("node", F.lit(len(done)).cast("bigint").alias("layer"), F.lit(None).cast("string").alias("error")))
+        given = open_.join(ready.select(F.col("node").alias("child")), "child").select("parent", "_all", F.lit(1).cast("bigint").alias("_done"))
+        held = cut(given.union(waiting).groupBy("parent", "_all").agg(F.sum("_done").alias("_done")))
+        ready = held.where("_done = _all").select(F.col("parent").alias("node"))
+        waiting = held.where("_done < _all")
+    out = reduce(DataFrame.union, done) if done else every.limit(0).select("node", F.lit(None).cast("bigint").alias("layer"), F.lit(None).cast("string").alias("error"))
+    rest = every.join(out.select(F.col("node").alias("_node")), F.col("node").eqNullSafe(F.col("_node")), "left_anti")
+    return out.union(rest.select("node", F.lit(None).cast("bigint").alias("layer"), F.lit("on or above a cycle").alias("error"))).withColumnRenamed("node", node)
 
 
 def closed_post_order(paths: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:

@@ -72,6 +72,16 @@ def test_layers(spark):
     assert graphs.layers(nodes.limit(0), spark.createDataFrame(edges, "p int, c int"), "n", "p", "c").count() == 0
 
 
+def test_layers_write_what_changes(spark, monkeypatch):
+    """What rounds write is in proportion to nodes and edges, also where layers are many."""
+    written = []
+    monkeypatch.setattr(graphs, "cut", lambda df: (written.append(df.count()), trees.cut(df))[1])
+    edges = spark.range(40).selectExpr("id + 1 AS p", "id AS c").union(spark.range(2, 40).selectExpr("id + 1 AS p", "id - 2 AS c"))
+    nodes = spark.range(41).selectExpr("id AS n")
+    assert sorted((r.n, r.layer) for r in graphs.layers(nodes, edges, "n", "p", "c").collect()) == [(k, k) for k in range(41)]
+    assert sum(written) <= 4 * (41 + 78)
+
+
 def test_closed_post_order(spark):
     nodes = spark.createDataFrame([(k, p) for k, p in ((1, None), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (9, None), (10, 9))], "n int, p int")
     paths = trees.paths(nodes, "n", "p")
