@@ -9,6 +9,7 @@ part.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,45 +76,77 @@ def divisions(identifiers: DataFrame, values: DataFrame, known: DataFrame, by: S
     return done.select(*keys, "name", "mapping").distinct()
 
 
+def _on_cycles(edges: DataFrame, by: Sequence[str]) -> DataFrame | None:
+    """(by, src, dst): the edges that may lie on a cycle, none if there is no cycle.
+
+    Edges that nothing leads to, or that lead nowhere, are cut off round by
+    round as long as a quarter goes at least, so all rounds together read a few
+    times as much as there is.
+    """
+    keys, left, size = list(by), cut(edges), None
+    while True:
+        n = left.count()
+        if n == 0:
+            return None
+        if size is not None and 4 * n > 3 * size:
+            return left
+        size = n
+        ends, begins = (left.select(*keys, F.col(a).alias(b)).distinct() for a, b in (("src", "dst"), ("dst", "src")))
+        left = cut(left.join(ends, [*keys, "dst"], "left_semi").join(begins, [*keys, "src"], "left_semi"))
+
+
 def value_sets(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, var, value): all texts that a variable can hold by any of its definitions, over all keys at once.
 
     parts: by, var, def_id, pos, kind (``lit`` or ``ref``), text: a definition
     puts its parts together; a ref stands for each value of that variable.  A
-    round takes what is new of the last one only: copies hand it on,
-    concatenations that name it are multiplied anew and keep what has a new
-    piece.  Variables may be defined by each other: values go round by copies,
-    and a concatenation with a variable that its own depends on, which would
-    never end, gives nothing.  Nor does one with a variable without values.
+    round takes what is new of the last one only: a definition with one ref,
+    such as a copy, hands it on between its literals, those with several are
+    multiplied anew and keep what has a new piece.  Variables may be defined by
+    each other: values go round by copies, and a concatenation with a variable
+    that its own depends on, which would never end, gives nothing.  Nor does
+    one with a variable without values.
     """
     keys = list(by)
     name = lambda c: F.struct(*keys, F.col(c).alias("var"))
-    rows = cut(parts.select(*keys, "var", "def_id", "pos", "kind", "text"))
-    refs = rows.where("kind = 'ref'")
-    edges = refs.select(name("var").alias("src"), name("text").alias("dst")).distinct()
-    around = graphs.closure(edges).where("src IS NOT NULL").select(F.col("src").alias("_to"), F.col("dst").alias("_from"))  # _to depends on _from
-    sizes = rows.groupBy(*keys, "def_id").agg(F.count("*").alias("_n"), F.max((F.col("kind") == "ref").cast("int")).alias("_refs"))
-    endless = refs.join(sizes.where("_n > 1"), [*keys, "def_id"]).join(around, (name("text") == F.col("_to")) & (name("var") == F.col("_from"))).select(*keys, "def_id").distinct()
-    rows = rows.join(endless, [*keys, "def_id"], "left_anti").join(sizes, [*keys, "def_id"])
-    rows = cut(rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "def_id").orderBy("pos")) - 1))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), "")
-    delta = cut(rows.where("_refs = 0").groupBy(*keys, "var", "def_id").agg(joined.alias("value")).select(*keys, "var", "value").distinct())
-    longest = rows.where("_refs = 1").groupBy().agg(F.max("_n")).first()[0] or 0
-    found = delta
-    while longest and not delta.isEmpty():
+    there = F.lit(True)
+    for k in [*keys, "def_id"]:
+        there = there & F.col(k).isNotNull()
+    own = F.array_sort(F.collect_list(F.struct("pos", "kind", "text")))
+    defs = parts.where(there).groupBy(*keys, "var", "def_id").agg(own.alias("_parts"))
+    refs = F.transform(F.filter("_parts", lambda x: x["kind"] == "ref"), lambda x: x["text"])
+    defs = cut(defs.withColumns({"_n": F.size("_parts"), "_refs": refs}))
+    edges = defs.select(*keys, F.col("var").alias("src"), F.explode("_refs").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    around = _on_cycles(edges, keys)
+    if around is not None:  # src depends on dst
+        around = graphs.closure(around.select(name("src").alias("src"), name("dst").alias("dst"))).select(F.col("src").alias("_to"), F.col("dst").alias("_from"))
+        long = defs.where("_n > 1").select(*keys, "var", "def_id", F.explode("_refs").alias("text"))
+        endless = long.join(around, (name("text") == F.col("_to")) & (name("var") == F.col("_from"))).select(*keys, "def_id").distinct()
+        defs = cut(defs.join(endless, [*keys, "def_id"], "left_anti"))
+    whole = F.array_join(F.transform("_parts", lambda x: x["text"]), "")
+    delta = cut(defs.where("size(_refs) = 0").select(*keys, "var", whole.alias("value")).distinct())
+    at = F.array_position(F.transform("_parts", lambda x: x["kind"]), "ref").cast("int")
+    joined = lambda xs: F.aggregate(xs, F.lit(""), lambda acc, x: F.concat(acc, x["text"]))
+    before, after = joined(F.slice("_parts", 1, at - 1)), joined(F.slice("_parts", at + 1, F.size("_parts")))
+    links = cut(defs.where("size(_refs) = 1").select(*keys, "var", F.get("_refs", 0).alias("text"), before.alias("_before"), after.alias("_after")).distinct())
+    products = cut(defs.where("size(_refs) > 1").select(*keys, "var", "def_id", "_n", F.posexplode("_parts").alias("_at", "_part")).select(*keys, "var", "def_id", "_n", "_at", "_part.kind", "_part.text"))
+    longest = products.groupBy().agg(F.max("_n")).first()[0] or 0
+    found = [delta]
+    while not delta.isEmpty():
+        known = reduce(DataFrame.union, found)
         fresh = delta.select(*keys, F.col("var").alias("text"), "value")
-        copies = rows.where("_refs = 1 AND _n = 1").join(fresh, [*keys, "text"]).select(*keys, "var", "value")
-        touched = rows.where("_refs = 1 AND _n > 1 AND kind = 'ref'").join(fresh.select(*keys, "text").distinct(), [*keys, "text"], "left_semi").select(*keys, "def_id").distinct()
-        open_ = rows.where("_refs = 1 AND _n > 1").join(touched, [*keys, "def_id"], "left_semi")
-        new = found.withColumn("_new", F.lit(0)).join(delta, [*keys, "var", "value"], "left_anti").select(*keys, "var", "value", "_new").union(delta.withColumn("_new", F.lit(1)))
-        pieces = open_.where("kind = 'lit'").select(*keys, "var", "def_id", "_at", "_n", F.col("text").alias("value"), F.lit(0).alias("_new"))
-        pieces = cut(pieces.union(open_.where("kind = 'ref'").join(new.select(*keys, F.col("var").alias("text"), "value", "_new"), [*keys, "text"]).select(*keys, "var", "def_id", "_at", "_n", "value", "_new")))
-        put = pieces.where("_at = 0").drop("_at")
-        whole = copies
-        for k in range(1, longest):
-            piece = pieces.where(F.col("_at") == k).select(*keys, "def_id", F.col("value").alias("_v"), F.col("_new").alias("_w"))
-            put = put.join(piece, [*keys, "def_id"]).select(*keys, "var", "def_id", "_n", F.concat("value", "_v").alias("value"), F.greatest("_new", "_w").alias("_new"))
-            whole = whole.union(put.where((F.col("_n") == k + 1) & (F.col("_new") == 1)).select(*keys, "var", "value"))
-        delta = cut(whole.distinct().join(found, [*keys, "var", "value"], "left_anti"))
-        found = cut(found.union(delta))
-    return found
+        made = links.join(fresh, [*keys, "text"]).select(*keys, "var", F.concat("_before", "value", "_after").alias("value"))
+        if longest:
+            touched = products.where("kind = 'ref'").join(fresh.select(*keys, "text").distinct(), [*keys, "text"], "left_semi").select(*keys, "def_id").distinct()
+            open_ = products.join(touched, [*keys, "def_id"], "left_semi")
+            new = known.withColumn("_new", F.lit(0)).join(delta, [*keys, "var", "value"], "left_anti").select(*keys, "var", "value", "_new").union(delta.withColumn("_new", F.lit(1)))
+            pieces = open_.where("kind = 'lit'").select(*keys, "var", "def_id", "_at", "_n", F.col("text").alias("value"), F.lit(0).alias("_new"))
+            pieces = cut(pieces.union(open_.where("kind = 'ref'").join(new.select(*keys, F.col("var").alias("text"), "value", "_new"), [*keys, "text"]).select(*keys, "var", "def_id", "_at", "_n", "value", "_new")))
+            put = pieces.where("_at = 0").drop("_at")
+            for k in range(1, longest):
+                piece = pieces.where(F.col("_at") == k).select(*keys, "def_id", F.col("value").alias("_v"), F.col("_new").alias("_w"))
+                put = put.join(piece, [*keys, "def_id"]).select(*keys, "var", "def_id", "_n", F.concat("value", "_v").alias("value"), F.greatest("_new", "_w").alias("_new"))
+                made = made.union(put.where((F.col("_n") == k + 1) & (F.col("_new") == 1)).select(*keys, "var", "value"))
+        delta = cut(made.distinct().join(known, [*keys, "var", "value"], "left_anti"))
+        found.append(delta)
+    return reduce(DataFrame.union, found)

@@ -66,3 +66,16 @@ def test_divisions(spark):
     found = valuesets.divisions(spark.createDataFrame(ids, f"s string, e int, at int, parts array<struct<{shape.replace(' string', ':string')}>>"), spark.createDataFrame(values, "s string, e int, var string, value string"), spark.createDataFrame(known, "s string, name string, at int, role string"), ["s"], "e")
     got = sorted((r.s, r.e, r.name, [tuple(m) for m in r.mapping]) for r in found.collect())
     assert got == [("s", 1, "x_x_y", [("p", "x"), ("q", "x_y")]), ("s", 1, "x_x_y", [("p", "x_x"), ("q", "y")]), ("s", 1, "x_y", [("p", "x"), ("q", "y")]), ("s", 1, "xx_z", [("p", "xx"), ("q", "z")])]
+
+
+def test_edges_on_cycles(spark, monkeypatch):
+    """Chains are cut off from both ends, so no closure is made of what has no cycle; a definition with one ref keeps its literals around it."""
+    closed = []
+    closure = valuesets.graphs.closure
+    monkeypatch.setattr(valuesets.graphs, "closure", lambda e: (closed.append(e.count()), closure(e))[1])
+    chain = [(k, f"v{n}", f"d{n}", p, kind, t) for k in range(4) for n in range(1, 7) for p, (kind, t) in enumerate([("lit", "<"), ("ref", f"v{n - 1}"), ("lit", ">")])] + [(k, "v0", "d0", 0, "lit", "x") for k in range(4)]
+    got = {tuple(x) for x in valuesets.value_sets(spark.createDataFrame(chain, PARTS), ["k"]).collect()}
+    assert got == {(k, f"v{n}", "<" * n + "x" + ">" * n) for k in range(4) for n in range(7)} and not closed
+    cycle = [(9, "a", "1", 0, "lit", "y"), (9, "a", "1", 1, "ref", "b"), (9, "b", "2", 0, "ref", "a"), (9, "b", "3", 0, "lit", "z")]
+    got = {tuple(x) for x in valuesets.value_sets(spark.createDataFrame([*chain, *cycle], PARTS), ["k"]).where("k = 9").collect()}
+    assert got == {(9, "b", "z")} and closed == [2]
