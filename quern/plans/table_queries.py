@@ -56,6 +56,7 @@ opt AS (SELECT script_id, 'v' || (k // 5) % 3 AS option, node_id FROM w WHERE pa
 
 def nodes(spark, d) -> DataFrame:
     """script_id, node_id, parent_id, k, exec_id, exit_id, and what the guard of each asks."""
+    trees.small_partitions(spark)
     o, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     size = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).count()
     top = o.join(size, "o_orderkey", "left").select(F.col("o_custkey").alias("script_id"), (F.col("o_orderkey") * 1000).alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.col("o_orderkey").alias("k"), (F.coalesce("count", F.lit(0)) + 1).alias("size"))
