@@ -35,7 +35,8 @@ def contained(intervals: DataFrame, places: DataFrame, by: Sequence[str], begin:
     slot = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     key = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
     none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
-    open_ = intervals.where(last > first).select(*key, F.explode(F.sequence(slot(first), slot(last - 1))).alias("slot"), first.alias("at"), F.lit(0 if closed else 1).alias("side"), last.alias("end"), F.col(interval).alias("interval"), none(places, place).alias("place"))
+    wide = last > first if closed else last > first + 1  # others hold no place, such as nodes with nothing in them
+    open_ = intervals.where(wide).select(*key, F.explode(F.sequence(slot(first), slot(last - 1))).alias("slot"), first.alias("at"), F.lit(0 if closed else 1).alias("side"), last.alias("end"), F.col(interval).alias("interval"), none(places, place).alias("place"))
     met = places.select(*key, slot(F.col(at).cast("bigint")).alias("slot"), F.col(at).cast("bigint").alias("at"), F.lit(1 if closed else 0).alias("side"), F.lit(None).cast("bigint").alias("end"), none(intervals, interval).alias("interval"), F.col(place).alias("place"))
     keys = [f"k{i}" for i in range(len(by))]
     rows = open_.union(met).where(F.col("at").isNotNull() & ~F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x))

@@ -66,3 +66,26 @@ def test_no_range_join_of_scripts(spark):
     assert [(r.option, r.vars) for r in macros.build_options(calls, events, nodes).collect()] == [("x_y", ["a"])]
     for df in (outer, kept):
         assert "exec_id < " not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_intervals_without_room_are_not_sent(spark):
+    """Most nodes have nothing in them: they go into no shuffle; closed ones hold their own place."""
+    df = spark.range(50).selectExpr("1 AS k", "id AS b", "id + 1 AS e").union(spark.sql("SELECT 1, CAST(10 AS BIGINT), CAST(12 AS BIGINT)"))
+    open_ = contained(df, df, ["k"], "b", "e", "b", "b", "b")
+    assert {tuple(r) for r in open_.collect()} == {(1, 10, 11)}
+    assert contained(df.where("e = b + 1"), df, ["k"], "b", "e", "b", "b", "b").count() == 0
+    closed = contained(df, df, ["k"], "b", "e", "b", "b", "b", closed=True)
+    assert {tuple(r) for r in closed.collect()} == {(1, k, k) for k in range(50)} | {(1, 10, 11)}
+
+
+def test_small_partitions(spark):
+    """Where the session says nothing, a task sorts a few MB of a shuffle; what a session sets stays."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        assert trees.small_partitions(spark).conf.get(name) == str(8 << 20)
+        spark.conf.set(name, "16m")
+        assert trees.small_partitions(spark).conf.get(name) == "16m"
+    finally:
+        spark.conf.set(name, before)
