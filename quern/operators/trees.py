@@ -23,11 +23,23 @@ def shared_place(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/quern-{spark.sparkContext.applicationId}"
 
 
-def small_partitions(spark: SparkSession) -> SparkSession:
-    """Partitions of 8 MB after a shuffle, where the session has Spark's own 64 MB: rows of scripts are narrow and compress well, and a task holds twenty times as much of them when it sorts."""
+#: Rows of a shuffle for which there is a partition at least.
+ROWS = 1 << 18
+
+
+def small_partitions(spark: SparkSession, rows: int = 0) -> SparkSession:
+    """Partitions of 8 MB after a shuffle, where the session has Spark's own 64 MB: rows of scripts are narrow and compress well, and a task holds twenty times as much of them when it sorts.
+
+    ``rows``: how many there are.  Shuffles then begin with a partition for
+    every ``ROWS`` of them at least, however few the session names, so that
+    tasks don't grow with the input; adaptive execution merges small ones.
+    """
     name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     if spark.conf.get(name).lower() in ("67108864b", "67108864", "64m", "64mb"):
         spark.conf.set(name, str(8 << 20))
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if rows > ROWS * int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(first, str(-(-rows // ROWS)))
     return spark
 
 

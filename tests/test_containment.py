@@ -1,12 +1,14 @@
 """Containment against a plain loop: nested and crossing intervals, nulls, repeats, widths."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import macros, options, trees
 from quern.operators.containment import contained
+from quern.plans import table_queries
 
 
 def nested(r, lo, hi, depth=0):
@@ -89,3 +91,30 @@ def test_small_partitions(spark):
         assert trees.small_partitions(spark).conf.get(name) == "16m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_more_partitions_for_more_rows(spark):
+    """A shuffle begins with a partition for every so many rows; what the session has is never lowered."""
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        for rows, want in ((8 * trees.ROWS, None), (8 * trees.ROWS + 1, "9"), (30 * trees.ROWS, "30"), (20 * trees.ROWS, "30")):
+            assert trees.small_partitions(spark, rows).conf.get(name, None) == want
+    finally:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("query", ["dependencies_of_lines"])
+def test_tasks_do_not_grow(spark, monkeypatch, query):
+    """However few partitions the session names, all shuffles of nodes are dealt by the number of rows, and the result stays."""
+    name, data = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "/root/testdata/sf0.001"
+    run = lambda: table_queries.queries()[query](spark, data)
+    want = sorted(map(str, run().collect()))
+    monkeypatch.setattr(trees, "ROWS", 100, raising=False)
+    try:
+        df = run()
+        dealt = {int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+        rows = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("orders", "lineitem"))
+        assert dealt == {-(-rows // 100)}
+        assert sorted(map(str, df.collect())) == want
+    finally:
+        spark.conf.unset(name)
