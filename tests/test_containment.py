@@ -103,7 +103,7 @@ def test_more_partitions_for_more_rows(spark):
         spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("query", ["dependencies_of_lines", "edges_of_lines", "options_turned_on", "variables_of_declarations"])
+@pytest.mark.parametrize("query", ["dependencies_of_lines", "edges_of_lines", "options_turned_on", "outermost_blocks", "variables_of_declarations"])
 def test_tasks_do_not_grow(spark, monkeypatch, query):
     """However few partitions the session names, all shuffles of nodes are dealt by the number of rows, and the result stays."""
     name, data = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "/root/testdata/sf0.001"
