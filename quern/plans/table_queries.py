@@ -58,7 +58,7 @@ def nodes(spark, d) -> DataFrame:
     """script_id, node_id, parent_id, k, exec_id, exit_id, and what the guard of each asks."""
     o, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     trees.small_partitions(spark, o.count() + lines.count())
-    size = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).count()
+    size = lines.select(F.col("l_orderkey").alias("o_orderkey")).repartition("o_orderkey").groupBy("o_orderkey").count()  # nearly all keys of a file differ: combined before the shuffle they fill a task
     top = o.join(size, "o_orderkey", "left").select(F.col("o_custkey").alias("script_id"), (F.col("o_orderkey") * 1000).alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.col("o_orderkey").alias("k"), (F.coalesce("count", F.lit(0)) + 1).alias("size"))
     inner = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("script_id"), (F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))).alias("node_id"), (F.col("l_orderkey") * 1000).alias("parent_id"), F.col("l_partkey").alias("k"), F.lit(1).cast("bigint").alias("size"))
     placed = sequences.number_rows(top.union(inner), ["script_id"], ["node_id"]).withColumn("exec_id", F.col("exec_id").cast("bigint") - 1)

@@ -118,3 +118,9 @@ def test_tasks_do_not_grow(spark, monkeypatch, query):
         assert sorted(map(str, df.collect())) == want
     finally:
         spark.conf.unset(name)
+
+
+def test_lines_are_dealt_before_they_are_counted(spark):
+    """Counting a file's lines by order holds no order of the file in a task that reads it."""
+    plan = table_queries.nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"partial_count.*\n.*Exchange hashpartitioning\(o_orderkey#\d+L?, \d+\), REPARTITION_BY_COL", plan)
