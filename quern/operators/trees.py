@@ -33,13 +33,16 @@ def small_partitions(spark: SparkSession, rows: int = 0) -> SparkSession:
     ``rows``: how many there are.  Shuffles then begin with a partition for
     every ``ROWS`` of them at least, however few the session names, so that
     tasks don't grow with the input; adaptive execution merges small ones.
+    Where the session has it merge none, it is the session's own number of
+    partitions that is raised: Spark then heeds no other.
     """
     name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     if spark.conf.get(name).lower() in ("67108864b", "67108864", "64m", "64mb"):
         spark.conf.set(name, str(8 << 20))
-    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    if rows > ROWS * int(spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set(first, str(-(-rows // ROWS)))
+    merges = all(spark.conf.get(f"spark.sql.adaptive.{c}enabled").lower() == "true" for c in ("", "coalescePartitions."))
+    plain, first = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if rows > ROWS * int(merges and spark.conf.get(first, None) or spark.conf.get(plain)):
+        spark.conf.set(first if merges else plain, str(-(-rows // ROWS)))
     return spark
 
 

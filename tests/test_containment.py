@@ -124,3 +124,24 @@ def test_lines_are_dealt_before_they_are_counted(spark):
     """Counting a file's lines by order holds no order of the file in a task that reads it."""
     plan = table_queries.nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"partial_count.*\n.*Exchange hashpartitioning\(o_orderkey#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+
+
+@pytest.mark.parametrize("off", ["spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"])
+def test_tasks_do_not_grow_without_merging(spark, monkeypatch, off):
+    """Where adaptive execution doesn't merge partitions, shuffles are dealt by the number of rows too; more partitions of the session stay."""
+    name, data = "spark.sql.shuffle.partitions", "/root/testdata/sf0.001"
+    before, was = spark.conf.get(name), spark.conf.get(off)
+    want = sorted(map(str, table_queries.queries()["edges_of_lines"](spark, data).collect()))
+    monkeypatch.setattr(trees, "ROWS", 100)
+    try:
+        spark.conf.set(off, "false")
+        df = table_queries.queries()["edges_of_lines"](spark, data)
+        dealt = {int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+        rows = sum(spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("orders", "lineitem"))
+        assert dealt == {-(-rows // 100)}
+        assert sorted(map(str, df.collect())) == want
+        assert trees.small_partitions(spark, 100).conf.get(name) == str(-(-rows // 100))
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set(off, was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
